@@ -8,17 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.common import tables
 from lectern.llm.exact import exact_groups
+from lectern.llm.langid import identify
+from lectern.llm.quality import quality_scores
 from lectern.llm.sharding import balanced_shards
+from lectern.llm.simhash import simhash_components
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(tables(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(tables(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(tables(spark, sf_dir, "documents"), width=3)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(tables(spark, sf_dir, "documents"), shards=8)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
 OP3_SQL = r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -35,7 +50,10 @@ FROM h
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_language_id": op4_language_id,
+        "op5_simhash": op5_simhash,
         "op8_sharding": op8_sharding,
+        "op9_quality_classifier": op9_quality_classifier,
     }
 
 
