@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.common import tables
+from lectern.llm.chat import paired_replies, preference_pairs
 from lectern.llm.exact import exact_groups
 from lectern.llm.langid import identify
 from lectern.llm.quality import quality_scores
@@ -14,6 +15,10 @@ from lectern.llm.sharding import balanced_shards
 from lectern.llm.simhash import simhash_components
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_pairs(paired_replies(tables(spark, sf_dir, "conversations")))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(tables(spark, sf_dir, "documents"))
 
@@ -34,6 +39,36 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
 
 
+OP1_SQL = r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t
+), a AS (
+  SELECT conv_id, max(i) AS at, arg_max(text, i) AS reply FROM o WHERE lower(role) = 'assistant' GROUP BY conv_id
+), s AS (
+  SELECT o.conv_id, o.i, o.role, o.text AS c, CASE WHEN o.i = a.at THEN b.reply ELSE o.text END AS r, a.at IS NOT NULL AND b.at IS NOT NULL AS two
+  FROM o LEFT JOIN a USING (conv_id) LEFT JOIN a AS b ON b.conv_id = xor(o.conv_id, 1)
+), f AS (
+  SELECT conv_id, bool_and(two) AS two, count(*) AS n,
+         CASE WHEN NOT bool_and(two) THEN 0 ELSE coalesce(min(CASE WHEN c <> r THEN i END) - 1, count(*)) END AS n_common
+  FROM s GROUP BY conv_id
+), x AS (
+  SELECT s.conv_id, s.i, f.n_common, f.n, f.two, CASE WHEN lower(s.role) = 'assistant' THEN '+' ELSE '-' END AS sign,
+         '<|im_start|>' || replace(s.role, '<|im_', '<| im_') || chr(10) || replace(s.c, '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS c,
+         '<|im_start|>' || replace(s.role, '<|im_', '<| im_') || chr(10) || replace(s.r, '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS r
+  FROM s JOIN f USING (conv_id)
+)
+SELECT conv_id AS pair_id, CAST(any_value(n_common) AS INTEGER) AS n_common,
+       coalesce(string_agg(c, '' ORDER BY i) FILTER (WHERE i <= n_common), '') AS prompt,
+       coalesce(string_agg(c, '' ORDER BY i) FILTER (WHERE i > n_common), '') AS chosen,
+       coalesce(string_agg(r, '' ORDER BY i) FILTER (WHERE i > n_common AND two), '') AS rejected,
+       coalesce(string_agg(sign || length(c), ',' ORDER BY i) FILTER (WHERE i > n_common), '') AS chosen_mask,
+       coalesce(string_agg(sign || length(r), ',' ORDER BY i) FILTER (WHERE i > n_common AND two), '') AS rejected_mask,
+       CASE WHEN NOT any_value(two) THEN 'unpaired' WHEN any_value(n_common) = any_value(n) THEN 'same' ELSE 'ok' END AS status
+FROM x GROUP BY conv_id
+"""
+
 OP3_SQL = r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -49,6 +84,7 @@ FROM h
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_formatting": op1_chat_formatting,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_language_id": op4_language_id,
         "op5_simhash": op5_simhash,
@@ -58,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op3_exact_dedup": OP3_SQL}
