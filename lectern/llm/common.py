@@ -51,7 +51,7 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes the optimizer expects the input to have; 0 if it cannot tell."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 60 else 0
 
 

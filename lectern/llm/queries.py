@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.common import tables
 from lectern.llm.chat import paired_replies, preference_pairs
+from lectern.llm.decontam import contaminated
 from lectern.llm.exact import exact_groups
 from lectern.llm.langid import identify
+from lectern.llm.lm import lm_scores
 from lectern.llm.quality import quality_scores
+from lectern.llm.sentencepiece import tokenised
 from lectern.llm.sharding import balanced_shards
 from lectern.llm.simhash import simhash_components
 
@@ -19,6 +22,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_pairs(paired_replies(tables(spark, sf_dir, "conversations")))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenised(tables(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(tables(spark, sf_dir, "documents"))
 
@@ -31,6 +38,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(tables(spark, sf_dir, "documents"), width=3)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(tables(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(tables(spark, sf_dir, "documents"), shards=8)
 
@@ -39,6 +50,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+
+
 OP1_SQL = r"""
 WITH t AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
@@ -85,11 +100,14 @@ FROM h
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_language_id": op4_language_id,
         "op5_simhash": op5_simhash,
+        "op6_lm_scoring": op6_lm_scoring,
         "op8_sharding": op8_sharding,
         "op9_quality_classifier": op9_quality_classifier,
+        "op10_decontamination": op10_decontamination,
     }
 
 

@@ -27,8 +27,13 @@ def hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
 def coded(lines: list[list]) -> tuple[list, np.ndarray, np.ndarray]:
     """Lists of words -> distinct words, the code of every word in order, the number of words of each list."""
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    flat = np.empty(int(sizes.sum()), object)
-    flat[:] = list(chain.from_iterable(lines))
+    words = list(chain.from_iterable(lines))
+    if words and isinstance(words[0], str) and "\0" in "".join(words):  # pandas ends strings at NUL
+        distinct = list(dict.fromkeys(words))
+        place = dict(zip(distinct, range(len(distinct)), strict=True))
+        return distinct, np.fromiter(map(place.__getitem__, words), np.int64, len(words)), sizes
+    flat = np.empty(len(words), object)
+    flat[:] = words
     codes, distinct = pd.factorize(flat)
     return list(distinct), codes, sizes
 
