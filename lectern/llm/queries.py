@@ -11,6 +11,7 @@ from lectern.llm.chat import paired_replies, preference_pairs
 from lectern.llm.decontam import contaminated
 from lectern.llm.exact import exact_groups
 from lectern.llm.langid import identify
+from lectern.llm.licenses import rendered_paths, scan
 from lectern.llm.lm import lm_scores
 from lectern.llm.quality import quality_scores
 from lectern.llm.sentencepiece import tokenised
@@ -42,6 +43,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(tables(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(rendered_paths(tables(spark, sf_dir, "documents")))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(tables(spark, sf_dir, "documents"), shards=8)
 
@@ -105,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_simhash": op5_simhash,
         "op6_lm_scoring": op6_lm_scoring,
+        "op7_license_scan": op7_license_scan,
         "op8_sharding": op8_sharding,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_decontamination": op10_decontamination,
