@@ -131,13 +131,18 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
 
 
 def rendered_paths(docs: DataFrame) -> DataFrame:
-    """documents with the path each would have in a tree: source, hundreds, tens; round ids are licence files of a level."""
+    """documents with the path each would have in a tree of three levels: source, then ranges of 2,000 and of 200 ids.
+
+    The first ids of a range name licence files of its directory, so each
+    directory has some; every row has a path.
+    """
     k, source = F.coalesce("doc_id", F.lit(0)), F.coalesce("source", F.lit("unknown"))
-    hundred, ten = F.floor(k / 100).cast("string"), F.floor(k / 10).cast("string")
+    wide, tight, number = F.floor(k / 2000).cast("string"), F.floor(k / 200).cast("string"), k.cast("string")
+    at = lambda n, a, b: (F.pmod(k, F.lit(n)) >= a) & (F.pmod(k, F.lit(n)) < b)
     path = (
-        F.when(F.pmod(k, F.lit(1000)) == 15, F.concat(source, F.lit("/COPYING."), k.cast("string")))
-        .when(F.pmod(k, F.lit(100)) == 5, F.concat_ws("/", source, hundred, F.lit("LICENSE")))
-        .when(F.pmod(k, F.lit(10)) == 0, F.concat_ws("/", source, hundred, ten, F.lit("LICENSE")))
-        .otherwise(F.concat_ws("/", source, hundred, ten, F.concat(k.cast("string"), F.lit(".txt"))))
+        F.when(at(20000, 40, 60), F.concat(source, F.lit("/NOTICE."), number))
+        .when(at(2000, 20, 40), F.concat(source, F.lit("/"), wide, F.lit("/COPYING."), number))
+        .when(at(200, 0, 20), F.concat(source, F.lit("/"), wide, F.lit("/"), tight, F.lit("/LICENSE."), number))
+        .otherwise(F.concat(source, F.lit("/"), wide, F.lit("/"), tight, F.lit("/"), number, F.lit(".txt")))
     )
     return docs.select("doc_id", path.alias("path"), "text")
