@@ -13,9 +13,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern.llm.words import coded, slices
 
@@ -25,6 +25,8 @@ MARK = "▁"  # stands for a space
 PIECES, TRAINER, NORMALIZER, UNIGRAM = 1, 2, 3, 1
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PENALTY = 10.0
+#: Characters of distinct units whose arcs are held at once, and of texts encoded in one step.
+ARCS, STEP = 200_000, 2_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -262,7 +264,8 @@ class Encoder:
             self.clear()
         fresh = [u for u in units if u not in self.place]
         if fresh:
-            ids, count = viterbi(self.v, [u.encode("utf-8", "surrogatepass") for u in fresh])
+            found = [viterbi(self.v, [u.encode("utf-8", "surrogatepass") for u in fresh[part]]) for part in slices(fresh, ARCS)]
+            ids, count = (np.concatenate(x) for x in zip(*found, strict=True))
             start = self.kept + np.cumsum(count) - count
             self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
             self.start, self.count, self.ids = np.concatenate([self.start, start]), np.concatenate([self.count, count]), np.concatenate([self.ids, ids])
@@ -311,24 +314,24 @@ def read_vocabulary(path: str = VOCABULARY) -> Vocabulary:
         return load(f.read())
 
 
-def encoded(spark, v: Vocabulary, text: Column) -> Column:
-    """Struct of ids, n_tokens, n_bytes (ids of byte pieces) and round_trip (decoding gives the text back)."""
-    shared, key = spark.sparkContext.broadcast(v), uuid.uuid4().hex
-    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("round_trip", T.BooleanType())])
-
-    @F.pandas_udf(kind)
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _encoded(shared, key: str):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         enc, dec, is_byte = worker_encoder(v, key), Decoder(v), v.kinds == BYTE
-        for texts in batches:
-            ids, same = [], []
-            for part in slices(texts):
-                got = enc.encode(list(texts[part]))
-                ids += got
-                same += [dec.decode(i.tolist()) == (t or "") for i, t in zip(got, texts[part], strict=True)]
-            yield pd.DataFrame({"ids": ids, "n_tokens": [len(i) for i in ids], "n_bytes": [int(is_byte[i].sum()) for i in ids], "round_trip": same})
-
-    return of(text)
+        for batch in batches:
+            for part in slices(batch.column(1).to_pylist(), STEP):
+                rows = batch.slice(part.start, part.stop - part.start)
+                texts = rows.column(1).to_pylist()
+                ids = enc.encode(texts)
+                same = [dec.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts, strict=True)]
+                count = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                owner = np.repeat(np.arange(len(ids)), count)
+                fallback = np.bincount(owner[is_byte[flat]], minlength=len(ids))
+                listed = pa.ListArray.from_arrays(np.append(0, np.cumsum(count)).astype(np.int32), flat)
+                yield pa.RecordBatch.from_arrays([rows.column(0), listed, pa.array(count), pa.array(fallback), pa.array(same)], ["doc_id", "ids", "n_tokens", "n_bytes", "round_trip"])
+
+    return of
 
 
 def decoded(spark, v: Vocabulary, ids: Column) -> Column:
@@ -352,4 +355,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     space mark itself come back with spaces and have round_trip false.
     """
     v = read_vocabulary(path)
-    return docs.select(F.col(id_col).alias("doc_id"), encoded(docs.sparkSession, v, F.col(text_col)).alias("e")).select("doc_id", "e.*")
+    kind = dict(docs.dtypes)[id_col]
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_encoded(shared, uuid.uuid4().hex), f"doc_id {kind}, ids array<int>, n_tokens bigint, n_bytes bigint, round_trip boolean")
