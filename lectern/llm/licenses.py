@@ -85,7 +85,13 @@ def declared(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return found
 
     whole = F.when(F.col("name").rlike(LICENCE_FILE), F.array("text")).otherwise(F.array().cast("array<string>"))
-    units = files.filter(may(F.col("text"))).select("path", F.explode(F.array_distinct(F.concat(F.split("text", r"\r\n|[\n\r]"), whole))).alias("unit")).filter(may(F.col("unit")))
+    units = files.filter(may(F.col("text"))).select("path", F.explode(F.array_distinct(F.concat(F.split("text", r"\r\n|[\n\r]"), whole))).alias("unit"))
+    # A cosine is at most the length of the part of the template's vector whose terms the unit holds.
+    held = F.array_intersect(F.split(F.lower("unit"), _BREAK), F.array(*[F.lit(t) for t in sorted(needed)]))
+    units = units.withColumn("_held", held).filter(F.size("_held") > 0)
+    held = F.array_intersect(F.split(F.lower("unit"), _BREAK), F.array(*[F.lit(t) for t in sorted(known)]))
+    parts = [sum((F.when(F.array_contains("_held", t), F.lit(w * w)).otherwise(F.lit(0.0)) for t, w in v.items()), F.lit(0.0)) for v in vectors]
+    units = units.withColumn("_held", held).filter(F.greatest(*parts) >= threshold**2 - 1e-9)
     units = units.select("path", F.xxhash64("unit").alias("u"), F.explode(F.split(F.lower("unit"), _BREAK)).alias("term")).filter("term <> ''")
     units = units.groupBy("path", "u", "term").agg(F.count("*").alias("tf")).join(F.broadcast(table), "term", "left")
     w = F.col("tf") * F.coalesce("idf", F.lit(unknown))
