@@ -14,6 +14,8 @@ ROUNDS = 6
 #: Blocks in which rows of a shard are numbered; a row's number is its block's offset plus its place in it.
 BLOCKS = 4096
 UNIT = float(1 << 30)
+#: Share by which a shard may pass its capacity between rounds, and the largest group whose rows are numbered side by side.
+SLACK, TOGETHER = 0.05, 1000
 
 
 def _chance(*of: Column) -> Column:
@@ -28,12 +30,12 @@ def _offsets(sizes: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 
 def propagate(units: DataFrame, capacity: float, rounds: int = ROUNDS) -> DataFrame:
-    """units (key, home, n: linked rows of one group that began in shard home) with the shard each ends in.
+    """units (key, home, n: linked rows of one group that began in shard home, g: rows of the group) with the shard each ends in.
 
     In each round every group votes for the shard that holds most of its rows
     and its units elsewhere ask to move there.  A shard takes as many rows as
-    its quota (capacity less the linked rows it holds); with more asking, a
-    share chosen by hash is let in.  Groups ask as one and so are let in as
+    its quota (capacity and a little, less the linked rows it holds, and as
+    many as ask to leave it); with more asking, a share chosen by hash is let in.  Groups ask as one and so are let in as
     one, but for those larger than a shard, whose units ask by themselves.
     Only the table of sums by shard, of one row a shard, is broadcast.
     """
@@ -42,20 +44,22 @@ def propagate(units: DataFrame, capacity: float, rounds: int = ROUNDS) -> DataFr
         # the state before a round serves two reads, so each round's is written once
         at = state.groupBy("key", "shard").agg(F.sum("n").alias("m"))
         vote = F.max_by("shard", F.struct("m", F.xxhash64("key", "shard"))).alias("to")
-        asked = state.join(at.groupBy("key").agg(vote, F.sum("m").alias("group_n")), "key")
+        asked = state.join(at.groupBy("key").agg(vote), "key")
         asks = F.col("to") != F.col("shard")
         load = state.groupBy("shard").agg(F.sum("n").alias("load"))
-        wanted = asked.filter(asks).groupBy(F.col("to").alias("shard")).agg(F.sum("n").alias("wanted"))
-        quota = wanted.join(load, "shard", "left").select(
-            F.col("shard").alias("to"), ((F.lit(float(capacity)) - F.coalesce("load", F.lit(0))) / F.col("wanted")).alias("open"))
-        big = F.col("group_n") > F.lit(float(capacity))
+        moves = asked.filter(asks).groupBy(F.col("shard").alias("from"), "to").agg(F.sum("n").alias("m"))  # shards x shards rows
+        wanted = moves.groupBy(F.col("to").alias("shard")).agg(F.sum("m").alias("wanted"))
+        leaving = moves.groupBy(F.col("from").alias("shard")).agg(F.sum("m").alias("leaving"))
+        room = F.lit(capacity * (1 + SLACK)) - F.coalesce("load", F.lit(0)) + F.coalesce("leaving", F.lit(0))
+        quota = wanted.join(load, "shard", "left").join(leaving, "shard", "left").select(F.col("shard").alias("to"), (room / F.col("wanted")).alias("open"))
+        big = F.col("g") > F.lit(float(capacity))
         draw = F.when(big, _chance(F.col("key"), F.col("home"), F.lit(turn))).otherwise(_chance(F.col("key"), F.lit(turn)))
         moved = asked.join(F.broadcast(quota), "to", "left").select(
-            "key", "home", "n", F.when(asks & (draw < F.col("open")), F.col("to")).otherwise(F.col("shard")).alias("shard"), asks.alias("asks"))
+            "key", "home", "n", "g", F.when(asks & (draw < F.col("open")), F.col("to")).otherwise(F.col("shard")).alias("shard"), asks.alias("asks"))
         after = materialise(moved, "shards")
         if turn:
             discard(state.sparkSession, state)
-        state = after.select("key", "home", "n", "shard")
+        state = after.select("key", "home", "n", "g", "shard")
         if not after.filter("asks").limit(1).count():
             break
     return state
@@ -90,15 +94,16 @@ def balanced_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     rows = materialise(rows, "rows")
     total = rows.count()
     units = rows.groupBy("key", "home").agg(F.count("*").alias("n"))
-    linked = units.groupBy("key").agg(F.sum("n").alias("g")).filter("g > 1").select("key")
-    units = materialise(units.join(linked, "key", "left_semi"), "units")
+    linked = units.groupBy("key").agg(F.sum("n").alias("g")).filter("g > 1")
+    units = materialise(units.join(linked, "key"), "units")
     placed = propagate(units, total / shards, rounds)
 
-    block = F.pmod(F.xxhash64(F.lit("block"), "doc_id", "key"), F.lit(BLOCKS)).cast("int")
+    # a small group is numbered in one go, so that the step that evens counts cuts few
+    together = F.coalesce(F.col("g") <= TOGETHER, F.lit(False))
+    block = F.pmod(F.xxhash64(F.lit("block"), "key", F.when(~together, F.col("doc_id"))), F.lit(BLOCKS)).cast("int")
     now = (
-        rows.join(placed.select("key", "home", F.col("shard").alias("went")), ["key", "home"], "left")
-        .select("doc_id", "size", "text_crc32", "key", F.coalesce("went", "home").alias("shard"), F.col("went").isNull().alias("alone"))
-        .withColumn("block", F.when(F.col("alone"), block).otherwise(F.pmod(F.xxhash64(F.lit("block"), "key", "doc_id"), F.lit(BLOCKS)).cast("int")))
+        rows.join(placed.select("key", "home", "g", F.col("shard").alias("went")), ["key", "home"], "left")
+        .select("doc_id", "size", "text_crc32", "key", F.coalesce("went", "home").alias("shard"), F.col("went").isNull().alias("alone"), block.alias("block"))
     )
     now = materialise(now, "now")
     sizes = now.groupBy("shard", "alone", "block").agg(F.count("*").alias("n"))
