@@ -28,7 +28,7 @@ HEADERS = [
     ("IC50", ["ic50"]),
 ]
 CELLS = "table_no int, row_no int, col_no int, cell string"
-_RULE = re.compile(r"^\|?[\s:]*-{3,}[\s:]*(\|[\s:]*-{3,}[\s:]*)*\|?$")
+_RULE = re.compile(r"^\|?[\s:]*-+[\s:]*(\|[\s:]*-+[\s:]*)*\|?$")
 
 
 class _Cells(HTMLParser):
