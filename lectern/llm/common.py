@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Whitespace of the operators' contracts: space, and tab to carriage return.
@@ -55,6 +55,20 @@ def input_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
+def bounded_sample(keys: DataFrame, by: str, id_col: str, n: int) -> DataFrame:
+    """At most n rows for each value of `by`, those least by a hash of the id; the column k is their rank.
+
+    Values are counted first and only a share of each, some 4 n rows, is
+    ranked, so a value that a third of all rows have puts no more than that
+    in one task.
+    """
+    counts = keys.groupBy(by).agg(F.count("*").alias("_n"))
+    drawn = F.pmod(F.xxhash64(id_col, F.lit("draw")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = keys.join(counts, by).filter(drawn * F.col("_n") <= 4.0 * n + 100).drop("_n")
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(id_col), id_col))
+    return some.withColumn("k", rank).filter(F.col("k") <= n)
+
+
 def narrow_side(df: DataFrame, rows: int, limit: int = 500_000) -> DataFrame:
     """Hint a broadcast only while the counted rows stay under the bound; beyond it the join shuffles."""
     return F.broadcast(df) if rows <= limit else df

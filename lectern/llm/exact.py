@@ -51,12 +51,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.join(survivors.withColumn("_shared", F.lit(True)), ["_len", "_pre"], "left")
     rows = materialise(rows.select("_id", "_sha", F.coalesce("_shared", F.lit(False)).alias("_shared")), "exact")
     groups = rows.filter("_shared").groupBy("_sha").agg(F.min("_id").alias("_keep"), F.count("*").alias("_size")).filter("_size > 1")
+    groups = materialise(groups, "groups")  # with its size known a side can be broadcast, and a skewed join be split
     repeat = F.row_number().over(Window.partitionBy("_sha", "_id").orderBy(F.lit(1)))
     alone = F.col("_size").isNull()
     keep = F.when(alone, F.col("_id")).otherwise(F.col("_keep"))
     return (
         rows.withColumn("_again", repeat)
-        .join(groups, "_sha", "left")
+        .join(narrow_side(groups, groups.count()), "_sha", "left")
         .select(
             F.col("_id").alias("doc_id"),
             keep.alias("keep_id"),

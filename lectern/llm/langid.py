@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import fold
+from lectern.llm.common import bounded_sample, fold, materialise, narrow_side
 from lectern.llm.words import Remembered, coded, slices
 
 #: Labelled texts of each language that a fit may use, in the order of a hash of the id, and distinct words of each.
@@ -268,17 +268,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.filter("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").filter(fold(F.col("id"), 4) != 2)
-    # ids alone are ranked, each map task keeps the first `sample` before the shuffle
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = known.select("id", "lang").withColumn("k", rank).filter(F.col("k") <= sample).drop("k").distinct()
-    texts = known.join(F.broadcast(chosen), ["id", "lang"])
+    chosen = materialise(bounded_sample(known.select("id", "lang"), "lang", "id", sample).dropDuplicates(["id", "lang"]), "sample")
+    texts = known.join(narrow_side(chosen, chosen.count()), ["id", "lang"])
     counted = texts.select("lang", "text").mapInPandas(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     counts: dict[str, Counter] = defaultdict(Counter)
     for r in counted.withColumn("k", top).filter(F.col("k") <= words).toLocalIterator():
         counts[r["lang"]][r["word"]] = r["n"]
     model = train(counts, order)
-    few = texts.withColumn("k", rank).filter(F.col("k") <= 200).select("text", "lang").collect()
+    few = texts.filter(F.col("k") <= 200).select("text", "lang").collect()
     few = [r for r in few if r["lang"] in counts]
     return calibrate(model, [r["text"] for r in few], [r["lang"] for r in few])
 

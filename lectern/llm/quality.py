@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import fold, narrow_side
+from lectern.llm.common import bounded_sample, fold, narrow_side
 from lectern.llm.words import Remembered, coded, hashes, mix, slices
 
 #: Labelled rows of each class that a fit may use, taken in the order of a hash of the id.
@@ -108,9 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows the weights are zero and every score is one half.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").filter(fold(F.col("id"), 4) != 2)
-    known = known.distinct()
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    known = known.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample).drop("k")
+    known = bounded_sample(known, "y", "id", sample).dropDuplicates(["id", "y"]).drop("k")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(narrow_side(known, 2 * sample), "id")
     rows = texts.select("text", "y").mapInPandas(_vectors, "y int, i array<int>, x array<float>").collect()
     if not rows:
