@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions import judge, scan, sequences, similarity, text, units
-from lectern.operators import blocks, matching, merge, scoring, tables, trace
+from lectern.functions import jsontext, judge, scan, sequences, similarity, text, units
+from lectern.operators import blocks, matching, merge, records, scoring, tables, trace
 from lectern.plans import recipes
 from lectern.plans.recipes import LABELS_SQL, SCORED, SPANS_SQL, table
 from lectern.sources import files
@@ -609,3 +609,152 @@ def _(spark, sf_dir):
     entry = F.concat(F.lit(">p"), k, F.lit("|Chain H|"), "p_brand", F.lit("\n"), F.substring(s, 1, 20), F.lit("\n"), F.substring(s, 21, 12), F.lit("\n"))
     raw = table(spark, sf_dir, "part").groupBy("p_size").agg(F.array_join(F.collect_list(entry), "").alias("value"))
     return files.parse_fasta(raw).select("header", F.get("parts", F.lit(1)).alias("chain"), "sequence")
+
+
+# ---------------------------------------------------------------- records
+
+
+@query("p07_auxiliary_names", "SELECT o_orderkey, o_orderkey % 4 <> 3 AS auxiliary FROM orders")
+def _(spark, sf_dir):
+    forms = F.array(*map(F.lit, ["IGHV3-23", "ab12-H3", "C05/KJ1", "C05"]))
+    return table(spark, sf_dir, "orders").select("o_orderkey", records.auxiliary_name(F.element_at(forms, (F.col("o_orderkey") % 4 + 1).cast("int"))).alias("auxiliary"))
+
+
+@query("p08_precise_type", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'IgG' WHEN 1 THEN 'IgM' WHEN 2 THEN 'mAb' ELSE 'Fab' END AS kind FROM orders")
+def _(spark, sf_dir):
+    i = (F.col("o_orderkey") % 4 + 1).cast("int")
+    kind, isotype = F.element_at(F.array(*map(F.lit, ["mAb", "Monoclonal antibody", "mAb", "Fab"])), i), F.element_at(F.array(*map(F.lit, ["human IgG1", "igm", "unknown", "IgG"])), i)
+    return table(spark, sf_dir, "orders").select("o_orderkey", records.precise_type(kind, isotype).alias("kind"))
+
+
+@query("p09_non_core", "SELECT o_orderkey, o_orderkey % 4 <> 3 AS non_core FROM orders")
+def _(spark, sf_dir):
+    i = (F.col("o_orderkey") % 4 + 1).cast("int")
+    name, kind = F.element_at(F.array(*map(F.lit, ["C05 germline", "ab-2", "x1hx2k", "ab-4"])), i), F.element_at(F.array(*map(F.lit, ["IgG", "Chimeric IgG", "IgG", "IgG"])), i)
+    return table(spark, sf_dir, "orders").select("o_orderkey", records.non_core(name, kind).alias("non_core"))
+
+
+@query("p10_without_internal", "SELECT o_orderkey, o_orderstatus AS status, 1 AS n FROM orders")
+def _(spark, sf_dir):
+    m = records.without_internal(F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("_source"), F.lit("x")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", m["status"].alias("status"), F.size(m).alias("n"))
+
+
+@query("p12_may_create", "SELECT o_orderkey, o_orderkey % 4 < 2 AS may FROM orders")
+def _(spark, sf_dir):
+    k = F.col("o_orderkey") % 4
+    may = records.may_create(k == 2, k == 0, F.when(k == 3, "short").otherwise(F.repeat(F.lit("A"), 90)), F.lit(""), F.when(k == 1, "5 nM").otherwise(""), F.lit(""))
+    return table(spark, sf_dir, "orders").select("o_orderkey", may.alias("may"))
+
+
+@query("a22_evidence_score", "SELECT c_custkey, 5 + CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS score FROM customer")
+def _(spark, sf_dir):
+    k = F.col("c_custkey")
+    s = records.evidence_score({"vh_sequence_aa": F.lit("A"), "vl_sequence_aa": F.lit(" "), "CDRH3_Sequence": F.when(k % 2 == 0, "C"), "Target_Name": F.when(k % 3 == 0, "x").otherwise("")})
+    return table(spark, sf_dir, "customer").select("c_custkey", s.alias("score"))
+
+
+@query("j04_accession_scores", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 0 END AS score FROM orders")
+def _(spark, sf_dir):
+    forms = F.array(*map(F.lit, ["heavy chain of C05 (human)", "heavy chain of C-05x", "something else"]))
+    return table(spark, sf_dir, "orders").select("o_orderkey", records.accession_score(F.element_at(forms, (F.col("o_orderkey") % 3 + 1).cast("int")), F.lit("c05")).alias("score"))
+
+
+@query("j06_variant_parents", "SELECT 'P' || (c_custkey % 50) AS paper_id, 'ab' || c_custkey || 'x-H3' AS child, 'ab' || c_custkey || 'x' AS parent, 3 AS rank FROM customer")
+def _(spark, sf_dir):
+    base = F.concat(F.lit("ab"), F.col("c_custkey").cast("string"), F.lit("x"))
+    names = table(spark, sf_dir, "customer").select(F.concat(F.lit("P"), (F.col("c_custkey") % 50).cast("string")).alias("paper_id"), F.explode(F.array(base, F.concat(base, F.lit("-H3")))).alias("name"))
+    return records.variant_parents(names)
+
+
+@query("j12_corroborated", "SELECT c_custkey, c_custkey % 2 = 0 AS found FROM customer")
+def _(spark, sf_dir):
+    k = F.col("c_custkey")
+    s = recipes.region(k)
+    body = F.concat(F.lit("the sequence "), F.when(k % 2 == 0, F.concat(F.substring(s, 10, 12), F.lit(" "), F.substring(s, 22, 20))).otherwise("WWWWWWWWWWWW"), F.lit(" was found"))
+    return table(spark, sf_dir, "customer").select("c_custkey", records.corroborated(s, body).alias("found"))
+
+
+@query("j14_cross_reactive", """SELECT 'ab' || c_custkey AS name, 'HER2' AS target, '5 nM' AS kd FROM customer UNION ALL SELECT 'ab' || c_custkey, 'EGFR', '' FROM customer WHERE c_custkey % 2 = 0""")
+def _(spark, sf_dir):
+    k = F.col("c_custkey")
+    r = table(spark, sf_dir, "customer").select(F.concat(F.lit("ab"), k.cast("string")).alias("name"), F.lit("HER2").alias("target"), F.when(k % 2 == 0, "EGFR; her2; N/A").otherwise("none").alias("reactive"), F.lit("5 nM").alias("kd"))
+    return records.cross_reactive(r, "target", "reactive", ["kd"]).select("name", "target", "kd")
+
+
+@query("j15_positional_zip", """WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+  SELECT l_orderkey, 'L' || l_partkey AS label, 'S' || l_partkey AS line FROM n""")
+def _(spark, sf_dir):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    n = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.row_number().over(w).alias("i"))
+    labels = n.select("l_orderkey", F.col("i").alias("pos"), F.concat(F.lit("L"), F.col("l_partkey").cast("string")).alias("label"))
+    lines = n.select("l_orderkey", (F.col("i") + 20).alias("pos"), F.concat(F.lit("S"), F.col("l_partkey").cast("string")).alias("line"))
+    return records.zipped_by_position(labels, lines, "l_orderkey").select("l_orderkey", "label", "line")
+
+
+@query("a19_name_like_tokens", "SELECT o_orderkey, CASE WHEN o_orderkey < 10 THEN 1 ELSE 2 END AS n FROM orders")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", records.name_like_tokens(F.concat(F.lit("C05 and C05 bind x"), F.col("o_orderkey").cast("string"), F.lit(" but not 123 nor abc"))).alias("n"))
+
+
+@query("a29_protected_tokens", "SELECT o_orderkey, o_orderkey % 2 = 0 AS same FROM orders")
+def _(spark, sf_dir):
+    b = F.when(F.col("o_orderkey") % 2 == 0, "MK000002, MK000001 again MK000001").otherwise("MK000001 MK000002")
+    return table(spark, sf_dir, "orders").select("o_orderkey", records.same_tokens(F.lit("MK000001 MK000001 MK000002"), b, r"\b([A-Z]{2}\d{6})\b").alias("same"))
+
+
+@query("p22_score_bands", f"""WITH {LABELS_SQL} SELECT CASE WHEN raw * penalty >= 70 THEN 'high' WHEN raw * penalty >= 40 THEN 'middle' ELSE 'low' END AS band, count(*) AS n FROM penalised GROUP BY 1""")
+def _(spark, sf_dir):
+    return _papers(spark, sf_dir).groupBy(records.score_band(F.col("accuracy")).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("p28_review_queue", """WITH a AS (SELECT source, count(*) FILTER (quality = 0) AS issues, count(*) FILTER (quality = 0 AND toxic = 1) AS reviewed, count(quality) AS touched FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)
+  SELECT source, issues, CASE WHEN reviewed >= issues THEN 'completed' WHEN touched > 0 THEN 'started' ELSE 'pending' END AS state FROM a""")
+def _(spark, sf_dir):
+    n = lambda c: F.count(F.when(c, 1))
+    a = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    a = a.groupBy("source").agg(n(F.col("quality") == 0).alias("issues"), n((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("reviewed"), F.count("quality").alias("touched"))
+    return a.select("source", "issues", records.review_state(F.col("issues"), F.col("reviewed"), F.col("touched")).alias("state"))
+
+
+@query("w04_evidence_cap", "SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber * 1000000 + l_partkey) AS rn FROM lineitem) WHERE rn <= 2")
+def _(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("pos", F.col("l_linenumber") * 1000000 + F.col("l_partkey"))
+    return records.capped(li, ["l_orderkey"], F.col("l_quantity"), "pos", 2).select("l_orderkey", "l_linenumber")
+
+
+@query("g05_json_salvage", """SELECT o_orderkey, '{"k":' || o_orderkey || '}' AS found FROM orders""")
+def _(spark, sf_dir):
+    k = F.col("o_orderkey").cast("string")
+    reply = F.concat(F.lit('Sure: {"draft": 1} then ```json {"k": '), k, F.lit("}"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", jsontext.json_object(reply).alias("found"))
+
+
+@query("g06_json_closed", """SELECT o_orderkey, '{"k":[' || o_orderkey || ',{"n":"x"}]}' AS found FROM orders""")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", jsontext.json_closed(F.concat(F.lit('{"k": ['), F.col("o_orderkey").cast("string"), F.lit(', {"n": "x'))).alias("found"))
+
+
+@query("f19_plain_text", "SELECT o_orderkey, 'a < b & c ' || o_orderkey AS t FROM orders")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.plain(F.concat(F.lit(" a&nbsp;&lt; b \n &amp;\tc "), F.col("o_orderkey").cast("string"))).alias("t"))
+
+
+@query("f24_source_priority", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 0 END AS p FROM orders")
+def _(spark, sf_dir):
+    forms = F.array(*map(F.lit, ["text", "table", "sequence_image", "api", "guess"]))
+    return table(spark, sf_dir, "orders").select("o_orderkey", merge.priority(F.element_at(forms, (F.col("o_orderkey") % 5 + 1).cast("int"))).alias("p"))
+
+
+@query("a11_dataset_summary", """WITH a AS (SELECT source, count(*) FILTER (quality = 0) AS issues, count(*) FILTER (quality = 0 AND toxic = 1) AS reviewed, count(quality) AS touched FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)
+  SELECT count(*) FILTER (touched > 0) AS started, count(*) FILTER (reviewed >= issues) AS completed FROM a""")
+def _(spark, sf_dir):
+    n = lambda c: F.count(F.when(c, 1))
+    a = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    a = a.groupBy("source").agg(n(F.col("quality") == 0).alias("issues"), n((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("reviewed"), F.count("quality").alias("touched"))
+    return a.agg(n(F.col("touched") > 0).alias("started"), n(F.col("reviewed") >= F.col("issues")).alias("completed"))
+
+
+@query("s08_markdown_report", """SELECT '| ' || r_regionkey || ' | ' || r_name || ' |' AS value FROM region UNION ALL SELECT '| r_regionkey | r_name |' UNION ALL SELECT '| --- | --- |'""")
+def _(spark, sf_dir):
+    return files.markdown_table(table(spark, sf_dir, "region"), ["r_regionkey", "r_name"], ["r_regionkey"])
