@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,11 @@ THRESHOLD = 0.75
 _BREAK = r"[^a-z0-9]+"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def terms(text: str) -> list[str]:
     return [t for t in re.split(_BREAK, text.lower()) if t]
 
@@ -78,27 +84,24 @@ def declared(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = files.sparkSession
     table = spark.createDataFrame([(t, w, [v.get(t, 0.0) for v in vectors]) for t, w in known.items()], "term string, idf double, w array<double>")
 
-    def may(text: Column) -> Column:  # exact: without one of these terms no template is near
-        low, found = F.lower(text), F.lit(False)
-        for t in sorted(needed):
-            found = found | F.contains(low, F.lit(t))
-        return found
+    def reach(unit: Column) -> Column:
+        """The most that a cosine can be, squared: the part of the template's vector whose terms the unit holds."""
+        some = F.array(*[F.lit(t) for t in sorted(needed)])
+        parts = lambda held: [sum((F.when(F.array_contains(held, t), F.lit(w * w)).otherwise(F.lit(0.0)) for t, w in v.items()), F.lit(0.0)) for v in vectors]
+        words = F.array_intersect(F.split(F.lower(unit), _BREAK), F.array(*[F.lit(t) for t in sorted(known)]))
+        return _let(words, lambda held: F.when(F.arrays_overlap(held, some), F.greatest(*parts(held))).otherwise(0.0))
 
     whole = F.when(F.col("name").rlike(LICENCE_FILE), F.array("text")).otherwise(F.array().cast("array<string>"))
-    units = files.filter(may(F.col("text"))).select("path", F.explode(F.array_distinct(F.concat(F.split("text", r"\r\n|[\n\r]"), whole))).alias("unit"))
-    # A cosine is at most the length of the part of the template's vector whose terms the unit holds.
-    held = F.array_intersect(F.split(F.lower("unit"), _BREAK), F.array(*[F.lit(t) for t in sorted(needed)]))
-    units = units.withColumn("_held", held).filter(F.size("_held") > 0)
-    held = F.array_intersect(F.split(F.lower("unit"), _BREAK), F.array(*[F.lit(t) for t in sorted(known)]))
-    parts = [sum((F.when(F.array_contains("_held", t), F.lit(w * w)).otherwise(F.lit(0.0)) for t, w in v.items()), F.lit(0.0)) for v in vectors]
-    units = units.withColumn("_held", held).filter(F.greatest(*parts) >= threshold**2 - 1e-9)
+    near = threshold**2 - 1e-9
+    units = files.filter(reach(F.col("text")) >= near).select("path", F.explode(F.array_distinct(F.concat(F.split("text", r"\r\n|[\n\r]"), whole))).alias("unit"))
+    units = units.filter(reach(F.col("unit")) >= near)
     units = units.select("path", F.xxhash64("unit").alias("u"), F.explode(F.split(F.lower("unit"), _BREAK)).alias("term")).filter("term <> ''")
     units = units.groupBy("path", "u", "term").agg(F.count("*").alias("tf")).join(F.broadcast(table), "term", "left")
     w = F.col("tf") * F.coalesce("idf", F.lit(unknown))
     sums = [F.sum(w * F.coalesce(F.get("w", F.lit(k)), F.lit(0.0))).alias(f"d{k}") for k in range(len(TEMPLATES))]
-    near = units.groupBy("path", "u").agg(F.sqrt(F.sum(w * w)).alias("norm"), *sums)
+    compared = units.groupBy("path", "u").agg(F.sqrt(F.sum(w * w)).alias("norm"), *sums)
     scores = F.array(*[F.struct(F.round(F.col(f"d{k}") / F.col("norm"), 6).alias("score"), F.lit(-k).alias("k")) for k in range(len(TEMPLATES))])
-    best = near.select("path", F.array_max(scores).alias("b")).groupBy("path").agg(F.max("b").alias("b")).filter(F.col("b.score") >= threshold)
+    best = compared.select("path", F.array_max(scores).alias("b")).groupBy("path").agg(F.max("b").alias("b")).filter(F.col("b.score") >= threshold)
     names = F.array(*[F.lit(name) for name, _ in TEMPLATES])
     return best.select("path", F.get(names, -F.col("b.k")).alias("license"), F.col("b.score").alias("score"))
 
