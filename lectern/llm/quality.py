@@ -96,7 +96,8 @@ def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             row, bucket = np.divmod(key, BUCKETS)
             cut = np.searchsorted(row, np.arange(1, part.stop - part.start))
             value = (count * SCALE / total[row]).astype(np.float32)
-            yield pd.DataFrame({"y": batch["y"][part].to_numpy(), "i": np.split(bucket.astype(np.int32), cut), "x": np.split(value, cut)})
+            packed = lambda a: [x.tobytes() for x in np.split(a, cut)]
+            yield pd.DataFrame({"y": batch["y"][part].to_numpy(), "i": packed(bucket.astype(np.int32)), "x": packed(value)})
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
@@ -110,12 +111,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").filter(fold(F.col("id"), 4) != 2)
     known = bounded_sample(known, "y", "id", sample).dropDuplicates(["id", "y"]).drop("k")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(narrow_side(known, 2 * sample), "id")
-    rows = texts.select("text", "y").mapInPandas(_vectors, "y int, i array<int>, x array<float>").collect()
+    rows = texts.select("text", "y").mapInPandas(_vectors, "y int, i binary, x binary").collect()
     if not rows:
         return np.zeros(BUCKETS, np.float32), 0.0
-    data = [(np.asarray(r.i, np.int64), np.asarray(r.x, float), r.y) for r in rows]
-    data.sort(key=lambda r: (r[2], len(r[0]), r[0].tobytes()))  # tasks come back in any order
-    return train(data)
+    rows.sort(key=lambda r: (r.y, len(r.i), bytes(r.i)))  # tasks come back in any order
+    return train([(np.frombuffer(r.i, np.int32), np.frombuffer(r.x, np.float32), r.y) for r in rows])
 
 
 def quality_score(spark, model: tuple[np.ndarray, float], text: Column) -> Column:
