@@ -67,7 +67,7 @@ class Pattern:
 class Matcher:
     """Finds items within their error budget in normalised texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float = RATE):
         self.items = [(i, t, edits_allowed(t, rate)) for i, t in items if t]
         self.found = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = {}
@@ -81,7 +81,7 @@ class Matcher:
         self.patterns: dict[int, Pattern] = {}
         self.reversed: dict[int, Pattern] = {}
 
-    def matches(self, text: str) -> list[tuple[int, int, int, str]]:
+    def matches(self, text: str) -> list[tuple[int | None, int, int, str]]:
         """(item id, edits, start, passage) of the best place of each item, places in the normalised text.
 
         A hit of a piece puts the item's start within its budget of one place;
@@ -110,7 +110,7 @@ class Matcher:
                         break
             if best:
                 out.append(best)
-        return sorted(out, key=lambda x: x[0])
+        return sorted(out, key=lambda x: (x[0] is not None, x[0] or 0))
 
 
 def _runs(starts: list[int], gap: int) -> Iterator[tuple[int, int]]:
@@ -123,10 +123,10 @@ def _runs(starts: list[int], gap: int) -> Iterator[tuple[int, int]]:
     yield a, b
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int | None, str]]]:
     """The benchmark's items, normalised, in lists of at most `limit` characters or one item."""
     block, size = [], 0
-    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).filter("id IS NOT NULL AND t IS NOT NULL").distinct().orderBy("id", "t")
+    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).filter("t IS NOT NULL").distinct().orderBy("id", "t")
     for r in rows.toLocalIterator():
         item = normal(r["t"])
         if block and size + len(item) > limit:
@@ -138,7 +138,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Ite
         yield block
 
 
-def found_items(spark, items: list[tuple[int, str]], text: Column, rate: float = RATE) -> Column:
+def found_items(spark, items: list[tuple[int | None, str]], text: Column, rate: float = RATE) -> Column:
     """Array of (item_id, edits, start, passage) of the items in each text; null texts have none."""
     shared = spark.sparkContext.broadcast(items)  # at most BLOCK characters
 
@@ -158,7 +158,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A document holds an item if some substring is within rate x length edits
     of it; its best (first of equals) place is given.  Items without words
     match nothing; short items, whose budget is zero, match as they stand.
-    Items repeated under other ids and documents repeated come back each.
+    Items repeated under other ids and documents repeated come back each; an
+    item without an id is searched too and comes back with a null item_id.
     """
     spark, parts = docs.sparkSession, None
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
@@ -169,7 +170,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE, block: int = BLOCK) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns."""
+    """The rows of docs that hold no item, one without an id included, with all their columns."""
     for items in _blocks(benchmark, item_col, item_text, block):
         docs = docs.filter(F.size(found_items(docs.sparkSession, items, docs[text_col], rate)) == 0)
     return docs
