@@ -140,6 +140,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that score at least the threshold, with all their columns."""
+    """The rows of docs that score at least the threshold, with all their columns.
+
+    Without a labelled row to learn from nothing tells rows apart, and all stay.
+    """
     model = fit(docs, labels, id_col, text_col, sample=sample)
+    if not (model[0].any() or model[1]):
+        return docs
     return docs.filter(quality_score(docs.sparkSession, model, docs[text_col]) >= threshold)
