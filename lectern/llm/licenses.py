@@ -15,7 +15,41 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import materialise
 
-#: Notices by which common licences are declared.
+_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+    "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+    "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD2 = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, "
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+)
+_MIT_REST = (
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+_ISC_REST = (
+    "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE "
+    "FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+    "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+
+
+def _fsf(kind: str, version: str, what: str = "This program") -> str:
+    return f"{what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+
+
+#: Notices by which common licences are declared, and the whole text of short licences.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
@@ -32,7 +66,38 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC0-1.0", "Released under CC0 1.0 Universal"),
     ("Proprietary", "All rights reserved"),
+    ("MIT", "MIT License"),
+    ("MIT", _MIT),
+    ("MIT", _MIT + _MIT_REST),
+    ("ISC", "ISC License"),
+    ("ISC", _ISC),
+    ("ISC", _ISC + _ISC_REST),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-2-Clause", _BSD2 + _DISCLAIMER),
+    ("BSD-3-Clause", _BSD2 + _BSD3 + _DISCLAIMER),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("GPL-3.0", _fsf("General Public License", "3")),
+    ("GPL-2.0", _fsf("General Public License", "2")),
+    ("LGPL-3.0", _fsf("Lesser General Public License", "3", "This library")),
+    ("LGPL-2.1", _fsf("Lesser General Public License", "2.1", "This library")),
+    ("AGPL-3.0", _fsf("Affero General Public License", "3")),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "Eclipse Public License v 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    # titles without a version come last: of equal scores the first counts
+    ("GPL", "GNU GENERAL PUBLIC LICENSE"),
+    ("LGPL", "GNU LESSER GENERAL PUBLIC LICENSE"),
+    ("AGPL", "GNU AFFERO GENERAL PUBLIC LICENSE"),
 ]
+#: Most consecutive lines with words that are compared as one unit.
+BLOCK_LINES = 12
 #: Names of files that declare the licence of their directory.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)(\.[^/]*)?$"
 THRESHOLD = 0.75
@@ -77,23 +142,33 @@ def weights(total: int, counts: dict[str, int], threshold: float = THRESHOLD) ->
 def declared(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """files (path, name, text) -> path, license, score: the best template of each path whose cosine reaches the threshold.
 
-    Every line is compared, and the whole text of a licence file too.  Terms
+    Every line, sentence of a line and run of up to BLOCK_LINES lines with
+    words is compared, and the whole text of a licence file too.  Terms
     are weighted by how few of all texts hold them.
     """
     known, unknown, vectors, needed = weights(*document_counts(files, sorted({t for _, text in TEMPLATES for t in terms(text)})), threshold)
     spark = files.sparkSession
     table = spark.createDataFrame([(t, w, [v.get(t, 0.0) for v in vectors]) for t, w in known.items()], "term string, idf double, w array<double>")
 
+    squares = F.create_map(*[F.lit(x) if isinstance(x, str) else x for t in sorted(known) for x in (t, F.array(*[F.lit(v.get(t, 0.0) ** 2) for v in vectors]))])
+    some = F.array(*[F.lit(t) for t in sorted(needed)])
+
     def reach(unit: Column) -> Column:
         """The most that a cosine can be, squared: the part of the template's vector whose terms the unit holds."""
-        some = F.array(*[F.lit(t) for t in sorted(needed)])
-        parts = lambda held: [sum((F.when(F.array_contains(held, t), F.lit(w * w)).otherwise(F.lit(0.0)) for t, w in v.items()), F.lit(0.0)) for v in vectors]
         words = F.array_intersect(F.split(F.lower(unit), _BREAK), F.array(*[F.lit(t) for t in sorted(known)]))
-        return _let(words, lambda held: F.when(F.arrays_overlap(held, some), F.greatest(*parts(held))).otherwise(0.0))
+        none = F.array(*[F.lit(0.0)] * len(vectors))
+        most = lambda held: F.array_max(F.aggregate(held, none, lambda total, t: F.zip_with(total, F.element_at(squares, t), lambda x, y: x + y)))
+        return _let(words, lambda held: F.when(F.arrays_overlap(held, some), most(held)).otherwise(0.0))
+
+    def blocks(text: Column) -> Column:
+        """Lines with words, their sentences, and every run of 2 to BLOCK_LINES of them."""
+        lines = F.filter(F.split(text, r"\r\n|[\n\r]"), lambda x: F.lower(x).rlike("[a-z0-9]"))
+        runs = lambda x: F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(2), F.lit(BLOCK_LINES)), lambda n: F.array_join(F.slice(x, i, n), " "))))
+        return _let(lines, lambda x: F.concat(x, F.flatten(F.transform(x, lambda y: F.split(y, r"\.\s+"))), runs(x)))
 
     whole = F.when(F.col("name").rlike(LICENCE_FILE), F.array("text")).otherwise(F.array().cast("array<string>"))
     near = threshold**2 - 1e-9
-    units = files.filter(reach(F.col("text")) >= near).select("path", F.explode(F.array_distinct(F.concat(F.split("text", r"\r\n|[\n\r]"), whole))).alias("unit"))
+    units = files.filter(reach(F.col("text")) >= near).select("path", F.explode(F.array_distinct(F.concat(blocks(F.col("text")), whole))).alias("unit"))
     units = units.filter(reach(F.col("unit")) >= near)
     units = units.select("path", F.xxhash64("unit").alias("u"), F.explode(F.split(F.lower("unit"), _BREAK)).alias("term")).filter("term <> ''")
     units = units.groupBy("path", "u", "term").agg(F.count("*").alias("tf")).join(F.broadcast(table), "term", "left")
