@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,12 +13,16 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: Runs of whitespace that are not already one plain space.
 UNEVEN_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
-LOCAL_SHARED = "/tmp/checkpoints"
+#: Bytes of a batch that goes to a Python worker, however long its texts are (one row at least).
+BATCH_BYTES = 8 << 20
+#: Hash ranges into which a sample is cut, and keys that can each have so large a share of all rows.
+RANGES, HOT = 1024, 1000
+_made: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{LOCAL_SHARED}").rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir, or the warehouse where it is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -24,15 +30,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _made:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes on leaving what materialise() wrote inside, but for paths taken off the list that it gives."""
+    paths: list[str] = []
+    _made.append(paths)
+    try:
+        yield paths
+    finally:
+        _made.remove(paths)
+        for path in paths:
+            _delete(spark, path)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for Python are bounded by bytes too, not by 10,000 rows of any size alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a materialised DataFrame that nothing lazy reads any more."""
-    jvm = spark._jvm
     for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, file.rpartition("/")[0])
 
 
 def collapse(text: Column) -> Column:
@@ -56,19 +85,39 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def bounded_sample(keys: DataFrame, by: str, id_col: str, n: int) -> DataFrame:
-    """At most n rows for each value of `by`, those least by a hash of the id; the column k is their rank.
+    """Distinct (id, by): at most n for each value of `by`, those least by a hash of the id.
 
-    Values are counted first and only a share of each, some 4 n rows, is
-    ranked, so a value that a third of all rows have puts no more than that
-    in one task.
+    Values are counted first and a share of each, some 4 n rows, is drawn;
+    the hash range of these is cut into RANGES parts, and the first parts that
+    hold n rows at most together are the sample.  No value's rows are ranked
+    or gathered: tasks see counts of ranges.
     """
     counts = keys.groupBy(by).agg(F.count("*").alias("_n"))
-    drawn = F.pmod(F.xxhash64(id_col, F.lit("draw")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = keys.join(counts, by).filter(drawn * F.col("_n") <= 4.0 * n + 100).drop("_n")
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(id_col), id_col))
-    return some.withColumn("k", rank).filter(F.col("k") <= n)
+    counts = materialise(counts, "sizes")
+    share = F.pmod(F.xxhash64(id_col, F.lit("draw")), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("_n") / F.lit(4.0 * n + 100)
+    some = keys.select(id_col, by).join(narrow_side(counts, counts.count()), by).withColumn("_r", F.floor(share * RANGES))
+    some = materialise(some.filter(F.col("_r") < RANGES).select(id_col, by, "_r").distinct(), "drawn")
+    running = F.sum("_c").over(Window.partitionBy(by).orderBy("_r"))
+    held = some.groupBy(by, "_r").agg(F.count("*").alias("_c")).withColumn("_s", running).filter(F.col("_s") <= n)
+    cut = materialise(held.groupBy(by).agg(F.max("_r").alias("_cut")), "cuts")
+    return some.join(narrow_side(cut, cut.count()), by).filter("_r <= _cut").select(id_col, by)
 
 
 def narrow_side(df: DataFrame, rows: int, limit: int = 500_000) -> DataFrame:
     """Hint a broadcast only while the counted rows stay under the bound; beyond it the join shuffles."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def dealt_join(rows: DataFrame, named: DataFrame, key: str, sizes: DataFrame, total: int) -> DataFrame:
+    """rows joined with one row a key from named, whatever share of rows a key has.
+
+    sizes (key, n) has the rows of each key.  Keys with a thousandth of all
+    rows or more, a thousand at most, are joined by broadcast; the others meet
+    by a shuffle in which none weighs more than that.  Keys without a row in
+    named go.
+    """
+    hot = materialise(named.join(sizes.filter(F.col("n") * HOT >= total).select(key), key, "left_semi"), "hot")
+    if not hot.count():
+        return rows.join(named, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(named.join(F.broadcast(hot.select(key)), key, "left_anti"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)

@@ -9,18 +9,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import bounded_sample, fold, materialise, narrow_side
+from lectern.llm.common import bounded_batches, bounded_sample, fold, materialise, narrow_side
 from lectern.llm.words import Remembered, coded, slices
 
-#: Labelled texts of each language that a fit may use, in the order of a hash of the id, and distinct words of each.
-SAMPLE, SAMPLE_WORDS = 1500, 60_000
+#: Labelled texts of each language that a fit may use, those least by a hash of the id.
+SAMPLE = 1500
+#: Of these one in CALIBRATE, by another hash of the id, is kept from the counts and sets rejection limits and the heat of scores.
+CALIBRATE = 5
 ORDER = 4
-#: Share of a language's own fitting texts whose cross-entropy its rejection limit exceeds.
-ACCEPT = 0.999
+#: Share of a language's calibrating texts whose cross-entropy its rejection limit exceeds, and the bits that are added to it.
+ACCEPT, MARGIN = 0.999, 0.25
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x100000001B3)
 
@@ -60,13 +62,26 @@ def _rolled(chars: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def train(counts: dict[str, Counter], order: int = ORDER) -> Model:
-    """Words and how often each occurs, by language -> interpolated Kneser-Ney models.
+def gram_counts(words: Counter, order: int = ORDER) -> Counter:
+    """N-grams of counted words: of `order` characters, and the shorter ones with which a word begins.
 
     A word is read with a mark on either side, so contexts do not pass from
-    one word to the next.  The longest n-grams count occurrences, shorter ones
-    the number of distinct characters seen before them; one discount a level
-    is estimated from counts of one and two.
+    one word to the next.
+    """
+    found: Counter = Counter()
+    for word, times in words.items():
+        w = f" {word} "
+        for end in range(1, len(w)):
+            found[w[max(0, end - order + 1) : end + 1]] += times
+    return found
+
+
+def train(counts: dict[str, Counter], order: int = ORDER) -> Model:
+    """N-grams and how often each occurs, by language -> interpolated Kneser-Ney models.
+
+    The longest n-grams, and those at the beginning of a word, count
+    occurrences, shorter ones the number of distinct characters seen before
+    them; one discount a level is estimated from counts of one and two.
     """
     langs = sorted(counts)
     prob: list[dict[str, dict[str, float]]] = [{} for _ in range(order + 1)]
@@ -74,10 +89,8 @@ def train(counts: dict[str, Counter], order: int = ORDER) -> Model:
     floor = np.zeros(len(langs))
     for li, lang in enumerate(langs):
         level: list[dict[str, float]] = [defaultdict(float) for _ in range(order + 1)]
-        for word, times in counts[lang].items():
-            w = f" {word} "
-            for end in range(1, len(w)):
-                level[min(order, end + 1)][w[max(0, end - order + 1) : end + 1]] += times
+        for gram, times in counts[lang].items():
+            level[len(gram)][gram] += times
         for n in range(order, 1, -1):  # continuation counts; n-grams that begin at the mark have counts of their own
             for gram in level[n]:
                 level[n - 1][gram[1:]] += 1
@@ -231,15 +244,18 @@ def predict(model: Model, texts: list[str | None], seen: Remembered | None = Non
     return pd.DataFrame({"lang_pred": lang, "score": np.where(blank, 0.0, share), "bits": np.where(blank, 0.0, low), "rejected": blank | (low > model.limit[best])})
 
 
-def calibrate(model: Model, texts: list[str], langs: list[str]) -> Model:
-    """Limits of rejection from each language's own texts; the heat that makes scores likeliest on them."""
-    bits, chars = entropies(model, texts)
+def calibrate(model: Model, bits: np.ndarray, chars: np.ndarray, langs: list[str]) -> Model:
+    """Limits of rejection from each language's own texts, and the heat that makes scores likeliest, on texts that the counts did not see.
+
+    bits and chars: cross-entropies and characters of the texts, langs: the
+    languages they are in.  A language without such a text rejects nothing.
+    """
     own = np.array([model.langs.index(x) for x in langs], np.int64)
+    seen = chars > 0
     for k in range(len(model.langs)):
-        mine = bits[(own == k) & (chars > 0), k]
+        mine = bits[(own == k) & seen, k]
         if len(mine):
-            model.limit[k] = float(np.quantile(mine, ACCEPT)) + 0.25
-    seen = chars > 0
+            model.limit[k] = float(np.quantile(mine, ACCEPT)) + MARGIN
     if seen.any():
         gap = bits[seen] - bits[seen].min(1)[:, None]
         true = gap[np.arange(len(gap)), own[seen]]
@@ -249,41 +265,59 @@ def calibrate(model: Model, texts: list[str], langs: list[str]) -> Model:
     return model
 
 
-_COUNTED = "lang string, word string, n long, text string"
+def _counted(order: int):
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lang, part in batch.groupby("lang"):
+                found = gram_counts(Counter(x for t in part["text"] for w in (t or "").split() for x in _letters(w)), order)
+                yield pd.DataFrame({"lang": lang, "gram": list(found), "n": list(found.values())})
 
+    return of
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for lang, part in batch.groupby("lang"):
-            words = Counter(x for t in part["text"] for w in (t or "").split() for x in _letters(w))
-            yield pd.DataFrame({"lang": lang, "word": list(words), "n": list(words.values())})
 
+def _measured(shared):
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in slices(batch["text"]):
+                bits, chars = entropies(shared.value, list(batch["text"][part]))
+                yield pd.DataFrame({"lang": batch["lang"][part].to_numpy(), "bits": list(bits), "chars": chars})
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, words: int = SAMPLE_WORDS, order: int = ORDER) -> Model:
-    """Models from at most `sample` whole texts a language and the `words` most frequent words of these.
+    return of
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, order: int = ORDER) -> Model:
+    """Models from at most `sample` whole texts a language.
 
     Rows held out (crc32 of the id modulo 4 is 2) and rows without text,
-    language or id are left out.  Word counts are summed by Spark; the words
-    kept for each language, a bounded table, come to the driver.
+    language or id are left out.  One sampled text in CALIBRATE is not
+    counted; it helps to set limits and heat.  N-grams are counted and
+    summed by Spark; their sums, which the sample bounds, and a few numbers of
+    each calibrating text come to the driver, no texts.
     """
+    spark = docs.sparkSession
+    bounded_batches(spark)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.filter("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").filter(fold(F.col("id"), 4) != 2)
-    chosen = materialise(bounded_sample(known.select("id", "lang"), "lang", "id", sample).dropDuplicates(["id", "lang"]), "sample")
+    chosen = materialise(bounded_sample(known.select("id", "lang"), "lang", "id", sample), "sample")
     texts = known.join(narrow_side(chosen, chosen.count()), ["id", "lang"])
-    counted = texts.select("lang", "text").mapInPandas(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    texts = materialise(texts.select("lang", "text", (F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(CALIBRATE)) == 0).alias("aside")), "sample-texts")
+    counted = texts.filter("NOT aside").select("lang", "text").mapInPandas(_counted(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, Counter] = defaultdict(Counter)
-    for r in counted.withColumn("k", top).filter(F.col("k") <= words).toLocalIterator():
-        counts[r["lang"]][r["word"]] = r["n"]
+    for r in counted.toLocalIterator():
+        counts[r["lang"]][r["gram"]] = r["n"]
     model = train(counts, order)
-    few = texts.filter(F.col("k") <= 200).select("text", "lang").collect()
-    few = [r for r in few if r["lang"] in counts]
-    return calibrate(model, [r["text"] for r in few], [r["lang"] for r in few])
+    if not model.langs:
+        return model
+    aside = texts.filter(F.col("aside") & F.col("lang").isin(model.langs)).select("lang", "text")
+    rows = aside.mapInPandas(_measured(spark.sparkContext.broadcast(model)), "lang string, bits array<double>, chars long").collect()
+    if not rows:
+        return model
+    return calibrate(model, np.array([r["bits"] for r in rows]), np.array([r["chars"] for r in rows]), [r["lang"] for r in rows])
 
 
 def language(spark, model: Model, text: Column) -> Column:
     """Struct of lang_pred, score, bits and rejected."""
-    shared = spark.sparkContext.broadcast(model)  # bounded by words a language, whatever the corpus
+    shared = spark.sparkContext.broadcast(model)  # bounded by the sample, whatever the corpus
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     @F.pandas_udf(kind)
@@ -301,7 +335,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     lang_pred is a learned language, `und` where the text is null or has no
     letter (or nothing could be learned); rejected marks texts whose
     cross-entropy passes the limit calibrated for that language.  Ties go to
-    the language that sorts first; repeated rows each come back.
+    the language that sorts first; repeated rows and rows without an id each
+    come back (these are not held out), an empty table gives no rows, texts of
+    any length are read whole, and other columns play no part.
     """
     model = fit(docs, id_col, text_col, lang_col, sample)
     rows = docs.select(F.col(id_col).alias("doc_id"), (fold(F.col(id_col), 4) == 2).alias("held_out"), language(docs.sparkSession, model, F.col(text_col)).alias("p"))

@@ -10,15 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded_sample, fold, narrow_side
+from lectern.llm.common import bounded_batches, bounded_sample, fold, materialise, narrow_side
 from lectern.llm.words import Remembered, coded, hashes, mix, slices
 
-#: Labelled rows of each class that a fit may use, taken in the order of a hash of the id.
+#: Labelled rows of each class that a fit may use, those least by a hash of the id.
 SAMPLE = 3000
 BUCKETS = 1 << 18
 EPOCHS = 4
-#: A row's values sum to this, so a text's length does not count.
-SCALE = 16.0
+#: A row's values sum to this, so a text's length does not count; the value of the bias.
+SCALE, BIAS = 16.0, 0.2
 _RUNS = re.compile(r"(.)\1+", re.S)
 
 
@@ -64,22 +64,24 @@ def grams(texts: list[str | None], buckets: int = BUCKETS, seen: Remembered | No
     return np.concatenate([row, row, row[a], row[a]]), bucket.astype(np.int64), 4 * sizes - 2 * (sizes > 0)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS, epochs: int = EPOCHS, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3) -> tuple[np.ndarray, float]:
-    """FTRL-proximal over (bucket, value, label) rows, classes weighted alike; weights and bias."""
-    z, n, w = np.zeros(buckets + 1), np.zeros(buckets + 1), np.zeros(buckets + 1)
-    good = max(1, sum(y for *_, y in rows))
-    weight = {1: len(rows) / (2 * good), 0: len(rows) / (2 * max(1, len(rows) - good))}
-    for epoch in range(epochs):
-        for k in np.random.default_rng(epoch).permutation(len(rows)):
-            i, x, y = rows[k]
-            i, x = np.append(i, buckets), np.append(x, 0.2)
-            w[i] = np.where(np.abs(z[i]) <= l1, 0, (np.sign(z[i]) * l1 - z[i]) / ((beta + np.sqrt(n[i])) / alpha + l2))
-            p = 1 / (1 + np.exp(-np.clip(w[i] @ x, -35, 35)))
-            g = (p - y) * x * weight[y]
-            z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w[i]
-            n[i] += g * g
-    w = np.where(np.abs(z) <= l1, 0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
-    return w[:buckets].astype(np.float32), float(w[buckets] * 0.2)
+class Ftrl:
+    """Follow-the-regularised-leader logistic regression: two sums a bucket, the last one for the bias."""
+
+    def __init__(self, z: np.ndarray, n: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3):
+        self.z, self.n, self.alpha, self.beta, self.l1, self.l2 = z, n, alpha, beta, l1, l2
+
+    def weights(self, i: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Weights as the leader has them: zero where the gradients' sum stays within l1."""
+        z = self.z[i]
+        return np.where(np.abs(z) <= self.l1, 0, (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(self.n[i])) / self.alpha + self.l2))
+
+    def learn(self, i: np.ndarray, x: np.ndarray, y: int, importance: float) -> None:
+        """One row: distinct buckets and their values, its label, and what its class weighs."""
+        i, x = np.append(i, len(self.z) - 1), np.append(x, BIAS)
+        w = self.weights(i)
+        g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x * importance
+        self.z[i] += g - (np.sqrt(self.n[i] + g * g) - np.sqrt(self.n[i])) / self.alpha * w
+        self.n[i] += g * g
 
 
 def score(texts: list[str | None], weights: np.ndarray, bias: float, seen: Remembered | None = None) -> np.ndarray:
@@ -105,17 +107,40 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Rows held out (crc32 of the id modulo 4 is 2), ids or labels that are null
     and labels other than 0 and 1 are left out.  Executors turn the sampled
-    texts to sparse vectors; only these come to the driver.  Without labelled
-    rows the weights are zero and every score is one half.
+    texts to sparse vectors and write them; learning reads them in a stream,
+    in another order in each epoch, and only the model's sums, of one size
+    whatever the texts, come to the driver.  An id with both labels, or with
+    several texts, counts with each.  Without labelled rows the weights are
+    zero and every score is one half.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").filter(fold(F.col("id"), 4) != 2)
-    known = bounded_sample(known, "y", "id", sample).dropDuplicates(["id", "y"]).drop("k")
+    known = materialise(bounded_sample(known, "y", "id", sample), "labelled")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(narrow_side(known, 2 * sample), "id")
-    rows = texts.select("text", "y").mapInPandas(_vectors, "y int, i binary, x binary").collect()
-    if not rows:
+    rows = materialise(texts.select("text", "y").mapInPandas(_vectors, "y int, i binary, x binary"), "vectors")
+    size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}  # one row a class
+    z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    if not size:
         return np.zeros(BUCKETS, np.float32), 0.0
-    rows.sort(key=lambda r: (r.y, len(r.i), bytes(r.i)))  # tasks come back in any order
-    return train([(np.frombuffer(r.i, np.int32), np.frombuffer(r.x, np.float32), r.y) for r in rows])
+    importance = {y: sum(size.values()) / (2 * c) for y, c in size.items()}
+    for epoch in range(EPOCHS):
+        shuffled = rows.coalesce(1).sortWithinPartitions(F.xxhash64("i", "x", F.lit(epoch)), "y")
+        after = shuffled.mapInPandas(_epoch(docs.sparkSession.sparkContext.broadcast((z, n)), importance), "z binary, n binary").first()
+        z, n = np.frombuffer(after["z"]), np.frombuffer(after["n"])
+    w = Ftrl(z, n).weights()
+    return w[:BUCKETS].astype(np.float32), float(w[BUCKETS] * BIAS)
+
+
+def _epoch(shared, importance: dict[int, float]):
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        z, n = shared.value
+        model = Ftrl(z.copy(), n.copy())
+        for batch in batches:
+            for y, i, x in zip(batch["y"], batch["i"], batch["x"], strict=True):
+                model.learn(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32), y, importance[y])
+        yield pd.DataFrame({"z": [model.z.tobytes()], "n": [model.n.tobytes()]})
+
+    return of
 
 
 def quality_score(spark, model: tuple[np.ndarray, float], text: Column) -> Column:
@@ -133,16 +158,25 @@ def quality_score(spark, model: tuple[np.ndarray, float], text: Column) -> Colum
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; repeated rows each come back."""
+    """doc_id, held_out, score, predicted for every row.
+
+    predicted is 1 from the threshold on.  Null and empty texts score the
+    bias alone; texts of any length are read whole.  Rows without an id (not
+    held out) and repeated rows each come back, an empty table gives no rows,
+    and other columns play no part; without labels all score one half.
+    """
     model = fit(docs, labels, id_col, text_col, label_col, sample)
     rows = docs.select(F.col(id_col).alias("doc_id"), (fold(F.col(id_col), 4) == 2).alias("held_out"), quality_score(docs.sparkSession, model, F.col(text_col)).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that score at least the threshold, with all their columns.
+    """The rows of docs that score at least the threshold, with all their columns, whatever their names.
 
-    Without a labelled row to learn from nothing tells rows apart, and all stay.
+    Scores are those of quality_scores: rows with a null or empty text stay or
+    go by the bias, repeated rows stay or go together, an empty table stays
+    empty.  Without a labelled row to learn from nothing tells rows apart, and
+    all stay.
     """
     model = fit(docs, labels, id_col, text_col, sample=sample)
     if not (model[0].any() or model[1]):

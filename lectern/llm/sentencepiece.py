@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import bounded_batches
 from lectern.llm.words import coded, slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -352,8 +353,12 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
     Whole texts are encoded; null and empty texts have no ids.  A character
     that no piece covers becomes its UTF-8 bytes.  Texts that hold the
-    space mark itself come back with spaces and have round_trip false.
+    space mark itself come back with spaces and have round_trip false.  Of
+    segmentations with equal scores the one whose last piece begins earlier
+    wins.  Repeated rows and rows without an id each come back, an empty
+    table gives no rows, and other columns play no part.
     """
+    bounded_batches(docs.sparkSession)
     v = read_vocabulary(path)
     kind = dict(docs.dtypes)[id_col]
     shared = docs.sparkSession.sparkContext.broadcast(v)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise, narrow_side
+from lectern.llm.common import bounded_batches, dealt_join, materialise, narrow_side
 from lectern.llm.components import components
 
 BITS = 64
@@ -74,14 +74,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     a group of copies of any size costs one row in the search; repeated rows
     each come back.  An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     rows = materialise(docs.select(F.col(id_col).alias("doc_id"), _fingerprints(width)(F.col(text_col)).alias("fp")), "prints")
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-prints")
     joined = components(ball_links(prints.select("fp")))
     of_print = prints.join(joined, prints["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     of_print = materialise(of_print, "print-components")
     least = of_print.groupBy("component").agg(F.min("least").alias("component_id"))
     named = of_print.join(least, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return dealt_join(rows, named, "fp", prints.select("fp", "n"), rows.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
