@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import discard, materialise
 
-ROUNDS = 6
+ROUNDS = 16
 #: Blocks in which rows of a shard are numbered; a row's number is its block's offset plus its place in it.
 BLOCKS = 4096
 UNIT = float(1 << 30)
-#: Share by which a shard may pass its capacity between rounds, and the largest group whose rows are numbered side by side.
+#: Share by which a shard may pass its capacity between rounds, and how many rows of a group are numbered side by side:
+#: evening the counts moves such runs, so larger ones cut fewer links, and smaller ones keep the rows of a task fewer.
 SLACK, TOGETHER = 0.05, 1000
 
 
@@ -32,36 +33,42 @@ def _offsets(sizes: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 def propagate(units: DataFrame, capacity: float, rounds: int = ROUNDS) -> DataFrame:
     """units (key, home, n: linked rows of one group that began in shard home, g: rows of the group) with the shard each ends in.
 
-    In each round every group votes for the shard that holds most of its rows
-    and its units elsewhere ask to move there.  A shard takes as many rows as
-    its quota (capacity and a little, less the linked rows it holds, and as
-    many as ask to leave it); with more asking, a share chosen by hash is let in.  Groups ask as one and so are let in as
-    one, but for those larger than a shard, whose units ask by themselves.
-    Only the table of sums by shard, of one row a shard, is broadcast.
+    In each round every group votes for the shard that has room and holds most
+    of its rows, and its units that are in shards with fewer of them ask to
+    move there; so a group that fills one shard gathers in a second, and so on.
+    A shard takes as many rows as its quota (capacity and a little, less the
+    linked rows it holds, and as many as ask to leave it); with more asking, a
+    share chosen by hash is let in, and who is refused asks again.  Groups ask
+    as one and so are let in as one, but for those larger than a shard, whose
+    units ask by themselves.  It ends when no unit asks, or after `rounds`.
+    Only tables of sums by shard, of one row a shard, are broadcast.
     """
+    spark = units.sparkSession
+    limit = capacity * (1 + SLACK)
     state = units.withColumn("shard", F.col("home"))
     for turn in range(rounds):
-        # the state before a round serves two reads, so each round's is written once
-        at = state.groupBy("key", "shard").agg(F.sum("n").alias("m"))
-        vote = F.max_by("shard", F.struct("m", F.xxhash64("key", "shard"))).alias("to")
-        asked = state.join(at.groupBy("key").agg(vote), "key")
-        asks = F.col("to") != F.col("shard")
-        load = state.groupBy("shard").agg(F.sum("n").alias("load"))
-        moves = asked.filter(asks).groupBy(F.col("shard").alias("from"), "to").agg(F.sum("n").alias("m"))  # shards x shards rows
-        wanted = moves.groupBy(F.col("to").alias("shard")).agg(F.sum("m").alias("wanted"))
-        leaving = moves.groupBy(F.col("from").alias("shard")).agg(F.sum("m").alias("leaving"))
-        room = F.lit(capacity * (1 + SLACK)) - F.coalesce("load", F.lit(0)) + F.coalesce("leaving", F.lit(0))
-        quota = wanted.join(load, "shard", "left").join(leaving, "shard", "left").select(F.col("shard").alias("to"), (room / F.col("wanted")).alias("open"))
-        big = F.col("g") > F.lit(float(capacity))
-        draw = F.when(big, _chance(F.col("key"), F.col("home"), F.lit(turn))).otherwise(_chance(F.col("key"), F.lit(turn)))
+        # the state before a round serves several reads, so each round's is written once
+        load = {r["shard"]: r["load"] for r in state.groupBy("shard").agg(F.sum("n").alias("load")).collect()}  # one row a shard
+        full = [k for k, n in load.items() if n >= limit]
+        at = state.groupBy("key", "shard").agg(F.sum("n").alias("m")).withColumn("rank", F.struct("m", F.xxhash64("key", "shard")))
+        best = at.filter(~F.col("shard").isin(full)).groupBy("key").agg(F.max(F.struct("rank", "shard")).alias("best")) if full else at.groupBy("key").agg(F.max(F.struct("rank", "shard")).alias("best"))
+        at = at.join(best, "key").select("key", "shard", F.col("best.shard").alias("to"), (F.col("best.rank") > F.col("rank")).alias("asks")).filter("asks")
+        asked = state.join(at, ["key", "shard"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        moves = {(r["shard"], r["to"]): r["m"] for r in asked.filter("asks").groupBy("shard", "to").agg(F.sum("n").alias("m")).collect()}  # shards x shards rows
+        if not moves:
+            break
+        quota = []
+        for to in {t for _, t in moves}:
+            leaving, wanted = sum(m for (a, _), m in moves.items() if a == to), sum(m for (_, t), m in moves.items() if t == to)
+            quota.append((to, (limit - load.get(to, 0) + leaving) / wanted))
+        quota = spark.createDataFrame(quota, "to int, open double")
+        draw = F.when(F.col("g") > F.lit(float(capacity)), _chance(F.col("key"), F.col("home"), F.lit(turn))).otherwise(_chance(F.col("key"), F.lit(turn)))
         moved = asked.join(F.broadcast(quota), "to", "left").select(
-            "key", "home", "n", "g", F.when(asks & (draw < F.col("open")), F.col("to")).otherwise(F.col("shard")).alias("shard"), asks.alias("asks"))
+            "key", "home", "n", "g", F.when(F.col("asks") & (draw < F.col("open")), F.col("to")).otherwise(F.col("shard")).alias("shard"))
         after = materialise(moved, "shards")
         if turn:
-            discard(state.sparkSession, state)
-        state = after.select("key", "home", "n", "g", "shard")
-        if not after.filter("asks").limit(1).count():
-            break
+            discard(spark, state)
+        state = after
     return state
 
 
@@ -98,9 +105,9 @@ def balanced_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     units = materialise(units.join(linked, "key"), "units")
     placed = propagate(units, total / shards, rounds)
 
-    # a small group is numbered in one go, so that the step that evens counts cuts few
-    together = F.coalesce(F.col("g") <= TOGETHER, F.lit(False))
-    block = F.pmod(F.xxhash64(F.lit("block"), "key", F.when(~together, F.col("doc_id"))), F.lit(BLOCKS)).cast("int")
+    # a group is numbered in runs of about TOGETHER rows, so that the step that evens counts cuts few
+    run = F.pmod(F.xxhash64("doc_id"), F.ceil(F.coalesce("g", F.lit(1)) / TOGETHER).cast("long"))
+    block = F.pmod(F.xxhash64(F.lit("block"), "key", run), F.lit(BLOCKS)).cast("int")
     now = (
         rows.join(placed.select("key", "home", "g", F.col("shard").alias("went")), ["key", "home"], "left")
         .select("doc_id", "size", "text_crc32", "key", F.coalesce("went", "home").alias("shard"), F.col("went").isNull().alias("alone"), block.alias("block"))
