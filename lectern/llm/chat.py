@@ -47,6 +47,13 @@ def _common(a: Column, b: Column) -> Column:
     return F.when(differs > 0, differs - 1).otherwise(shorter).cast("int")
 
 
+def _filled(turns: Column) -> Column:
+    """Turns as (role, text) without nulls; a missing side is an empty array, a missing turn has an empty role and text."""
+    blank = F.lit("")
+    filled = F.transform(turns, lambda t: F.struct(F.coalesce(t["role"], blank).alias("role"), F.coalesce(t["text"], blank).alias("text")))
+    return F.coalesce(filled, F.array().cast("array<struct<role:string,text:string>>"))
+
+
 def preference_pairs(pairs: DataFrame, pair: str = "pair_id", chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """pair_id, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask, status.
 
@@ -55,11 +62,13 @@ def preference_pairs(pairs: DataFrame, pair: str = "pair_id", chosen: str = "cho
     on; each side's further turns are its completion, with a mask of signed
     lengths.  A missing side is an empty array: the prompt is then empty and
     status is `unpaired`.  Two equal conversations have empty completions and
-    status `same`; other pairs are `ok`.  Marks of the template inside texts
+    status `same`; other pairs are `ok`.  Null roles, texts and turns count as
+    empty ones: they are rendered, and equal only to empty ones.  Repeated
+    pairs each come back, an empty table gives an empty result, and other
+    columns play no part.  Marks of the template inside texts
     are broken, so no text can open or close a turn.
     """
-    empty = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
-    a, b = F.coalesce(F.col("_c"), empty), F.coalesce(F.col("_r"), empty)
+    a, b = _filled(F.col("_c")), _filled(F.col("_r"))
     rows = pairs.select(F.col(pair).alias("pair_id"), F.col(chosen).alias("_c"), F.col(rejected).alias("_r"))
     rows = rows.select("pair_id", a.alias("_c"), b.alias("_r"), (F.col("_c").isNull() | F.col("_r").isNull()).alias("_one"))
     rows = rows.withColumn("n_common", _common(F.col("_c"), F.col("_r")))

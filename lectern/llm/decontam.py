@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm.common import bounded_batches, materialise
+
 #: Edits allowed in each character of an item: an item of 200 characters may differ by 10.
 RATE = 0.05
 #: Characters of normalised items searched at once; a larger benchmark is searched in blocks.
@@ -92,6 +95,8 @@ class Matcher:
         places: dict[int, set[int]] = {}
         for end, (size, at) in self.found.iter(text):
             for k, offset in at:
+                if not self.items[k][2] and not _whole(text, end + 1 - size, end + 1):
+                    continue  # without an error budget an item is one piece, and it must not begin or end inside a word
                 places.setdefault(k, set()).add(end + 1 - size - offset)
         out = []
         for k, starts in places.items():
@@ -113,6 +118,21 @@ class Matcher:
         return sorted(out, key=lambda x: (x[0] is not None, x[0] or 0))
 
 
+def _whole(text: str, a: int, b: int) -> bool:
+    return (a == 0 or text[a - 1] == " ") and (b == len(text) or text[b] == " ")
+
+
+_MATCHERS: dict[str, Matcher] = {}
+
+
+def worker_matcher(items: list[tuple[int | None, str]], rate: float, key: str) -> Matcher:
+    """This Python worker's automaton of one broadcast list of items: it is built once, not in each task."""
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(items, rate)
+    return _MATCHERS[key]
+
+
 def _runs(starts: list[int], gap: int) -> Iterator[tuple[int, int]]:
     a = b = starts[0]
     for s in starts[1:]:
@@ -140,11 +160,12 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Ite
 
 def found_items(spark, items: list[tuple[int | None, str]], text: Column, rate: float = RATE) -> Column:
     """Array of (item_id, edits, start, passage) of the items in each text; null texts have none."""
-    shared = spark.sparkContext.broadcast(items)  # at most BLOCK characters
+    shared, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex  # at most BLOCK characters
+    bounded_batches(spark)
 
     @F.pandas_udf(MATCH)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(shared.value, rate)
+        matcher = worker_matcher(shared.value, rate, key)
         for texts in batches:
             yield pd.Series([[dict(zip(("item_id", "edits", "start", "passage"), m, strict=True)) for m in matcher.matches(normal(t))] for t in texts], dtype=object)
 
@@ -157,7 +178,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Texts and items are lower-cased and reduced to words with single spaces.
     A document holds an item if some substring is within rate x length edits
     of it; its best (first of equals) place is given.  Items without words
-    match nothing; short items, whose budget is zero, match as they stand.
+    match nothing; items under 1 / rate characters have no budget and match
+    as whole words only.  Null and empty texts hold nothing, texts of any
+    length are searched whole, an empty table or benchmark gives no rows, and
+    other columns play no part.
     Items repeated under other ids and documents repeated come back each; an
     item without an id is searched too and comes back with a null item_id.
     """
@@ -170,7 +194,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE, block: int = BLOCK) -> DataFrame:
-    """The rows of docs that hold no item, one without an id included, with all their columns."""
-    for items in _blocks(benchmark, item_col, item_text, block):
+    """The rows of docs that hold no item, one without an id included, with all their columns.
+
+    Items are held as in contaminated(); rows without a text hold none and
+    stay, repeated rows stay or go together, and columns may have any names.
+    Of a benchmark of several blocks one is searched at a time: what is left
+    is written before the next, so an executor holds one automaton.
+    """
+    for k, items in enumerate(_blocks(benchmark, item_col, item_text, block)):
+        docs = materialise(docs, "decontaminated") if k else docs
         docs = docs.filter(F.size(found_items(docs.sparkSession, items, docs[text_col], rate)) == 0)
     return docs
