@@ -109,6 +109,13 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _tally(ordered: Column) -> Column:
+    """(term, tf) of each distinct term of a sorted array: a term's run ends where the next begins."""
+    places = F.transform(ordered, lambda t, i: F.when((i == 0) | (t != F.get(ordered, i - 1)), i))
+    starts = F.filter(places, lambda i: i.isNotNull())
+    return _let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(ordered, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(ordered)) - i).alias("tf"))))
+
+
 def terms(text: str) -> list[str]:
     return [t for t in re.split(_BREAK, text.lower()) if t]
 
@@ -144,7 +151,9 @@ def declared(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Every line, sentence of a line and run of up to BLOCK_LINES lines with
     words is compared, and the whole text of a licence file too.  Terms
-    are weighted by how few of all texts hold them.
+    are weighted by how few of all texts hold them.  A unit is counted within
+    its row, so what is shuffled is one row of sums for each unit that can
+    reach the threshold at all.
     """
     known, unknown, vectors, needed = weights(*document_counts(files, sorted({t for _, text in TEMPLATES for t in terms(text)})), threshold)
     spark = files.sparkSession
@@ -170,8 +179,9 @@ def declared(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     near = threshold**2 - 1e-9
     units = files.filter(reach(F.col("text")) >= near).select("path", F.explode(F.array_distinct(F.concat(blocks(F.col("text")), whole))).alias("unit"))
     units = units.filter(reach(F.col("unit")) >= near)
-    units = units.select("path", F.xxhash64("unit").alias("u"), F.explode(F.split(F.lower("unit"), _BREAK)).alias("term")).filter("term <> ''")
-    units = units.groupBy("path", "u", "term").agg(F.count("*").alias("tf")).join(F.broadcast(table), "term", "left")
+    tally = _let(F.array_sort(F.filter(F.split(F.lower("unit"), _BREAK), lambda t: t != "")), _tally)
+    units = units.select("path", F.xxhash64("unit").alias("u"), F.explode(tally).alias("x")).select("path", "u", "x.term", "x.tf")
+    units = units.join(F.broadcast(table), "term", "left")
     w = F.col("tf") * F.coalesce("idf", F.lit(unknown))
     sums = [F.sum(w * F.coalesce(F.get("w", F.lit(k)), F.lit(0.0))).alias(f"d{k}") for k in range(len(TEMPLATES))]
     compared = units.groupBy("path", "u").agg(F.sqrt(F.sum(w * w)).alias("norm"), *sums)
