@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.binding import let
 
 SEQUENCE_FIELDS = ["CDRH3_Sequence", "vh_sequence_aa", "vl_sequence_aa"]
 RESIDUES = "ACDEFGHIKLMNPQRSTVWYX"
@@ -56,18 +57,23 @@ def residues(value: Column) -> Column:
     return F.regexp_replace(F.upper(value), "[^A-Z]", "")
 
 
-def sequence_label(gt: Column, pred: Column) -> Column:
-    """exact for equal or contained, partial within a tenth of edits, else wrong; null where text is no sequence."""
-    g, p = T.clean(gt), T.clean(pred)
-    no_g, no_p = F.lower(g).isin(T.EMPTY_SEQUENCE), F.lower(p).isin(T.EMPTY_SEQUENCE)
-    a, b = residues(g), residues(p)
-    longest = F.greatest(F.length(a), F.length(b), F.lit(1))
-    compared = F.when((a == b) | F.contains(a, b) | F.contains(b, a), "exact").when(F.levenshtein(a, b) / longest <= 0.10, "partial").otherwise("wrong")
-    return F.when(no_g & no_p, "exact").when(no_g | no_p, "wrong").when(looks_like_residues(g) & looks_like_residues(p), compared)
+def parts(field: Column, value: Column) -> Column:
+    """What the rules compare of a value, each part only for the fields that use it."""
+    reference = F.struct(T.doi(value).alias("doi"), T.year(value).alias("year"), T.first_author(value).alias("author"), T.journal(value).alias("journal"))
+    sequence = F.struct(residues(value).alias("letters"), looks_like_residues(value).alias("real"), T.folded(value).isin(T.EMPTY_SEQUENCE).alias("none"))
+    return F.struct(
+        F.when(field.isin(SEQUENCE_FIELDS), sequence).alias("sequence"), F.when(field == "Experiment", methods(value)).alias("methods"),
+        F.when(field == "Antibody_Type", type_tags(value)).alias("tags"), F.when(field == "Reference_Source", reference).alias("reference"))
 
 
-def method_label(gt: Column, pred: Column) -> Column:
-    a, b = methods(gt), methods(pred)
+def _sequences(a: Column, b: Column) -> Column:
+    x, y = a["letters"], b["letters"]
+    longest = F.greatest(F.length(x), F.length(y), F.lit(1))
+    compared = F.when((x == y) | F.contains(x, y) | F.contains(y, x), "exact").when(F.levenshtein(x, y) / longest <= 0.10, "partial").otherwise("wrong")
+    return F.when(a["none"] & b["none"], "exact").when(a["none"] | b["none"], "wrong").when(a["real"] & b["real"], compared)
+
+
+def _methods(a: Column, b: Column) -> Column:
     missing, extra, shared = F.size(F.array_except(a, b)), F.array_except(b, a), F.size(F.array_intersect(a, b))
     beside, direct = F.size(F.array_intersect(extra, F.array(*map(F.lit, PERIPHERAL)))), F.size(F.array_intersect(extra, F.array(*map(F.lit, DIRECT))))
     return F.when((F.size(a) > 0) & (F.size(b) > 0), (
@@ -76,31 +82,53 @@ def method_label(gt: Column, pred: Column) -> Column:
     ))
 
 
-def type_label(gt: Column, pred: Column) -> Column:
-    """Any shared tag is exact; a plain mAb accepts an IgG, an IgG does not accept a plain mAb."""
-    a, b = type_tags(gt), type_tags(pred)
+def _types(a: Column, b: Column) -> Column:
     only = lambda x, allowed: F.size(F.array_except(x, F.array(*map(F.lit, allowed)))) == 0
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.when(F.arrays_overlap(a, b) | (only(a, ["mab"]) & only(b, ["mab", "igg"])), "exact").otherwise("wrong"))
 
 
-def reference_label(gt: Column, pred: Column) -> Column:
-    """Null unless the DOIs agree or author and year do."""
-    d1, d2, j1, j2 = T.doi(gt), T.doi(pred), T.journal(gt), T.journal(pred)
-    a1, a2, y1, y2 = T.first_author(gt), T.first_author(pred), T.year(gt), T.year(pred)
-    same = (a1 != "") & (a1 == a2) & (y1 != "") & (y1 == y2)
-    near = (j1 != "") & (j2 != "") & (F.contains(j1, j2) | F.contains(j2, j1))
-    return F.when((d1 != "") & (d1 == d2), "exact").when(same, F.when((d1 != "") & (d2 != ""), "partial").when(near | (d1 != "") | (d2 != ""), "exact").otherwise("partial"))
+def _references(a: Column, b: Column) -> Column:
+    two = (a["doi"] != "") & (b["doi"] != "")
+    same = (a["author"] != "") & (a["author"] == b["author"]) & (a["year"] != "") & (a["year"] == b["year"])
+    near = (a["journal"] != "") & (b["journal"] != "") & (F.contains(a["journal"], b["journal"]) | F.contains(b["journal"], a["journal"]))
+    return F.when(two & (a["doi"] == b["doi"]), "exact").when(same, F.when(two, "partial").when(near | (a["doi"] != "") | (b["doi"] != ""), "exact").otherwise("partial"))
 
 
-def rule_label(field: Column, gt: Column, pred: Column) -> Column:
-    """The label by rule, null where only a model could tell."""
+def label_of_parts(field: Column, a: Column, b: Column) -> Column:
+    """The label by rule from two values' parts, null where only a model could tell."""
     return (
-        F.when(field.isin(SEQUENCE_FIELDS), sequence_label(gt, pred))
-        .when(field == "Experiment", method_label(gt, pred))
-        .when(field == "Antibody_Type", type_label(gt, pred))
-        .when(field == "Reference_Source", reference_label(gt, pred))
+        F.when(field.isin(SEQUENCE_FIELDS), _sequences(a["sequence"], b["sequence"]))
+        .when(field == "Experiment", _methods(a["methods"], b["methods"]))
+        .when(field == "Antibody_Type", _types(a["tags"], b["tags"]))
+        .when(field == "Reference_Source", _references(a["reference"], b["reference"]))
     )
 
 
+def rule_label(field: Column, gt: Column, pred: Column) -> Column:
+    """The label by rule, null where only a model could tell; each value's parts are computed once."""
+    both = F.struct(parts(field, T.clean(gt)).alias("a"), parts(field, T.clean(pred)).alias("b"))
+    return let(both, lambda x: label_of_parts(field, x["a"], x["b"]))
+
+
+def sequence_label(gt: Column, pred: Column) -> Column:
+    """exact for equal or contained, partial within a tenth of edits, else wrong; null where text is no sequence."""
+    return rule_label(F.lit(SEQUENCE_FIELDS[0]), gt, pred)
+
+
+def method_label(gt: Column, pred: Column) -> Column:
+    """Missing, shared and extra methods: extra ones beside the point make a whole list partial, direct ones do not."""
+    return rule_label(F.lit("Experiment"), gt, pred)
+
+
+def type_label(gt: Column, pred: Column) -> Column:
+    """Any shared tag is exact; a plain mAb accepts an IgG, an IgG does not accept a plain mAb."""
+    return rule_label(F.lit("Antibody_Type"), gt, pred)
+
+
+def reference_label(gt: Column, pred: Column) -> Column:
+    """Null unless the DOIs agree or author and year do."""
+    return rule_label(F.lit("Reference_Source"), gt, pred)
+
+
 def label_score(label: Column) -> Column:
     return F.when(label == "exact", 1.0).when(label == "partial", 0.5).otherwise(0.0)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.binding import bound
 
 #: Weight of each field in the context of a pair.
 CONTEXT = {"Target_Name": 0.45, "Antibody_Type": 0.25, "Experiment": 0.15, "Structure": 0.10, "Reference_Source": 0.05}
@@ -37,9 +38,9 @@ def _contains(a: Column, b: Column) -> Column:
     return F.contains(a, b) | F.contains(b, a)
 
 
-def name_similarity_rules(a: Column, b: Column) -> Column:
-    """Similarity of two names as far as rules decide it: 0, 1, .85 or .95, else null."""
-    ka, kb = T.name_key(a), T.name_key(b)
+def name_rules(a: Column, b: Column) -> Column:
+    """Similarity of two names' parts as far as rules decide it: 0, 1, .85 or .95, else null."""
+    ka, kb = a["key"], b["key"]
     return (
         F.when((ka == "") | (kb == ""), 0.0)
         .when(ka == kb, 1.0)
@@ -48,33 +49,60 @@ def name_similarity_rules(a: Column, b: Column) -> Column:
     )
 
 
+def name_similarity_rules(a: Column, b: Column) -> Column:
+    return name_rules(T.name_parts(a), T.name_parts(b))
+
+
+def _ratio_where(open_: Column, a: Column, b: Column) -> Column:
+    """The ratio is computed in Python, only for pairs that the rules leave open."""
+    return gestalt_ratio(F.when(open_, a), F.when(open_, b))
+
+
 def name_similarity(a: Column, b: Column) -> Column:
-    """The ratio is computed in Python only for the pairs that the rules leave open."""
     rules = name_similarity_rules(a, b)
-    return F.coalesce(rules, gestalt_ratio(F.when(rules.isNull(), T.name_key(a)), F.when(rules.isNull(), T.name_key(b))))
+    return F.coalesce(rules, _ratio_where(rules.isNull(), T.name_key(a), T.name_key(b)))
+
+
+def field_parts(field: str, value: Column) -> Column:
+    """What a context field is compared by: its key, null where there is nothing to compare, and its list items."""
+    key = T.match_key(value)
+    items = T.list_tokens(value) if field == "Experiment" else F.array().cast("array<string>")
+    return F.struct(F.when(~T.is_empty(value) & (key != ""), key).alias("key"), items.alias("items"))
+
+
+def field_rules(field: str, a: Column, b: Column) -> Column:
+    """Similarity of two fields' parts: 1 equal, .9 containment, shared list items; null if either is empty or the ratio must tell."""
+    close = F.when(a["key"] == b["key"], 1.0).when(_contains(a["key"], b["key"]), 0.9)
+    return F.when(a["key"].isNotNull() & b["key"].isNotNull(), F.coalesce(close, T.jaccard(a["items"], b["items"])) if field == "Experiment" else close)
 
 
 def field_similarity(field: str, a: Column, b: Column) -> Column:
     """Null if either side is empty; 1 equal, .9 containment, then shared list items or the ratio."""
-    ka, kb = T.match_key(a), T.match_key(b)
-    usable = ~T.is_empty(a) & ~T.is_empty(b) & (ka != "") & (kb != "")
-    close = F.when(ka == kb, 1.0).when(_contains(ka, kb), 0.9)
-    rest = T.jaccard(T.list_tokens(a), T.list_tokens(b)) if field == "Experiment" else gestalt_ratio(F.when(usable & close.isNull(), ka), F.when(usable & close.isNull(), kb))
-    return F.when(usable, F.coalesce(close, rest))
-
-
-def pair_similarity(gt: dict[str, Column], pred: dict[str, Column], name: str = "Antibody_Name") -> Column:
-    """Name similarity blended with the context fields that both records fill."""
-    by_name = name_similarity(gt[name], pred[name])
-    sims = {f: field_similarity(f, gt[f], pred[f]) for f in CONTEXT if f in gt and f in pred}
-    if not sims:
-        return by_name
-    weight = sum((F.when(s.isNotNull(), F.lit(CONTEXT[f])).otherwise(F.lit(0.0)) for f, s in sims.items()), F.lit(0.0))
-    total = sum((F.coalesce(s, F.lit(0.0)) * CONTEXT[f] for f, s in sims.items()), F.lit(0.0))
-    context = F.try_divide(total, weight)
-    same = T.name_key(gt[name]) == T.name_key(pred[name])
-    blended = F.when(same, F.least(F.lit(1.0), 0.98 + 0.02 * context)).when(by_name >= 0.95, F.least(F.lit(1.0), 0.8 * by_name + 0.2 * context)).otherwise(0.85 * by_name + 0.15 * context)
-    return F.when(weight == 0, by_name).otherwise(blended)
+    x, y = field_parts(field, a), field_parts(field, b)
+    rules = field_rules(field, x, y)
+    if field == "Experiment":
+        return rules
+    return F.coalesce(rules, F.when(x["key"].isNotNull() & y["key"].isNotNull(), _ratio_where(rules.isNull(), x["key"], y["key"])))
+
+
+def pair_parts(fields: dict[str, Column], mark: str, name: str = "Antibody_Name") -> dict[str, Column]:
+    """Columns of a record's parts, named with the mark, from its name and context fields."""
+    return {mark + f: T.name_parts(c) if f == name else field_parts(f, c) for f, c in fields.items()}
+
+
+def with_pair_similarity(pairs: DataFrame, left: str, right: str, context: tuple[str, ...], name: str = "Antibody_Name") -> DataFrame:
+    """pairs, which have both records' parts (see pair_parts), with sim: name similarity blended with the context that both fill."""
+    a, b = (lambda f: F.col(left + f)), (lambda f: F.col(right + f))
+    out = bound(pairs, _rule=name_rules(a(name), b(name)), **{f"_r_{f}": field_rules(f, a(f), b(f)) for f in context})
+    sims = {f: F.col(f"_r_{f}") if f == "Experiment" else F.coalesce(F.col(f"_r_{f}"), F.when(a(f)["key"].isNotNull() & b(f)["key"].isNotNull(), _ratio_where(F.col(f"_r_{f}").isNull() & a(f)["key"].isNotNull() & b(f)["key"].isNotNull(), a(f)["key"], b(f)["key"]))) for f in context}
+    out = out.select(*pairs.columns, F.coalesce("_rule", _ratio_where(F.col("_rule").isNull(), a(name)["key"], b(name)["key"])).alias("_name"), *[s.alias(f"_s_{f}") for f, s in sims.items()])
+    weight = sum((F.when(F.col(f"_s_{f}").isNotNull(), F.lit(CONTEXT[f])).otherwise(F.lit(0.0)) for f in context), F.lit(0.0))
+    total = sum((F.coalesce(F.col(f"_s_{f}"), F.lit(0.0)) * CONTEXT[f] for f in context), F.lit(0.0))
+    out = bound(out, _context=F.try_divide(total, weight))
+    n, c = F.col("_name"), F.col("_context")
+    same = a(name)["key"] == b(name)["key"]
+    blended = F.when(same, F.least(F.lit(1.0), 0.98 + 0.02 * c)).when(n >= 0.95, F.least(F.lit(1.0), 0.8 * n + 0.2 * c)).otherwise(0.85 * n + 0.15 * c)
+    return out.select(*pairs.columns, F.coalesce(blended, n).alias("sim"))
 
 
 def edit_preview(a: str, b: str, limit: int = 5) -> list[str]:

@@ -87,13 +87,17 @@ def subset_name(name: str | None) -> str:
     return SUBSETS[key]
 
 
+def name_parts(name: Column) -> Column:
+    """What names are compared by: the key, and whether the name is written without separators."""
+    return F.struct(name_key(name).alias("key"), (~clean(name).rlike(r"[\s\-_–/]")).alias("joined"))
+
+
 def compact_variant(a: Column, b: Column) -> Column:
-    """Names without separators of which one is the other and one or two more letters or digits."""
-    ka, kb = name_key(a), name_key(b)
+    """Of two names' parts: neither has separators, and one is the other and one or two more letters or digits."""
+    ka, kb = a["key"], b["key"]
     short, long_ = F.when(F.length(ka) <= F.length(kb), ka).otherwise(kb), F.when(F.length(ka) <= F.length(kb), kb).otherwise(ka)
     rest = F.substr(long_, F.length(short) + 1)
-    joined = ~clean(a).rlike(r"[\s\-_–/]") & ~clean(b).rlike(r"[\s\-_–/]")
-    return joined & (ka != "") & (kb != "") & (ka != kb) & F.startswith(long_, short) & rest.rlike(r"^[\p{L}\p{N}]{1,2}$")
+    return a["joined"] & b["joined"] & (ka != "") & (kb != "") & (ka != kb) & F.startswith(long_, short) & rest.rlike(r"^[\p{L}\p{N}]{1,2}$")
 
 
 def first_filled(*values: Column) -> Column:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text
-from lectern.functions.similarity import pair_similarity
+from lectern.functions.binding import bound
+from lectern.functions.similarity import CONTEXT, pair_parts, with_pair_similarity
 
 FLOOR = 0.5
 _PAIRS = "paper_id string, gt_idx long, pred_idx long, sim double"
@@ -66,35 +67,25 @@ def best_pairs(sims: pd.DataFrame, optimal: bool = True) -> list[tuple[int, int,
     return [(gt[i], pred[j], table[i, j]) for i, j in enumerate(to[: len(gt)]) if j < len(pred) and table[i, j] >= FLOOR]
 
 
-def match_records(gt: DataFrame, pred: DataFrame, context: tuple[str, ...] = (), optimal: bool = True) -> DataFrame:
+def match_records(gt: DataFrame, pred: DataFrame, context: tuple[str, ...] | None = None, optimal: bool = True) -> DataFrame:
     """paper_id, gt_idx, pred_idx, sim of matched records; both inputs have paper_id, ab_idx, Antibody_Name.
 
-    Names with one bearer on either side of a paper pair by a plain join when
-    nothing else could do better (no context is compared and no other
-    candidate reaches the pair's similarity of 1); the rest of a paper's
-    records are assigned together.  A paper's records, not the corpus, bound
-    a group.
+    Names are compared together with the context fields that both inputs have
+    (or those given).  All records of a paper are assigned at once, since a
+    pair of equal names can stand in the way of two good pairs.  A paper's
+    records, not the corpus, bound a group.
     """
-    g, p = gt.select("paper_id", F.col("ab_idx").alias("gt_idx"), "Antibody_Name", *context), pred.select("paper_id", F.col("ab_idx").alias("pred_idx"), "Antibody_Name", *context)
-    g, p = g.withColumn("_k", text.name_key(F.col("Antibody_Name"))), p.withColumn("_k", text.name_key(F.col("Antibody_Name")))
-    sure = None
-    if not context:
-        once = lambda d, i: d.filter("_k <> ''").groupBy("paper_id", "_k").agg(F.count("*").alias("n"), F.min(i).alias(i)).filter("n = 1").drop("n")
-        sure = once(g, "gt_idx").join(once(p, "pred_idx"), ["paper_id", "_k"]).select("paper_id", "gt_idx", "pred_idx")
-        g, p = g.join(sure, ["paper_id", "gt_idx"], "left_anti"), p.join(sure, ["paper_id", "pred_idx"], "left_anti")
-    a = g.select("paper_id", "gt_idx", *[F.col(c).alias(f"g_{c}") for c in ("Antibody_Name", *context)])
-    b = p.select("paper_id", "pred_idx", *[F.col(c).alias(f"p_{c}") for c in ("Antibody_Name", *context)])
-    sims = a.join(b, "paper_id").select("paper_id", "gt_idx", "pred_idx", pair_similarity(_side("g_", context), _side("p_", context)).alias("sim"))
+    if context is None:
+        context = tuple(f for f in CONTEXT if f in gt.columns and f in pred.columns)
+    fields = ("Antibody_Name", *context)
+    side = lambda d, idx, mark: bound(d, **pair_parts({f: F.col(f) for f in fields}, mark)).select("paper_id", F.col("ab_idx").alias(idx), *[mark + f for f in fields])
+    pairs = side(gt, "gt_idx", "g_").join(side(pred, "pred_idx", "p_"), "paper_id")
+    sims = with_pair_similarity(pairs, "g_", "p_", context).select("paper_id", "gt_idx", "pred_idx", "sim")
 
     def assigned(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(key[0], *x) for x in best_pairs(rows, optimal)], columns=["paper_id", "gt_idx", "pred_idx", "sim"])
 
-    found = sims.groupBy("paper_id").applyInPandas(assigned, _PAIRS)
-    return found if sure is None else sure.withColumn("sim", F.lit(1.0)).unionByName(found)
-
-
-def _side(mark: str, context: tuple[str, ...]) -> dict[str, Column]:
-    return {c: F.col(mark + c) for c in ("Antibody_Name", *context)}
+    return sims.groupBy("paper_id").applyInPandas(assigned, _PAIRS)
 
 
 def long_pairs(gt: DataFrame, pred: DataFrame, pairs: DataFrame, fields: list[str]) -> DataFrame:
@@ -112,8 +103,6 @@ def unmatched(records: DataFrame, pairs: DataFrame, idx: str) -> DataFrame:
 
 def nth_occurrence_join(left: DataFrame, right: DataFrame, by: list[str], order: str) -> DataFrame:
     """The k-th row of each key on the left with the k-th on the right; past the end the last serves again."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*by).orderBy(order)
     right = right.withColumn("_k", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
     sizes = right.groupBy(*by).agg(F.max("_n").alias("_size"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import judge, text, units
+from lectern.functions.binding import bound
 
 #: Scored fields by weight.
 WEIGHTS = {
@@ -26,26 +27,28 @@ def equal_label(gt: Column, pred: Column) -> Column:
     return F.when(a == b, "exact").when((a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a)), "partial").otherwise("wrong")
 
 
-def field_label(field: Column, gt: Column, pred: Column, matched: Column, model=equal_label) -> Column:
-    """exact, partial, wrong, miss or skip; `model` decides what the rules and numbers leave open."""
-    no_gt, no_pred = text.is_empty(gt), text.is_empty(pred)
-    numeric = F.when(field.isin(list(units.NUMERIC_FIELDS)), units.numeric_label(units.quantity(field, gt), units.quantity(field, pred)))
-    judged = F.coalesce(numeric, judge.rule_label(field, gt, pred), model(gt, pred))
-    return (
-        F.when(~matched, F.when(no_gt, "skip").otherwise("miss"))
-        .when(no_gt & no_pred, "exact")
-        .when(no_gt, "skip")
-        .when(~text.has_output(pred), "miss")
+def score_fields(pairs: DataFrame, model=equal_label) -> DataFrame:
+    """pairs (paper_id, ab_idx, field, gt, pred, matched) -> the same with label, score, weight and weighted score.
+
+    label is exact, partial, wrong, miss or skip: blanks first, then numbers,
+    then the rules, and `model` decides what these leave open.
+    """
+    kept = pairs.columns
+    out = bound(pairs, _g=text.clean(F.col("gt")), _p=text.clean(F.col("pred")))
+    out = bound(out, _no_gt=text.is_empty(F.col("_g")), _no_pred=text.is_empty(F.col("_p")))
+    number = F.col("field").isin(list(units.NUMERIC_FIELDS))
+    out = bound(out, _a=F.when(number, units.quantity(F.col("field"), F.col("_g"))), _b=F.when(number, units.quantity(F.col("field"), F.col("_p"))))
+    out = bound(out, _x=judge.parts(F.col("field"), F.col("_g")), _y=judge.parts(F.col("field"), F.col("_p")))
+    judged = F.coalesce(units.numeric_label(F.col("_a"), F.col("_b")), judge.label_of_parts(F.col("field"), F.col("_x"), F.col("_y")), model(F.col("_g"), F.col("_p")))
+    label = (
+        F.when(~F.col("matched"), F.when(F.col("_no_gt"), "skip").otherwise("miss"))
+        .when(F.col("_no_gt") & F.col("_no_pred"), "exact")
+        .when(F.col("_no_gt"), "skip")
+        .when(F.col("_p") == "", "miss")
         .otherwise(judged)
     )
-
-
-def score_fields(pairs: DataFrame, model=equal_label) -> DataFrame:
-    """pairs (paper_id, ab_idx, field, gt, pred, matched) -> the same with label, score, weight and weighted score."""
-    field = F.col("field")
-    out = pairs.withColumn("label", field_label(field, F.col("gt"), F.col("pred"), F.col("matched"), model))
-    out = out.withColumns({"score": judge.label_score(F.col("label")), "weight": field_weight(field)})
-    return out.withColumn("weighted_score", F.col("score") * F.col("weight"))
+    out = bound(out.withColumn("label", label), score=judge.label_score(F.col("label")), weight=field_weight(F.col("field")))
+    return out.select(*kept, "label", "score", "weight", (F.col("score") * F.col("weight")).alias("weighted_score"))
 
 
 def score_records(fields: DataFrame) -> DataFrame:
@@ -65,20 +68,39 @@ def penalty(ngs: Column, ntp: Column, nfn: Column, nfp: Column) -> Column:
     return F.when(ngs == 0, F.when(ntp + nfp == 0, 1.0).otherwise(0.0)).when(ntp == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - 0.01 * step - 0.05 * nfn))
 
 
-def score_papers(records: DataFrame, extra: DataFrame) -> DataFrame:
-    """Paper scores from its records and its count of predictions that matched none (paper_id, nfp)."""
+def score_papers(records: DataFrame, extra: DataFrame, papers: DataFrame | None = None) -> DataFrame:
+    """Scores of the papers that have a ground truth.
+
+    records: of the ground truth, scored; extra (paper_id, nfp): predictions
+    that matched none; papers (paper_id): those with a ground truth, which may
+    hold no record, by default those of records.  Predictions for other papers
+    count nowhere.
+    """
     by = records.groupBy("paper_id").agg(
         F.count("*").alias("ngs"), F.sum(F.col("matched").cast("long")).alias("ntp"), F.sum((~F.col("matched")).cast("long")).alias("nfn"), F.sum("ratio").alias("ratios"))
-    both = by.join(extra, "paper_id", "full").na.fill(0, ["ngs", "ntp", "nfn", "ratios", "nfp"])
+    if papers is not None:
+        by = papers.select("paper_id").distinct().join(by, "paper_id", "left")
+    both = by.join(extra, "paper_id", "left").na.fill(0, ["ngs", "ntp", "nfn", "ratios", "nfp"])
     both = both.withColumn("raw", F.coalesce(F.try_divide("ratios", "ngs"), F.lit(0.0)) * 100)
     both = both.withColumn("penalty", penalty(F.col("ngs"), F.col("ntp"), F.col("nfn"), F.col("nfp")))
     return both.select("paper_id", "ngs", "ntp", "nfn", "nfp", "raw", "penalty", (F.col("raw") * F.col("penalty")).alias("accuracy"))
 
 
+def papers_with_output(pred: DataFrame, but: tuple[str, ...] = ("field_sources",)) -> DataFrame:
+    """paper_id of the papers in which some record has any text in any field (other than ids and provenance)."""
+    fields = [c for c in pred.columns if c not in ("paper_id", "ab_idx", *but)]
+    some = F.exists(F.array(*[F.col(c).cast("string") for c in fields]), text.has_output)
+    return pred.filter(some).select("paper_id").distinct()
+
+
 def score_benchmark(papers: DataFrame, with_output: DataFrame) -> DataFrame:
-    """Mean accuracy of papers that have any output, and totals; A-27's precision and recall beside them."""
-    some = papers.join(with_output.select("paper_id").distinct(), "paper_id", "left_semi")
-    total = some.agg(F.count("*").alias("papers"), *[F.sum(c).cast("long").alias(c) for c in ("ngs", "ntp", "nfn", "nfp")], F.avg("accuracy").alias("accuracy"))
+    """Mean accuracy of papers that have any output, totals, and how many were left out; precision and recall of records beside them."""
+    has = with_output.select("paper_id", F.lit(True).alias("_has")).distinct()
+    marked = papers.join(has, "paper_id", "left").withColumn("_has", F.coalesce("_has", F.lit(False)))
+    some = lambda c: F.when(F.col("_has"), F.col(c))
+    total = marked.agg(
+        F.count(some("paper_id")).alias("papers"), F.count(F.when(~F.col("_has"), 1)).alias("papers_without_output"),
+        *[F.coalesce(F.sum(some(c)), F.lit(0)).cast("long").alias(c) for c in ("ngs", "ntp", "nfn", "nfp")], F.coalesce(F.avg(some("accuracy")), F.lit(0.0)).alias("accuracy"))
     return total.withColumns({"ab_precision": F.try_divide(F.col("ntp").cast("double"), F.col("ntp") + F.col("nfp")), "ab_recall": F.try_divide(F.col("ntp").cast("double"), F.col("ngs"))})
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import jsontext, judge, scan, sequences, similarity, text, units
 from lectern.operators import blocks, matching, merge, records, scoring, tables, trace
 from lectern.plans import recipes
-from lectern.plans.recipes import LABELS_SQL, SCORED, SPANS_SQL, table
+from lectern.plans.recipes import LABELS_SQL, SIMS_SQL, SPANS_SQL, table
 from lectern.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,22 +39,41 @@ def micro(c: Column) -> Column:
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     gt, pred = recipes.ground_truth(spark, sf_dir), recipes.predictions(spark, sf_dir)
     pairs = matching.match_records(gt, pred)
-    return gt, pred, pairs, scoring.score_fields(matching.long_pairs(gt, pred, pairs, SCORED))
+    return gt, pred, pairs, scoring.score_fields(matching.long_pairs(gt, pred, pairs, scoring.FIELDS))
 
 
-@query("j01_assignment", f"WITH {LABELS_SQL} SELECT paper_id, k AS gt_idx, k AS pred_idx, 1.0::DOUBLE AS sim FROM base WHERE matched")
+_ORDERS = "SELECT a.v AS o0, b.v AS o1, c.v AS o2, d.v AS o3 FROM (VALUES (0), (1), (2), (3)) a(v), (VALUES (0), (1), (2), (3)) b(v), (VALUES (0), (1), (2), (3)) c(v), (VALUES (0), (1), (2), (3)) d(v) WHERE len(list_distinct([a.v, b.v, c.v, d.v])) = 4"
+#: Similarities of the pairs, four records a side at most, numbered within their paper.
+_PAIRED = f"""{SIMS_SQL}, sims AS (
+    SELECT paper_id, gi, pi, CASE WHEN n IS NULL THEN 0 WHEN c IS NULL THEN n WHEN a = b THEN least(1, 0.98e0 + 0.02e0 * c) WHEN n >= 0.95 THEN least(1, 0.8e0 * n + 0.2e0 * c) ELSE 0.85e0 * n + 0.15e0 * c END AS sim,
+      dense_rank() OVER (PARTITION BY paper_id ORDER BY gi) - 1 AS g, dense_rank() OVER (PARTITION BY paper_id ORDER BY pi) - 1 AS p FROM named)"""
+
+
+@query("j01_assignment", f"""WITH {_PAIRED}, orders AS ({_ORDERS}), tried AS (
+    SELECT paper_id, o0, o1, o2, o3, sum(sim) AS total FROM sims, orders WHERE p = CASE g WHEN 0 THEN o0 WHEN 1 THEN o1 WHEN 2 THEN o2 ELSE o3 END GROUP BY ALL)
+  SELECT paper_id, floor(max(total) * 1000 + 0.2718)::BIGINT AS total_milli FROM tried GROUP BY 1 HAVING max(total) >= 0.5""")
 def _(spark, sf_dir):
-    gt, pred = recipes.ground_truth(spark, sf_dir), recipes.predictions(spark, sf_dir)
-    return matching.match_records(gt, pred)
+    found = matching.match_records(*recipes.names(spark, sf_dir))
+    return found.groupBy("paper_id").agg(F.floor(F.sum("sim") * 1000 + 0.2718).cast("long").alias("total_milli"))
+
 
+def _greedy_sql() -> str:
+    """Four times the best pair that is left in each paper."""
+    out, left = [], "(SELECT * FROM sims WHERE sim >= 0.5)"
+    for k in range(4):
+        out.append(f"best{k} AS (SELECT paper_id, gi, pi, sim FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY sim DESC, gi, pi) AS r FROM {left}) WHERE r = 1)")
+        out.append(f"left{k} AS (SELECT l.* FROM {left} l JOIN best{k} b USING (paper_id) WHERE l.gi <> b.gi AND l.pi <> b.pi)")
+        left = f"left{k}"
+    return ", ".join(out)
 
-@query("j02_greedy_assignment", f"WITH {LABELS_SQL} SELECT paper_id, k AS gt_idx, k AS pred_idx FROM base WHERE matched")
+
+@query("j02_greedy_assignment", f"WITH {_PAIRED}, {_greedy_sql()} SELECT paper_id, gi AS gt_idx, pi AS pred_idx, floor(sim * 1000000 + 0.5)::BIGINT AS sim_micro FROM (FROM best0 UNION ALL FROM best1 UNION ALL FROM best2 UNION ALL FROM best3)")
 def _(spark, sf_dir):
-    gt, pred = recipes.ground_truth(spark, sf_dir), recipes.predictions(spark, sf_dir)
-    return matching.match_records(gt, pred, optimal=False).select("paper_id", "gt_idx", "pred_idx")
+    found = matching.match_records(*recipes.names(spark, sf_dir), optimal=False)
+    return found.select("paper_id", "gt_idx", "pred_idx", micro(F.col("sim")).alias("sim_micro"))
 
 
-@query("a01_field_labels", f"WITH {LABELS_SQL} SELECT paper_id, k AS ab_idx, field, label, score, weight, score * weight AS weighted_score FROM scored")
+@query("a01_field_labels", f"WITH {LABELS_SQL} SELECT paper_id, ab_idx, field, label, score, weight, score * weight AS weighted_score FROM scored")
 def _(spark, sf_dir):
     return _scored(spark, sf_dir)[3].select("paper_id", "ab_idx", "field", "label", "score", "weight", "weighted_score")
 
@@ -65,9 +84,9 @@ def _(spark, sf_dir):
 
 
 def _papers(spark, sf_dir):
-    _, pred, pairs, fields = _scored(spark, sf_dir)
+    gt, pred, pairs, fields = _scored(spark, sf_dir)
     extra = matching.unmatched(pred.select("paper_id", "ab_idx"), pairs, "pred_idx").groupBy("paper_id").agg(F.count("*").alias("nfp"))
-    return scoring.score_papers(scoring.score_records(fields), extra)
+    return scoring.score_papers(scoring.score_records(fields), extra, gt.select("paper_id"))
 
 
 @query("a03_paper_scores", f"""WITH {LABELS_SQL} SELECT paper_id, ngs, ntp, nfn, nfp, floor(raw * 1000000 + 0.5)::BIGINT AS raw_micro,
@@ -76,14 +95,19 @@ def _(spark, sf_dir):
     return _papers(spark, sf_dir).select("paper_id", "ngs", "ntp", "nfn", "nfp", micro(F.col("raw")).alias("raw_micro"), micro(F.col("penalty")).alias("penalty_micro"), F.floor(F.col("accuracy") * 1000 + 0.2718).cast("long").alias("accuracy_milli"))
 
 
-@query("a05_benchmark_score", f"""WITH {LABELS_SQL}, has AS (SELECT DISTINCT paper_id FROM base WHERE matched OR k % 3 = 0)
-  SELECT count(*) AS papers, sum(ngs)::BIGINT AS ngs, sum(ntp)::BIGINT AS ntp, sum(nfn)::BIGINT AS nfn, sum(nfp)::BIGINT AS nfp,
+@query("a05_benchmark_score", f"""WITH {LABELS_SQL}, has AS (SELECT DISTINCT paper_id FROM pr WHERE trim(pred) <> '' OR ab_idx >= 10000000)
+  SELECT count(*) AS papers, (SELECT count(*) FROM penalised ANTI JOIN has USING (paper_id)) AS papers_without_output, sum(ngs)::BIGINT AS ngs, sum(ntp)::BIGINT AS ntp, sum(nfn)::BIGINT AS nfn, sum(nfp)::BIGINT AS nfp,
          floor(avg(raw * penalty) * 1000000 + 0.5)::BIGINT AS accuracy_micro, floor(sum(ntp) / sum(ntp + nfp) * 1000000 + 0.5)::BIGINT AS precision_micro,
          floor(sum(ntp) / sum(ngs) * 1000000 + 0.5)::BIGINT AS recall_micro
   FROM penalised JOIN has USING (paper_id)""")
 def benchmark_score(spark, sf_dir):
-    out = scoring.score_benchmark(_papers(spark, sf_dir), recipes.predictions(spark, sf_dir))
-    return out.select("papers", "ngs", "ntp", "nfn", "nfp", micro(F.col("accuracy")).alias("accuracy_micro"), micro(F.col("ab_precision")).alias("precision_micro"), micro(F.col("ab_recall")).alias("recall_micro"))
+    out = scoring.score_benchmark(_papers(spark, sf_dir), scoring.papers_with_output(recipes.predictions(spark, sf_dir)))
+    return out.select("papers", "papers_without_output", "ngs", "ntp", "nfn", "nfp", micro(F.col("accuracy")).alias("accuracy_micro"), micro(F.col("ab_precision")).alias("precision_micro"), micro(F.col("ab_recall")).alias("recall_micro"))
+
+
+@query("p06_papers_with_output", f"WITH base AS ({recipes.BASE_SQL}) SELECT DISTINCT paper_id FROM base WHERE (k % 7 <> 0 OR k % 3 = 0) AND (k // 8) % 11 <> 5")
+def _(spark, sf_dir):
+    return scoring.papers_with_output(recipes.predictions(spark, sf_dir))
 
 
 @query("a04_penalty", """SELECT o_orderkey, CASE WHEN ngs = 0 THEN CASE WHEN ntp + nfp = 0 THEN 1.0 ELSE 0.0 END WHEN ntp = 0 THEN 0.0
@@ -96,18 +120,19 @@ def _(spark, sf_dir):
 
 @query("a06_field_weights", f"WITH {LABELS_SQL} SELECT DISTINCT field, weight FROM labels")
 def _(spark, sf_dir):
-    return spark.createDataFrame([(f,) for f in SCORED], "field string").select("field", scoring.field_weight(F.col("field")).alias("weight"))
+    return spark.createDataFrame([(f,) for f in scoring.FIELDS], "field string").select("field", scoring.field_weight(F.col("field")).alias("weight"))
 
 
-@query("a07_field_stats", f"""WITH {LABELS_SQL} SELECT field, count(*) AS total, count(*) FILTER (label = 'exact') AS exact, count(*) FILTER (label = 'partial') AS partial,
-  count(*) FILTER (label = 'wrong') AS wrong, count(*) FILTER (label = 'miss') AS miss, count(*) FILTER (label = 'skip') AS skip FROM labels GROUP BY field""")
+@query("a07_field_stats", f"""WITH {LABELS_SQL}, n AS (SELECT field, count(*) AS total, count(*) FILTER (label = 'exact') AS exact, count(*) FILTER (label = 'partial') AS partial,
+  count(*) FILTER (label = 'wrong') AS wrong, count(*) FILTER (label = 'miss') AS miss, count(*) FILTER (label = 'skip') AS skip FROM labels GROUP BY field)
+  SELECT *, floor(1e8 * (partial + wrong) / total + 0.5)::BIGINT AS partial_micro, floor(1e8 * miss / total + 0.5)::BIGINT AS mismatch_micro FROM n""")
 def _(spark, sf_dir):
-    return scoring.field_stats(_scored(spark, sf_dir)[3]).drop("partial_pct", "mismatch_pct")
+    return scoring.field_stats(_scored(spark, sf_dir)[3]).withColumns({"partial_micro": micro(F.col("partial_pct")), "mismatch_micro": micro(F.col("mismatch_pct"))}).drop("partial_pct", "mismatch_pct")
 
 
 @query("a08_issue_board", f"""WITH {LABELS_SQL} SELECT field, paper_id, count(*) AS total, count(*) FILTER (label = 'exact') AS exact, count(*) FILTER (label = 'partial') AS partial,
   count(*) FILTER (label = 'wrong') AS wrong, count(*) FILTER (label = 'miss') AS miss, count(*) FILTER (label = 'skip') AS skip,
-  count(*) FILTER (label IN ('wrong', 'miss', 'partial')) AS issues FROM labels WHERE field = 'vh_sequence_aa' GROUP BY ALL""")
+  count(*) FILTER (label IN ('wrong', 'miss', 'partial')) AS issues FROM labels WHERE field IN ('CDRH3_Sequence', 'vh_sequence_aa', 'vl_sequence_aa') GROUP BY field, paper_id""")
 def _(spark, sf_dir):
     return scoring.issue_board(_scored(spark, sf_dir)[3])
 
@@ -121,12 +146,20 @@ def _(spark, sf_dir):
     return q.select("field", "total", "exact", "partial", micro(F.col("quality")).alias("quality_micro"), "grade")
 
 
-@query("a27_sequence_hits", f"""WITH {LABELS_SQL} SELECT count(*) AS n, floor(avg((label IN ('exact', 'partial'))::INT) * 1000000 + 0.5)::BIGINT AS hit_micro
-  FROM labels WHERE field = 'vh_sequence_aa' AND label <> 'skip'""")
+_HITS = "SELECT count(*) AS n, floor(avg((label IN ('exact', 'partial'))::INT) * 1000000 + 0.5)::BIGINT AS hit_micro FROM parts2 WHERE label <> 'skip' AND NOT no_g AND field IN"
+_JUDGED = "parts2 AS (SELECT l.*, r.no_g FROM labels l JOIN ruled r USING (paper_id, ab_idx, field))"
+
+
+@query("a27_sequence_hits", f"WITH {LABELS_SQL}, {_JUDGED} {_HITS} ('CDRH3_Sequence', 'vh_sequence_aa', 'vl_sequence_aa')")
 def _(spark, sf_dir):
     return scoring.hit_rate(_scored(spark, sf_dir)[3], judge.SEQUENCE_FIELDS).select("n", micro(F.col("hit_rate")).alias("hit_micro"))
 
 
+@query("a27_affinity_hits", f"WITH {LABELS_SQL}, {_JUDGED} {_HITS} ('Binding_Kinetics_KD', 'Binding_Kinetics_kon', 'Binding_Kinetics_koff', 'Binding_EC50')")
+def _(spark, sf_dir):
+    return scoring.hit_rate(_scored(spark, sf_dir)[3], ["Binding_Kinetics_KD", "Binding_Kinetics_kon", "Binding_Kinetics_koff", "Binding_EC50"]).select("n", micro(F.col("hit_rate")).alias("hit_micro"))
+
+
 @query("a20_gap_report", """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0 THEN 'KD,Target' WHEN c_custkey % 2 = 0 THEN 'KD' ELSE 'Target' END AS missing
   FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""")
 def _(spark, sf_dir):
