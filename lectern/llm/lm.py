@@ -35,7 +35,7 @@ from lectern.llm.common import bounded_batches, fold, input_bytes, materialise
 from lectern.llm.words import coded, hashes, mix
 
 #: Characters of text in a chunk (a text is never cut), bytes of input for each bucket.
-CHUNK, BUCKET_BYTES = 6_000_000, 8_000_000
+CHUNK, BUCKET_BYTES = 6_000_000, 4_000_000
 #: Pseudo-counts that the shorter context's probabilities get after one word and after two.
 STRENGTH = (20.0, 4.0)
 #: Tokens of a long text that are read in one go; the state after two tokens depends on them alone, so the next part begins by reading these.
@@ -45,11 +45,11 @@ _SENT = "chunk string, bucket long, blob binary"
 _KEPT = "chunk string, blob binary, bucket long, tokens long, types long"
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as bytes; those of more than a few items are compressed."""
     head = np.array([len(arrays), *[x for a in arrays for x in (ord(a.dtype.char), len(a))]], np.int64).tobytes()
     body = head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    return b"z" + zstandard.ZstdCompressor(level=1).compress(body) if len(body) > 256 else b"r" + body
+    return b"z" + zstandard.ZstdCompressor(level=level).compress(body) if len(body) > 256 else b"r" + body
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -135,12 +135,17 @@ def _chunk(name: str, number: int, ids: list, train: list, texts: list, buckets:
     words, codes, sizes = coded(lines)
     del lines
     n = len(words)
+    common = np.argsort(-np.bincount(codes, minlength=n), kind="stable")  # frequent words get small codes
+    rank = np.empty(n, np.int64)
+    rank[common] = np.arange(n)
+    words, codes = [words[k] for k in common.tolist()], rank[codes]
     full = np.full(len(codes) + len(sizes), n, np.int64)
     inner = np.ones(len(full), bool)
     inner[np.cumsum(sizes + 1) - 1] = False
     full[inner] = codes
     sizes = sizes + 1
     word = np.append(hashes(words), np.array([END, START]))
+    spelled = np.frombuffer(b" ".join(words), np.uint8)
     del words
     grams = Grams(full, sizes, n + 2)
     counts = grams.counts(np.repeat(np.array(train, bool), sizes), np.array(train, bool))
@@ -155,7 +160,7 @@ def _chunk(name: str, number: int, ids: list, train: list, texts: list, buckets:
     missing = np.array([i is None for i in ids], bool)
     whole = np.array([0 if m else int(i) for i, m in zip(ids, missing, strict=True)], np.int64)
     high = narrow(full >> 8)
-    yield name, -1 - number, pack(whole, missing, np.array(train, bool), narrow(sizes), (full & 255).astype(np.uint8), high, word)
+    yield name, -1 - number, pack(whole, missing, np.array(train, bool), narrow(sizes), (full & 255).astype(np.uint8), high, spelled, level=6)
 
 
 def _sent(buckets: int, bits: int, chunk: int):
@@ -294,7 +299,8 @@ def _lookup(keys: np.ndarray, wanted: np.ndarray, known: np.ndarray) -> tuple[np
 def _scorer(tokens: int, types: int, buckets: int, bits: int, strength: tuple[float, float]):
     def of(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         home = group["bucket"] < 0
-        ids, missing, train, sizes, low, high, word = unpack(group["blob"][home].iloc[0])
+        ids, missing, train, sizes, low, high, spelled = unpack(group["blob"][home].iloc[0])
+        word = np.append(hashes(spelled.tobytes().split(b" ") if len(spelled) else []), np.array([END, START]))
         codes, sizes = high.astype(np.int64) << 8 | low, sizes.astype(np.int64)
         grams = Grams(codes, sizes, len(word))
         told = {b: unpack(blob) for b, blob in zip(group["bucket"][~home], group["blob"][~home], strict=True)}
@@ -330,12 +336,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     The number of buckets follows the input's size, so a bucket's share of
     the n-grams stays of bounded size; a chunk sends rows only to buckets for
     which it has an n-gram, so there are never more rows than n-grams.  Hashes
-    are wide enough that one n-gram in a million has another's, whatever the
-    size (up to 64 bits, the limit from 16 TB on).
+    grow with the input, so that four n-grams in a million have another's,
+    whatever the size (up to 64 bits, the limit from 64 TB on).
     """
     size = input_bytes(docs)
     buckets = max(16, math.ceil(size / bucket_bytes))
-    bits = min(64, max(48, 20 + math.ceil(math.log2(size + 1))))
+    bits = min(64, max(46, 18 + math.ceil(math.log2(size + 1))))
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), (fold(F.col(id_col), folds) != held).alias("train"), F.col(text_col).alias("text"))
     kept = rows.mapInPandas(_sent(buckets, bits, chunk), _SENT).groupBy("bucket").applyInPandas(_answered(bits), _KEPT)
