@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.binding import let
+
 STANDARD = "ACDEFGHIKLMNPQRSTVWY"
 #: Three-letter names of the residues.
 THREE = {
@@ -54,41 +56,205 @@ def full_region(value: Column, most: int | None = None) -> Column:
     return ok if most is None else ok & (F.length(s) <= most)
 
 
+def _loop_by_anchor(s: Column, end: str) -> Column:
+    """The last of the loops from C to `end` and G that begin in the second half; empty if there is none."""
+    found = F.regexp_extract_all(s, F.lit(f"(C[A-Z]{{3,30}}?{end}G[A-Z]{{1,4}})"), F.lit(1))
+    start = lambda m: F.length(s) - F.instr(F.reverse(s), F.reverse(m)) - F.length(m) + 1
+    loop = lambda m: F.regexp_extract(m, f"^(C[A-Z]{{3,30}}?{end})G[A-Z]{{1,4}}$", 1)
+    good = F.filter(found, lambda m: (start(m) >= F.floor(F.length(s) / 2)) & F.length(loop(m)).between(5, 30) & standard(loop(m)))
+    return F.coalesce(loop(F.element_at(F.when(F.size(good) > 0, good), -1)), F.lit(""))
+
+
 def loop_of(region: Column) -> Column:
-    """CDRH3 of a heavy region: from the C to the last W (else F) followed by G, in the second half; empty if there is none."""
-    s = letters(region)
-    half = F.substr(s, (F.length(s) / 2).cast("int") + 1)
-    found = lambda end: F.regexp_extract(half, rf"^.*(C[A-Z]{{3,35}}?{end})G", 1)
-    return F.coalesce(F.nullif(found("W"), F.lit("")), found("F"))
+    """CDRH3 of a heavy region, its anchors included: up to W and G, else up to F and G; empty if there is none."""
+    return let(letters(region), lambda s: F.coalesce(F.nullif(_loop_by_anchor(s, "W"), F.lit("")), _loop_by_anchor(s, "F")))
+
+
+#: What ends the framework before the loop, in order of preference.
+BEFORE_LOOP = ["YYC", "YFC", "FYC", "YHC", "YLC", "YIC", "FFC"]
+
+
+def loop_core(region: Column) -> Column:
+    """CDRH3 of a heavy region without its anchors, between the C of a framework motif and WG.G in the last 15 residues.
+
+    Without a motif the last C within 30 residues before, beyond the 80th,
+    serves; empty for regions under 80 and loops under 3.
+    """
+
+    def of(s: Column) -> Column:
+        tail = F.substring(s, -15, 15)
+        head = F.regexp_extract(tail, r"^(.*?)WG[A-Z]G", 1)
+        stop = F.length(s) - F.length(tail) + F.length(head)
+        before = F.substr(s, F.lit(1), stop)
+        motif = F.coalesce(*[F.nullif(F.length(F.regexp_extract(before, f"^(.*{m})", 1)), F.lit(0)) for m in BEFORE_LOOP])
+        low = F.greatest(stop - 29, F.lit(80))
+        near = F.regexp_extract(F.substr(before, low + 1), "^(.*C)", 1)
+        start = F.coalesce(motif, F.when(near != "", low + F.length(near)))
+        loop = F.substr(s, start + 1, stop - start)
+        return F.when((F.length(s) >= 80) & tail.rlike("WG[A-Z]G") & (F.length(loop) >= 3), loop).otherwise("")
+
+    return let(letters(region), of)
+
+
+def untangled(loop: Column, region: Column) -> Column:
+    """A loop that runs more than three residues past the one its region derives, and begins alike, gives way to it.
+
+    A leading C does not count and is kept where the loop had one.
+    """
 
+    def of(x: Column) -> Column:
+        a, b = x["loop"], x["core"]
+        bare = F.regexp_replace(a, "^C+", "")
+        tangled = (b != "") & (F.length(bare) > F.length(b) + 3) & F.startswith(bare, F.substring(b, 1, 10))
+        return F.when(tangled, F.when(F.startswith(a, F.lit("C")) & ~F.startswith(b, F.lit("C")), F.concat(F.lit("C"), b)).otherwise(b)).otherwise(a)
 
-def untangled(loop: Column, derived: Column) -> Column:
-    """A loop that runs more than three past the derived one and begins alike gives way to it."""
-    a, b = letters(loop), letters(derived)
-    return F.when((b != "") & (F.length(a) > F.length(b) + 3) & F.startswith(a, F.substring(b, 1, 10)), b).otherwise(a)
+    return let(F.struct(letters(loop).alias("loop"), loop_core(region).alias("core")), of)
 
 
 def conflict(a: Column, b: Column) -> Column:
     """same, near or different; the tolerance is 3 % of the longer, one to three; tags of histidine do not count."""
-    x, y = (F.regexp_replace(letters(v), "H{5,10}$", "") for v in (a, b))
-    longest = F.greatest(F.length(x), F.length(y))
-    allowed = F.least(F.lit(3), F.greatest(F.lit(1), F.round(longest * 0.03).cast("int")))
-    return F.when(x == y, "same").when(F.levenshtein(x, y) <= allowed, "near").otherwise("different")
-
-
-def region_by_motif(seq: Column, starts: list[str], ends: list[str], window: int) -> Column:
-    """The variable region: from the first start motif within 80 residues to the first end motif that follows, else a fixed window."""
-    s = letters(seq)
-    at = F.lit(0)
-    for m in reversed(starts):
-        p = F.instr(F.substring(s, 1, 80), m)
-        at = F.when(p > 0, p).otherwise(at)
-    tail = F.when(at > 0, F.substr(s, at)).otherwise(s)
-    stop = F.lit(0)
-    for m in reversed(ends):
-        p = F.instr(tail, m)
-        stop = F.when(p > 0, p + len(m) - 1).otherwise(stop)
-    return F.when(stop > 0, F.substr(tail, F.lit(1), stop)).when(at > 0, F.substr(tail, F.lit(1), F.lit(window))).otherwise(s)
+    return conflict_report(a, b)["verdict"]
+
+
+def conflict_report(current: Column, incoming: Column) -> Column:
+    """verdict, edits, minor and replace of an incoming region against the current one.
+
+    An empty current value, or one that is no whole region, gives way; so does
+    one that differs by no more than the tolerance.
+    """
+    bare = lambda v: F.regexp_replace(letters(v), "H{5,10}$", "")
+
+    def of(v: Column) -> Column:
+        x, y = v["x"], v["y"]
+        longest = F.greatest(F.length(x), F.length(y))
+        allowed = F.least(F.lit(3), F.greatest(F.lit(1), F.bround(longest * 0.03).cast("int")))
+        edits = F.levenshtein(x, y)
+        verdict = F.when(x == y, "same").when(edits <= allowed, "near").otherwise("different")
+        open_ = (x == "") | ~v["whole"]
+        return F.struct(verdict.alias("verdict"), edits.alias("edits"), (open_ | (verdict != "different")).alias("minor"), (open_ | (verdict != "different")).alias("replace"))
+
+    return let(F.struct(bare(current).alias("x"), bare(incoming).alias("y"), full_region(current, 160).alias("whole")), of)
+
+
+#: Motifs with which each chain's variable domain begins, patterns with which it ends, the window where none
+#: does, how far from the start its motifs are searched, and the lengths of a likely domain.
+STARTS = {
+    "H": ["EESGGG", "EVQL", "QVQL", "DVQL", "QLQL", "HLQL", "LQLQ", "VQPGG"],
+    "L": ["DIQMTQ", "DIVVTQ", "DVVMTQ", "DIVMTQ", "QSVLTQ", "EIVLTQ", "EVVFTQ", "QVVFSQ", "VVFTQ", "MTQTPS", "VMTQTP"],
+}
+ENDS = {
+    "H": ["C[A-Z]{3,30}?WG[A-Z]{1,8}T[LVI]V?SS", "C[A-Z]{3,30}?FG[A-Z]{1,8}T[LVI]V?SS", "C[A-Z]{3,30}?WG[A-Z]{1,10}TVTV", "C[A-Z]{3,30}?FG[A-Z]{1,10}TVTV"],
+    "L": ["C[A-Z]{3,25}?FGGGTR[LVI]TVL", "C[A-Z]{3,25}?FGGGTK[LVI]E?IK", "C[A-Z]{3,25}?FGQGTKV?EIK", "C[A-Z]{3,25}?FG[A-Z]{2,12}LTVL", "C[A-Z]{3,25}?FG[A-Z]{2,12}KLEIK", "C[A-Z]{3,25}?FG[A-Z]{2,12}VK"],
+}
+WINDOW = {"H": 150, "L": 130}
+LIKELY = {"H": (95, 160), "L": (85, 140)}
+LINKER = "G{2,4}S(?:G{2,4}S){1,4}"
+
+
+def _first_filled(found: list[Column]) -> Column:
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in found])
+
+
+def _domain(s: Column, chain: str) -> Column:
+    head = F.substring(s, 1, 80)
+    at = F.array_min(F.filter(F.array(*[F.instr(head, m) for m in STARTS[chain]]), lambda p: p > 0))
+    tail = F.substr(s, at)
+    ended = _first_filled([F.regexp_extract(tail, f"^(.*?{p})", 1) for p in ENDS[chain]])
+    last = _first_filled([F.regexp_extract(s, f"^(.*{p})", 1) for p in ENDS[chain]])
+    return F.when(at.isNotNull(), F.coalesce(ended, F.substring(tail, 1, WINDOW[chain]))).otherwise(F.coalesce(F.regexp_extract(last, f"(.{{1,{WINDOW[chain]}}})$", 1), s))
+
+
+def _likely(s: Column, chain: str) -> Column:
+    return F.length(s).between(*LIKELY[chain])
+
+
+def _start_places(s: Column, chain: str, within: int | None = None) -> Column:
+    """Places (from one) at which a chain's motifs begin, in order."""
+    upto = F.length(s) if within is None else F.least(F.length(s), F.lit(within))
+    places = F.sequence(F.lit(1), F.greatest(upto, F.lit(1)))
+    return F.filter(places, lambda i: F.exists(F.array(*map(F.lit, STARTS[chain])), lambda m: (F.substr(s, i, F.length(m)) == m) & (i + F.length(m) - 1 <= upto)))
+
+
+def single_chain_domains(value: Column) -> Column:
+    """heavy and light domain of a single-chain fragment, both empty unless it has two likely ones.
+
+    A heavy motif with a light one 70 residues on, else a light one with a
+    heavy one 60 on; else, with a linker, each chain's domain of the whole.
+    """
+
+    def of(x: Column) -> Column:
+        s = x["s"]
+
+        def split(first: str, second: str, gap: int) -> Column:
+            starts, others = x[first], x[second]
+            cuts = F.transform(starts, lambda a: F.struct(a.alias("a"), F.array_min(F.filter(others, lambda b: b >= a + gap)).alias("b")))
+            both = F.transform(F.filter(cuts, lambda c: c["b"].isNotNull()), lambda c: F.struct(_domain(F.substr(s, c["a"], c["b"] - c["a"]), first).alias(first), _domain(F.substr(s, c["b"]), second).alias(second)))
+            return F.get(F.filter(both, lambda d: _likely(d[first], first) & _likely(d[second], second)), F.lit(0))
+
+        whole = F.struct(_domain(s, "H").alias("H"), _domain(s, "L").alias("L"))
+        linked = F.when(s.rlike(LINKER), let(whole, lambda d: F.when(_likely(d["H"], "H") & _likely(d["L"], "L"), d)))
+        one, two = split("H", "L", 70), split("L", "H", 60)
+        pick = lambda k: F.coalesce(one[k], two[k], linked[k], F.lit(""))
+        usable = (F.length(s) >= 180) & (F.size(x["H"]) > 0) & (F.size(x["L"]) > 0)
+        return F.struct(F.when(usable, pick("H")).otherwise("").alias("heavy"), F.when(usable, pick("L")).otherwise("").alias("light"))
+
+    return let(letters(value), lambda s: let(F.struct(s.alias("s"), _start_places(s, "H", 140).alias("H"), _start_places(s, "L").alias("L")), of))
+
+
+def variable_domain(value: Column, chain: str) -> Column:
+    """The variable domain of a chain (H or L): of a single-chain fragment its own half, else the cut by motifs."""
+    key = {"H": "heavy", "L": "light"}[chain]
+    half = F.when(F.length(letters(value)) >= 180, single_chain_domains(value)[key]).otherwise("")
+    return F.when(letters(value) == "", "").otherwise(F.coalesce(F.nullif(half, F.lit("")), let(letters(value), lambda s: _domain(s, chain))))
+
+
+def chain_of(region: Column) -> Column:
+    """heavy, light or unknown, by the motif with which a whole region begins, two residues in at most; the earlier wins."""
+
+    def of(s: Column) -> Column:
+        first = lambda chain: F.array_min(F.filter(F.array(*[F.instr(s, m) for m in STARTS[chain]]), lambda p: p.between(1, 3)))
+        h, l = F.coalesce(first("H"), F.lit(9)), F.coalesce(first("L"), F.lit(9))  # noqa: E741
+        return F.when(full_region(s, 160), F.when(h < l, "heavy").when(l < h, "light").otherwise("unknown")).otherwise("unknown")
+
+    return let(letters(region), of)
+
+
+def fits_chain(field: Column, value: Column) -> Column:
+    """Whether a region may stand in a field: not if it begins like the opposite chain."""
+    wrong = F.when(field == "vh_sequence_aa", "light").when(field == "vl_sequence_aa", "heavy")
+    return F.coalesce(chain_of(value) != wrong, F.lit(True))
+
+
+#: How a chain's description tells its role, in order of trial.
+ROLES = [
+    ("heavy", r"\bnanobody\b|\bvhh\b|single[- ]domain antibody|camelid antibody fragment"),
+    ("scfv", r"\bscfv\b|single[- ]chain fv|single[- ]chain variable fragment"),
+    ("heavy", r"\bheavy\s+chain\b|fab(?:\s+fragment)?[^a-z0-9]*heavy\s+chain|immunoglobulin heavy"),
+    ("heavy", r"\b(?:hc|vh)\b|(?:hc|vh)$|heavy[_ ]?chain|variable[_ ]?heavy"),
+    ("light", r"\blight\s+chain\b|fab(?:\s+fragment)?[^a-z0-9]*light\s+chain|immunoglobulin (?:kappa |lambda )?light"),
+    ("light", r"\b(?:kc|lc|vl)\b|(?:kc|lc|vl)$|kappa|lambda|variable[_ ]?light"),
+]
+RECORD_CHAINS = [
+    ("heavy", r"immunoglobulin (?:variable region )?heavy chain|heavy chain (?:variable|variable region)|ighv|vh\b"),
+    ("light", r"immunoglobulin (?:variable region )?(?:kappa |lambda )?light chain|light chain (?:variable|variable region)|igk|igl|vk\b|vl\b|kappa|lambda"),
+]
+
+
+def chain_role(description: Column, sequence: Column | None = None) -> Column:
+    """scfv, heavy, light or other: a sequence with two domains is an scfv, whatever it is called."""
+    text = F.regexp_replace(F.lower(F.coalesce(description, F.lit(""))), "[_-]+", " ")
+    out = F.lit("other")
+    for role, pattern in reversed(ROLES):
+        out = F.when(text.rlike(pattern), role).otherwise(out)
+    if sequence is None:
+        return out
+    return F.when(F.coalesce(single_chain_domains(sequence)["heavy"], F.lit("")) != "", "scfv").otherwise(out)
+
+
+def record_chain(*texts: Column) -> Column:
+    """heavy, light or unknown by what a database record says of a feature."""
+    text = F.lower(F.concat_ws(" ", *texts))
+    return F.when(text.rlike(RECORD_CHAINS[0][1]), "heavy").when(text.rlike(RECORD_CHAINS[1][1]), "light").otherwise("unknown")
 
 
 def from_alignment(reference: Column, line: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.binding import let
+
 #: What a unit is in nM, and how each field is read.
 NANOMOLAR = {"pM": 0.001, "nM": 1.0, "uM": 1000.0, "μM": 1000.0, "µM": 1000.0, "mM": 1e6, "M": 1e9}
 NUMERIC_FIELDS = {
@@ -13,6 +15,10 @@ NUMERIC_FIELDS = {
 }
 SEVERAL = r"(?i)\b(and|or|to|~|–|—|respectively)\b|,\s*\d|[;；]|>\s*\d|<\s*\d|±|\brange\b"
 POWER = r"(-?\d+\.?\d*)\s*[×xX\*]\s*10\s*\^?\s*[\(\[]?\s*(-?\d+)\s*[\)\]]?"
+EXPONENT = r"^[=≈~:]*\s*(-?\d+\.?\d*)\s*[eE]\s*([+-]?\d+)"
+UNIT = r"(pM|nM|[μµu]M|mM|M)\b"
+MEASURED = r"(\d+\.?\d*)\s*(pM|nM|[μµu]M|mM|M)\b"
+BARE = r"^[=≈~:KDkdECec50]*\s*(\d+\.?\d*)\s*$"
 RAISED = ("⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺", "0123456789-+")
 
 
@@ -35,12 +41,15 @@ def several(text: Column) -> Column:
 
 def scientific(text: Column) -> Column:
     """a e b at the start, a x 10^b anywhere, or with a raised exponent; null otherwise."""
-    t = F.trim(text)
-    anchored = r"^[=≈~:]*\s*(-?\d+\.?\d*)\s*[eE]\s*([+-]?\d+)"
-    flat = F.regexp_replace(t, r"(10)([⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺]+)", "$1^$2")
-    flat = F.regexp_replace(F.translate(flat, *RAISED), r"\^\+", "^")
-    value = lambda s, p: _number(F.regexp_extract(s, p, 1)) * F.pow(F.lit(10.0), _number(F.regexp_extract(s, p, 2)))
-    return F.when(t.rlike(anchored), value(t, anchored)).when(flat.rlike(POWER), value(flat, POWER))
+
+    def of(t: Column) -> Column:
+        flat = F.regexp_replace(F.translate(F.regexp_replace(t, r"(10)([⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺]+)", "$1^$2"), *RAISED), r"\^\+", "^")
+        # the mantissa and the exponent, apart, from the first of the patterns that holds
+        found = F.array(*[F.when(s.rlike(p), F.array(F.regexp_extract(s, p, 1), F.regexp_extract(s, p, 2))) for s, p in ((t, EXPONENT), (flat, POWER))])
+        pair = F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
+        return let(pair, lambda x: _number(F.get(x, F.lit(0))) * F.pow(F.lit(10.0), _number(F.get(x, F.lit(1)))))
+
+    return let(F.trim(text), of)
 
 
 def _factor(unit: Column) -> Column:
@@ -52,35 +61,42 @@ def _factor(unit: Column) -> Column:
 
 def concentration(text: Column) -> Column:
     """Value in nM; a bare number is nM, scientific notation with no known unit stays as it is."""
+
+    def of(x: Column) -> Column:
+        t, sci, unit = x["t"], x["sci"], x["unit"]
+        value = F.regexp_extract(t, MEASURED, 1)
+        return (
+            F.when(sci.isNotNull(), sci * _factor(unit))
+            .when(value != "", _number(value) * _factor(F.regexp_extract(t, MEASURED, 2)))
+            .otherwise(_number(F.nullif(F.regexp_extract(t, BARE, 1), F.lit(""))))
+        )
+
     t = F.trim(text)
-    sci, unit = scientific(t), F.regexp_extract(t, r"(pM|nM|[μµu]M|mM|M)\b", 1)
-    measured = r"(\d+\.?\d*)\s*(pM|nM|[μµu]M|mM|M)\b"
-    bare = r"^[=≈~:KDkdECec50]*\s*(\d+\.?\d*)\s*$"
-    return (
-        F.when(sci.isNotNull(), F.when(unit != "", sci * _factor(unit)).otherwise(sci))
-        .when(t.rlike(measured), _number(F.regexp_extract(t, measured, 1)) * _factor(F.regexp_extract(t, measured, 2)))
-        .when(t.rlike(bare), _number(F.regexp_extract(t, bare, 1)))
-    )
+    return let(F.struct(t.alias("t"), scientific(t).alias("sci"), F.regexp_extract(t, UNIT, 1).alias("unit")), of)
 
 
 def temperature(text: Column) -> Column:
     """The first number if it lies between 20 and 120 degrees."""
     first = _number(F.nullif(F.regexp_extract(F.trim(text), r"(\d+\.?\d*)", 1), F.lit("")))
-    return F.when(first.between(20, 120), first)
+    return let(first, lambda n: F.when(n.between(20, 120), n))
 
 
 def quantity(field: Column, text: Column) -> Column:
     """Value of text as the field is read; null where it is blank, ambiguous or not understood."""
-    t = F.trim(F.coalesce(text, F.lit("")))
     kinds = {k: [f for f, x in NUMERIC_FIELDS.items() if x == k] for k in ("concentration", "scientific", "temperature")}
-    first = _number(F.nullif(F.regexp_extract(t, r"(-?\d+\.?\d*)", 1), F.lit("")))
-    value = (
-        F.when(field.isin(kinds["concentration"]), concentration(t))
-        .when(field.isin(kinds["scientific"]), scientific(t))
-        .when(field.isin(kinds["temperature"]), temperature(t))
-        .otherwise(first)
-    )
-    return F.when((t != "") & ~several(t), value)
+
+    def of(x: Column) -> Column:
+        t, f = x["t"], x["f"]
+        first = _number(F.nullif(F.regexp_extract(t, r"(-?\d+\.?\d*)", 1), F.lit("")))
+        value = (
+            F.when(f.isin(kinds["concentration"]), concentration(t))
+            .when(f.isin(kinds["scientific"]), scientific(t))
+            .when(f.isin(kinds["temperature"]), temperature(t))
+            .otherwise(first)
+        )
+        return F.when((t != "") & ~several(t), value)
+
+    return let(F.struct(F.trim(F.coalesce(text, F.lit(""))).alias("t"), field.alias("f")), of)
 
 
 def numeric_label(gt: Column, pred: Column) -> Column:

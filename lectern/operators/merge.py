@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions import sequences, text
+from lectern.functions import sequences, text, units
+from lectern.functions.binding import bound
+from lectern.operators.records import structure_fits, target_key
 
 #: Priority of a source; a later kind of evidence outranks an earlier one.
 PRIORITY = {"text": 1, "figure": 1, "table": 1, "sequence_image": 2, "api": 3}
@@ -21,17 +23,19 @@ def merge_fields(evidence: DataFrame) -> DataFrame:
 
     Blank values never win.  Regions of variable domains must be whole and go
     to the source of highest priority; every other field keeps the first value
-    seen, whatever the source.  One aggregation by (paper, name, field): a
-    record with any number of pieces of evidence combines map-side.
+    seen, whatever the source; conflict tells whether values differed.  One
+    aggregation by (paper, name, field): a record with any number of pieces of
+    evidence combines map-side.
     """
     region = F.col("field").isin("vh_sequence_aa", "vl_sequence_aa")
-    usable = text.has_output(F.col("value")) & (~region | sequences.full_region(F.col("value"), 160))
+    rows = bound(evidence, _value=F.col("value"), _key=text.name_key(F.col("name")))
+    rows = bound(rows, _letters=F.when(region, sequences.letters(F.col("_value"))), _low=text.folded(F.col("_value")))
+    whole = sequences.standard(F.col("_letters")) & F.length("_letters").between(80, 160)
+    rows = rows.filter((F.col("_low") != "") & (~region | whole))
     rank = F.when(region, priority(F.col("source"))).otherwise(F.lit(0))
-    key = text.name_key(F.col("name"))
-    rows = evidence.filter(usable).select("paper_id", key.alias("name_key"), "name", "field", "value", "source", "seq", rank.alias("rank"))
-    best = F.max_by(F.struct("name", "value", "source"), F.struct("rank", -F.col("seq")))
-    return rows.groupBy("paper_id", "name_key", "field").agg(best.alias("b"), F.count("*").alias("n_evidence"), F.size(F.collect_set(F.lower("value"))).alias("n_values")).select(
-        "paper_id", "name_key", "b.name", "field", "b.value", "b.source", "n_evidence", "n_values")
+    best = F.max_by(F.struct("name", F.col("_value").alias("value"), "source"), F.struct(rank, -F.col("seq")))
+    return rows.groupBy("paper_id", F.col("_key").alias("name_key"), "field").agg(best.alias("b"), F.count("*").alias("n_evidence"), (F.min("_low") != F.max("_low")).alias("conflict")).select(
+        "paper_id", "name_key", "b.name", "field", "b.value", "b.source", "n_evidence", "conflict")
 
 
 def consensus(values: Column) -> Column:
@@ -40,9 +44,9 @@ def consensus(values: Column) -> Column:
     return F.when(F.count_distinct(F.lower(filled)) == 1, F.min(filled)).otherwise("")
 
 
-def longest_by_name(records: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
-    """The longest non-blank value of each field within a key; of equal lengths the one that sorts first."""
-    pick = lambda f: F.min_by(F.col(f), F.struct(-F.length(F.col(f)), F.col(f)))
+def longest_by_name(records: DataFrame, by: list[str], fields: list[str], valid=text.has_output) -> DataFrame:
+    """The longest valid value of each field within a key; of equal lengths the one that sorts first."""
+    pick = lambda f: F.min_by(F.when(valid(F.col(f)), F.col(f)), F.when(valid(F.col(f)), F.struct(-F.length(F.col(f)), F.col(f))))
     return records.groupBy(*by).agg(*[F.coalesce(pick(f), F.lit("")).alias(f) for f in fields])
 
 
@@ -53,18 +57,28 @@ def fill_within_name(records: DataFrame, by: list[str], fields: list[str]) -> Da
     return out.withColumns({f: F.when(text.has_output(F.col(f)), F.col(f)).otherwise(F.coalesce(f"_{f}", F.lit(""))) for f in fields}).drop(*[f"_{f}" for f in fields])
 
 
-def duplicate_values(records: DataFrame, fields: list[str], name: str) -> DataFrame:
-    """field, sequence, names: values that several records share, once upper-cased and freed of spaces."""
+def duplicate_values(records: DataFrame, fields: list[str], name: str, shown: int = 20) -> DataFrame:
+    """field, sequence, n, names: values that several records share, once upper-cased and freed of spaces.
+
+    n counts all of them; names lists the first few (numbers in order of the
+    names), so a value that a third of all records share is still one short row.
+    """
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.regexp_replace(F.upper(F.coalesce(F.col(f), F.lit(""))), r"\s+", "").alias("sequence")) for f in fields])
-    rows = records.select(name, F.explode(each).alias("x")).select(name, "x.*").filter("sequence <> ''")
-    return rows.groupBy("field", "sequence").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(name)), ",").alias("names")).filter("n > 1")
+    rows = records.select(F.col(name).alias("_name"), F.explode(each).alias("x")).select("_name", "x.*").filter("sequence <> ''")
+    several = rows.groupBy("field", "sequence").agg(F.count("*").alias("n")).filter("n > 1")
+    first = rows.join(several.select("field", "sequence"), ["field", "sequence"], "left_semi")
+    first = first.withColumn("_r", F.row_number().over(Window.partitionBy("field", "sequence").orderBy("_name"))).filter(F.col("_r") <= shown)
+    named = first.groupBy("field", "sequence").agg(F.array_join(F.array_sort(F.collect_list("_name")), ",").alias("names"))
+    return several.join(named, ["field", "sequence"])
 
 
 def chain_lookup(wanted: DataFrame, chains: DataFrame) -> DataFrame:
-    """wanted (name HxLy, heavy, light) with the longest sequence of each id from chains (chain_id, sequence, seq)."""
+    """wanted (name HxLy, heavy, light and maybe vh, vl) with the longest sequence of each id from chains (chain_id, sequence, seq); filled ones stay."""
     best = chains.filter(text.has_output(F.col("sequence"))).groupBy("chain_id").agg(F.max_by("sequence", F.struct(F.length("sequence"), -F.col("seq"))).alias("s"))
-    heavy, light = best.select(F.col("chain_id").alias("heavy"), F.col("s").alias("vh")), best.select(F.col("chain_id").alias("light"), F.col("s").alias("vl"))
-    return wanted.join(heavy, "heavy", "left").join(light, "light", "left")
+    heavy, light = best.select(F.col("chain_id").alias("heavy"), F.col("s").alias("_vh")), best.select(F.col("chain_id").alias("light"), F.col("s").alias("_vl"))
+    out = wanted.join(heavy, "heavy", "left").join(light, "light", "left")
+    own = lambda c: F.when(text.has_output(F.col(c)), F.col(c)) if c in wanted.columns else F.lit(None)
+    return out.withColumns({"vh": F.coalesce(own("vh"), "_vh"), "vl": F.coalesce(own("vl"), "_vl")}).drop("_vh", "_vl")
 
 
 def nearest_bonus(distance: Column) -> Column:
@@ -80,10 +94,41 @@ def nearest_evidence(images: DataFrame, reach: int = 2) -> DataFrame:
     return images.join(near, ["doc_id", "pos"], "left").withColumn("bonus", nearest_bonus(F.col("distance")))
 
 
-def expand_targets(records: DataFrame, targets: str, metrics: list[str]) -> DataFrame:
-    """A record with several targets becomes one a target, without its metrics; others stay as they are."""
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col(targets), F.lit("")), ";"), lambda t: F.trim(t)), lambda x: x != "")
-    many = F.size(parts) >= 2
-    out = records.withColumn("_t", F.explode(F.when(many, parts).otherwise(F.array(F.coalesce(F.col(targets), F.lit("")))))).withColumn("_m", many)
-    out = out.withColumns({m: F.when(F.col("_m"), F.lit("")).otherwise(F.col(m)) for m in metrics})
-    return out.withColumn(targets, F.col("_t")).drop("_t", "_m")
+#: What tells two profiles of one antibody apart.
+PROFILE = ["Binding_Kinetics_KD", "Binding_Kinetics_kon", "Binding_Kinetics_koff", "Binding_EC50", "Quantitative_Metric", "Thermal_Stability_Tm"]
+
+
+def expand_targets(records: DataFrame, evidence: DataFrame, cleared: tuple[str, ...] = (*PROFILE, "In_Vivo_Efficacy")) -> DataFrame:
+    """records (paper_id, name, Target_Name, ...) with one record a target for antibodies whose evidence has several.
+
+    evidence (paper_id, name, Target_Name, fields, seq): an antibody is split
+    only if its evidence names two targets or more and its filled profiles
+    (metrics, blanks and case aside) are two or more, all with a target.  Each
+    target's record is the one that is there, or a copy of the first without
+    its metrics and without a structure of another complex; then what the
+    target's evidence says, field by field the first that is filled, is
+    written into it.
+    """
+    fields = [c for c in evidence.columns if c in records.columns and c not in ("paper_id", "name", "Target_Name")]
+    key, target = text.folded(F.col("name")).alias("_k"), target_key(F.col("Target_Name")).alias("_c")
+    signature = F.concat_ws("|", *[units.metric_key(F.col(c)) for c in PROFILE if c in evidence.columns])
+    said = evidence.select("paper_id", key, target, "Target_Name", "seq", *fields, signature.alias("_sig")).filter("_k <> ''")
+    filled = F.regexp_replace("_sig", r"\|", "") != ""
+    able = said.groupBy("paper_id", "_k").agg(
+        F.count_distinct(F.when(F.col("_c") != "", F.col("_c"))).alias("targets"), F.count_distinct(F.when(filled, F.struct("_c", "_sig"))).alias("profiles"),
+        F.count_distinct(F.when(filled, F.col("_c"))).alias("profiled"), F.max(F.when(filled & (F.col("_c") == ""), 1).otherwise(0)).alias("nameless"))
+    able = able.filter("targets > 1 AND profiles > 1 AND profiled > 1 AND nameless = 0").select("paper_id", "_k")
+    first = lambda c: F.min_by(F.when(text.has_output(F.col(c)), F.col(c)), F.when(text.has_output(F.col(c)), F.col("seq"))).alias(f"_n_{c}")
+    wanted = said.filter(filled).join(able, ["paper_id", "_k"]).groupBy("paper_id", "_k", "_c").agg(F.min_by("Target_Name", "seq").alias("_n_Target_Name"), *map(first, fields))
+
+    rows = records.withColumns({"_k": text.folded(F.col("name")), "_c": target_key(F.col("Target_Name")), "_i": F.monotonically_increasing_id()})
+    own = rows.join(wanted, ["paper_id", "_k", "_c"], "left")
+    base = rows.filter("_k <> ''").groupBy("paper_id", "_k").agg(F.min_by(F.struct(*records.columns), "_i").alias("_b"))
+    new = wanted.join(rows.select("paper_id", "_k", "_c"), ["paper_id", "_k", "_c"], "left_anti").join(base, ["paper_id", "_k"])
+    new = new.select(*[F.col(f"_b.{c}").alias(c) for c in records.columns], *[f"_n_{c}" for c in ("Target_Name", *fields)])
+    blank = {c: F.lit("") for c in cleared if c in records.columns}
+    if "Structure" in records.columns:
+        blank["Structure"] = F.when(structure_fits(F.col("Structure"), F.col("_n_Target_Name")), F.col("Structure")).otherwise("")
+    new = new.withColumns(blank)
+    told = [F.coalesce(F.col(f"_n_{c}"), F.col(c)).alias(c) if c in ("Target_Name", *fields) else F.col(c) for c in records.columns]
+    return own.select(*told).unionByName(new.select(*told))

@@ -184,21 +184,6 @@ def _(spark, sf_dir):
     return ids.groupBy(text.category(F.col("id")).alias("category")).agg(F.count("*").alias("n"))
 
 
-@query("p04_is_empty", """SELECT p_partkey, v, p_partkey % 8 IN (0, 1, 2, 3, 4) AS empty FROM (
-  SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN '' WHEN 1 THEN 'N/A (light chain)' WHEN 2 THEN ' Not Reported ' WHEN 3 THEN 'n.d.' WHEN 4 THEN 'not applicable' WHEN 5 THEN 'see Table 2'
-    WHEN 6 THEN '0.5 nM' ELSE p_name END AS v FROM part)""")
-def _(spark, sf_dir):
-    k = F.col("p_partkey")
-    forms = F.array(*map(F.lit, ["", "N/A (light chain)", " Not Reported ", "n.d.", "not applicable", "see Table 2", "0.5 nM"]), F.col("p_name"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.element_at(forms, (k % 8 + 1).cast("int")).alias("v")).withColumn("empty", text.is_empty(F.col("v")))
-
-
-@query("p05_has_output", "SELECT o_orderkey, o_orderkey % 3 <> 0 AS has FROM orders")
-def _(spark, sf_dir):
-    k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.has_output(F.when(k % 3 == 0, "  ").otherwise("N/A")).alias("has"))
-
-
 @query("f01_match_key", "SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS key FROM part")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.match_key(F.col("p_name")).alias("key"))
@@ -237,21 +222,6 @@ def _(spark, sf_dir):
     return p.join(other, "p_partkey").select("p_partkey", F.levenshtein("p_name", "other").cast("long").alias("d"))
 
 
-@query("f12_reference_parts", """SELECT o_orderkey, '10.1000/x' || o_orderkey AS doi, cast(1990 + o_orderkey % 30 AS VARCHAR) AS year, 'smith' AS author FROM orders""")
-def _(spark, sf_dir):
-    k = F.col("o_orderkey")
-    ref = F.concat(F.lit("Smith et al. Nat Med, "), (1990 + k % 30).cast("string"), F.lit(". DOI: 10.1000/X"), k.cast("string"), F.lit("."))
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.doi(ref).alias("doi"), text.year(ref).alias("year"), text.first_author(ref).alias("author"))
-
-
-@query("f14_reference_label", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'partial' WHEN 2 THEN 'exact' END AS label FROM orders""")
-def _(spark, sf_dir):
-    k, y = F.col("o_orderkey"), (1990 + F.col("o_orderkey") % 30).cast("string")
-    gt = F.when(k % 4 == 2, F.concat(F.lit("Nature "), y, F.lit(" (Lee et al.)"))).otherwise(F.concat(F.lit("Lee et al. "), y, F.lit(" doi 10.1000/a1")))
-    pred = F.when(k % 4 == 0, F.lit("DOI:10.1000/A1.")).when(k % 4 == 1, F.concat(F.lit("Lee et al. "), y, F.lit(" doi 10.1000/b2"))).when(k % 4 == 2, F.concat(F.lit("Nature "), y, F.lit(" (Lee et al.)"))).otherwise("Kim et al. 1900")
-    return table(spark, sf_dir, "orders").select("o_orderkey", judge.reference_label(gt, pred).alias("label"))
-
-
 @query("u01_token_jaccard", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS j FROM part")
 def _(spark, sf_dir):
     k = F.col("p_partkey")
@@ -289,44 +259,15 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", units.quantity(F.lit("Thermal_Stability_Tm"), t).alias("t"))
 
 
-@query("m06_numeric_label", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'partial' WHEN 2 THEN 'wrong' WHEN 3 THEN NULL ELSE 'wrong' END AS label FROM part")
-def _(spark, sf_dir):
-    k, g = F.col("p_partkey"), F.floor(F.col("p_retailprice") * 100).cast("double")
-    pred = F.when(k % 5 == 0, g * 1.05).when(k % 5 == 1, g * 2).when(k % 5 == 2, g * 10).when(k % 5 == 4, -g)
-    return table(spark, sf_dir, "part").select("p_partkey", units.numeric_label(g, pred).alias("label"))
-
-
 @query("m07_kd_sort_key", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size / 2.0e0 ELSE p_size * 0.001e0 END AS k FROM part")
 def _(spark, sf_dir):
     s = F.col("p_size").cast("string")
     return table(spark, sf_dir, "part").select("p_partkey", units.sort_key(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("<"), s, F.lit(" nM"))).otherwise(F.concat(s, F.lit(" pM")))).alias("k"))
 
 
-@query("g02_method_label", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'partial' WHEN 2 THEN 'exact' WHEN 3 THEN 'partial' ELSE 'wrong' END AS label FROM orders")
-def _(spark, sf_dir):
-    pred = F.element_at(F.array(*map(F.lit, ["spr, elisa", "ELISA; SPR; Western blot", "ELISA, SPR, BLI", "SPR", "sequencing"])), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", judge.method_label(F.lit("ELISA / surface plasmon resonance"), pred).alias("label"))
-
-
-@query("g03_type_label", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'wrong' WHEN 2 THEN 'exact' WHEN 3 THEN NULL ELSE 'wrong' END AS label FROM orders")
-def _(spark, sf_dir):
-    i = (F.col("o_orderkey") % 5 + 1).cast("int")
-    gt = F.element_at(F.array(*map(F.lit, ["IgG1", "IgG", "mAb", "IgG2a", "Fab"])), i)
-    pred = F.element_at(F.array(*map(F.lit, ["monoclonal IgG4", "mAb", "IgG", "mAb", "VHH"])), i)
-    return table(spark, sf_dir, "orders").select("o_orderkey", judge.type_label(gt, pred).alias("label"))
-
-
 # ---------------------------------------------------------------- sequences and checks
 
 
-@query("b12_sequence_label", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'exact' WHEN 2 THEN 'partial' ELSE 'wrong' END AS label FROM customer")
-def _(spark, sf_dir):
-    k = F.col("c_custkey")
-    s = recipes.region(k)
-    pred = F.when(k % 4 == 0, F.lower(s)).when(k % 4 == 1, F.substring(s, 5, 80)).when(k % 4 == 2, F.concat(F.lit("WWW"), F.substring(s, 4, 93))).otherwise(recipes.region(k + 5000000))
-    return table(spark, sf_dir, "customer").select("c_custkey", judge.sequence_label(s, pred).alias("label"))
-
-
 @query("b03_sequence_gates", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE s END AS region, substr(s, 1, 20) AS loop FROM (SELECT c_custkey,
   translate(upper(md5('a' || c_custkey)), '0123456789ABCDEF', 'ACDEFGHIKLMNPQRS') || translate(upper(md5('b' || c_custkey)), '0123456789ABCDEF', 'ACDEFGHIKLMNPQRS')
   || translate(upper(md5('c' || c_custkey)), '0123456789ABCDEF', 'ACDEFGHIKLMNPQRS') AS s FROM customer)""")
@@ -390,25 +331,6 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(scan.links(F.col("html"))).cast("long").alias("n"), F.size(F.regexp_extract_all("html", F.lit("(<li>)"), F.lit(1))).cast("long").alias("items"))
 
 
-@query("r02_accessions", "SELECT c_custkey, 'MK' || lpad(c_custkey::VARCHAR, 6, '0') AS accession, 'nucleotide' AS kind FROM customer")
-def _(spark, sf_dir):
-    k = F.col("c_custkey")
-    sep = F.element_at(F.array(*map(F.lit, ["", " ", "_", "-"])), (k % 4 + 1).cast("int"))
-    t = F.concat(F.lit("deposited under mk"), sep, F.lpad(k.cast("string"), 6, "0"), F.lit(".1 in the archive"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.explode(scan.accessions(t)).alias("accession"))
-    return rows.withColumn("kind", scan.accession_kind(F.col("accession")))
-
-
-@query("r01_r08_bundle", """SELECT c_custkey, '1ABC,7K' || chr(65 + (c_custkey % 26)::INT) || 'Z' AS structures, 'IGHV3-' || (c_custkey % 60 + 1) AS gene, '10.1038/s' || c_custkey AS doi, '12345678' AS pmid, 1 AS html, 1 AS pipe, 'A,B,C' AS tracks FROM customer""")
-def _(spark, sf_dir):
-    k = F.col("c_custkey")
-    t = F.concat(
-        F.lit("Structures 1ABC and 7K"), F.char(65 + k % 26), F.lit("Z use IGHV3-"), (k % 60 + 1).cast("string"), F.lit(". See 10.1038/s"), k.cast("string"), F.lit(") PMID: 12345678.\n<table><tr><td>x</td></tr></table>\n| a | b |\n| --- | --- |\n| 1 | 2 |\n"))
-    s = table(spark, sf_dir, "customer").select("c_custkey", scan.bundle(t).alias("s"))
-    j = lambda c: F.array_join(c, ",")
-    return s.select("c_custkey", j("s.structure_ids").alias("structures"), j("s.genes.imgt_v").alias("gene"), j("s.dois").alias("doi"), j("s.pubmed_ids").alias("pmid"), F.col("s.tables.html"), F.col("s.tables.pipe"), j(scan.tracks(F.col("s"))).alias("tracks"))
-
-
 def _order_tables(spark, sf_dir, html: bool) -> DataFrame:
     row = F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("p"), "l_returnflag")
     o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("rows"))
@@ -511,13 +433,6 @@ def _(spark, sf_dir):
     return out.select("at.l_orderkey", "at.l_linenumber", F.col("r_at.p_partkey").alias("r_partkey"))
 
 
-@query("j13_expand_targets", """SELECT c_custkey, t AS target, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '5 nM' END AS kd FROM (
-  SELECT c_custkey, unnest(CASE WHEN c_custkey % 3 = 0 THEN ['HER2', 'EGFR'] ELSE ['PD-1'] END) AS t FROM customer)""")
-def _(spark, sf_dir):
-    r = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "HER2; EGFR").otherwise("PD-1").alias("target"), F.lit("5 nM").alias("kd"))
-    return merge.expand_targets(r, "target", ["kd"])
-
-
 @query("j18_nearest_evidence", """WITH i AS (SELECT c_nationkey AS doc_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)::BIGINT AS pos, c_custkey % 7 = 0 AS evidence FROM customer)
   SELECT a.doc_id, a.pos, CASE min(abs(a.pos - b.pos)) WHEN 0 THEN 12 WHEN 1 THEN 22 WHEN 2 THEN 10 ELSE 0 END AS bonus
   FROM i a LEFT JOIN i b ON b.doc_id = a.doc_id AND b.evidence AND abs(a.pos - b.pos) <= 2 GROUP BY a.doc_id, a.pos""")
@@ -660,13 +575,6 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", records.precise_type(kind, isotype).alias("kind"))
 
 
-@query("p09_non_core", "SELECT o_orderkey, o_orderkey % 4 <> 3 AS non_core FROM orders")
-def _(spark, sf_dir):
-    i = (F.col("o_orderkey") % 4 + 1).cast("int")
-    name, kind = F.element_at(F.array(*map(F.lit, ["C05 germline", "ab-2", "x1hx2k", "ab-4"])), i), F.element_at(F.array(*map(F.lit, ["IgG", "Chimeric IgG", "IgG", "IgG"])), i)
-    return table(spark, sf_dir, "orders").select("o_orderkey", records.non_core(name, kind).alias("non_core"))
-
-
 @query("p10_without_internal", "SELECT o_orderkey, o_orderstatus AS status, 1 AS n FROM orders")
 def _(spark, sf_dir):
     m = records.without_internal(F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("_source"), F.lit("x")))
@@ -708,13 +616,6 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", records.corroborated(s, body).alias("found"))
 
 
-@query("j14_cross_reactive", """SELECT 'ab' || c_custkey AS name, 'HER2' AS target, '5 nM' AS kd FROM customer UNION ALL SELECT 'ab' || c_custkey, 'EGFR', '' FROM customer WHERE c_custkey % 2 = 0""")
-def _(spark, sf_dir):
-    k = F.col("c_custkey")
-    r = table(spark, sf_dir, "customer").select(F.concat(F.lit("ab"), k.cast("string")).alias("name"), F.lit("HER2").alias("target"), F.when(k % 2 == 0, "EGFR; her2; N/A").otherwise("none").alias("reactive"), F.lit("5 nM").alias("kd"))
-    return records.cross_reactive(r, "target", "reactive", ["kd"]).select("name", "target", "kd")
-
-
 @query("j15_positional_zip", """WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
   SELECT l_orderkey, 'L' || l_partkey AS label, 'S' || l_partkey AS line FROM n""")
 def _(spark, sf_dir):
