@@ -29,30 +29,37 @@ def salvage(reply: str | None) -> str | None:
 
 
 def closed(reply: str | None) -> str | None:
-    """A cut-off reply with its open strings, arrays and objects closed; null if that does not parse."""
+    """A cut-off reply with its open strings, arrays and objects closed; null if that does not parse.
+
+    One pass notes at each place where the text could end what is open there
+    (lists that share their tails); the places are tried from the last.
+    """
     body = (reply or "").strip()
     start = min((i for i in (body.find("{"), body.find("[")) if i >= 0), default=-1)
     if start < 0:
         return None
     body = body[start:]
-    for end in range(len(body), 0, -1):
-        if end < len(body) and body[end] not in ',]}"':
-            continue
-        stack, quoted, escaped = [], False, False
-        for c in body[:end]:
-            if escaped:
-                escaped = False
-            elif c == "\\" and quoted:
-                escaped = True
-            elif c == '"':
-                quoted = not quoted
-            elif not quoted and c in "{[":
-                stack.append("}" if c == "{" else "]")
-            elif not quoted and c in "}]" and stack:
-                stack.pop()
-        text = body[:end] + '"' * quoted
+    open_, quoted, escaped, ends = None, False, False, []
+    for i, c in enumerate(body):
+        if c in ',]}"':
+            ends.append((i, open_, quoted))
+        if escaped:
+            escaped = False
+        elif c == "\\" and quoted:
+            escaped = True
+        elif c == '"':
+            quoted = not quoted
+        elif not quoted and c in "{[":
+            open_ = ("}" if c == "{" else "]", open_)
+        elif not quoted and c in "}]" and open_:
+            open_ = open_[1]
+    ends.append((len(body), open_, quoted))
+    for end, left, inside in reversed(ends):
+        text = (body[:end] + '"' * inside).rstrip().rstrip(",")
+        while left:
+            text, left = text + left[0], left[1]
         try:
-            value = json.loads(text.rstrip().rstrip(",") + "".join(reversed(stack)))
+            value = json.loads(text)
         except ValueError:
             continue
         return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))

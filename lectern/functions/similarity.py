@@ -135,3 +135,21 @@ def character_diff(a: str, b: str) -> list[tuple[str, bool, bool]]:
         else:
             runs.append(list(step))
     return [tuple(r) for r in runs]
+
+
+def edit_previews(a: Column, b: Column, limit: int = 5) -> Column:
+    """edit_preview of two columns."""
+
+    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([edit_preview(p or "", q or "", limit) for p, q in zip(x, y, strict=True)], dtype=object)
+
+    return F.pandas_udf(of, "array<string>")(a, b)
+
+
+def character_diffs(a: Column, b: Column) -> Column:
+    """character_diff of two columns: an array of (run, left, right)."""
+
+    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("run", "left", "right"), r, strict=True)) for r in character_diff(p or "", q or "")] for p, q in zip(x, y, strict=True)], dtype=object)
+
+    return F.pandas_udf(of, "array<struct<run:string,left:boolean,right:boolean>>")(a, b)

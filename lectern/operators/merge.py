@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import sequences, text, units
@@ -57,19 +57,15 @@ def fill_within_name(records: DataFrame, by: list[str], fields: list[str]) -> Da
     return out.withColumns({f: F.when(text.has_output(F.col(f)), F.col(f)).otherwise(F.coalesce(f"_{f}", F.lit(""))) for f in fields}).drop(*[f"_{f}" for f in fields])
 
 
-def duplicate_values(records: DataFrame, fields: list[str], name: str, shown: int = 20) -> DataFrame:
-    """field, sequence, n, names: values that several records share, once upper-cased and freed of spaces.
+def duplicate_values(records: DataFrame, fields: list[str], name: str) -> DataFrame:
+    """field, sequence, n, name: a row a record for values that several share, once upper-cased and freed of spaces.
 
-    n counts all of them; names lists the first few (numbers in order of the
-    names), so a value that a third of all records share is still one short row.
+    A value's records stay rows: one that a third of all share is gathered nowhere.
     """
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.regexp_replace(F.upper(F.coalesce(F.col(f), F.lit(""))), r"\s+", "").alias("sequence")) for f in fields])
-    rows = records.select(F.col(name).alias("_name"), F.explode(each).alias("x")).select("_name", "x.*").filter("sequence <> ''")
+    rows = records.select(F.col(name).alias("name"), F.explode(each).alias("x")).select("name", "x.*").filter("sequence <> ''")
     several = rows.groupBy("field", "sequence").agg(F.count("*").alias("n")).filter("n > 1")
-    first = rows.join(several.select("field", "sequence"), ["field", "sequence"], "left_semi")
-    first = first.withColumn("_r", F.row_number().over(Window.partitionBy("field", "sequence").orderBy("_name"))).filter(F.col("_r") <= shown)
-    named = first.groupBy("field", "sequence").agg(F.array_join(F.array_sort(F.collect_list("_name")), ",").alias("names"))
-    return several.join(named, ["field", "sequence"])
+    return rows.join(several, ["field", "sequence"]).select("field", "sequence", "n", "name")
 
 
 def chain_lookup(wanted: DataFrame, chains: DataFrame) -> DataFrame:

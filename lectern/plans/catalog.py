@@ -316,11 +316,11 @@ def _(spark, sf_dir):
     return s.groupBy("c_nationkey").agg(n("pass"), n("warn"), n("fail"), F.collect_set("status").alias("all")).select("c_nationkey", "pass", "warn", "fail", sequences.overall(F.col("all")).alias("overall"))
 
 
-@query("a17_duplicate_sequences", """WITH d AS (SELECT doc_id, upper(md5(lower(trim(text)))) AS sequence FROM documents)
-  SELECT 'text' AS field, sequence, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS names FROM d GROUP BY sequence HAVING count(*) > 1""")
+@query("a17_duplicate_sequences", """WITH d AS (SELECT doc_id, upper(md5(lower(trim(text)))) AS sequence FROM documents), n AS (SELECT *, count(*) OVER (PARTITION BY sequence) AS n FROM d)
+  SELECT 'text' AS field, sequence, n, doc_id AS name FROM n WHERE n > 1 AND sequence IS NOT NULL""")
 def _(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.md5(F.lower(F.trim("text"))).alias("text"))
-    return merge.duplicate_values(d, ["text"], "name")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.lower(F.trim("text"))).alias("text"))
+    return merge.duplicate_values(d, ["text"], "doc_id")
 
 
 # ---------------------------------------------------------------- scanners, tables, blocks
@@ -588,11 +588,12 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", may.alias("may"))
 
 
-@query("a22_evidence_score", "SELECT c_custkey, 5 + CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS score FROM customer")
+@query("a22_evidence_score", """SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN 5 ELSE 0 END + CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS score,
+  1 + (c_custkey % 2 = 0)::INT + (c_custkey % 3 = 0)::INT AS filled FROM customer""")
 def _(spark, sf_dir):
     k = F.col("c_custkey")
-    s = records.evidence_score({"vh_sequence_aa": F.lit("A"), "vl_sequence_aa": F.lit(" "), "CDRH3_Sequence": F.when(k % 2 == 0, "C"), "Target_Name": F.when(k % 3 == 0, "x").otherwise("")})
-    return table(spark, sf_dir, "customer").select("c_custkey", s.alias("score"))
+    r = {"vh_sequence_aa": F.when(k % 4 == 0, "ACDEFG").otherwise(recipes.region(k)), "vl_sequence_aa": F.lit(" "), "CDRH3_Sequence": F.when(k % 2 == 0, "CARW"), "Target_Name": F.when(k % 3 == 0, "x").otherwise("")}
+    return table(spark, sf_dir, "customer").select("c_custkey", records.evidence_score(r).alias("score"), records.filled_fields(list(r.values())).alias("filled"))
 
 
 @query("j04_accession_scores", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 0 END AS score FROM orders")
