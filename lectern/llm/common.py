@@ -14,7 +14,7 @@ SPACE = r"\x20\x09-\x0D"
 #: Runs of whitespace that are not already one plain space.
 UNEVEN_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 #: Bytes of a batch that goes to a Python worker, however long its texts are (one row at least).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Hash ranges into which a sample is cut, and keys that can each have so large a share of all rows.
 RANGES, HOT = 1024, 1000
 _made: list[list[str]] = []

@@ -38,7 +38,7 @@ def coded(lines: list[list]) -> tuple[list, np.ndarray, np.ndarray]:
     return list(distinct), codes, sizes
 
 
-def slices(texts, limit: int = 4_000_000):
+def slices(texts, limit: int = 1_000_000):
     """Ranges of a batch of about `limit` characters each: what one step holds in memory; a text is never cut."""
     start, size = 0, 0
     for i, t in enumerate(texts):
@@ -53,7 +53,7 @@ def slices(texts, limit: int = 4_000_000):
 class Remembered:
     """Rows computed for words, kept for the next batches of the same worker; at most `limit` words at a time."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         self.limit, self.at, self.rows = limit, {}, None
 
     def get(self, words: list, compute) -> np.ndarray:
