@@ -87,7 +87,7 @@ def test_empty_markers_and_names(spark):
 def test_sequences(spark):
     heavy = "EVQLVESGGGLVQPGGSLRLSCAASGFTFSSYAMSWVRQAPGKGLEWVSAISGSGGSTYYADSVKGRFTISRDNSKNTLYLQMNSLRAEDTAVYYCAKDRGYYFDYWGQGTLVTVSS"
     df = spark.createDataFrame([(heavy,)], "s string")
-    r = df.select(sequences.loop_of(F.col("s")), sequences.region_length(F.col("s"), "H"), sequences.full_region(F.col("s"), 160), sequences.region_by_motif(F.concat(F.lit("MKT"), "s", F.lit("ASTK")), ["EVQL"], ["VTVSS"], 150)).first()
+    r = df.select(sequences.loop_of(F.col("s")), sequences.region_length(F.col("s"), "H"), sequences.full_region(F.col("s"), 160), sequences.variable_domain(F.concat(F.lit("MKT"), "s", F.lit("ASTK")), "H")).first()
     assert tuple(r) == ("CAKDRGYYFDYW", "pass", True, heavy)
     checks = df.select(sequences.checks({"H3": F.lit("CAKW"), "VH": F.col("s")}).alias("c")).first().c
     assert {c.check: c.status for c in checks} == {"H3_residues": "pass", "H3_length": "warn", "H3_start": "pass", "H3_end": "pass", "VH_residues": "pass", "VH_length": "pass"}

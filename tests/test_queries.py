@@ -8,8 +8,6 @@ import pytest
 import __spark_entry__ as entry
 from lectern.plans import catalog
 
-SLOW = {"j02_greedy_assignment", "a02_record_scores", "a03_paper_scores", "a07_field_stats", "a08_issue_board", "a25_field_quality", "a27_sequence_hits"}
-
 
 @pytest.fixture(scope="module")
 def duck(sf):
@@ -19,7 +17,7 @@ def duck(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_matches_sql(spark, sf, duck, name):
     df = catalog.QUERIES[name](spark, sf)
     columns = sorted(df.columns)
