@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.llm.common import tables
 from lectern.llm.chat import paired_replies, preference_pairs
 from lectern.llm.decontam import contaminated
 from lectern.llm.exact import exact_groups
 from lectern.llm.langid import identify
-from lectern.llm.licenses import rendered_paths, scan
-from lectern.llm.lm import lm_scores
+from lectern.llm.licenses import BLOCK_LINES, TEMPLATES, THRESHOLD, rendered_paths, scan
+from lectern.llm.lm import STRENGTH, lm_scores
 from lectern.llm.quality import quality_scores
 from lectern.llm.sentencepiece import tokenised
 from lectern.llm.sharding import balanced_shards
@@ -40,7 +41,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(tables(spark, sf_dir, "documents"))
+    """Scores to the millionth, so that sums in another order give the same."""
+    scores = lm_scores(tables(spark, sf_dir, "documents"))
+    return scores.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +92,35 @@ SELECT conv_id AS pair_id, CAST(any_value(n_common) AS INTEGER) AS n_common,
 FROM x GROUP BY conv_id
 """
 
+#: crc32 of an id's decimal text, bit by bit.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), "
+    "lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT)"
+)
+#: Words end with one end (a text of one space, which no word is) and begin after a start (two spaces).
+OP6_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce({_CRC} % 7, 0) = 2 AS held_out,
+         list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS w
+  FROM documents
+), t AS (
+  SELECT doc_id, held_out, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] ELSE '  ' END AS b, CASE WHEN i > 2 THEN w[i - 2] WHEN i = 2 THEN '  ' END AS a
+  FROM (SELECT doc_id, held_out, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+), one AS (SELECT c, count(*) AS n1 FROM t WHERE NOT held_out GROUP BY c),
+two AS (SELECT b, c, count(*) AS n2 FROM t WHERE NOT held_out GROUP BY b, c),
+three AS (SELECT a, b, c, count(*) AS n3 FROM t WHERE NOT held_out AND a IS NOT NULL GROUP BY a, b, c),
+after AS (SELECT c AS b, n1 AS m1 FROM one UNION ALL SELECT '  ', count(*) FROM d WHERE NOT held_out),
+pairs AS (SELECT b AS a, c AS b, n2 AS m2 FROM two),
+total AS (SELECT coalesce(sum(n1), 0) AS n, count(*) AS v FROM one),
+p AS (
+  SELECT doc_id, held_out, i, a, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, coalesce(n3, 0) AS n3, coalesce(m1, 0) AS m1, coalesce(m2, 0) AS m2, n, (coalesce(n1, 0) + 1) / (n + v + 1)::DOUBLE AS p1
+  FROM t CROSS JOIN total LEFT JOIN one USING (c) LEFT JOIN two USING (b, c) LEFT JOIN three USING (a, b, c) LEFT JOIN after USING (b) LEFT JOIN pairs USING (a, b)
+), q AS (SELECT *, (n2 + {STRENGTH[0]} * p1) / (m1 + {STRENGTH[0]}) AS p2 FROM p)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(*) FILTER (n1 > 0) AS n_known, any_value(n)::BIGINT AS train_tokens,
+       round(sum(log10(p1)), 6) AS base_score, round(sum(log10(CASE WHEN a IS NULL THEN p2 ELSE (n3 + {STRENGTH[1]} * p2) / (m2 + {STRENGTH[1]}) END)), 6) AS score
+FROM q GROUP BY doc_id
+"""
+
 OP3_SQL = r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -102,6 +134,50 @@ FROM h
 """
 
 
+def _op7_sql() -> str:
+    """TF-IDF cosine of every unit of every text to every template, and the nearest directory that declares a licence."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    templates = ", ".join(f"({k}, {quoted(name)}, {quoted(text)})" for k, (name, text) in enumerate(TEMPLATES))
+    words = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')".format
+    return rf"""
+WITH tpl(k, license, body) AS (VALUES {templates}),
+tterm AS (SELECT k, unnest({words("body")}) AS term FROM tpl),
+f AS (
+  SELECT doc_id, coalesce(text, '') AS body, coalesce(source, 'unknown') AS s, coalesce(doc_id, 0) AS n FROM documents
+), named AS (
+  SELECT doc_id, body, CASE WHEN n % 20000 BETWEEN 40 AND 59 THEN s || '/NOTICE.' || n WHEN n % 2000 BETWEEN 20 AND 39 THEN s || '/' || n // 2000 || '/COPYING.' || n
+    WHEN n % 200 < 20 THEN s || '/' || n // 2000 || '/' || n // 200 || '/LICENSE.' || n ELSE s || '/' || n // 2000 || '/' || n // 200 || '/' || n || '.txt' END AS path FROM f
+), files AS (
+  SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir, regexp_matches(path, '/(LICENSE|COPYING|NOTICE)\.[^/]*$') AS holder FROM named
+), size AS (SELECT count(*) AS total FROM files),
+df AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest({words("body")}) AS term FROM files) SEMI JOIN tterm USING (term) GROUP BY term),
+idf AS (SELECT DISTINCT term, ln((total + 1) / (coalesce(n, 0) + 1)) + 1 AS idf FROM tterm LEFT JOIN df USING (term), size),
+tv AS (SELECT k, term, count(*) * any_value(idf) AS w FROM tterm JOIN idf USING (term) GROUP BY k, term),
+tvec AS (SELECT k, term, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS w FROM tv),
+lines AS (SELECT path, holder, body, list_filter(string_split_regex(body, '
+|[
+]'), lambda x: regexp_matches(lower(x), '[a-z0-9]')) AS l FROM files),
+units AS (
+  SELECT DISTINCT path, unnest(l || flatten(list_transform(l, lambda y: string_split_regex(y, '\.\s+'))) || CASE WHEN holder THEN [body] ELSE [] END) AS unit FROM lines
+  UNION SELECT path, array_to_string(l[i : i + n - 1], ' ') FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM lines), (SELECT unnest(range(2, {BLOCK_LINES} + 1)) AS n)
+), uterm AS (SELECT path, unit, term, count(*) AS tf FROM (SELECT path, unit, unnest({words("unit")}) AS term FROM units) GROUP BY ALL),
+weighed AS (SELECT path, unit, term, tf * coalesce(idf, ln(total + 1) + 1) AS w FROM uterm LEFT JOIN idf USING (term), size),
+norms AS (SELECT path, unit, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
+dots AS (SELECT path, unit, k, sum(x.w * t.w) AS dot FROM weighed x JOIN tvec t USING (term) GROUP BY ALL),
+own AS (
+  SELECT path, license, score FROM (SELECT path, k, round(dot / norm, 6) AS score, row_number() OVER (PARTITION BY path ORDER BY round(dot / norm, 6) DESC, k) AS r FROM dots JOIN norms USING (path, unit)) JOIN tpl USING (k)
+  WHERE r = 1 AND score >= {THRESHOLD}
+), licensed AS (SELECT dir AS above, arg_min(license, (-score, license)) AS of_dir FROM own JOIN files USING (path) WHERE holder GROUP BY dir),
+above AS (
+  SELECT dir, up, array_to_string(string_split(dir, '/')[1 : len(string_split(dir, '/')) - up], '/') AS above
+  FROM (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS up FROM (SELECT DISTINCT dir FROM files))
+), nearest AS (SELECT dir, min(up) AS up, arg_min(of_dir, up) AS of_dir FROM above JOIN licensed USING (above) GROUP BY dir)
+SELECT doc_id, path, coalesce(license, of_dir) AS license, CASE WHEN license IS NOT NULL THEN 'header' WHEN of_dir IS NOT NULL THEN 'inherited' ELSE 'none' END AS found, score,
+       CASE WHEN license IS NULL THEN up END::INT AS distance
+FROM files LEFT JOIN own USING (path) LEFT JOIN nearest USING (dir)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -118,4 +194,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op3_exact_dedup": OP3_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op6_lm_scoring": OP6_SQL, "op7_license_scan": _op7_sql()}
