@@ -222,13 +222,6 @@ def _(spark, sf_dir):
     return p.join(other, "p_partkey").select("p_partkey", F.levenshtein("p_name", "other").cast("long").alias("d"))
 
 
-@query("u01_token_jaccard", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS j FROM part")
-def _(spark, sf_dir):
-    k = F.col("p_partkey")
-    b = F.when(k % 3 == 0, "elisa / SPR").when(k % 3 == 1, "SPR").otherwise("cryo-EM")
-    return table(spark, sf_dir, "part").select("p_partkey", text.jaccard(text.list_tokens(F.lit("ELISA, spr")), text.list_tokens(b)).alias("j"))
-
-
 # ---------------------------------------------------------------- quantities and rules
 
 
@@ -247,12 +240,6 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", units.quantity(F.lit("Binding_Kinetics_koff"), t).alias("v"))
 
 
-@query("m01_ambiguous", "SELECT p_partkey, p_partkey % 5 < 3 AS several FROM part")
-def _(spark, sf_dir):
-    forms = F.array(*map(F.lit, ["1 to 2 nM", "1.5, 2.5 nM", "> 3 nM", "5 nM", "1.7 x 10^-9 M"]))
-    return table(spark, sf_dir, "part").select("p_partkey", units.several(F.element_at(forms, (F.col("p_partkey") % 5 + 1).cast("int"))).alias("several"))
-
-
 @query("m04_temperature", "SELECT p_partkey, CASE WHEN p_size + 10 >= 20 THEN (p_size + 10)::DOUBLE END AS t FROM part")
 def _(spark, sf_dir):
     t = F.concat(F.lit("Tm = "), (F.col("p_size") + 10).cast("string"), F.lit(" °C"))
@@ -387,13 +374,6 @@ def _(spark, sf_dir):
     return blocks.islands(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], F.col("event_type").isin("view", "click"))
 
 
-@query("w12_drop_sections", "SELECT o_orderkey, 'intro' || chr(10) || '# Results' || chr(10) || o_orderkey || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN '# References' || chr(10) || 'GenBank MK000001' || chr(10) ELSE '' END AS t FROM orders")
-def _(spark, sf_dir):
-    k = F.col("o_orderkey")
-    t = F.concat(F.lit("intro\n# Results\n"), k.cast("string"), F.lit("\n# References\n"), F.when(k % 2 == 0, "GenBank MK000001\n").otherwise("Lee 2001\n"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", blocks.drop_sections(t, "(?i)^(references|acknowledg)", "(?i)genbank").alias("t"))
-
-
 # ---------------------------------------------------------------- merging and lookups
 
 
@@ -562,32 +542,6 @@ def _(spark, sf_dir):
 # ---------------------------------------------------------------- records
 
 
-@query("p07_auxiliary_names", "SELECT o_orderkey, o_orderkey % 4 <> 3 AS auxiliary FROM orders")
-def _(spark, sf_dir):
-    forms = F.array(*map(F.lit, ["IGHV3-23", "ab12-H3", "C05/KJ1", "C05"]))
-    return table(spark, sf_dir, "orders").select("o_orderkey", records.auxiliary_name(F.element_at(forms, (F.col("o_orderkey") % 4 + 1).cast("int"))).alias("auxiliary"))
-
-
-@query("p08_precise_type", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'IgG' WHEN 1 THEN 'IgM' WHEN 2 THEN 'mAb' ELSE 'Fab' END AS kind FROM orders")
-def _(spark, sf_dir):
-    i = (F.col("o_orderkey") % 4 + 1).cast("int")
-    kind, isotype = F.element_at(F.array(*map(F.lit, ["mAb", "Monoclonal antibody", "mAb", "Fab"])), i), F.element_at(F.array(*map(F.lit, ["human IgG1", "igm", "unknown", "IgG"])), i)
-    return table(spark, sf_dir, "orders").select("o_orderkey", records.precise_type(kind, isotype).alias("kind"))
-
-
-@query("p10_without_internal", "SELECT o_orderkey, o_orderstatus AS status, 1 AS n FROM orders")
-def _(spark, sf_dir):
-    m = records.without_internal(F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("_source"), F.lit("x")))
-    return table(spark, sf_dir, "orders").select("o_orderkey", m["status"].alias("status"), F.size(m).alias("n"))
-
-
-@query("p12_may_create", "SELECT o_orderkey, o_orderkey % 4 < 2 AS may FROM orders")
-def _(spark, sf_dir):
-    k = F.col("o_orderkey") % 4
-    may = records.may_create(k == 2, k == 0, F.when(k == 3, "short").otherwise(F.repeat(F.lit("A"), 90)), F.lit(""), F.when(k == 1, "5 nM").otherwise(""), F.lit(""))
-    return table(spark, sf_dir, "orders").select("o_orderkey", may.alias("may"))
-
-
 @query("a22_evidence_score", """SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN 5 ELSE 0 END + CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS score,
   1 + (c_custkey % 2 = 0)::INT + (c_custkey % 3 = 0)::INT AS filled FROM customer""")
 def _(spark, sf_dir):
@@ -596,12 +550,6 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", records.evidence_score(r).alias("score"), records.filled_fields(list(r.values())).alias("filled"))
 
 
-@query("j04_accession_scores", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 0 END AS score FROM orders")
-def _(spark, sf_dir):
-    forms = F.array(*map(F.lit, ["heavy chain of C05 (human)", "heavy chain of C-05x", "something else"]))
-    return table(spark, sf_dir, "orders").select("o_orderkey", records.accession_score(F.element_at(forms, (F.col("o_orderkey") % 3 + 1).cast("int")), F.lit("c05")).alias("score"))
-
-
 @query("j06_variant_parents", "SELECT 'P' || (c_custkey % 50) AS paper_id, 'ab' || c_custkey || 'x-H3' AS child, 'ab' || c_custkey || 'x' AS parent, 3 AS rank FROM customer")
 def _(spark, sf_dir):
     base = F.concat(F.lit("ab"), F.col("c_custkey").cast("string"), F.lit("x"))
@@ -609,14 +557,6 @@ def _(spark, sf_dir):
     return records.variant_parents(names)
 
 
-@query("j12_corroborated", "SELECT c_custkey, c_custkey % 2 = 0 AS found FROM customer")
-def _(spark, sf_dir):
-    k = F.col("c_custkey")
-    s = recipes.region(k)
-    body = F.concat(F.lit("the sequence "), F.when(k % 2 == 0, F.concat(F.substring(s, 10, 12), F.lit(" "), F.substring(s, 22, 20))).otherwise("WWWWWWWWWWWW"), F.lit(" was found"))
-    return table(spark, sf_dir, "customer").select("c_custkey", records.corroborated(s, body).alias("found"))
-
-
 @query("j15_positional_zip", """WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
   SELECT l_orderkey, 'L' || l_partkey AS label, 'S' || l_partkey AS line FROM n""")
 def _(spark, sf_dir):
@@ -627,17 +567,6 @@ def _(spark, sf_dir):
     return records.zipped_by_position(labels, lines, "l_orderkey").select("l_orderkey", "label", "line")
 
 
-@query("a19_name_like_tokens", "SELECT o_orderkey, CASE WHEN o_orderkey < 10 THEN 1 ELSE 2 END AS n FROM orders")
-def _(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", records.name_like_tokens(F.concat(F.lit("C05 and C05 bind x"), F.col("o_orderkey").cast("string"), F.lit(" but not 123 nor abc"))).alias("n"))
-
-
-@query("a29_protected_tokens", "SELECT o_orderkey, o_orderkey % 2 = 0 AS same FROM orders")
-def _(spark, sf_dir):
-    b = F.when(F.col("o_orderkey") % 2 == 0, "MK000002, MK000001 again MK000001").otherwise("MK000001 MK000002")
-    return table(spark, sf_dir, "orders").select("o_orderkey", records.same_tokens(F.lit("MK000001 MK000001 MK000002"), b, r"\b([A-Z]{2}\d{6})\b").alias("same"))
-
-
 @query("p22_score_bands", f"""WITH {LABELS_SQL} SELECT CASE WHEN raw * penalty >= 70 THEN 'high' WHEN raw * penalty >= 40 THEN 'middle' ELSE 'low' END AS band, count(*) AS n FROM penalised GROUP BY 1""")
 def _(spark, sf_dir):
     return _papers(spark, sf_dir).groupBy(records.score_band(F.col("accuracy")).alias("band")).agg(F.count("*").alias("n"))
@@ -658,29 +587,11 @@ def _(spark, sf_dir):
     return records.capped(li, ["l_orderkey"], F.col("l_quantity"), "pos", 2).select("l_orderkey", "l_linenumber")
 
 
-@query("g05_json_salvage", """SELECT o_orderkey, '{"k":' || o_orderkey || '}' AS found FROM orders""")
-def _(spark, sf_dir):
-    k = F.col("o_orderkey").cast("string")
-    reply = F.concat(F.lit('Sure: {"draft": 1} then ```json {"k": '), k, F.lit("}"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", jsontext.json_object(reply).alias("found"))
-
-
 @query("g06_json_closed", """SELECT o_orderkey, '{"k":[' || o_orderkey || ',{"n":"x"}]}' AS found FROM orders""")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", jsontext.json_closed(F.concat(F.lit('{"k": ['), F.col("o_orderkey").cast("string"), F.lit(', {"n": "x'))).alias("found"))
 
 
-@query("f19_plain_text", "SELECT o_orderkey, 'a < b & c ' || o_orderkey AS t FROM orders")
-def _(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.plain(F.concat(F.lit(" a&nbsp;&lt; b \n &amp;\tc "), F.col("o_orderkey").cast("string"))).alias("t"))
-
-
-@query("f24_source_priority", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 0 END AS p FROM orders")
-def _(spark, sf_dir):
-    forms = F.array(*map(F.lit, ["text", "table", "sequence_image", "api", "guess"]))
-    return table(spark, sf_dir, "orders").select("o_orderkey", merge.priority(F.element_at(forms, (F.col("o_orderkey") % 5 + 1).cast("int"))).alias("p"))
-
-
 @query("a11_dataset_summary", """WITH a AS (SELECT source, count(*) FILTER (quality = 0) AS issues, count(*) FILTER (quality = 0 AND toxic = 1) AS reviewed, count(quality) AS touched FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)
   SELECT count(*) FILTER (touched > 0) AS started, count(*) FILTER (reviewed >= issues) AS completed FROM a""")
 def _(spark, sf_dir):
