@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import sequences, text
 from lectern.functions.binding import bound
 from lectern.functions.scan import IMAGE
+from lectern.operators.records import name_like_tokens
 
 FIGURE = r"(?i)\b(Fig(?:ure)?\.?\s*[A-Za-z0-9]+|Table\s*[A-Za-z0-9]+)\b"
 #: Shortest reference line of an alignment, share of it that a line of differences covers at least, and names in a cluster.
@@ -170,3 +171,30 @@ def image_score(known: Column, category: Column, names: Column, body: Column, cl
         + F.when(aligned, 30).when(run, 18).otherwise(0) + F.when(label, 2).otherwise(0)
     )
 
+
+
+#: Words by which a context and an OCR'd text speak of sequences, and by which a text is of another kind of picture.
+SEQUENCE_WORDS = ["sequence alignment", "sequence", "alignment", "h chain", "l chain", "heavy chain", "light chain", "cdr"]
+OCR_WORDS = ["heavy chain", "light chain", "h chain", "l chain", "cdr", "germline", "imgt", "shm", "fr1", "fr2", "fr3", "fr4"]
+OTHER_PICTURES = ["anti-strep", "mw (kda)", "pngase", "od450", "western blot", "fluorescence", "microscopy", "overlay", "dapi"]
+
+
+def shows_sequences(context: Column, ocr: Column) -> Column:
+    """Whether an image may show sequences: by its OCR'd text where that tells, else by its context.
+
+    A text of another kind of picture rejects it unless the text speaks of
+    sequences; names in a cluster count with a long run of letters.
+    """
+    has = lambda t, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(t), w))
+    c, o = F.coalesce(context, F.lit("")), F.coalesce(ocr, F.lit(""))
+    named = lambda t: (name_like_tokens(t) >= CLUSTER) & F.upper(t).rlike("[A-Z-]{20,}")
+    supports = has(o, OCR_WORDS) | named(o)
+    told = F.when((o != "") & has(o, OTHER_PICTURES) & ~supports, False).when((o != "") & supports, True)
+    return F.coalesce(told, has(c, SEQUENCE_WORDS) | named(c))
+
+
+def with_crops(images: DataFrame, crops: DataFrame, by: str) -> DataFrame:
+    """images (by, image) and each one's crops (by, image, crop), the image itself first: by, image, crop, key; every key once."""
+    whole = images.select(by, "image", F.lit(None).cast("string").alias("crop")).distinct()
+    parts = crops.join(images.select(by, "image").distinct(), [by, "image"], "left_semi").select(by, "image", "crop").distinct()
+    return whole.unionByName(parts).withColumn("key", F.concat("image", F.coalesce(F.concat(F.lit("#crop:"), "crop"), F.lit(""))))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.functions import similarity, validate
+from lectern.functions import jsontext, similarity, validate
 from lectern.functions.scan import STRUCTURE_ID
 from lectern.operators import images, papers, records, tables, trace
 from lectern.plans import recipes
 from lectern.plans.catalog import query
 from lectern.plans.extraction import CHAINS_SQL, PAPERS_SQL, _j, _s, _S, _sql
 from lectern.plans.recipes import SPANS_SQL, chosen, q, table
+from lectern.sources import files
 
 _HINT = chosen(2, f"concat('heavy chain GenBank MN', {_S('100000 + k')})", f"concat('Thermo catalog AB', {_S('100000 + k')})", f"concat('MN', {_S('200000 + k')})", f"concat('see MN', {_S('300000 + k')})", f"concat('accession AB', {_S('100000 + k')}, ' to AB', {_S('100005 + k')})")
 HINT_SQL = f"SELECT k, {_HINT} AS hint FROM (SELECT p_partkey AS k FROM part) AS keys"
@@ -336,3 +337,66 @@ def _(spark, sf_dir):
     r = table(spark, sf_dir, "customer").select("c_nationkey", F.when(k % 3 > 0, F.col("c_name")).when(k % 2 == 0, "IGHV1-2").otherwise("ab7-H3").alias("name"))
     return records.export_counts(r, ["c_nationkey"], "name")
 
+
+
+_SEEN = chosen(3, q("anti-Strep western blot"), q("FR1 FR2 of the germline"), q("DAPI overlay with CDR"), q(""))
+_AROUND = chosen(2, q("Figure 2. Sequence alignment"), q("Mice were weighed"), q("MK1 MK2 MK3 MK4 EVQLVESGGGLVQPGGSLRLSCAAS"))
+
+
+@query("p20_sequence_images", f"""SELECT k, CASE WHEN o = 'anti-Strep western blot' THEN false WHEN o <> '' THEN true ELSE starts_with(c, 'Figure') OR starts_with(c, 'MK1') END AS shows FROM (SELECT p_partkey AS k, {_SEEN.replace('k *', 'p_partkey *').replace('floor(k', 'floor(p_partkey')} AS o, {_AROUND.replace('k *', 'p_partkey *').replace('floor(k', 'floor(p_partkey')} AS c FROM part)""")
+def _(spark, sf_dir):
+    p = _sql(spark, sf_dir, "part", f"SELECT k, {_SEEN} AS o, {_AROUND} AS c FROM (SELECT p_partkey AS k FROM part) AS keys")
+    return p.select("k", images.shows_sequences(F.col("c"), F.col("o")).alias("shows"))
+
+
+@query("n10_crops", "SELECT user_id, 'i' || (event_id % 50) AS image, 'i' || (event_id % 50) || CASE WHEN c = 0 THEN '' ELSE '#crop:c' || c END AS key FROM events, range(3) t(c) WHERE c = 0 OR event_id % 50 % 2 = 0 GROUP BY ALL")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 50).alias("n")).withColumn("image", F.concat(F.lit("i"), F.col("n").cast("string")))
+    crops = e.filter("n % 2 = 0").select("user_id", "image", F.explode(F.array(F.lit("c1"), F.lit("c2"))).alias("crop"))
+    return images.with_crops(e.select("user_id", "image"), crops, "user_id").select("user_id", "image", "key")
+
+
+@query("s06_record_sets", "SELECT 'set' || r_regionkey AS record_set, i::INT AS pos, r_name || i AS field, '$.*.' || r_name || i AS json_path FROM region, range(3) t(i)")
+def _(spark, sf_dir):
+    field = lambda i: F.concat(F.lit('{"name": "'), "r_name", F.lit(f'{i}", "dataType": "sc:Text", "source": {{"extract": {{"jsonPath": "$.*.'), "r_name", F.lit(f'{i}"}}}}}}'))
+    body = F.concat(F.lit('{"recordSet": [{"name": "set'), F.col("r_regionkey").cast("string"), F.lit('", "field": ['), F.concat_ws(", ", *map(field, range(3))), F.lit("]}]}"))
+    return files.record_set_fields(table(spark, sf_dir, "region").select(body.alias("value"))).drop("data_type")
+
+
+@query("s20_s22_outputs", """SELECT c_custkey AS paper_id, CASE WHEN c_custkey % 3 = 0 THEN 'p/' || c_custkey || '/full.md' ELSE 'p/' || c_custkey || '/a/full.md' END AS path, c_custkey % 2 = 0 AS done, c_custkey % 4 AS images FROM customer""")
+def _(spark, sf_dir):
+    k = F.col("c_custkey")
+    at = lambda end: F.concat(F.lit("p/"), k.cast("string"), F.lit(end))
+    paths = F.concat(F.array(at("/b/full.md"), at("/a/full.md")), F.when(k % 3 == 0, F.array(at("/full.md"))).otherwise(F.array().cast("array<string>")), F.when(k % 2 == 0, F.array(at("/x/images_ocr_merged.md"))).otherwise(F.array().cast("array<string>")), F.transform(F.filter(F.array(*map(F.lit, range(4))), lambda i: i < k % 4), lambda i: F.concat(at("/images/"), i.cast("string"), F.lit(".PNG"))))
+    f = table(spark, sf_dir, "customer").select(k.alias("paper_id"), F.explode(paths).alias("path"))
+    return files.best_output(f).join(files.ocr_status(f), "paper_id")
+
+
+@query("s23_numbered", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS Master_ID FROM orders")
+def _(spark, sf_dir):
+    return files.numbered(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", ["o_orderkey"])
+
+
+@query("s29_resumed_replies", """SELECT o_custkey, '{"k":[' || string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) || ']}' AS found FROM orders GROUP BY 1""")
+def _(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ", ").alias("l"))
+    return o.select("o_custkey", jsontext.json_closed(F.concat(F.lit('Here: {"k": ['), "l")).alias("found"))
+
+
+@query("p26_gap_fill_runs", "SELECT p_partkey, p_size % 3 > 0 AND p_size % 5 > 0 AND p_size % 2 = 0 AS runs FROM part")
+def _(spark, sf_dir):
+    s = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", papers.gap_fill_runs(s % 3, s % 5, s % 2 == 0).alias("runs"))
+
+
+@query("p27_usable_fetches", "SELECT p_partkey, p_size % 3 = 0 OR p_partkey % 2 = 0 AS usable FROM part")
+def _(spark, sf_dir):
+    regions = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("heavy"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "part").select("p_partkey", papers.usable_fetch(regions, F.when(F.col("p_partkey") % 2 == 0, "Homo sapiens Immunoglobulin heavy chain").otherwise("spike protein")).alias("usable"))
+
+
+@query("n06_notes", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'a,b' ELSE 'a' END AS notes FROM customer")
+def _(spark, sf_dir):
+    k = F.col("c_custkey") % 3
+    notes = papers.appended(F.array(F.lit("a")), F.when(k == 0, "b").when(k == 1, "a"))
+    return table(spark, sf_dir, "customer").select("c_custkey", _j(notes).alias("notes"))

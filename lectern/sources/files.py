@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,3 +95,34 @@ def markdown_table(df: DataFrame, columns: list[str], order: list[str]) -> DataF
     body = df.orderBy(*order).select(F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |")).alias("value"))
     head = df.sparkSession.createDataFrame([("| " + " | ".join(columns) + " |",), ("|" + " --- |" * len(columns),)], "value string").coalesce(1)
     return head.unionByName(body)
+
+
+METADATA = "recordSet array<struct<name:string,field:array<struct<name:string,dataType:string,source:struct<extract:struct<jsonPath:string>>>>>>"
+
+
+def record_set_fields(metadata: DataFrame, text_col: str = "value") -> DataFrame:
+    """A dataset's metadata in JSON -> record_set, pos, field, data_type, json_path of every field of its record sets."""
+    sets = metadata.select(F.explode(F.from_json(text_col, METADATA)["recordSet"]).alias("s"))
+    return sets.select(F.col("s.name").alias("record_set"), F.posexplode("s.field").alias("pos", "f")).select("record_set", "pos", F.col("f.name").alias("field"), F.col("f.dataType").alias("data_type"), F.col("f.source.extract.jsonPath").alias("json_path"))
+
+
+def best_output(files: DataFrame, name: str = "full.md") -> DataFrame:
+    """files (paper_id, path) -> the file of that name nearest the top of each paper's tree, of equal depths the first."""
+    some = files.filter(_part(F.col("path"), 1) == name)
+    return some.groupBy("paper_id").agg(F.min_by("path", F.struct(F.size(F.split("path", "/")), "path")).alias("path"))
+
+
+def ocr_status(files: DataFrame) -> DataFrame:
+    """files (paper_id, path) -> paper_id, done (it has a merged text), images: the state of a batch."""
+    image = F.col("path").rlike(r"(?i)/images/[^/]+\.(jpe?g|png|webp)$")
+    return files.groupBy("paper_id").agg(F.max((_part(F.col("path"), 1) == "images_ocr_merged.md").cast("int")).cast("boolean").alias("done"), F.sum(image.cast("long")).alias("images"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON text a row, other scripts kept as they are."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def numbered(records: DataFrame, by: str, order: list[str], name: str = "Master_ID") -> DataFrame:
+    """Records with a running number within each key, from one."""
+    return records.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
