@@ -27,7 +27,7 @@ PIECES, TRAINER, NORMALIZER, UNIGRAM = 1, 2, 3, 1
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PENALTY = 10.0
 #: Characters of distinct units whose arcs are held at once, and of texts encoded in one step.
-ARCS, STEP = 200_000, 2_000_000
+ARCS, STEP = 200_000, 1_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -242,7 +242,7 @@ def viterbi(v: Vocabulary, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """Encodes texts; keeps the ids of units it has met, `limit` ids at most."""
 
-    def __init__(self, v: Vocabulary, limit: int = 4_000_000):
+    def __init__(self, v: Vocabulary, limit: int = 1_000_000):
         self.v, self.limit = v, limit
         # a unit is spaces and the run that follows them, or one character at which no piece goes on
         cut = re.escape(v.splits)

@@ -53,7 +53,7 @@ def slices(texts, limit: int = 1_000_000):
 class Remembered:
     """Rows computed for words, kept for the next batches of the same worker; at most `limit` words at a time."""
 
-    def __init__(self, limit: int = 150_000):
+    def __init__(self, limit: int = 100_000):
         self.limit, self.at, self.rows = limit, {}, None
 
     def get(self, words: list, compute) -> np.ndarray:
