@@ -135,10 +135,11 @@ def grade(quality: Column) -> Column:
 
 
 def field_quality(fields: DataFrame) -> DataFrame:
-    """Quality of each field over labels that are not skipped, and its grade."""
-    some = fields.filter("label <> 'skip'").groupBy("field").agg(
-        F.count("*").alias("total"), F.sum((F.col("label") == "exact").cast("long")).alias("exact"), F.sum((F.col("label") == "partial").cast("long")).alias("partial"))
-    out = some.withColumn("quality", 100.0 * (F.col("exact") + 0.5 * F.col("partial")) / F.col("total"))
+    """Quality of each field over labels that are not skipped, the shares of wrong and missing ones, and its grade."""
+    n = lambda x: F.sum((F.col("label") == x).cast("long")).alias(x)
+    some = fields.filter("label <> 'skip'").groupBy("field").agg(F.count("*").alias("total"), *map(n, ("exact", "partial", "wrong", "miss")))
+    share = lambda c: 100.0 * c / F.col("total")
+    out = some.withColumns({"quality": share(F.col("exact") + 0.5 * F.col("partial")), "wrong_pct": share(F.col("wrong")), "miss_pct": share(F.col("miss"))})
     return out.withColumn("grade", grade(F.col("quality")))
 
 

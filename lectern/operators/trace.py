@@ -21,7 +21,8 @@ def pair_spans(events: DataFrame) -> DataFrame:
 
 
 def span_stats(spans: DataFrame, ms: str = "ms") -> DataFrame:
-    return spans.groupBy("kind", "name").agg(F.count("*").alias("n"), F.sum(ms).alias(f"total_{ms}"), F.max(ms).alias(f"max_{ms}"))
+    """By kind and name: how many spans, and their average, total and longest time."""
+    return spans.groupBy("kind", "name").agg(F.count("*").alias("n"), F.avg(ms).alias(f"avg_{ms}"), F.sum(ms).alias(f"total_{ms}"), F.max(ms).alias(f"max_{ms}"))
 
 
 def peak_concurrency(spans: DataFrame, by: list[str] | None = None, start: str = "start", end: str = "end") -> DataFrame:

@@ -137,13 +137,13 @@ def _(spark, sf_dir):
     return scoring.issue_board(_scored(spark, sf_dir)[3])
 
 
-@query("a25_field_quality", f"""WITH {LABELS_SQL}, q AS (SELECT field, count(*) AS total, count(*) FILTER (label = 'exact') AS exact, count(*) FILTER (label = 'partial') AS partial
-    FROM labels WHERE label <> 'skip' GROUP BY field), p AS (SELECT *, 100.0e0 * (exact + 0.5e0 * partial) / total AS quality FROM q)
-  SELECT field, total, exact, partial, floor(quality * 1000000 + 0.5)::BIGINT AS quality_micro, CASE WHEN quality >= 85 THEN 'S' WHEN quality >= 70 THEN 'A' WHEN quality >= 55 THEN 'B'
-    WHEN quality >= 40 THEN 'C' WHEN quality >= 25 THEN 'D' ELSE 'F' END AS grade FROM p""")
+@query("a25_field_quality", f"""WITH {LABELS_SQL}, q AS (SELECT field, count(*) AS total, count(*) FILTER (label = 'exact') AS exact, count(*) FILTER (label = 'partial') AS partial,
+    count(*) FILTER (label = 'wrong') AS wrong, count(*) FILTER (label = 'miss') AS miss FROM labels WHERE label <> 'skip' GROUP BY field), p AS (SELECT *, 100.0e0 * (exact + 0.5e0 * partial) / total AS quality FROM q)
+  SELECT field, total, exact, partial, floor(quality * 1000000 + 0.5)::BIGINT AS quality_micro, floor(1e8 * wrong / total + 0.5)::BIGINT AS wrong_micro, floor(1e8 * miss / total + 0.5)::BIGINT AS miss_micro,
+    CASE WHEN quality >= 85 THEN 'S' WHEN quality >= 70 THEN 'A' WHEN quality >= 55 THEN 'B' WHEN quality >= 40 THEN 'C' WHEN quality >= 25 THEN 'D' ELSE 'F' END AS grade FROM p""")
 def _(spark, sf_dir):
     q = scoring.field_quality(_scored(spark, sf_dir)[3])
-    return q.select("field", "total", "exact", "partial", micro(F.col("quality")).alias("quality_micro"), "grade")
+    return q.select("field", "total", "exact", "partial", *[micro(F.col(c)).alias(n) for c, n in (("quality", "quality_micro"), ("wrong_pct", "wrong_micro"), ("miss_pct", "miss_micro"))], "grade")
 
 
 _HITS = "SELECT count(*) AS n, floor(avg((label IN ('exact', 'partial'))::INT) * 1000000 + 0.5)::BIGINT AS hit_micro FROM parts2 WHERE label <> 'skip' AND NOT no_g AND field IN"
@@ -171,19 +171,6 @@ def _(spark, sf_dir):
 # ---------------------------------------------------------------- names, text, similarity
 
 
-@query("p01_category", """SELECT id, CASE WHEN id LIKE 'WO%' THEN 'patent' ELSE 'paper' END AS category FROM (SELECT n_name AS id FROM nation UNION ALL SELECT 'WO' || s_suppkey FROM supplier)""")
-def _(spark, sf_dir):
-    ids = table(spark, sf_dir, "nation").select(F.col("n_name").alias("id")).unionByName(table(spark, sf_dir, "supplier").select(F.concat(F.lit("WO"), F.col("s_suppkey").cast("string")).alias("id")))
-    return ids.select("id", text.category(F.col("id")).alias("category"))
-
-
-@query("p03_subset_split", "SELECT category, count(*) AS n FROM (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'patent' ELSE 'paper' END AS category FROM supplier) GROUP BY 1")
-def _(spark, sf_dir):
-    k = F.col("s_suppkey")
-    ids = table(spark, sf_dir, "supplier").select(F.when(k % 3 == 0, F.concat(F.lit("us"), k.cast("string"))).otherwise("x").alias("id"))
-    return ids.groupBy(text.category(F.col("id")).alias("category")).agg(F.count("*").alias("n"))
-
-
 @query("f01_match_key", "SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS key FROM part")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.match_key(F.col("p_name")).alias("key"))
@@ -396,13 +383,6 @@ def _(spark, sf_dir):
     return merge.chain_lookup(wanted, chains).select("c_custkey", "vh", "vl")
 
 
-@query("j08_annotation_join", """WITH a AS (SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY ALL)
-  SELECT c_custkey, event_type, value FROM customer LEFT JOIN a ON a.user_id = c_custkey AND a.event_type = 'purchase'""")
-def _(spark, sf_dir):
-    a = trace.latest(table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id"), ["user_id", "event_type"], ["event_id"]).filter("event_type = 'purchase'")
-    return table(spark, sf_dir, "customer").join(a, F.col("user_id") == F.col("c_custkey"), "left").select("c_custkey", "event_type", "value")
-
-
 @query("j09_nth_occurrence", """WITH l AS (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS i FROM lineitem),
     r AS (SELECT p_size, p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS k, count(*) OVER (PARTITION BY p_size) AS n FROM part)
   SELECT l_orderkey, l_linenumber, p_partkey AS r_partkey FROM l LEFT JOIN r ON p_size = l_suppkey AND k = least(i, n)""")
@@ -442,10 +422,10 @@ def _(spark, sf_dir):
     return trace.pair_spans(recipes.trace_events(spark, sf_dir)).select("span_id", "name", "start", "end")
 
 
-@query("a13_span_stats", f"""WITH {SPANS_SQL} SELECT name, count(*) AS n, sum(epoch_us("end") - epoch_us(start))::BIGINT AS total_us, max(epoch_us("end") - epoch_us(start)) AS max_us FROM spans GROUP BY name""")
+@query("a13_span_stats", f"""WITH {SPANS_SQL} SELECT name, count(*) AS n, floor(avg(epoch_us("end") - epoch_us(start)))::BIGINT AS avg_us, sum(epoch_us("end") - epoch_us(start))::BIGINT AS total_us, max(epoch_us("end") - epoch_us(start)) AS max_us FROM spans GROUP BY name""")
 def _(spark, sf_dir):
     s = trace.pair_spans(recipes.trace_events(spark, sf_dir)).withColumn("us", F.expr("timestampdiff(MICROSECOND, start, end)"))
-    return trace.span_stats(s, "us").drop("kind")
+    return trace.span_stats(s, "us").drop("kind").withColumn("avg_us", F.floor("avg_us"))
 
 
 PEAK_SQL = f"""WITH {SPANS_SQL}, p AS (SELECT start AS t, 1 AS up, 0 AS down FROM spans UNION ALL SELECT "end", 0, 1 FROM spans),
@@ -464,33 +444,6 @@ def _(spark, sf_dir):
     return trace.latest(table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "value")
 
 
-@query("a12_feedback_summary", "SELECT count(*) AS n, count(DISTINCT user_id) AS papers, count(DISTINCT user_id || '::' || event_type) AS records FROM events")
-def _(spark, sf_dir):
-    return table(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("papers"), F.count_distinct(F.concat_ws("::", F.col("user_id").cast("string"), "event_type")).alias("records"))
-
-
-@query("a10_annotation_progress", """WITH a AS (SELECT source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))
-  SELECT source, count(*) FILTER (quality = 0) AS issues, count(*) FILTER (quality IS NOT NULL) AS annotated, count(*) FILTER (quality = 0 AND toxic = 0) AS reviewed,
-    greatest(count(*) FILTER (quality = 0) - count(*) FILTER (quality = 0 AND toxic = 0), 0) AS pending FROM a GROUP BY source""")
-def _(spark, sf_dir):
-    a = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    n = lambda c: F.count(F.when(c, 1))
-    issues, reviewed = n(F.col("quality") == 0), n((F.col("quality") == 0) & (F.col("toxic") == 0))
-    return a.groupBy("source").agg(issues.alias("issues"), n(F.col("quality").isNotNull()).alias("annotated"), reviewed.alias("reviewed"), F.greatest(issues - reviewed, F.lit(0).cast("long")).alias("pending"))
-
-
-@query("a09_label_counts", "SELECT source, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad, count(*) FILTER (quality IS NULL) AS none FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
-def _(spark, sf_dir):
-    a = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    n = lambda c: F.count(F.when(c, 1))
-    return a.groupBy("source").agg(n(F.col("quality") == 1).alias("good"), n(F.col("quality") == 0).alias("bad"), n(F.col("quality").isNull()).alias("none"))
-
-
-@query("a15_batch_summary", "SELECT o_orderstatus AS status, count(*) AS papers, sum(o_orderkey % 10)::BIGINT AS antibodies, max(o_orderkey) AS last FROM orders GROUP BY 1")
-def _(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("papers"), F.sum(F.col("o_orderkey") % 10).alias("antibodies"), F.max("o_orderkey").alias("last"))
-
-
 # ---------------------------------------------------------------- sources and sinks
 
 
@@ -592,15 +545,6 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", jsontext.json_closed(F.concat(F.lit('{"k": ['), F.col("o_orderkey").cast("string"), F.lit(', {"n": "x'))).alias("found"))
 
 
-@query("a11_dataset_summary", """WITH a AS (SELECT source, count(*) FILTER (quality = 0) AS issues, count(*) FILTER (quality = 0 AND toxic = 1) AS reviewed, count(quality) AS touched FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)
-  SELECT count(*) FILTER (touched > 0) AS started, count(*) FILTER (reviewed >= issues) AS completed FROM a""")
-def _(spark, sf_dir):
-    n = lambda c: F.count(F.when(c, 1))
-    a = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    a = a.groupBy("source").agg(n(F.col("quality") == 0).alias("issues"), n((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("reviewed"), F.count("quality").alias("touched"))
-    return a.agg(n(F.col("touched") > 0).alias("started"), n(F.col("reviewed") >= F.col("issues")).alias("completed"))
-
-
 @query("s08_markdown_report", """SELECT '| ' || r_regionkey || ' | ' || r_name || ' |' AS value FROM region UNION ALL SELECT '| r_regionkey | r_name |' UNION ALL SELECT '| --- | --- |'""")
 def _(spark, sf_dir):
     return files.markdown_table(table(spark, sf_dir, "region"), ["r_regionkey", "r_name"], ["r_regionkey"])

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.functions import jsontext, similarity, validate
+from lectern.functions import jsontext, similarity, text, validate
 from lectern.functions.scan import STRUCTURE_ID
-from lectern.operators import images, papers, records, tables, trace
+from lectern.operators import annotations, images, papers, records, tables, trace
 from lectern.plans import recipes
-from lectern.plans.catalog import query
-from lectern.plans.extraction import CHAINS_SQL, PAPERS_SQL, _j, _s, _S, _sql
-from lectern.plans.recipes import SPANS_SQL, chosen, q, table
+from lectern.plans.catalog import micro, query
+from lectern.plans.extraction import CHAINS_SQL, PAPERS_SQL, _j, _s, _S, _scored, _sql
+from lectern.plans.recipes import LABELS_SQL, SPANS_SQL, chosen, q, table
 from lectern.sources import files
 
 _HINT = chosen(2, f"concat('heavy chain GenBank MN', {_S('100000 + k')})", f"concat('Thermo catalog AB', {_S('100000 + k')})", f"concat('MN', {_S('200000 + k')})", f"concat('see MN', {_S('300000 + k')})", f"concat('accession AB', {_S('100000 + k')}, ' to AB', {_S('100005 + k')})")
@@ -400,3 +400,75 @@ def _(spark, sf_dir):
     k = F.col("c_custkey") % 3
     notes = papers.appended(F.array(F.lit("a")), F.when(k == 0, "b").when(k == 1, "a"))
     return table(spark, sf_dir, "customer").select("c_custkey", _j(notes).alias("notes"))
+
+
+# ---------------------------------------------------------------- annotations and runs
+
+
+#: Annotations: of each record whose number is 0 or 1 modulo 3, in fields whose name is of even length.
+_NOTES = "notes AS (SELECT paper_id, ab_idx, field, CASE ab_idx % 3 WHEN 0 THEN 'reviewed' ELSE 'pending' END AS status FROM labels WHERE ab_idx % 3 < 2 AND length(field) % 2 = 0)"
+_VIEW = f"WITH {LABELS_SQL}, {_NOTES}, v AS (SELECT l.*, n.status, l.label IN ('wrong', 'miss', 'partial') AS issue FROM labels l LEFT JOIN notes n USING (paper_id, ab_idx, field))"
+_PROGRESS = f"{_VIEW}, g AS (SELECT paper_id, count(*) FILTER (issue) AS issues, count(status) AS annotated, count(*) FILTER (issue AND status = 'reviewed') AS reviewed FROM v GROUP BY 1)"
+
+
+def _view(spark, sf_dir):
+    facts = _scored(spark, sf_dir).select("paper_id", "ab_idx", "field", "label")
+    notes = facts.filter("ab_idx % 3 < 2 AND length(field) % 2 = 0").select("paper_id", "ab_idx", "field", F.when(F.col("ab_idx") % 3 == 0, "reviewed").otherwise("pending").alias("status"))
+    return annotations.annotated(facts, notes)
+
+
+@query("j08_annotation_join", f"{_VIEW} SELECT paper_id, ab_idx, field, label, status FROM v")
+def _(spark, sf_dir):
+    return _view(spark, sf_dir).select("paper_id", "ab_idx", "field", "label", F.col("annotation.status").alias("status"))
+
+
+@query("a09_label_counts", f"WITH {LABELS_SQL} SELECT field, " + ", ".join(f"count(*) FILTER (label = '{x}') AS {x}" for x in annotations.LABELS) + ", 0::BIGINT AS other FROM labels GROUP BY field")
+def _(spark, sf_dir):
+    return annotations.label_counts(_scored(spark, sf_dir), ["field"])
+
+
+@query("a10_annotation_progress", f"{_PROGRESS} SELECT paper_id, issues, annotated, reviewed, greatest(issues - reviewed, 0) AS pending, floor(CASE WHEN issues = 0 THEN 1e8 ELSE 1e8 * reviewed / issues END + 0.5)::BIGINT AS progress_micro FROM g")
+def _(spark, sf_dir):
+    p = annotations.annotation_progress(_view(spark, sf_dir), ["paper_id"])
+    return p.withColumn("progress_micro", micro(F.col("progress_pct"))).drop("progress_pct")
+
+
+@query("a11_dataset_summary", f"{_PROGRESS} SELECT count(*) AS papers, count(*) FILTER (annotated > 0) AS started, count(*) FILTER (reviewed >= issues) AS completed, sum(annotated)::BIGINT AS annotated FROM g")
+def _(spark, sf_dir):
+    return annotations.dataset_summary(annotations.annotation_progress(_view(spark, sf_dir), ["paper_id"]))
+
+
+@query("a12_feedback_summary", "SELECT count(*) AS n, count(DISTINCT user_id) AS papers, count(DISTINCT user_id || '::' || event_id % 7) AS records, max(event_id) AS last FROM events")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("paper_id"), (F.col("event_id") % 7).alias("ab_idx"), F.col("event_id").alias("created"))
+    return annotations.feedback_summary(e)
+
+
+@query("a15_batch_summary", "SELECT coalesce(o_orderstatus, 'all') AS status, count(*) AS papers, sum(o_orderkey % 10)::BIGINT AS antibodies FROM orders GROUP BY ROLLUP (o_orderstatus)")
+def _(spark, sf_dir):
+    return annotations.batch_summary(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 10).alias("antibodies")))
+
+
+_IDS = "SELECT CASE s_suppkey % 4 WHEN 0 THEN 'WO' || s_suppkey WHEN 1 THEN 'us' || s_suppkey || 'B2' WHEN 2 THEN s_name ELSE 'EPatitis ' || s_suppkey END AS paper_id FROM supplier UNION ALL SELECT n_name FROM nation"
+
+
+def _ids(spark, sf_dir):
+    k = F.col("s_suppkey")
+    n = k.cast("string")
+    own = F.when(k % 4 == 0, F.concat(F.lit("WO"), n)).when(k % 4 == 1, F.concat(F.lit("us"), n, F.lit("B2"))).when(k % 4 == 2, F.col("s_name")).otherwise(F.concat(F.lit("EPatitis "), n))
+    return table(spark, sf_dir, "supplier").select(own.alias("paper_id")).unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("paper_id")))
+
+
+_PATENT = "regexp_matches(paper_id, '(?i)^(WO|US|EP|CN|JP|KR|AU|CA|DE|FR|GB|IN)[0-9]')"
+
+
+@query("p01_category", f"SELECT paper_id, CASE WHEN {_PATENT} THEN 'patent' ELSE 'paper' END AS category FROM ({_IDS})")
+def _(spark, sf_dir):
+    return _ids(spark, sf_dir).withColumn("category", text.category(F.col("paper_id")))
+
+
+@query("p02_p03_subsets", f"SELECT unnest(['all', CASE WHEN {_PATENT} THEN 'patent' ELSE 'paper' END]) AS subset, count(*) AS n FROM ({_IDS}) GROUP BY 1")
+def _(spark, sf_dir):
+    ids = _ids(spark, sf_dir)
+    named = [annotations.in_subset(ids, name).agg(F.count("*").alias("n")).select(F.lit(text.subset_name(name)).alias("subset"), "n") for name in (None, "Literature", "patents")]
+    return named[0].unionByName(named[1]).unionByName(named[2])
