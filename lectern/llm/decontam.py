@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.common import bounded_batches, materialise
+from lectern.llm.words import give_back
 
 #: Edits allowed in each character of an item: an item of 200 characters may differ by 10.
 RATE = 0.05
@@ -168,6 +169,7 @@ def found_items(spark, items: list[tuple[int | None, str]], text: Column, rate:
         matcher = worker_matcher(shared.value, rate, key)
         for texts in batches:
             yield pd.Series([[dict(zip(("item_id", "edits", "start", "passage"), m, strict=True)) for m in matcher.matches(normal(t))] for t in texts], dtype=object)
+        give_back()
 
     return of(text)
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import bounded_batches, bounded_sample, fold, materialise, narrow_side
-from lectern.llm.words import Remembered, coded, hashes, mix, slices
+from lectern.llm.words import Remembered, coded, give_back, hashes, mix, slices
 
 #: Labelled rows of each class that a fit may use, those least by a hash of the id.
 SAMPLE = 3000
@@ -153,6 +153,8 @@ def quality_score(spark, model: tuple[np.ndarray, float], text: Column) -> Colum
         for texts in batches:
             parts = [score(list(texts[part]), weights, bias, seen) for part in slices(texts)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        del seen
+        give_back()
 
     return scored(text)
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import bounded_batches
-from lectern.llm.words import coded, slices
+from lectern.llm.words import coded, give_back, slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"  # stands for a space
@@ -331,6 +331,7 @@ def _encoded(shared, key: str):
                 fallback = np.bincount(owner[is_byte[flat]], minlength=len(ids))
                 listed = pa.ListArray.from_arrays(np.append(0, np.cumsum(count)).astype(np.int32), flat)
                 yield pa.RecordBatch.from_arrays([rows.column(0), listed, pa.array(count), pa.array(fallback), pa.array(same)], ["doc_id", "ids", "n_tokens", "n_bytes", "round_trip"])
+        give_back()
 
     return of
 

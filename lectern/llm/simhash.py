@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import bounded_batches, dealt_join, materialise, narrow_side
 from lectern.llm.components import components
+from lectern.llm.words import give_back
 
 BITS = 64
 
@@ -45,6 +46,7 @@ def _fingerprints(width: int):
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
+        give_back()
 
     return of
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -50,6 +52,14 @@ def slices(texts, limit: int = 1_000_000):
         yield slice(start, len(texts))
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, so that a worker that waits for its next task holds its caches alone."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Remembered:
     """Rows computed for words, kept for the next batches of the same worker; at most `limit` words at a time."""
 
