@@ -169,7 +169,7 @@ def found_items(spark, items: list[tuple[int | None, str]], text: Column, rate:
         matcher = worker_matcher(shared.value, rate, key)
         for texts in batches:
             yield pd.Series([[dict(zip(("item_id", "edits", "start", "passage"), m, strict=True)) for m in matcher.matches(normal(t))] for t in texts], dtype=object)
-        give_back()
+            give_back()
 
     return of(text)
 

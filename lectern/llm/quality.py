@@ -153,8 +153,7 @@ def quality_score(spark, model: tuple[np.ndarray, float], text: Column) -> Colum
         for texts in batches:
             parts = [score(list(texts[part]), weights, bias, seen) for part in slices(texts)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
-        del seen
-        give_back()
+            give_back()
 
     return scored(text)
 

@@ -242,7 +242,7 @@ def viterbi(v: Vocabulary, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """Encodes texts; keeps the ids of units it has met, `limit` ids at most."""
 
-    def __init__(self, v: Vocabulary, limit: int = 1_000_000):
+    def __init__(self, v: Vocabulary, limit: int = 600_000):
         self.v, self.limit = v, limit
         # a unit is spaces and the run that follows them, or one character at which no piece goes on
         cut = re.escape(v.splits)
@@ -331,7 +331,7 @@ def _encoded(shared, key: str):
                 fallback = np.bincount(owner[is_byte[flat]], minlength=len(ids))
                 listed = pa.ListArray.from_arrays(np.append(0, np.cumsum(count)).astype(np.int32), flat)
                 yield pa.RecordBatch.from_arrays([rows.column(0), listed, pa.array(count), pa.array(fallback), pa.array(same)], ["doc_id", "ids", "n_tokens", "n_bytes", "round_trip"])
-        give_back()
+            give_back()
 
     return of
 

@@ -46,7 +46,7 @@ def _fingerprints(width: int):
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
-        give_back()
+            give_back()
 
     return of
 
