@@ -101,8 +101,9 @@ def with_pair_similarity(pairs: DataFrame, left: str, right: str, context: tuple
     out = bound(out, _context=F.try_divide(total, weight))
     n, c = F.col("_name"), F.col("_context")
     same = a(name)["key"] == b(name)["key"]
-    blended = F.when(same, F.least(F.lit(1.0), 0.98 + 0.02 * c)).when(n >= 0.95, F.least(F.lit(1.0), 0.8 * n + 0.2 * c)).otherwise(0.85 * n + 0.15 * c)
-    return out.select(*pairs.columns, F.coalesce(blended, n).alias("sim"))
+    # least() skips nulls, so a pair without shared context is told apart first
+    blended = F.when(c.isNull(), n).when(same, F.least(F.lit(1.0), 0.98 + 0.02 * c)).when(n >= 0.95, F.least(F.lit(1.0), 0.8 * n + 0.2 * c)).otherwise(0.85 * n + 0.15 * c)
+    return out.select(*pairs.columns, blended.alias("sim"))
 
 
 def edit_preview(a: str, b: str, limit: int = 5) -> list[str]:

@@ -139,3 +139,21 @@ def test_streams(spark, tmp_path):
     q = traces.upsert_stream(stream, str(tmp_path / "t"), ["name"], ["ts"], str(tmp_path / "c2"))
     q.awaitTermination(60)
     assert {(r.name, r.event) for r in spark.read.parquet(str(tmp_path / "t/v0")).collect()} == {("x", "end"), ("y", "start")}
+
+
+def test_pair_similarity_without_shared_context_is_that_of_the_names(spark):
+    context = ("Target_Name", "Experiment")
+    rows = [
+        ("CR3022", "CR3022", None, None, None, None, 1.0),
+        ("CR3022-long", "CR3022", None, None, None, None, 0.95),
+        ("CR3022-long", "CR3022", "spike", None, None, "ELISA", 0.95),
+        ("CR3022-long", "CR3022", "spike", "spike", None, None, 0.8 * 0.95 + 0.2),
+        ("CR3022", "CR3022", "spike", "spike", "ELISA", "SPR", 0.98 + 0.02 * 0.75),
+        ("abcd", "abxd", None, None, None, None, 0.75),
+        ("abcd", "abxd", "spike", "spike", None, None, 0.85 * 0.75 + 0.15),
+    ]
+    names = ["l_n", "r_n", "l_t", "r_t", "l_e", "r_e", "want"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'double' if n == 'want' else 'string'}" for n in names))
+    parts = {side + f: c for side in "lr" for f, c in similarity.pair_parts({"Antibody_Name": F.col(f"{side}_n"), "Target_Name": F.col(f"{side}_t"), "Experiment": F.col(f"{side}_e")}, "").items()}
+    got = similarity.with_pair_similarity(df.select("*", *[c.alias(n) for n, c in parts.items()]), "l", "r", context).select("sim", "want").collect()
+    assert [round(r["sim"], 9) for r in got] == [round(r["want"], 9) for r in got]
