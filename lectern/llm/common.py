@@ -121,3 +121,22 @@ def dealt_join(rows: DataFrame, named: DataFrame, key: str, sizes: DataFrame, to
         return rows.join(named, key)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(named.join(F.broadcast(hot.select(key)), key, "left_anti"), key)
     return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def salted_join(rows: DataFrame, named: DataFrame, key: str, sizes: DataFrame, total: int) -> DataFrame:
+    """rows joined with named, which may have several rows a key, whatever share of rows a key has.
+
+    sizes (key, n) has the rows of each key.  A key with more than a
+    thousandth of all rows is cut into parts of that size by a hash of its
+    rows, and its rows in named are copied for each part: two thousand copies
+    at most over all keys.  The table of parts is broadcast, with a thousand
+    rows at most.  Keys without a row in named go.
+    """
+    parts = sizes.filter(F.col("n") * HOT > total).select(key, F.ceil(F.col("n") * HOT / F.lit(max(total, 1))).cast("int").alias("_parts"))
+    parts = materialise(parts, "parts")
+    if not parts.count():
+        return rows.join(named, key)
+    rest = [F.col(c) for c in rows.columns if c != key]
+    cut = rows.join(F.broadcast(parts), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*rest), "_parts"), F.lit(0)).cast("int")).drop("_parts")
+    copied = named.join(F.broadcast(parts), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return cut.join(copied, [key, "_salt"]).drop("_salt")

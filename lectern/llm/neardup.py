@@ -1,4 +1,8 @@
-"""Near-dedup by exact Jaccard similarity of word shingles; candidates come from bands of MinHash values."""
+"""Near-dedup by exact Jaccard similarity of word shingles; candidates come from bands of MinHash values.
+
+A set is known by 64 bits of a hash of it: among N distinct sets some
+N * N / 2^65 pairs share a name (one in 10^9 sets is 0.03 pairs).
+"""
 
 from __future__ import annotations
 
@@ -11,19 +15,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import bounded_batches, dealt_join, discard, materialise, narrow_side
+from lectern.llm.common import bounded_batches, dealt_join, discard, materialise, narrow_side, salted_join
 from lectern.llm.components import components
-from lectern.llm.words import give_back
+from lectern.llm.words import give_back, shingle_sets
 
 WIDTH = 5
-SIMILARITY = 0.8
+#: Hundredths of two sets' union that they share.
+PERCENT = 80
 #: MinHash values of a set, and the bands drawn from them, each of ROWS values: at a similarity of 0.8 two sets share
-#: ROWS given values with a chance of 0.17, and none of the bands with one of some 3 in 10,000; at 0.4 a band in 1,500.
-VALUES, BANDS, ROWS = 128, 64, 8
+#: ROWS given values with a chance of 0.17, and none of the bands with one of some 4 in 100,000; at 0.4 a band in 1,500.
+VALUES, BANDS, ROWS = 256, 64, 8
 #: Standard errors of the estimate from all values by which a pair may miss the similarity before its sets are not compared.
 ERRORS = 5.0
-#: Rounds of leaders before all pairs that are left are compared.
-ROUNDS = 8
+#: How many times the leaders of a bucket become more in each round.
+GROWTH = 4
 _RNG = np.random.default_rng(42)
 _ODD = _RNG.integers(0, 1 << 63, VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, VALUES, np.uint64)
@@ -33,22 +38,6 @@ SKETCH = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T
 SET = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
 
-def shingles(text: str | None, width: int = WIDTH, seed: int = 42) -> np.ndarray:
-    """Sorted distinct XXH64 values of a text's word shingles.
-
-    A-Z are lower-cased, words are runs without ASCII whitespace; a shorter
-    text is one shingle.  Null, empty and blank texts have none.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return np.array([digest(b" ".join(words), seed)] if words else [], np.uint64)
-    line = memoryview(b" ".join(words))
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = [0, *ends[: len(words) - width].tolist()]
-    return np.unique(np.fromiter((digest(line[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts)))
-
-
 def minima(values: np.ndarray) -> np.ndarray:
     """The least value of a set under each of VALUES permutations, mixed."""
     least = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
@@ -71,13 +60,12 @@ def node_of(values: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(values.tobytes(), 7)).view(np.int64))
 
 
-def _sketched(text: Column) -> Column:
+def _sketched(text: Column, width: int) -> Column:
     @F.pandas_udf(SKETCH)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             out = []
-            for t in texts:  # one set at a time is held
-                s = shingles(t)
+            for s in shingle_sets(texts.tolist(), width):  # one set at a time is held
                 least = minima(s)
                 out.append((node_of(s), len(s), (least & np.uint64(255)).astype(np.uint8).tobytes(), bands(least)))
             yield pd.DataFrame(out, columns=["node", "n", "sketch", "bands"])
@@ -86,12 +74,11 @@ def _sketched(text: Column) -> Column:
     return of(text)
 
 
-def _set(text: Column) -> Column:
+def _set(text: Column, width: int) -> Column:
     @F.pandas_udf(SET)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            sets = [shingles(t) for t in texts]
-            yield pd.DataFrame({"node": [node_of(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+            yield pd.DataFrame([(node_of(s), s.tobytes()) for s in shingle_sets(texts.tolist(), width)], columns=["node", "shingles"])
             give_back()
 
     return of(text)
@@ -109,8 +96,10 @@ def _estimate(a: Column, b: Column) -> Column:
     return of(a, b)
 
 
-def _jaccard(a: Column, b: Column) -> Column:
-    @F.pandas_udf("double")
+def _similar(a: Column, b: Column, percent: int) -> Column:
+    """Whether two sets share at least so many hundredths of their union, in whole numbers."""
+
+    @F.pandas_udf("boolean")
     def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
             out = []
@@ -118,45 +107,41 @@ def _jaccard(a: Column, b: Column) -> Column:
                 both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
-                out.append(common / (len(both) - common) if len(both) else 1.0)
-            yield pd.Series(out, dtype="float64")
+                out.append(100 * common >= percent * (len(both) - common))
+            yield pd.Series(out, dtype="bool")
             give_back()
 
     return of(a, b)
 
 
-def _near(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+def _near(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets are at least so similar.
 
-    Sketches of 128 bytes meet first and leave the pairs that may be; only
-    these pairs' texts are read again, and their sets compared.
+    Sketches of 256 bytes meet first and leave the pairs that may be; only
+    these pairs' texts are read again, and their sets compared.  A node u can
+    lead any share of the pairs, so the joins on it are salted.
     """
     side = lambda d, c, n: d.select(F.col("node").alias(n), F.col(c).alias(f"{c}_{n}"))
-    least = similarity - ERRORS * (similarity * (1 - similarity) / VALUES) ** 0.5
-    met = pairs.join(side(sketches, "sketch", "u"), "u").join(side(sketches, "sketch", "v"), "v")
-    able = materialise(met.filter(_estimate(F.col("sketch_u"), F.col("sketch_v")) >= least).select("u", "v"), "near-able")
-    nodes = able.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = _sets_of(docs, materialise(sketches.select("node", "least").join(nodes, "node", "left_semi"), "near-wanted"))
-    both = able.join(side(sets, "shingles", "u"), "u").join(side(sets, "shingles", "v"), "v")
-    return materialise(both.filter(_jaccard(F.col("shingles_u"), F.col("shingles_v")) >= similarity).select("u", "v"), "near-links")
+    at = percent / 100
+    least = at - ERRORS * (at * (1 - at) / VALUES) ** 0.5
 
+    def both(rows: DataFrame, of: DataFrame, c: str) -> DataFrame:
+        sizes = rows.groupBy("u").agg(F.count("*").alias("n"))
+        return salted_join(rows, side(of, c, "u"), "u", sizes, rows.count()).join(side(of, c, "v"), "v")
 
-def _named(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members (bucket, node, n) with the component that links join each node to, and only the buckets with several components."""
-    joined = materialise(components(links), "near-components")
-    joined = narrow_side(joined, joined.count())
-    all_of = members.join(joined, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c"))
-    mixed = all_of.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("bucket")
-    mixed = materialise(mixed, "near-mixed")
-    return materialise(all_of.join(narrow_side(mixed, mixed.count()), "bucket"), "near-members")
+    met = both(pairs, sketches, "sketch")
+    able = materialise(met.filter(_estimate(F.col("sketch_u"), F.col("sketch_v")) >= least).select("u", "v"), "near-able")
+    nodes = able.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = _sets_of(docs, materialise(sketches.select("node", "least").join(nodes, "node", "left_semi"), "near-wanted"), width)
+    return materialise(both(able, sets, "shingles").filter(_similar(F.col("shingles_u"), F.col("shingles_v"), percent)).select("u", "v"), "near-links")
 
 
-def _sizes_agree(a: Column, b: Column, similarity: float) -> Column:
+def _sizes_agree(a: Column, b: Column, percent: int) -> Column:
     """Sets whose sizes differ by more cannot be so similar."""
-    return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity - 1e-9)
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node, shingles of nodes (node, least), read again from one row of docs (doc_id, text) that has the node's least id.
 
     Rows may share an id, so what is read counts only under its own node.
@@ -164,84 +149,102 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = materialise(nodes.select(F.col("least").alias("_id")).distinct(), "near-ids")
     some = docs.join(narrow_side(ids, ids.count()), docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
     # written before it is joined: the optimizer would move a test of the join's key, and with it the sets, before the choice of rows
-    read = materialise(some.select(_set(F.col("text")).alias("s")).select("s.*"), "near-read")
+    read = materialise(some.select(_set(F.col("text"), width).alias("s")).select("s.*"), "near-read")
     found = read.join(nodes.select("node"), "node", "left_semi")
     if found.count() == found.select("node").distinct().count():
         return found
     return materialise(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
 
 
-def near_links(sketches: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def near_links(sketches: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Links (u, v), each verified, that join all nodes which share a band and are at least so similar.
 
     sketches (node, least, n, sketch, bands) has one row a distinct set, docs
-    (doc_id, text) the rows they come from.  In each round the least node of a bucket is compared with
-    those members of other components and then leaves the bucket, so a large
-    group of near copies costs its size in each round, not its square.  When
-    the pairs that are left are no more than four times the nodes, or the rounds
-    are over, all of them are compared: no pair of a bucket stays unknown
-    unless both are already in one component.
+    (doc_id, text) the rows they come from.  In each round some members of a
+    bucket lead: its least node, and those that a hash draws, one on average at
+    first and GROWTH times as many in each round.  Leaders are compared with
+    the members of other components and then leave the bucket; members that
+    links have joined need no comparison any more, and a bucket of one
+    component is done.  So a large group of near copies costs its size, no
+    pair of a bucket stays unknown unless both are in one component already,
+    and a bucket of m sets is through after some log(m) rounds at most.
     """
     spark = sketches.sparkSession
-    dealt = materialise(sketches.select("node", "n", F.explode("bands").alias("bucket")), "near-dealt")
-    shared = materialise(dealt.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket"), "near-buckets")
-    members = materialise(dealt.join(narrow_side(shared, shared.count()), "bucket"), "near-members")
-    discard(spark, dealt)
     links = spark.createDataFrame([], "u long, v long")
-    few = members.select("node").distinct().count()
-    if not few:
-        return links
-    members = members.withColumn("c", F.col("node"))
-    for k in range(rounds + 1):
-        of_component = members.groupBy("bucket", "c").agg(F.count("*").alias("m"))
-        left = of_component.groupBy("bucket").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("p")).agg(F.sum("p").cast("double")).first()[0] or 0
-        if not left:
-            break
-        if k == rounds or left / 2 <= 4 * few:
-            other = members.select("bucket", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"))
-            pairs = members.withColumnRenamed("node", "u").join(other, "bucket").filter("u < v AND c <> cv")
-            pairs = pairs.filter(_sizes_agree(F.col("n"), F.col("nv"), similarity)).select("u", "v").distinct()
-            links = links.unionByName(_near(materialise(pairs, "near-pairs"), sketches, docs, similarity))
-            break
-        leaders = materialise(members.groupBy("bucket").agg(F.min(F.struct("node", "n", "c")).alias("l")).select("bucket", "l.*").toDF("bucket", "u", "nu", "cu"), "near-leaders")
-        met = members.join(narrow_side(leaders, leaders.count()), "bucket").filter("node <> u")
-        pairs = met.filter("c <> cu").filter(_sizes_agree(F.col("n"), F.col("nu"), similarity)).select("u", F.col("node").alias("v")).distinct()
-        links = links.unionByName(_near(materialise(pairs, "near-pairs"), sketches, docs, similarity))
-        members = _named(materialise(met.select("bucket", "node", "n"), "near-met"), links)
-    return links
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, component_id for every row: the least id reachable over links of similarity at least `similarity`.
-
-    Two texts are linked if the Jaccard similarity of their sets of five-word
-    shingles, computed exactly, reaches it; similarity must not be under 0.8,
+    members = materialise(sketches.select("node", "n", F.explode("bands").alias("bucket"), F.col("node").alias("c")), "near-dealt")
+    leading = 1
+    while True:
+        mixed = members.groupBy("bucket").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("node").alias("head"))
+        mixed = materialise(mixed.filter("low <> high").select("bucket", "m", "head"), "near-mixed")
+        total = mixed.agg(F.sum("m")).first()[0]
+        if not total:
+            return links
+        sizes = mixed.select("bucket", F.col("m").alias("n"))
+        of_mixed = materialise(dealt_join(members, mixed, "bucket", sizes, total), "near-members")
+        discard(spark, members)
+        draw = F.pmod(F.xxhash64("node", F.lit("lead")), F.lit(1 << 30)) / float(1 << 30)
+        of_mixed = of_mixed.withColumn("leads", (F.col("node") == F.col("head")) | (draw * F.col("m") < leading))
+        leaders = of_mixed.filter("leads").select("bucket", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu"))
+        met = salted_join(of_mixed.select("bucket", "node", "n", "c", "leads"), leaders, "bucket", sizes, total).filter("c <> cu AND (NOT leads OR u < node)")
+        pairs = met.filter(_sizes_agree(F.col("n"), F.col("nu"), percent)).select("u", F.col("node").alias("v")).distinct()
+        pairs = materialise(pairs, "near-pairs")
+        links = links.unionByName(_near(pairs, sketches, docs, width, percent))
+        joined = materialise(components(links), "near-components")
+        left = of_mixed.filter("NOT leads").select("bucket", "node", "n").join(narrow_side(joined, joined.count()), "node", "left")
+        members = materialise(left.select("node", "n", "bucket", F.coalesce("component", "node").alias("c")), "near-left")
+        discard(spark, of_mixed)
+        discard(spark, pairs)
+        leading *= GROWTH
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row: the least id reachable over links of at least `percent` hundredths.
+
+    Two texts are linked if the Jaccard similarity of their sets of word
+    shingles, computed exactly, reaches it; percent must not be under 80,
     which the bands are made for.  Texts with equal sets, those without words
     too, are one node.  Null ids are never the least unless a component has no
     other.  An empty table gives an empty result.
     """
-    if similarity < SIMILARITY:
-        raise ValueError(f"the bands find similarities from {SIMILARITY} on")
+    if percent < PERCENT:
+        raise ValueError(f"the bands find similarities from {PERCENT} % on")
     bounded_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialise(read.withColumn("s", _sketched(F.col("text"))).select("doc_id", "s.*"), "near-sketches")
+    rows = materialise(read.withColumn("s", _sketched(F.col("text"), width)).select("doc_id", "s.*"), "near-sketches")
     nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.count("*").alias("rows")), "near-nodes")
-    links = near_links(nodes, read, similarity)
-    joined = components(links)
+    joined = components(near_links(nodes, read, width, percent))
     of_node = nodes.select("node", "least").join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     of_node = materialise(of_node, "near-named")
     least = of_node.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = of_node.join(least, "component").select("node", "component_id")
     sizes = nodes.select("node", F.col("rows").alias("n"))
-    return dealt_join(rows.select("doc_id", "node"), named, "node", sizes, rows.count()).select("doc_id", "component_id")
+    # a component can hold any share of the nodes, as a node can of the rows
+    counts = materialise(of_node.groupBy("component").agg(F.count("*").alias("n")), "near-sizes")
+    named = materialise(dealt_join(of_node, least, "component", counts, of_node.count()).select("node", "component_id"), "near-least")
+    return dealt_join(rows.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles")), named, "node", sizes, rows.count()).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id of jaccard_classes over five-word shingles."""
+    return jaccard_classes(docs, id_col, text_col).select("doc_id", "component_id")
+
+
+def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row; texts without words are linked with nothing, equal or not.
+
+    As jaccard_classes otherwise.  A row whose component has no id, or that
+    has none and no words, has a null component_id and is kept.
+    """
+    found = jaccard_classes(docs, id_col, text_col, width, percent)
+    found = found.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def jaccard_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def jaccard_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay: of each component the row with the least id.
 
     Rows that share an id count as one document: they stay or go together.  A
     component without ids stays whole, as no row of it can be named.
     """
-    found = jaccard_components(docs, id_col, text_col, similarity)
+    found = jaccard_components(docs, id_col, text_col)
     gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
     return docs.join(narrow_side(gone, gone.count()), docs[id_col] == gone["_gone"], "left_anti")

@@ -14,6 +14,7 @@ from lectern.llm.exact import exact_groups
 from lectern.llm.langid import identify
 from lectern.llm.licenses import BLOCK_LINES, TEMPLATES, THRESHOLD, rendered_paths, scan
 from lectern.llm.lm import STRENGTH, lm_scores
+from lectern.llm.neardup import minhash_components
 from lectern.llm.quality import quality_scores
 from lectern.llm.sentencepiece import tokenised
 from lectern.llm.sharding import balanced_shards
@@ -62,6 +63,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_components(tables(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH t AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
@@ -154,9 +159,10 @@ df AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest({words("b
 idf AS (SELECT DISTINCT term, ln((total + 1) / (coalesce(n, 0) + 1)) + 1 AS idf FROM tterm LEFT JOIN df USING (term), size),
 tv AS (SELECT k, term, count(*) * any_value(idf) AS w FROM tterm JOIN idf USING (term) GROUP BY k, term),
 tvec AS (SELECT k, term, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS w FROM tv),
-lines AS (SELECT path, holder, body, list_filter(string_split_regex(body, '
+lines AS (SELECT path, holder, body, list_filter(string_split_regex(body, '
 |[
-]'), lambda x: regexp_matches(lower(x), '[a-z0-9]')) AS l FROM files),
+
+]'), lambda x: regexp_matches(lower(x), '[a-z0-9]')) AS l FROM files),
 units AS (
   SELECT DISTINCT path, unnest(l || flatten(list_transform(l, lambda y: string_split_regex(y, '\.\s+'))) || CASE WHEN holder THEN [body] ELSE [] END) AS unit FROM lines
   UNION SELECT path, array_to_string(l[i : i + n - 1], ' ') FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM lines), (SELECT unnest(range(2, {BLOCK_LINES} + 1)) AS n)
@@ -190,6 +196,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_decontamination": op10_decontamination,
+        "op12_minhash": op12_minhash,
     }
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -52,6 +54,46 @@ def slices(texts, limit: int = 1_000_000):
         yield slice(start, len(texts))
 
 
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_hashes(texts, limit: int = 1_000_000) -> Iterator[np.ndarray]:
+    """Hashes of each text's words in order: A-Z lower-cased, words are runs without ASCII whitespace, null has none.
+
+    Words are held for about `limit` characters at a time; a longer text is read in pieces that end at whitespace.
+    """
+    for part in slices(texts, limit):
+        lines = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts[part]]
+        pieces, of = [], []
+        for i, line in enumerate(lines):
+            at = 0
+            while len(line) - at > 2 * limit and (cut := _BREAK.search(line, at + limit)):
+                pieces.append(line[at : cut.start()])
+                of.append(i)
+                at = cut.end()
+            pieces.append(line[at:])
+            of.append(i)
+        found: list[list[np.ndarray]] = [[] for _ in lines]
+        for some in slices(pieces, limit):
+            distinct, codes, sizes = coded([p.split() for p in pieces[some]])
+            flat = hashes(distinct, 42)[codes] if distinct else np.zeros(0, np.uint64)
+            for i, h in zip(of[some], np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
+                found[i].append(h)
+        for i in range(len(lines)):
+            yield np.concatenate(found[i]) if len(found[i]) > 1 else found[i][0]
+            found[i] = []
+
+
+def shingle_sets(texts, width: int) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's word shingles; a text of fewer words is one shingle, one without words has none."""
+    for h in word_hashes(texts):
+        n = max(len(h) - width + 1, 1)
+        out = h[:n]
+        for k in range(1, min(width, len(h))):
+            out = mix(out, h[k : k + n])
+        yield np.unique(out)
+
+
 def give_back() -> None:
     """Freed memory goes back to the system, so that a worker that waits for its next task holds its caches alone."""
     pa.default_memory_pool().release_unused()

@@ -1,9 +1,12 @@
 """Near-dedup by word shingles against brute force, and the pipeline's stage on copies that fingerprints miss."""
 
 import random
+import re
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import neardup
+from lectern.llm import neardup, words
 
 SCHEMA = "doc_id long, text string"
 
@@ -66,3 +69,47 @@ def test_stage_drops_copies_of_similarity_over_0_8(spark, sf):
     assert all(0.8 <= len(brute_set(a) & brute_set(b)) / len(brute_set(a) | brute_set(b)) < 0.9 for (_, a), (_, b) in zip(rows[::2], rows[1::2]))
     kept = corpus_pipeline.dedup_near(spark, spark.createDataFrame(rows, SCHEMA), sf)
     assert {r.doc_id for r in kept.collect()} == {10 * k for k in range(8)}
+
+
+def brute_minhash(rows):
+    """doc_id, size of the set, component, kept: two-word shingles, every pair of rows with words."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({" ".join(w[i : i + 2]) for i in range(max(1, len(w) - 1))} if w else set())
+    least = [k for k, _ in rows]
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                    low = min((x for x in (least[i], least[j]) if x is not None), default=None)
+                    changed |= least[i] != low or least[j] != low
+                    least[i] = least[j] = low
+    return sorted(str((k, len(s), c, k == c)) for (k, _), s, c in zip(rows, sets, least))
+
+
+def test_minhash_components_match_brute_force(spark):
+    rows = [(1, None), (2, ""), (3, "\x0b "), (4, "Solo"), (5, "solo"), (6, "Ärger ärger"), (7, "ärger ärger"), (8, "a b"), (9, "b a"), (None, "a B"), (None, None), (10, "a b"), (11, "x y x y x"), (11, "y x y x y x y")]
+    rng = random.Random(3)
+    for k in range(40):  # short texts around the limit, and a group in which most pairs are under it
+        w = [f"w{rng.randrange(4)}" for _ in range(rng.randrange(3, 9))]
+        rows += [(100 + 3 * k, " ".join(w)), (101 + 3 * k, " ".join([*w, "end"])), (102 + 3 * k, " ".join(["start", *w]))]
+    for seed in range(3):
+        rows += copies(14, lambda i: 3 * i, 40 + seed, 1000 * (seed + 1))
+    rows += copies(40, lambda i: 22, 99, 9000)
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("node", F.lit("clash")).withColumn("n", F.lit(1))
+    got = neardup.minhash_components(df)
+    assert got.dtypes == [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint"), ("kept", "boolean")]
+    assert sorted(str(tuple(r)) for r in got.collect()) == brute_minhash(rows)
+    assert neardup.minhash_components(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_words_of_long_texts_are_read_in_pieces():
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(n)) for n in (3, 900, 0, 2, 5000)] + [None, "x" * 5000, "\t\r a"]
+    whole, pieces = list(words.word_hashes(texts)), list(words.word_hashes(texts, limit=50))
+    assert [len(h) for h in whole] == [len((t or "").split()) for t in texts]
+    assert all((a == b).all() for a, b in zip(whole, pieces, strict=True))
+    assert [len(s) for s in words.shingle_sets(["a b a b", "a", "", "a b"], 2)] == [2, 1, 0, 1]
