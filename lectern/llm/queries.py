@@ -19,6 +19,8 @@ from lectern.llm.quality import quality_scores
 from lectern.llm.sentencepiece import tokenised
 from lectern.llm.sharding import balanced_shards
 from lectern.llm.simhash import simhash_components
+from lectern.llm.trie import prefix_trie
+from lectern.llm.whitening import whiten
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,10 +65,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(tables(spark, sf_dir, "conversations"))
+
+
 def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_components(tables(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(tables(spark, sf_dir, "embeddings"))
+
+
 OP1_SQL = r"""
 WITH t AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
@@ -184,6 +194,28 @@ FROM files LEFT JOIN own USING (path) LEFT JOIN nearest USING (dir)
 """
 
 
+#: Nodes as lists of turns; of a conversation's equal turn numbers (none in the tables) the order is that of role and text.
+OP11_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL
+), c AS (SELECT conv_id, {_CRC.replace("doc_id", "conv_id")} % 6 AS h, conv_id - conv_id % 100 AS base, list(x ORDER BY i) AS l FROM t GROUP BY conv_id),
+p AS (SELECT c.conv_id, list_concat(coalesce(b.l[1 : c.h], []), c.l[c.h + 1 :]) AS l FROM c LEFT JOIN c AS b ON b.conv_id = c.base),
+d AS (
+  SELECT conv_id, len(l) AS n, depth, sha256(to_json(l[1 : depth])::VARCHAR) AS k, CASE WHEN depth > 0 THEN sha256(to_json(l[1 : depth - 1])::VARCHAR) END AS up, CASE WHEN depth > 0 THEN length(l[depth].t) ELSE 0 END AS chars
+  FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS depth FROM p)
+), node AS (
+  SELECT depth, k, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends
+  FROM d GROUP BY depth, k
+), kids AS (SELECT up AS k, count(*) AS n FROM node WHERE up IS NOT NULL GROUP BY up),
+below AS (
+  SELECT a.k, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum(node.saved) AS saved
+  FROM (SELECT DISTINCT b.k AS k, d.k AS under FROM d JOIN d AS b ON b.conv_id = d.conv_id AND b.depth <= d.depth) AS a JOIN node ON node.k = a.under LEFT JOIN kids ON kids.k = node.k GROUP BY a.k
+)
+SELECT node.conv_id, node.depth, over.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children, leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, node.ends AS ends_sha256
+FROM node JOIN below USING (k) LEFT JOIN kids USING (k) LEFT JOIN node AS over ON over.k = node.up
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -196,9 +228,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_decontamination": op10_decontamination,
+        "op11_conversation_trie": op11_conversation_trie,
         "op12_minhash": op12_minhash,
+        "op13_whitening": op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op6_lm_scoring": OP6_SQL, "op7_license_scan": _op7_sql()}
+    return {"op1_chat_formatting": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op6_lm_scoring": OP6_SQL, "op7_license_scan": _op7_sql(), "op11_conversation_trie": OP11_SQL}
