@@ -137,11 +137,13 @@ def salted_join(rows: DataFrame, named: DataFrame, key: str, sizes: DataFrame, t
     at most over all keys.  The table of parts is broadcast, with a thousand
     rows at most.  Keys without a row in named go.
     """
-    parts = sizes.filter(F.col("n") * HOT > total).select(key, F.ceil(F.col("n") * HOT / F.lit(max(total, 1))).cast("int").alias("_parts"))
-    parts = materialise(parts, "parts")
-    if not parts.count():
+    many = F.ceil(F.col("n") * HOT / F.lit(max(total, 1))).cast("int")
+    parts = sizes.filter(F.col("n") * HOT > total).select(key, many.alias("_parts"))
+    hot = parts.collect()
+    if not hot:
         return rows.join(named, key)
+    parts = F.broadcast(rows.sparkSession.createDataFrame(hot, parts.schema))
     rest = [F.col(c) for c in rows.columns if c != key]
-    cut = rows.join(F.broadcast(parts), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*rest), "_parts"), F.lit(0)).cast("int")).drop("_parts")
-    copied = named.join(F.broadcast(parts), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    cut = rows.join(parts, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*rest), "_parts"), F.lit(0)).cast("int")).drop("_parts")
+    copied = named.join(parts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return cut.join(copied, [key, "_salt"]).drop("_salt")

@@ -28,7 +28,7 @@ VALUES, BANDS, ROWS = 256, 64, 8
 #: Standard errors of the estimate from all values by which a pair may miss the similarity before its sets are not compared.
 ERRORS = 5.0
 #: How many times the leaders of a bucket become more in each round.
-GROWTH = 4
+GROWTH = 16
 _RNG = np.random.default_rng(42)
 _ODD = _RNG.integers(0, 1 << 63, VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, VALUES, np.uint64)
@@ -118,27 +118,28 @@ def _near(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, pe
     """The pairs (u, v) whose sets are at least so similar.
 
     Sketches of 256 bytes meet first and leave the pairs that may be; only
-    these pairs' texts are read again, and their sets compared.  A node u can
-    lead any share of the pairs, so the joins on it are salted.
+    these pairs' texts are read again, and their sets compared.  A node can
+    stand in any share of the pairs, so the joins are salted.
     """
-    side = lambda d, c, n: d.select(F.col("node").alias(n), F.col(c).alias(f"{c}_{n}"))
     at = percent / 100
     least = at - ERRORS * (at * (1 - at) / VALUES) ** 0.5
 
     def both(rows: DataFrame, of: DataFrame, c: str) -> DataFrame:
-        sizes = rows.groupBy("u").agg(F.count("*").alias("n"))
-        return salted_join(rows, side(of, c, "u"), "u", sizes, rows.count()).join(side(of, c, "v"), "v")
+        total = rows.count()
+        for n in "uv":
+            rows = salted_join(rows, of.select(F.col("node").alias(n), F.col(c).alias(f"{c}_{n}")), n, rows.groupBy(n).agg(F.count("*").alias("n")), total)
+        return rows
 
     met = both(pairs, sketches, "sketch")
     able = materialise(met.filter(_estimate(F.col("sketch_u"), F.col("sketch_v")) >= least).select("u", "v"), "near-able")
     nodes = able.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = _sets_of(docs, materialise(sketches.select("node", "least").join(nodes, "node", "left_semi"), "near-wanted"), width)
+    sets = _sets_of(docs, sketches.select("node", "least").join(nodes, "node", "left_semi"), width)
     return materialise(both(able, sets, "shingles").filter(_similar(F.col("shingles_u"), F.col("shingles_v"), percent)).select("u", "v"), "near-links")
 
 
-def _sizes_agree(a: Column, b: Column, percent: int) -> Column:
-    """Sets whose sizes differ by more cannot be so similar."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _able(n: Column, k: Column, m: Column, percent: int) -> Column:
+    """Whether a set of n, k of which other sets have too, can be so similar to one of m."""
+    return k * 100 >= percent * (n + m - k)
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -146,14 +147,33 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     Rows may share an id, so what is read counts only under its own node.
     """
-    ids = materialise(nodes.select(F.col("least").alias("_id")).distinct(), "near-ids")
-    some = docs.join(narrow_side(ids, ids.count()), docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+    nodes = materialise(nodes, "near-wanted")
+    ids = nodes.select(F.col("least").alias("_id")).distinct()
+    some = docs.join(narrow_side(ids, nodes.count()), docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
     # written before it is joined: the optimizer would move a test of the join's key, and with it the sets, before the choice of rows
     read = materialise(some.select(_set(F.col("text"), width).alias("s")).select("s.*"), "near-read")
-    found = read.join(nodes.select("node"), "node", "left_semi")
-    if found.count() == found.select("node").distinct().count():
-        return found
-    return materialise(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
+    return materialise(read.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
+
+
+def _shared_counts(sketches: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """node, k: how many shingles of each of the nodes another of them has too."""
+    sets = _sets_of(docs, sketches.select("node", "least").join(nodes, "node", "left_semi"), width)
+
+    @F.pandas_udf("array<long>")
+    def numbers(binary: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(b, np.int64) for b in binary], dtype=object)
+
+    each = sets.select("node", F.explode(numbers(F.col("shingles"))).alias("s"))
+    alone = each.groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    return materialise(sketches.select("node", "n").join(nodes, "node", "left_semi").join(alone, "node", "left").select("node", (F.col("n") - F.coalesce("alone", F.lit(0))).cast("int").alias("k")), "near-shared")
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """links (a, b) of labels -> a, c: the least label at two links' distance, which is that of all around a leader."""
+    both = links.filter("a <> b").select("a", "b").distinct()
+    both = materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-labels")
+    first = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("c"))
+    return both.join(first.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("c").alias("m")).join(first, "a").select("a", F.least("c", "m").alias("c"))
 
 
 def near_links(sketches: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -163,37 +183,46 @@ def near_links(sketches: DataFrame, docs: DataFrame, width: int = WIDTH, percent
     (doc_id, text) the rows they come from.  In each round some members of a
     bucket lead: its least node, and those that a hash draws, one on average at
     first and GROWTH times as many in each round.  Leaders are compared with
-    the members of other components and then leave the bucket; members that
-    links have joined need no comparison any more, and a bucket of one
-    component is done.  So a large group of near copies costs its size, no
-    pair of a bucket stays unknown unless both are in one component already,
-    and a bucket of m sets is through after some log(m) rounds at most.
+    the members of other labels and then leave the bucket; nodes that links
+    have joined get one label and need no comparison any more, and a bucket of
+    one label is done.  After the first round it is counted how many of a set's
+    shingles other sets of the open buckets have: a pair, or a member of a
+    bucket, that these cannot make similar enough is known not to be.  So a
+    large group of near copies costs its size, no pair of a bucket stays
+    unknown unless both are in one component already, and a bucket of m sets is
+    through after some log(m) rounds at most.
     """
     spark = sketches.sparkSession
-    links = spark.createDataFrame([], "u long, v long")
-    members = materialise(sketches.select("node", "n", F.explode("bands").alias("bucket"), F.col("node").alias("c")), "near-dealt")
+    links = done = None
+    members = materialise(sketches.select("node", "n", F.col("n").alias("k"), F.explode("bands").alias("bucket"), F.col("node").alias("c")), "near-dealt")
     leading = 1
     while True:
-        mixed = members.groupBy("bucket").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("node").alias("head"))
-        mixed = materialise(mixed.filter("low <> high").select("bucket", "m", "head"), "near-mixed")
+        mixed = members.groupBy("bucket").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("node").alias("head"), F.min("n").alias("least_n"))
+        mixed = materialise(mixed.filter("low <> high").select("bucket", "m", "head", "least_n"), "near-mixed")
         total = mixed.agg(F.sum("m")).first()[0]
         if not total:
-            return links
+            return links if links is not None else spark.createDataFrame([], "u long, v long")
         sizes = mixed.select("bucket", F.col("m").alias("n"))
         of_mixed = materialise(dealt_join(members, mixed, "bucket", sizes, total), "near-members")
         discard(spark, members)
+        if leading == GROWTH:
+            shared = _shared_counts(sketches, docs, of_mixed.select("node").distinct(), width)
+            of_mixed = materialise(of_mixed.drop("k").join(narrow_side(shared, shared.count()), "node"), "near-members")
+        smallest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100.0 - 1e-6))
+        of_mixed = of_mixed.filter(_able(F.col("n"), F.col("k"), smallest, percent))
         draw = F.pmod(F.xxhash64("node", F.lit("lead")), F.lit(1 << 30)) / float(1 << 30)
         of_mixed = of_mixed.withColumn("leads", (F.col("node") == F.col("head")) | (draw * F.col("m") < leading))
-        leaders = of_mixed.filter("leads").select("bucket", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu"))
-        met = salted_join(of_mixed.select("bucket", "node", "n", "c", "leads"), leaders, "bucket", sizes, total).filter("c <> cu AND (NOT leads OR u < node)")
-        pairs = met.filter(_sizes_agree(F.col("n"), F.col("nu"), percent)).select("u", F.col("node").alias("v")).distinct()
-        pairs = materialise(pairs, "near-pairs")
-        links = links.unionByName(_near(pairs, sketches, docs, width, percent))
-        joined = materialise(components(links), "near-components")
-        left = of_mixed.filter("NOT leads").select("bucket", "node", "n").join(narrow_side(joined, joined.count()), "node", "left")
-        members = materialise(left.select("node", "n", "bucket", F.coalesce("component", "node").alias("c")), "near-left")
-        discard(spark, of_mixed)
-        discard(spark, pairs)
+        leaders = of_mixed.filter("leads").select("bucket", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("k").alias("ku"), F.col("c").alias("cu"))
+        met = salted_join(of_mixed.select("bucket", "node", "n", "k", "c", "leads"), leaders, "bucket", sizes, total).filter("c <> cu AND (NOT leads OR u < node)")
+        met = met.filter((F.least("n", "nu") * 100 >= F.greatest("n", "nu") * percent) & _able(F.col("n"), F.col("k"), F.col("nu"), percent) & _able(F.col("nu"), F.col("ku"), F.col("n"), percent))
+        low, high = F.struct(F.col("u").alias("u"), F.col("cu").alias("a")), F.struct(F.col("node").alias("u"), F.col("c").alias("a"))
+        pairs = met.select(F.least(low, high).alias("l"), F.greatest(low, high).alias("h")).select("l.u", F.col("h.u").alias("v"), "l.a", F.col("h.a").alias("b")).distinct()
+        pairs = materialise(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), "near-pairs")
+        found = _near(pairs.select("u", "v"), sketches, docs, width, percent)
+        done, links = (pairs.select("u", "v"), found) if done is None else (done.unionByName(pairs.select("u", "v")), links.unionByName(found))
+        labels = materialise(_labels(pairs.join(found, ["u", "v"])), "near-labels").withColumnRenamed("a", "c").toDF("c", "label")
+        left = of_mixed.filter("NOT leads").select("bucket", "node", "n", "k", "c").join(narrow_side(labels, labels.count()), "c", "left")
+        members = materialise(left.select("node", "n", "k", "bucket", F.coalesce("label", "c").alias("c")), "near-left")
         leading *= GROWTH
 
 
