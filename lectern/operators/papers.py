@@ -20,6 +20,7 @@ GAPS = [
     (["CDRH3_Sequence", "vh_sequence_aa", "vl_sequence_aa"], ["SEQUENCE_DATA"], []), (["Binding_Kinetics_KD", "Binding_Kinetics_kon", "Binding_Kinetics_koff", "Binding_EC50", "Quantitative_Metric", "Thermal_Stability_Tm"], ["KINETICS_DATA", "QUANTITATIVE_TABLE"], []),
     (["In_Vivo_Efficacy"], ["EFFICACY_DATA"], ["QUANTITATIVE_TABLE"]),
 ]
+#: Assays and how a text speaks of them, and words of a panel of measurements.
 METHODS = [("ELISA", r"(?i)\bELISA\b|enzyme-linked immunosorbent"), ("BLI", r"(?i)\bBLI\b|biolayer interferometry"), ("SPR", r"(?i)\bSPR\b|surface plasmon resonance"), ("Beacon", r"(?i)\bBeacon\b")]
 PANEL = r"(?i)virus-only|binding|time\s*\(seconds\)|a35|a33"
 #: How a window speaks of each chain, of identity and of a reference.
@@ -251,21 +252,36 @@ def refined_experiment(experiment: Column, body: Column, has_kinetics: Column, h
     return F.when(F.size(assays_in(experiment)) > 0, experiment).otherwise(told)
 
 
-def chain_evidence(body: Column, child: Column, parent: Column, field: str) -> Column:
-    """The first window of a text (line or clause) that says that a child's chain is its parent's; empty if none does."""
-    lines = F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), "\n"), F.trim), lambda x: x != "")
-    clauses = F.flatten(F.transform(lines, lambda x: F.concat(F.array(x), F.filter(F.transform(F.split(x, r"(?<=[.;:])\s+"), F.trim), lambda y: y != ""))))
-    tokens = lambda n: F.filter(F.split(F.lower(n), r"[\s\-_/]+"), lambda t: t != "")
+def plain_key(value: Column) -> Column:
+    """Lower-case letters and digits of ASCII."""
+    return F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "[^a-z0-9]+", "")
+
+
+def clauses(body: Column) -> Column:
+    """A text's clauses in order, each once: lines, cut after full stops, semicolons and colons, with single spaces."""
+    lines = F.transform(F.split(F.coalesce(body, F.lit("")), r"\n+"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    return F.array_distinct(F.filter(F.flatten(F.transform(lines, lambda x: F.transform(F.split(x, r"(?<=[.;:])\s+"), F.trim))), lambda x: x != ""))
+
+
+def states_identity(clause: Column, key: Column, child: Column, parent: Column) -> Column:
+    """Whether a clause (key: its letters and digits) that calls a chain identical speaks of this child and parent.
+
+    It names one of them or the variant's part of the child's name, and the
+    parent or a word for the original.
+    """
+    low = F.lower(clause)
+    tokens = lambda n: F.filter(F.split(F.lower(n), "[^a-z0-9]+"), lambda t: t != "")
     extra = F.filter(F.array_except(tokens(child), tokens(parent)), lambda t: (F.length(t) >= 2) & ~t.isin("wt", "wild", "type"))
-    c, p = text.alnum_key(child), text.alnum_key(parent)
+    c, p = plain_key(child), plain_key(parent)
+    about_parent = (p != "") & F.contains(key, p)
+    about = ((c != "") & F.contains(key, c)) | about_parent | F.exists(extra, lambda t: F.contains(low, t))
+    return about & (about_parent | _any(low, REFERENCE_WORDS))
 
-    def says(w: Column) -> Column:
-        low, key = F.lower(w), text.alnum_key(w)
-        about_parent = (p != "") & F.contains(key, p)
-        about = ((c != "") & F.contains(key, c)) | about_parent | F.exists(extra, lambda t: F.contains(low, t))
-        return _any(low, CHAIN_WORDS[field]) & _any(low, IDENTITY_WORDS) & about & (about_parent | _any(low, REFERENCE_WORDS))
 
-    return F.coalesce(F.get(F.filter(F.array_distinct(clauses), says), F.lit(0)), F.lit(""))
+def chain_evidence(body: Column, child: Column, parent: Column, field: str) -> Column:
+    """The first clause of a text that says that a child's chain is its parent's; empty if none does."""
+    says = lambda w: _any(F.lower(w), CHAIN_WORDS[field]) & _any(F.lower(w), IDENTITY_WORDS) & states_identity(w, plain_key(w), child, parent)
+    return F.coalesce(F.get(F.filter(clauses(body), says), F.lit(0)), F.lit(""))
 
 
 def merged_names(first: Column, second: Column, most: int) -> Column:

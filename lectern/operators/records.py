@@ -136,43 +136,6 @@ def filled_fields(fields: list[Column]) -> Column:
     return sum((text.has_output(c).cast("int") for c in fields), F.lit(0))
 
 
-def accession_score(accession_context: Column, name: Column) -> Column:
-    """How a record's name stands in an accession's context: 4 as a word, 3 inside once both are normalised, else 0."""
-    word = F.regexp_like(F.lower(accession_context), F.concat(F.lit(r"(^|[^a-z0-9])\Q"), F.lower(name), F.lit(r"\E([^a-z0-9]|$)")))
-    return F.when((text.clean(name) != "") & word, 4).when((text.alnum_key(name) != "") & F.contains(text.alnum_key(accession_context), text.alnum_key(name)), 3).otherwise(0)
-
-
-#: The variant part at the end of a name.
-VARIANT = r"(h|l)\d+$|v\d+$|lala$|mut$"
-
-
-def parent_rank(child: Column, parent: Column) -> Column:
-    """3 if the parent is the child without its variant part, 2 if the child begins or ends with it, else 0."""
-    c, p = text.name_key(child), text.name_key(parent)
-    bare = F.regexp_replace(c, VARIANT, "")
-    return F.when((p == "") | (F.length(p) >= F.length(c)), 0).when(bare == p, 3).when(F.startswith(c, p) | F.endswith(c, p), 2).otherwise(0)
-
-
-def variant_parents(records: DataFrame) -> DataFrame:
-    """records (paper_id, name) -> child, parent, rank: the best parent of each, then the longer, then the first name.
-
-    A child's possible parents are its key without the variant part, its
-    shorter beginnings and its shorter ends; each child lists these, and they
-    meet names by one equi-join on (paper, key).  So a paper of many names
-    that begin alike costs their lengths, not their pairs.
-    """
-    r = records.select("paper_id", "name", text.name_key(F.col("name")).alias("key")).filter("key <> ''").groupBy("paper_id", "key").agg(F.min("name").alias("name"))
-    n = F.length("key")
-    cuts = F.when(n > 1, F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    bare = F.regexp_replace("key", VARIANT, "")
-    parts = F.array_distinct(F.concat(F.array(bare), F.transform(cuts, lambda k: F.substr(F.col("key"), F.lit(1), k)), F.transform(cuts, lambda k: F.substr(F.col("key"), n - k + 1, k))))
-    child = r.select("paper_id", F.col("name").alias("child"), n.alias("_n"), bare.alias("_bare"), F.explode(F.filter(parts, lambda p: p != "")).alias("key"))
-    pairs = child.join(r.select("paper_id", "key", F.col("name").alias("parent")), ["paper_id", "key"]).filter(F.length("key") < F.col("_n"))
-    rank = F.when(F.col("key") == F.col("_bare"), 3).otherwise(2)
-    best = F.min_by(F.struct("parent", rank.alias("rank")), F.struct(-rank, -F.length("key"), "parent"))
-    return pairs.groupBy("paper_id", "child").agg(best.alias("b")).select("paper_id", "child", "b.*")
-
-
 def target_key(label: Column) -> Column:
     """Letters and digits of a target, one space between them."""
     return F.trim(F.regexp_replace(text.folded(label), "[^a-z0-9]+", " "))

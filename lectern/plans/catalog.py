@@ -503,13 +503,6 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", records.evidence_score(r).alias("score"), records.filled_fields(list(r.values())).alias("filled"))
 
 
-@query("j06_variant_parents", "SELECT 'P' || (c_custkey % 50) AS paper_id, 'ab' || c_custkey || 'x-H3' AS child, 'ab' || c_custkey || 'x' AS parent, 3 AS rank FROM customer")
-def _(spark, sf_dir):
-    base = F.concat(F.lit("ab"), F.col("c_custkey").cast("string"), F.lit("x"))
-    names = table(spark, sf_dir, "customer").select(F.concat(F.lit("P"), (F.col("c_custkey") % 50).cast("string")).alias("paper_id"), F.explode(F.array(base, F.concat(base, F.lit("-H3")))).alias("name"))
-    return records.variant_parents(names)
-
-
 @query("j15_positional_zip", """WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
   SELECT l_orderkey, 'L' || l_partkey AS label, 'S' || l_partkey AS line FROM n""")
 def _(spark, sf_dir):

@@ -222,13 +222,6 @@ def _(spark, sf_dir):
     return p.select("p_partkey", papers.refined_experiment(F.when(k % 5 == 0, "ITC, ELISA").otherwise("other"), F.col("t"), k % 3 == 0, F.lit(True), k % 2 == 0).alias("experiment"))
 
 
-@query("f26_chain_evidence", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'The light chain of Ab7-H2 is identical to the parent.' ELSE '' END AS quote FROM part""")
-def _(spark, sf_dir):
-    body = F.when(F.col("p_partkey") % 3 == 0, "Words first. The light chain of Ab7-H2 is identical to the parent. More\nlast").when(F.col("p_partkey") % 3 == 1, "The heavy chain of Ab7-H2 is identical to the parent.").otherwise("The light chain of Ab7 was made.")
-    clause = papers.chain_evidence(body, F.lit("Ab7-H2"), F.lit("Ab7"), "vl_sequence_aa")
-    return table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(F.regexp_replace(clause, r"^Words first\. ", ""), " More$", "").alias("quote"))
-
-
 @query("n09_merged_names", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || ',b' ELSE c_name || ',b,c' END AS names FROM customer")
 def _(spark, sf_dir):
     a = F.array("c_name", F.lit(" b"), F.lit(""))
