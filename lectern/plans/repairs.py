@@ -1,16 +1,18 @@
-"""Queries of text repair and of the reply cache, with SQL that applies the same guards by other means."""
+"""Queries of text repair, of the reply cache and of workbooks, with SQL that computes the same by other means."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lectern.operators import repair
 from lectern.plans.catalog import query
 from lectern.plans.extraction import _S, _sql
 from lectern.plans.recipes import chosen, q, region_sql
-from lectern.sources import replies
+from lectern.sources import replies, workbooks
 
 _N = _S("k")
 _TABLE = f"concat('Table ', {_N}, ': SPR results for the mutant antibodies of the paper', chr(10), '<table><tr><td>Fen</td><td>Fe(Fe)</td></tr><tr><td>WT</td><td>', {_N}, '.5</td></tr><tr><td>A28V</td><td>8.08</td></tr></table>')"
@@ -79,3 +81,38 @@ def _(spark, sf_dir):
     replies.ask(asked.filter("c_nationkey % 2 = 0"), path, 1)
     told = replies.ask(asked, path, 2)
     return told.join(replies.read_replies(spark, path).select("key", "tries", F.col("version").cast("int").alias("version")), "key").select("k", "reply", "tries", "version")
+
+
+_ROWS = {
+    "Antibody_Name": "CASE WHEN k % 11 = 0 THEN ' ' ELSE c_name END", "Anitbody_Isotype": chosen(3, "'IgG1'", "' none '", "'IgM & more <x>'"), "Target_Name": "c_mktsegment", "Epitope": chosen(2, "'NaN'", "concat('site ', cast(k % 9 as string))"), "Not a field": "'x'",
+    "Reference Source": chosen(5, "concat('Smith et al. Nat Med ', cast(1990 + k % 30 as string), '. doi: 10.1000/x', cast(k as string), '.')", "concat('(A. B. Kim et al.) Cell Host Microbe ', cast(2000 + k % 20 as string))", "'unpublished'", "''"), "Epitope ": "'repeated'",
+}
+#: A column a customer, a sheet a nation and segment, a workbook a nation.
+SHEETS_SQL = f"SELECT k, n, c_mktsegment AS sheet, {', '.join(f'{c} AS f{i}' for i, c in enumerate(_ROWS.values()))} FROM (SELECT c_custkey AS k, c_nationkey AS n, c_name, c_mktsegment FROM customer) AS keys"
+_CLEAN = "CASE WHEN lower(trim({0})) IN ('', 'nan', 'none', 'null') THEN '' ELSE trim({0}) END".format
+
+
+def _books(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A workbook of each row's sheets: heading, labels in column 0, a column a record."""
+    for batch in batches:
+        out = []
+        for n, columns in zip(batch["n"], batch["columns"], strict=True):
+            sheets: dict[str, dict] = {}
+            for c in columns:
+                cells = sheets.setdefault(c["sheet"], {(0, 0): "Field"} | {(i, 0): label for i, label in enumerate(_ROWS, 1)})
+                at = max(col for _, col in cells) + 1
+                cells[0, at] = float(c["k"])
+                cells |= {(i, at): value for i, value in enumerate(c["values"], 1)}
+            out.append((f"book-{n}.xlsx", workbooks.workbook(sheets)))
+        yield pd.DataFrame(out, columns=["path", "content"])
+
+
+@query("s05_workbook_records", f"""SELECT 'book-' || n || '.xlsx' AS path, sheet, (row_number() OVER (PARTITION BY n, sheet ORDER BY k) - 1)::INT AS ab_idx, trim(f0) AS name, {_CLEAN('f1')} AS isotype, {_CLEAN('f3')} AS epitope,
+    CASE WHEN starts_with(f5, 'Smith') THEN 'Smith et al. Smith . Nat Med, ' || regexp_extract(f5, '(\\d{{4}})', 1) || '. DOI: ' || regexp_extract(f5, '(10[.]1000/x\\d+)', 1) WHEN starts_with(f5, '(') THEN 'Kim et al. Cell Host Microbe, ' || regexp_extract(f5, '(\\d{{4}})', 1) ELSE f5 END AS reference
+  FROM ({SHEETS_SQL}) WHERE trim(f0) <> ''""")
+def _(spark, sf_dir):
+    columns = _sql(spark, sf_dir, "customer", SHEETS_SQL)
+    each = F.struct("k", "sheet", F.array(*[f"f{i}" for i in range(len(_ROWS))]).alias("values"))
+    files = columns.groupBy("n").agg(F.array_sort(F.collect_list(each)).alias("columns")).mapInPandas(_books, "path string, content binary")
+    r = workbooks.workbook_records(workbooks.workbook_cells(files), ("path", "sheet"))
+    return r.select("path", "sheet", "ab_idx", *[F.element_at("record", f).alias(n) for f, n in (("Antibody_Name", "name"), ("Antibody_Isotype", "isotype"), ("Epitope", "epitope"), ("Reference_Source", "reference"))])
