@@ -7,6 +7,7 @@ N * N / 2^65 pairs share a name (one in 10^9 sets is 0.03 pairs).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import bounded_batches, dealt_join, discard, materialise, narrow_side, salted_join
+from lectern.llm.common import bounded_batches, dealt_join, materialise, narrow_side, salted_join
 from lectern.llm.components import components
 from lectern.llm.words import give_back, shingle_sets
 
@@ -27,8 +28,8 @@ PERCENT = 80
 VALUES, BANDS, ROWS = 256, 64, 8
 #: Standard errors of the estimate from all values by which a pair may miss the similarity before its sets are not compared.
 ERRORS = 5.0
-#: How many times the leaders of a bucket become more in each round.
-GROWTH = 16
+#: Bands of each pass of leaders: most near copies are joined by the first few, and need no comparison in the others.
+PASSES = [(0, 4), (4, 16), (16, BANDS)]
 _RNG = np.random.default_rng(42)
 _ODD = _RNG.integers(0, 1 << 63, VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, VALUES, np.uint64)
@@ -137,11 +138,6 @@ def _near(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, pe
     return materialise(both(able, sets, "shingles").filter(_similar(F.col("shingles_u"), F.col("shingles_v"), percent)).select("u", "v"), "near-links")
 
 
-def _able(n: Column, k: Column, m: Column, percent: int) -> Column:
-    """Whether a set of n, k of which other sets have too, can be so similar to one of m."""
-    return k * 100 >= percent * (n + m - k)
-
-
 def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node, shingles of nodes (node, least), read again from one row of docs (doc_id, text) that has the node's least id.
 
@@ -155,75 +151,118 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return materialise(read.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
 
 
-def _shared_counts(sketches: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, k: how many shingles of each of the nodes another of them has too."""
-    sets = _sets_of(docs, sketches.select("node", "least").join(nodes, "node", "left_semi"), width)
+DELTA = T.StructType([T.StructField("common", T.IntegerType()), T.StructField("delta", T.ArrayType(T.LongType()))])
+
+
+def _delta(own: Column, pivot: Column) -> Column:
+    """How many shingles two sets share, and those that one of them has alone."""
+
+    @F.pandas_udf(DELTA)
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for left, right in batches:
+            out = []
+            for x, y in zip(left, right, strict=True):
+                a, b = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                alone = np.setxor1d(a, b, assume_unique=True)
+                out.append(((len(a) + len(b) - len(alone)) // 2, alone))
+            yield pd.DataFrame(out, columns=["common", "delta"])
+            give_back()
 
-    @F.pandas_udf("array<long>")
-    def numbers(binary: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(b, np.int64) for b in binary], dtype=object)
+    return of(own, pivot)
 
-    each = sets.select("node", F.explode(numbers(F.col("shingles"))).alias("s"))
-    alone = each.groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    return materialise(sketches.select("node", "n").join(nodes, "node", "left_semi").join(alone, "node", "left").select("node", (F.col("n") - F.coalesce("alone", F.lit(0))).cast("int").alias("k")), "near-shared")
 
+def _delta_links(groups: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) that join all nodes of a group which are similar enough: groups (pivot, node, c) of nodes with their labels.
 
-def _labels(links: DataFrame) -> DataFrame:
-    """links (a, b) of labels -> a, c: the least label at two links' distance, which is that of all around a leader."""
-    both = links.filter("a <> b").select("a", "b").distinct()
-    both = materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-labels")
-    first = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("c"))
-    return both.join(first.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("c").alias("m")).join(first, "a").select("a", F.least("c", "m").alias("c"))
+    Every set is compared with its group's pivot p.  Of what x and v share,
+    p's part is common(x) + common(v) - |p| at least, and the rest are
+    shingles by which both differ from p.  So a pair needs so many of these
+    in common, `need`; if it needs none, both are linked to p.  The other pairs
+    share one among the first of their differences, in an order of rising
+    frequency, and where they first do, enough must be left behind it.  Pairs
+    of one label, or both linked to p, need no comparison.  What many members
+    of a group differ by stands last in the order, so a group costs about its
+    differences and not its pairs.
+    """
+    nodes = groups.select("node").unionByName(groups.select(F.col("pivot").alias("node"))).distinct()
+    sets = _sets_of(docs, sketches.select("node", "least").join(nodes, "node", "left_semi"), width)
+    n = F.length("shingles") / 8
+    own = groups.join(sets.select("node", "shingles", n.cast("int").alias("n")), "node")
+    sizes = groups.groupBy("pivot").agg(F.count("*").alias("n"))
+    pivots = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("base"), n.cast("int").alias("np"))
+    met = salted_join(own, pivots, "pivot", sizes, groups.count()).withColumn("d", _delta(F.col("shingles"), F.col("base")))
+    d = materialise(met.select("pivot", "node", "c", "n", "np", F.col("d.common").alias("m"), F.col("d.delta").alias("delta")), "near-deltas")
+    near = F.col("m") * 100 >= percent * (F.col("n") + F.col("np") - F.col("m"))
+    d = d.filter("node <> pivot").withColumn("near", near)
+    to_pivot = d.filter("near").select(F.least("pivot", "node").alias("u"), F.greatest("pivot", "node").alias("v"))
+    whole = 100 + percent
+    best = d.groupBy("pivot").agg(F.max(F.col("m") * whole - F.col("n") * percent).alias("best"), F.max((~F.col("near")).cast("int")).alias("open")).filter("open = 1")
+    least = F.ceil((F.col("n") * percent - whole * (F.col("m") - F.col("np")) - F.col("best")) / F.lit(float(whole)) - 1e-9)
+    d = d.join(best, "pivot").withColumn("first", F.size("delta") - F.greatest(least, F.lit(1)) + 1).filter("first > 0")
+    each = d.select("pivot", "node", F.explode("delta").alias("e")).withColumn("key", F.xxhash64("pivot", "e"))
+    df = materialise(each.groupBy("key").agg(F.count("*").alias("n")), "near-frequencies")
+    shared = df.filter("n > 1")
+    ordered = dealt_join(each.select("key", "pivot", "node"), shared.withColumnRenamed("n", "f"), "key", shared, shared.agg(F.sum("n")).first()[0] or 0)
+    # what no other member differs by comes first and meets nothing
+    ordered = ordered.groupBy("pivot", "node").agg(F.array_sort(F.collect_list(F.struct("f", "key"))).alias("keys"))
+    rows = d.join(ordered, ["pivot", "node"]).withColumn("alone", F.size("delta") - F.size("keys"))
+    rows = rows.select("node", "c", "n", "np", "m", "near", "first", F.size("delta").alias("all"), "alone", F.posexplode("keys").alias("at", "k")).withColumn("at", F.col("at") + F.col("alone")).filter("at < first")
+    rows = materialise(rows.select("node", "c", "n", "np", "m", "near", (F.col("all") - F.col("at")).alias("left"), F.col("k.key").alias("key")), "near-prefixes")
+    probes = rows.filter("NOT near").select("key", *[F.col(x).alias(f"{x}_") for x in ("node", "c", "n", "m", "left")])
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+    pairs = salted_join(rows, probes, "key", sizes, rows.count())
+    need = F.ceil(percent * (F.col("n") + F.col("n_")) / F.lit(float(whole)) - 1e-9) + F.col("np") - F.col("m") - F.col("m_")
+    able = (F.col("c") != F.col("c_")) & (F.col("near") | (F.col("node") < F.col("node_"))) & (F.least("n", "n_") * 100 >= F.greatest("n", "n_") * percent) & (F.least("left", "left_") >= need)
+    pairs = pairs.filter(able).select(F.least("node", "node_").alias("u"), F.greatest("node", "node_").alias("v")).distinct()
+    found = _near(materialise(pairs, "near-pairs"), sketches, docs, width, percent)
+    return found.unionByName(to_pivot)
 
 
 def near_links(sketches: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Links (u, v), each verified, that join all nodes which share a band and are at least so similar.
 
     sketches (node, least, n, sketch, bands) has one row a distinct set, docs
-    (doc_id, text) the rows they come from.  In each round some members of a
-    bucket lead: its least node, and those that a hash draws, one on average at
-    first and GROWTH times as many in each round.  Leaders are compared with
-    the members of other labels and then leave the bucket; nodes that links
-    have joined get one label and need no comparison any more, and a bucket of
-    one label is done.  After the first round it is counted how many of a set's
-    shingles other sets of the open buckets have: a pair, or a member of a
-    bucket, that these cannot make similar enough is known not to be.  So a
-    large group of near copies costs its size, no pair of a bucket stays
-    unknown unless both are in one component already, and a bucket of m sets is
-    through after some log(m) rounds at most.
+    (doc_id, text) the rows they come from.  In each pass over some bands one
+    or two members of a bucket lead: its least node and one that a hash draws.
+    They are compared with the members of other components; a bucket of one
+    component is done.  After the last pass the members of a bucket that is
+    not are compared by their differences from one of them, see _delta_links().
+    So a large group of near copies costs about its size, and no pair of a
+    bucket stays unknown unless both are in one component already.
     """
     spark = sketches.sparkSession
-    links = done = None
-    members = materialise(sketches.select("node", "n", F.col("n").alias("k"), F.explode("bands").alias("bucket"), F.col("node").alias("c")), "near-dealt")
-    leading = 1
-    while True:
-        mixed = members.groupBy("bucket").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("node").alias("head"), F.min("n").alias("least_n"))
-        mixed = materialise(mixed.filter("low <> high").select("bucket", "m", "head", "least_n"), "near-mixed")
+    links = spark.createDataFrame([], "u long, v long")
+    named, left, done = None, [], None
+    label = lambda rows: rows.withColumn("c", F.col("node")) if named is None else rows.join(narrow_side(named, named.count()), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    for low, high in PASSES:
+        members = label(sketches.select("node", "n", F.explode(F.slice("bands", low + 1, high - low)).alias("bucket")))
+        mixed = members.groupBy("bucket").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("node").alias("head"))
+        mixed = materialise(mixed.filter("low <> high").select("bucket", "m", "head"), "near-mixed")
         total = mixed.agg(F.sum("m")).first()[0]
         if not total:
-            return links if links is not None else spark.createDataFrame([], "u long, v long")
+            continue
         sizes = mixed.select("bucket", F.col("m").alias("n"))
-        of_mixed = materialise(dealt_join(members, mixed, "bucket", sizes, total), "near-members")
-        discard(spark, members)
-        if leading == GROWTH:
-            shared = _shared_counts(sketches, docs, of_mixed.select("node").distinct(), width)
-            of_mixed = materialise(of_mixed.drop("k").join(narrow_side(shared, shared.count()), "node"), "near-members")
-        smallest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100.0 - 1e-6))
-        of_mixed = of_mixed.filter(_able(F.col("n"), F.col("k"), smallest, percent))
+        of_mixed = dealt_join(members, mixed, "bucket", sizes, total)
         draw = F.pmod(F.xxhash64("node", F.lit("lead")), F.lit(1 << 30)) / float(1 << 30)
-        of_mixed = of_mixed.withColumn("leads", (F.col("node") == F.col("head")) | (draw * F.col("m") < leading))
-        leaders = of_mixed.filter("leads").select("bucket", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("k").alias("ku"), F.col("c").alias("cu"))
-        met = salted_join(of_mixed.select("bucket", "node", "n", "k", "c", "leads"), leaders, "bucket", sizes, total).filter("c <> cu AND (NOT leads OR u < node)")
-        met = met.filter((F.least("n", "nu") * 100 >= F.greatest("n", "nu") * percent) & _able(F.col("n"), F.col("k"), F.col("nu"), percent) & _able(F.col("nu"), F.col("ku"), F.col("n"), percent))
-        low, high = F.struct(F.col("u").alias("u"), F.col("cu").alias("a")), F.struct(F.col("node").alias("u"), F.col("c").alias("a"))
-        pairs = met.select(F.least(low, high).alias("l"), F.greatest(low, high).alias("h")).select("l.u", F.col("h.u").alias("v"), "l.a", F.col("h.a").alias("b")).distinct()
+        of_mixed = materialise(of_mixed.withColumn("leads", (F.col("node") == F.col("head")) | (draw * F.col("m") < 1)), "near-members")
+        leaders = of_mixed.filter("leads").select("bucket", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu"))
+        met = salted_join(of_mixed.select("bucket", "node", "n", "c", "leads"), leaders, "bucket", sizes, total).filter("c <> cu AND (NOT leads OR u < node)")
+        pairs = met.filter(F.least("n", "nu") * 100 >= F.greatest("n", "nu") * percent).select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
         pairs = materialise(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), "near-pairs")
-        found = _near(pairs.select("u", "v"), sketches, docs, width, percent)
-        done, links = (pairs.select("u", "v"), found) if done is None else (done.unionByName(pairs.select("u", "v")), links.unionByName(found))
-        labels = materialise(_labels(pairs.join(found, ["u", "v"])), "near-labels").withColumnRenamed("a", "c").toDF("c", "label")
-        left = of_mixed.filter("NOT leads").select("bucket", "node", "n", "k", "c").join(narrow_side(labels, labels.count()), "c", "left")
-        members = materialise(left.select("node", "n", "k", "bucket", F.coalesce("label", "c").alias("c")), "near-left")
-        leading *= GROWTH
+        links = links.unionByName(_near(pairs, sketches, docs, width, percent))
+        done = pairs if done is None else done.unionByName(pairs)
+        named = materialise(components(links), "near-components")
+        left.append(of_mixed.filter("m > 2 AND NOT leads").select("bucket", "node"))
+    if not left:
+        return links
+    rows = label(reduce(DataFrame.unionByName, left))
+    pivots = rows.groupBy("bucket").agg(F.min("c").alias("pivot"), F.max("c").alias("high"), F.count("*").alias("n")).filter("pivot <> high")
+    pivots = materialise(pivots, "near-pivots")
+    total = pivots.agg(F.sum("n")).first()[0]
+    if not total:
+        return links
+    groups = materialise(dealt_join(rows, pivots.select("bucket", "pivot"), "bucket", pivots.select("bucket", "n"), total).select("pivot", "node", "c").distinct(), "near-groups")
+    return links.unionByName(_delta_links(groups, sketches, docs, width, percent))
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -113,3 +113,19 @@ def test_words_of_long_texts_are_read_in_pieces():
     assert [len(h) for h in whole] == [len((t or "").split()) for t in texts]
     assert all((a == b).all() for a, b in zip(whole, pieces, strict=True))
     assert [len(s) for s in words.shingle_sets(["a b a b", "a", "", "a b"], 2)] == [2, 1, 0, 1]
+
+
+def test_groups_around_the_limit_are_told_by_their_differences(spark, monkeypatch):
+    """One pass over two bands alone: nearly every link has to come from differences from a pivot."""
+    monkeypatch.setattr(neardup, "PASSES", [(0, 24)])
+    rng = random.Random(12)
+    rows = []
+    for g in range(3):
+        base = [f"w{rng.randrange(40)}" for _ in range(60)]
+        for i in range(50):
+            w = list(base)
+            for _ in range(rng.randrange(1, 9)):
+                w[rng.randrange(len(w))] = f"w{rng.randrange(40 if g else 4000)}"
+            rows.append((1000 * g + i, " ".join(w)))
+    got = neardup.minhash_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute_minhash(rows) and 10 < len({r.component_id for r in got}) < 140
