@@ -27,7 +27,7 @@ REAGENT_WORDS = [
     "catalog", "cat.", "cat#", "cat no", "thermo", "fisher", "invitrogen", "sigma", "abcam", "bio-rad", "biolegend",
     "purchased from", "obtained from", "dilut", "μg/ml", "µg/ml",
 ]
-REAGENT_PREFIXES = ["A39", "A63", "AB1", "AB2", "K03", "K20", "MA1", "MA5", "PB1", "SA0", "SC-"]
+REAGENT_PREFIXES = ["A39", "A63", "K03", "K20", "PB1", "SA0", "AB1", "AB2", "MA1", "MA5", "SC-"]
 COMPANIES = ["inc.", "ltd.", "corp."]
 #: Patterns of antibody names, words that look like them, and beginnings of other names.
 NAMES = [
@@ -40,9 +40,8 @@ IMAGE = r"!\[[^\]]*\]\(([^)]+)\)"
 LOOPS = {"h3": r"(?i)CDR[-_\s]?H3\s*[:=]?\s*([A-Z]{5,35})", "l3": r"(?i)CDR[-_\s]?L3\s*[:=]?\s*([A-Z]{5,35})", "h3_anchor": r"\b(C[A-Z]{3,28}W)\b", "l3_anchor": r"\b(C[A-Z]{3,16}[FT])\b", "other": r"\b(C[A-Z]{8,25}[WFTVILG])\b"}
 #: Words in capitals that begin with C and end like a loop.
 NOT_LOOPS = [
-    "CHARACTERIZATION", "COEFFICIENT", "COLLECTED", "COMPETITIVE", "COMPLEMENT", "COMPREHENSIVE", "CONCENTRATED", "CONCEPTUALIZATION", "CONFIDENTIAL", "CONFIRMATION",
-    "CONFLICT", "CONSISTENT", "CONSTRAINT", "CONSTRUCT", "CONSTRUCTS", "CONTRIBUTED", "CONTRIBUTION", "CONVALESCENT", "CONVENTIONAL", "COPYRIGHT", "CORRESPONDENCE",
-    "COUNTERPART", "CROSSREACT", "CROSSREACTIVITY",
+    "COPYRIGHT", "CORRESPONDENCE", "CONTRIBUTION", "CONTRIBUTED", "CONFLICT", "CONCEPTUALIZATION", "COMPREHENSIVE", "COLLECTED", "CHARACTERIZATION", "CONSTRAINT", "CONSISTENT", "CONVALESCENT",
+    "CONFIRMATION", "CONFIDENTIAL", "COUNTERPART", "COEFFICIENT", "CONSTRUCT", "CONSTRUCTS", "CONCENTRATED", "COMPLEMENT", "COMPETITIVE", "CONVENTIONAL", "CROSSREACT", "CROSSREACTIVITY",
 ]
 
 

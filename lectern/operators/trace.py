@@ -60,3 +60,46 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str], cr
     if created:
         out = out.drop(created).join(both.groupBy(*keys).agg(F.min(created).alias(created)), keys)
     return out.select(*old.columns)
+
+
+def enclosing(inner: DataFrame, outer: DataFrame, by: str, name: str) -> DataFrame:
+    """inner (by, id, start, end) with `name`: the id of the innermost outer span (by, id, start, end) around each, null if none is.
+
+    Whole times.  An outer span lies in the one or two bins of its own size
+    class that it touches, and an inner span asks every size class for the bin
+    in which it starts; so both meet by equality, whatever their lengths.  Of
+    several around it the one that starts last counts, then the shorter, then
+    the lesser id.
+    """
+    level = F.ceil(F.log2((F.col("end") - F.col("start") + 1).cast("double"))).cast("int")
+    bin_of = lambda t, k: F.floor(t / F.pow(F.lit(2.0), k)).cast("long")
+    o = outer.filter("start <= end").select(by, F.col("id").alias("_id"), F.col("start").alias("_start"), F.col("end").alias("_end"), level.alias("_level"))
+    o = o.withColumn("_bin", F.explode(F.array_distinct(F.array(bin_of(F.col("_start"), F.col("_level")), bin_of(F.col("_end"), F.col("_level"))))))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(63)))
+    used = o.select("_level").distinct()  # 64 at most
+    i = inner.select(by, "id", "start", "end", levels.alias("_level")).join(F.broadcast(used), "_level").withColumn("_bin", bin_of(F.col("start"), F.col("_level")))
+    met = i.join(o, [by, "_level", "_bin"]).filter("_start <= start AND _end >= end AND NOT (id = _id)")
+    best = met.groupBy(by, "id").agg(F.min_by("_id", F.struct(-F.col("_start"), "_end", "_id")).alias(name))
+    return inner.join(best, [by, "id"], "left")
+
+
+def paper_table(spans: DataFrame) -> DataFrame:
+    """spans (paper_id, id, kind, name, status, start, end, tokens) -> a row a paper and phase: what ran in it.
+
+    Tools count for the phase around them, by way of no other span; a phase
+    that ran several times is one row, and what lies in no phase stands under a
+    null one.  agent_tools counts the tools within an agent.
+    """
+    of = lambda k: spans.filter(F.col("kind") == k)
+    phases = of("phase")
+    named = phases.select("paper_id", F.col("id").alias("phase_id"), F.col("name").alias("phase"))
+    tools = enclosing(enclosing(of("tool"), phases, "paper_id", "phase_id"), of("agent"), "paper_id", "agent_id").join(named, ["paper_id", "phase_id"], "left")
+    agents = enclosing(of("agent"), phases, "paper_id", "phase_id").join(named, ["paper_id", "phase_id"], "left")
+    ms = (F.col("end") - F.col("start")).cast("long")
+    zero = F.lit(0).cast("long")
+    part = lambda d, **c: d.select("paper_id", "phase", *[c.get(n, zero).alias(n) for n in ("phases", "ms", "failed", "agents", "tools", "agent_tools", "tool_ms", "tokens")])
+    one = F.lit(1).cast("long")
+    failed = (F.col("status") != "success").cast("long")
+    rows = part(phases.withColumn("phase", F.col("name")), phases=one, ms=ms, failed=failed).unionByName(part(agents, agents=one, failed=failed))
+    rows = rows.unionByName(part(tools, tools=one, agent_tools=F.col("agent_id").isNotNull().cast("long"), tool_ms=ms, tokens=F.coalesce("tokens", zero), failed=failed))
+    return rows.groupBy("paper_id", "phase").agg(*[F.sum(c).alias(c) for c in ("phases", "ms", "failed", "agents", "tools", "agent_tools", "tool_ms", "tokens")])

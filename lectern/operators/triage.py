@@ -69,7 +69,7 @@ def relevant_images(images: DataFrame, targets: DataFrame, known: DataFrame, mos
     sequences.  Evidence of sequences next to an image counts for it too.  Both
     limits are kept within tasks before anything is shuffled.
     """
-    i = images.filter(large_enough(F.col("pixels"))).withColumn("_all", F.array_distinct(F.concat(F.array("image"), F.coalesce("parts", F.array().cast("array<string>")))))
+    i = images.filter(F.coalesce(large_enough(F.col("pixels")), F.lit(True))).withColumn("_all", F.array_distinct(F.concat(F.array("image"), F.coalesce("parts", F.array().cast("array<string>")))))
     w = Window.partitionBy("paper_id").orderBy("pos", "image")
     i = i.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= most)
     hit = i.select("paper_id", "_rn", F.explode("_all").alias("image")).join(known.select("paper_id", "image").distinct().withColumn("_k", F.lit(True)), ["paper_id", "image"])

@@ -8,17 +8,21 @@ one (`base`) stands for all before it.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.staged import staged
 from lectern.sources.connectors import mock_reply, with_retries
 
 BUCKETS = 64
 #: Tries after which a key that always failed is left alone.
 MOST_TRIES = 3
+#: What follows a reply that was cut off.
+CONTINUE = "\n[continue the JSON from where it stops]"
 ROW = "key string, version long, reply string, error string, tries int, base boolean"
 
 
@@ -113,3 +117,51 @@ def ask(asked: DataFrame, path: str, version: int, call: Callable[[str], str] =
     rows = told.join(before, "key", "left").select("key", F.lit(version).alias("version"), "reply", "error", (F.coalesce("_before", F.lit(0)) + 1).alias("tries"))
     write_replies(rows, path)
     return asked.join(read_replies(spark, path).select("key", "reply", "error"), "key", "left")
+
+
+def joined_reply(told: str | None, more: str | None, least: int = 8) -> str | None:
+    """A reply and its continuation, without the tail that the continuation repeats (of `least` characters or more)."""
+    if told is None or more is None:
+        return told
+    for n in range(min(len(told), len(more)), least - 1, -1):
+        if told.endswith(more[:n]):
+            return told + more[n:]
+    return told + more
+
+
+def is_whole(reply: str | None) -> bool:
+    try:
+        return reply is not None and json.loads(reply) is not None
+    except ValueError:
+        return False
+
+
+def _whole(batch: pd.Series) -> pd.Series:
+    return batch.map(is_whole).astype(bool)
+
+
+def _joined(told: pd.Series, more: pd.Series) -> pd.Series:
+    return pd.Series([joined_reply(a, b) for a, b in zip(told, more, strict=True)], dtype=object)
+
+
+def resumed(asked: DataFrame, path: str, version: int, call: Callable[[str], str] = mock_reply, rounds: int = 3, note: str = CONTINUE) -> DataFrame:
+    """asked (key, prompt) -> key, reply, rounds, whole: replies in JSON, each continued until it is whole or was asked for `rounds` times more.
+
+    Only replies that are still cut off are asked for again, with their prompt
+    and what there is of them; a continuation may repeat their tail.  All
+    replies go through the cache at path, so a run that is taken up again asks
+    only for what it had not got.  A failed or empty continuation ends a reply.
+    """
+    whole, joined = F.pandas_udf(_whole, "boolean"), F.pandas_udf(_joined, "string")
+    first = ask(asked.select("key", "prompt").dropDuplicates(["key"]), path, version, call)
+    now = staged(first.select("key", "prompt", F.col("reply"), F.lit(0).alias("rounds"), whole("reply").alias("whole")), "resumed")
+    for k in range(1, rounds + 1):
+        open_ = now.filter("NOT whole AND reply IS NOT NULL AND rounds = " + str(k - 1))
+        if not open_.count():
+            break
+        more = open_.select(F.col("key").alias("_key"), reply_key(F.col("key"), F.lit(k)).alias("key"), F.concat("prompt", F.lit("\n"), "reply", F.lit(note)).alias("prompt"))
+        got = ask(more, path, version, call).filter(F.coalesce("reply", F.lit("")) != "").select(F.col("_key").alias("key"), F.col("reply").alias("_more"))
+        both = now.join(got, "key", "left")
+        text = F.when(F.col("_more").isNotNull(), joined("reply", "_more")).otherwise(F.col("reply"))
+        now = staged(both.select("key", "prompt", text.alias("reply"), F.when(F.col("_more").isNotNull(), k).otherwise(F.col("rounds")).alias("rounds")).withColumn("whole", whole("reply")), "resumed")
+    return now.select("key", "reply", "rounds", "whole")
