@@ -145,12 +145,19 @@ def _(spark, sf_dir):
     return lines.select("k", line("- PDB IDs").alias("pdb"), line("- CDRH3").alias("h3"), line("- DOI").alias("doi"), line("- PMID").alias("pmid"), line("- Antibody name").alias("names"))
 
 
-@query("p23_routes", f"""WITH s AS (SELECT k, len(list_filter({_all(scan.STRUCTURE_ID)}, lambda x: NOT list_contains({_NOT}, x))) AS p, contains(t, '<table') AS html, contains(t, '| --- |') AS pipe FROM ({TEXT_SQL}))
-  SELECT k, (p > 0)::INT + html::INT + pipe::INT + (NOT html AND NOT pipe)::INT + 1 AS n, CASE WHEN p > 0 THEN 'Track A (API Fetch): ' || p || ' PDB ID(s) → RCSB API' END AS first FROM s""")
+#: A text in which only the piece of accessions has any, and none is far from a word that tells of a reagent.
+ROUTED_SQL = f"SELECT k, accession, concat_ws(' ', structures, accession, tables) AS t FROM ({PAPERS_SQL}) AS papers"
+
+
+@query("p23_routes", f"""WITH p AS ({ROUTED_SQL}), h AS (SELECT k, t, unnest(regexp_extract_all(accession, {q(_ACC)}, 1, 'i')) AS raw FROM p), i AS (SELECT k, t, regexp_replace(regexp_replace(upper(raw), '[\\s_-]+', '', 'g'), '\\.\\d+$', '') AS id FROM h),
+  n AS (SELECT k, count(DISTINCT id) FILTER (regexp_matches(id, '^[A-Z]{{1,2}}\\d{{5,8}}$')) AS acids, count(DISTINCT id) FILTER (regexp_matches(id, '^[A-Z]{{3}}\\d{{5}}$')) AS proteins FROM i
+    WHERE len(list_filter({_WORDS}, lambda w: contains(lower(t), w))) = 0 AND len(list_filter({_PREFIXES}, lambda w: starts_with(id, w))) = 0 AND NOT contains(t, 'Inc.') GROUP BY k),
+  s AS (SELECT p.k, len(list_filter({_all(scan.STRUCTURE_ID)}, lambda x: NOT list_contains({_NOT}, x))) AS codes, coalesce(acids, 0) AS acids, coalesce(proteins, 0) AS proteins, contains(t, '<table') AS html, contains(t, '| --- |') AS pipe FROM p LEFT JOIN n USING (k))
+  SELECT k, concat_ws(chr(10), CASE WHEN codes > 0 THEN 'Track A (API Fetch): ' || codes || ' PDB ID(s) → RCSB API' END, CASE WHEN acids > 0 THEN 'Track A (API Fetch): ' || acids || ' nucleotide GenBank ID(s) → NCBI Entrez' END, CASE WHEN proteins > 0 THEN 'Track A (API Fetch): ' || proteins || ' protein accession(s) → NCBI Entrez' END,
+    CASE WHEN html THEN 'Track C (Script Extract): 1 HTML table(s)' END, CASE WHEN pipe THEN 'Track C (Script Extract): 1 Markdown table(s)' END, CASE WHEN codes + acids + proteins = 0 THEN 'Track A not applicable: No external DB IDs found' END,
+    CASE WHEN NOT html AND NOT pipe THEN 'Track C not applicable: No tables found in document' END, 'Track B (Supplementary): Always check supplementary materials') AS routes FROM s""")
 def _(spark, sf_dir):
-    r = _texts(spark, sf_dir).select("k", scan.routes(scan.bundle(F.col("t"))).alias("r"))
-    other = F.filter("r", lambda x: ~F.contains(x, F.lit("GenBank")) & ~F.contains(x, F.lit("accession")) & ~F.contains(x, F.lit("Track A not")))
-    return r.select("k", F.size(other).alias("n"), F.get(F.filter("r", lambda x: F.contains(x, F.lit("PDB"))), F.lit(0)).alias("first"))
+    return _sql(spark, sf_dir, "part", ROUTED_SQL).select("k", F.array_join(scan.routes(scan.bundle(F.col("t"))), "\n").alias("routes"))
 
 
 # ---------------------------------------------------------------- rules over the rendered records
@@ -296,11 +303,36 @@ def _(spark, sf_dir):
     return _chains(spark, sf_dir).select("k", sequences.variable_domain(whole("heavy"), "H").alias("h"), sequences.variable_domain(whole("light"), "L").alias("l"))
 
 
-@query("b08_single_chain", f"SELECT k, heavy AS h, light AS l FROM ({CHAINS_SQL})")
+#: A heavy and a light chain joined by a linker, in either order, some too short to be two domains.
+JOINED_SQL = f"SELECT k, CASE WHEN k % 7 = 0 THEN substr(heavy, 1, 90) WHEN k % 2 = 0 THEN concat(heavy, 'GGGGSGGGGSGGGGS', light) ELSE concat(light, 'GGGGSGGGGSGGGGS', heavy) END AS s FROM ({CHAINS_SQL}) AS chains"
+
+
+def _places_sql(s: str, chain: str, upto: str) -> str:
+    """Places at which a chain's motifs begin, in order."""
+    found = " OR ".join(f"(substr({s}, i, {len(m)}) = '{m}' AND i + {len(m) - 1} <= {upto})" for m in sequences.STARTS[chain])
+    return f"list_filter(range(1, {upto} + 1), lambda i: {found})"
+
+
+def _domain_sql(s: str, chain: str) -> str:
+    """A chain's domain: from its first motif within 80 residues to its first ending, of the patterns in order, or the window."""
+    first = " , ".join(f"nullif(instr(left({s}, 80), '{m}'), 0)" for m in sequences.STARTS[chain])
+    tail = f"substr({s}, least({first})::BIGINT)"
+    ended = ", ".join(f"nullif(regexp_extract({tail}, '^(.*?{p})', 1), '')" for p in sequences.ENDS[chain])
+    return f"coalesce({ended}, left({tail}, {sequences.WINDOW[chain]}))"
+
+
+def _split_sql(first: str, second: str, gap: int) -> str:
+    """Pairs of a place of the first chain and the next one of the second, and the domains of the two parts."""
+    return f"""{first}{second} AS (SELECT k, s, a, b, {_domain_sql('substr(s, a, b - a)', first)} AS d{first}, {_domain_sql('substr(s, b)', second)} AS d{second} FROM (SELECT k, s, a, list_min(list_filter({second}, lambda x: x >= a + {gap})) AS b FROM (SELECT *, unnest({first}) AS a FROM placed)) WHERE b IS NOT NULL),
+  best{first}{second} AS (SELECT k, arg_min(dH, a) AS h, arg_min(dL, a) AS l FROM {first}{second} WHERE length(dH) BETWEEN 95 AND 160 AND length(dL) BETWEEN 85 AND 140 GROUP BY k)"""
+
+
+@query("b08_single_chain", f"""WITH placed AS (SELECT k, s, {_places_sql('s', 'H', 'least(length(s), 140)')} AS H, {_places_sql('s', 'L', 'length(s)')} AS L FROM ({JOINED_SQL})),
+  {_split_sql('H', 'L', 70)}, {_split_sql('L', 'H', 60)}
+  SELECT k, CASE WHEN able THEN coalesce(x.h, y.h, '') ELSE '' END AS h, CASE WHEN able THEN coalesce(x.l, y.l, '') ELSE '' END AS l FROM (SELECT k, length(s) >= 180 AND len(H) > 0 AND len(L) > 0 AS able FROM placed) LEFT JOIN bestHL x USING (k) LEFT JOIN bestLH y USING (k)""")
 def _(spark, sf_dir):
-    joined = F.when(F.col("k") % 2 == 0, F.concat("heavy", F.lit("GGGGSGGGGSGGGGS"), "light")).otherwise(F.concat("light", F.lit("GGGGSGGGGSGGGGS"), "heavy"))
-    d = _chains(spark, sf_dir).select("k", sequences.single_chain_domains(joined).alias("d"))
-    return d.select("k", F.col("d.heavy").alias("h"), F.regexp_replace("d.light", "(KVEIK).*$", "$1").alias("l"))
+    d = _sql(spark, sf_dir, "part", JOINED_SQL).select("k", sequences.single_chain_domains(F.col("s")).alias("d"))
+    return d.select("k", F.col("d.heavy").alias("h"), F.col("d.light").alias("l"))
 
 
 @query("b04_b05_loops", f"SELECT k, 'CAR' || substr({_RES}, 9, (5 + k % 9)::INT) || 'W' AS anchored, 'AR' || substr({_RES}, 9, (5 + k % 9)::INT) AS core FROM ({CHAINS_SQL})")

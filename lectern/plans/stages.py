@@ -103,13 +103,17 @@ def _(spark, sf_dir):
     return images.ocr_owner(d.withColumn("line", line), "doc_id").select("doc_id", "pos", "owner")
 
 
-@query("r10_image_manifest", """SELECT doc_id, 'i' || j || '.png' AS image, j AS pos, CASE WHEN j < 2 THEN 'Figure ' || (j + 1) ELSE '' END AS figure_label FROM documents, range(3) t(j)""")
+_POS = "cast(pos as string)"
+_LABEL = chosen(3, f"concat('Figure ', {_POS}, ': words')", f"concat('in Table', {_POS}, ' of the')", "'no label'", f"concat('fig. S', {_POS}, ' (left)')", "'TABLE X'", k="(doc_id + pos)")
+#: Four blocks a document: labels, and images that come again in the next block.
+BLOCKS_SQL = f"SELECT doc_id, pos, CASE WHEN pos < 3 THEN concat({_LABEL}, chr(10), '![x](i', {_POS}, '.png) ![y](i', cast(greatest(pos - 1, 0) as string), '.png)') ELSE concat(' ', {_LABEL}, ' last words') END AS block FROM (SELECT doc_id FROM documents) AS d CROSS JOIN (VALUES (0), (1), (2), (3)) AS places(pos)"
+
+
+@query("r10_image_manifest", f"""WITH b AS ({BLOCKS_SQL}), two AS (SELECT a.doc_id, a.pos, a.block, trim(a.block) || ' ' || trim(n.block) AS around FROM b a JOIN b n ON n.doc_id = a.doc_id AND n.pos = a.pos + 1),
+  seen AS (SELECT doc_id, pos, around, unnest(regexp_extract_all(block, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1)) AS image FROM two), first AS (SELECT doc_id, image, min(pos) AS pos, arg_min(around, pos) AS around FROM seen GROUP BY ALL)
+  SELECT doc_id, image, pos, regexp_extract(around, '(?i)\\b(Fig(?:ure)?\\.?\\s*[A-Za-z0-9]+|Table\\s*[A-Za-z0-9]+)\\b', 1) AS figure_label, around AS caption FROM first""")
 def _(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("pos"))
-    p = F.col("pos").cast("string")
-    block = F.when(F.col("pos") < 3, F.concat(F.when(F.col("pos") > 0, F.concat(F.lit("Figure "), p, F.lit(": words\n"))).otherwise(""), F.lit("![x](i"), p, F.lit(".png)\n![x](i"), F.greatest(F.col("pos") - 1, F.lit(0)).cast("string"), F.lit(".png)"))).otherwise("last words")
-    m = images.manifest(d.withColumn("block", block), "doc_id")
-    return m.select("doc_id", "image", "pos", F.when(F.col("pos") == 2, "").when(F.col("figure_label") == "", "").otherwise(F.concat(F.lit("Figure "), (F.col("pos") + 1).cast("string"))).alias("figure_label"))
+    return images.manifest(_sql(spark, sf_dir, "documents", BLOCKS_SQL), "doc_id").select("doc_id", "image", "pos", "figure_label", "caption")
 
 
 @query("r11_structure_codes", f"SELECT k, {_s('list_sort(list_distinct(regexp_extract_all(upper(structures), ' + q(chr(92) + 'b([0-9][A-Z][A-Z0-9]{2})' + chr(92) + 'b') + ', 1)))')} AS codes FROM ({PAPERS_SQL})")
@@ -141,11 +145,17 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", papers.large_enough(F.array(F.when(s % 7 != 0, s * 100), s * 200)).alias("keep"))
 
 
-@query("p19_supplements", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '# One' || chr(10) || chr(10) || 'x' || chr(10) ELSE 'y' || chr(10) || chr(10) || '# Two' || chr(10) END AS t FROM documents")
+#: Texts with supplements of two names among their sections, and runs of blank lines.
+SUPPLEMENTED_SQL = f"""SELECT doc_id, concat('# One', chr(10), chr(10), chr(10), chr(10), coalesce(text, ''), chr(10), '# Excel Supplement: bad.xlsx sheet', chr(10), 'rows', chr(10), '## below', chr(10), 'more', chr(10),
+  {chosen(2, "concat('# Two', chr(10), 'kept', chr(10))", "concat('# Excel Supplement: good.xlsx', chr(10), 'kept too', chr(10), '# Excel Supplement: bad.xlsx', chr(10), 'gone')", "''", k="doc_id")}, chr(10), chr(10), ' ') AS body FROM documents"""
+
+
+@query("p19_supplements", f"""WITH l AS (SELECT doc_id, i, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(body, chr(10)) AS lines FROM ({SUPPLEMENTED_SQL})))),
+  owned AS (SELECT doc_id, i, line, last_value(CASE WHEN starts_with(line, '# ') THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS head FROM l)
+  SELECT doc_id, md5(regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i), ''), '\\n{{3,}}', chr(10) || chr(10), 'g'), '\\s+$', '') || chr(10)) AS t FROM owned WHERE head IS NULL OR NOT starts_with(head, '# Excel Supplement: bad.xlsx') GROUP BY doc_id""")
 def _(spark, sf_dir):
-    body = F.when(F.col("doc_id") % 2 == 0, "# One\n\n\n\nx\n# Excel Supplement: bad.xlsx sheet\nrows\nrows\n").otherwise("y\n# Excel Supplement: bad.xlsx\nrows\n\n# Two\n\n")
-    t = images.without_supplements(body, ["bad.xlsx"])
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(t, "y\n# Two", "y\n\n# Two").alias("t"))
+    d = _sql(spark, sf_dir, "documents", SUPPLEMENTED_SQL)
+    return d.select("doc_id", F.md5(images.without_supplements(F.col("body"), ["bad.xlsx"])).alias("t"))
 
 
 @query("p24_payloads", """SELECT o_orderkey, CASE WHEN s = 'reviewed' AND f = '' THEN 'final_label is required' WHEN f = 'exact' AND o_orderkey % 5 > 0 THEN 'error_types must be empty' END AS problem,
