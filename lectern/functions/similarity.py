@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,26 +117,51 @@ def edit_preview(a: str, b: str, limit: int = 5) -> list[str]:
     return found
 
 
+def _common_rows(x: np.ndarray, y: np.ndarray, top: int, low: int, below: np.ndarray) -> list[np.ndarray]:
+    """Rows top to low of the table of longest common subsequences of two texts' ends, from the row under them.
+
+    A cell is the most that it or one to its right gets from the row below, so
+    a row is one running maximum.
+    """
+    rows = [below]
+    for i in range(low, top - 1, -1):
+        best = np.maximum(below[:-1], np.where(y == x[i], below[1:] + 1, 0))
+        below = np.append(np.maximum.accumulate(best[::-1])[::-1], 0).astype(np.int32)
+        rows.append(below)
+    return rows[::-1]
+
+
 def character_diff(a: str, b: str) -> list[tuple[str, bool, bool]]:
-    """Runs of characters of two texts: (run, in the first, in the second); a longest common subsequence is shared."""
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
+    """Runs of characters of two texts: (run, in the first, in the second); a longest common subsequence is shared.
+
+    Every so many rows of the table are kept and those between are made again
+    on the way, so memory grows with the length of b and the root of that of a.
+    """
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    step = max(1, math.isqrt(len(a)))
+    kept, row = {len(a): np.zeros(len(b) + 1, np.int32)}, np.zeros(len(b) + 1, np.int32)
+    for low in range(len(a) - 1, -1, -step):
+        top = max(0, low - step + 1)
+        row = _common_rows(x, y, top, low, row)[0]
+        kept[top] = row
     runs: list[list] = []
     i = j = 0
+    first, rows = 0, []
     while i < len(a) or j < len(b):
+        if i < len(a) and not first <= i < first + len(rows) - 1:
+            after = min(k for k in kept if k > i)
+            first, rows = i, _common_rows(x, y, i, after - 1, kept[after])
         if i < len(a) and j < len(b) and a[i] == b[j]:
-            step = (a[i], True, True)
+            run, kind = a[i], (True, True)
             i, j = i + 1, j + 1
-        elif j >= len(b) or (i < len(a) and table[i + 1][j] >= table[i][j + 1]):
-            step, i = (a[i], True, False), i + 1
+        elif j >= len(b) or (i < len(a) and rows[i + 1 - first][j] >= rows[i - first][j + 1]):
+            run, kind, i = a[i], (True, False), i + 1
         else:
-            step, j = (b[j], False, True), j + 1
-        if runs and runs[-1][1:] == list(step[1:]):
-            runs[-1][0] += step[0]
+            run, kind, j = b[j], (False, True), j + 1
+        if runs and runs[-1][1:] == list(kind):
+            runs[-1][0] += run
         else:
-            runs.append(list(step))
+            runs.append([run, *kind])
     return [tuple(r) for r in runs]
 
 

@@ -324,10 +324,19 @@ def merged_outputs(files: DataFrame) -> DataFrame:
     return files.groupBy("batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n\n---\n\n").alias("merged"), n(F.col("ok")).alias("done"), n(~F.col("ok")).alias("failed"))
 
 
-def found_views(files: DataFrame, pattern: str) -> DataFrame:
-    """files (path, modified) that match -> id (the path without its end), path, modified, newest first in rank."""
-    some = files.filter(F.col("path").rlike(pattern)).withColumn("id", F.regexp_replace("path", r"\.[^./]*$", ""))
-    return some.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("modified"), "path")))
+def result_views(files: DataFrame, root: str) -> DataFrame:
+    """files (path) below a folder of reports -> id, title, results, predictions: a view for each run's latest results.
+
+    A view is named by its folder below the root.  The run's predictions lie
+    beside it, or beside the folder `benchmark` that holds it; null if there
+    are none.  Results and predictions meet by the run's folder.
+    """
+    below = files.filter(F.startswith("path", F.lit(root.rstrip("/") + "/")))
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    views = below.filter(F.endswith("path", F.lit("/eval_result_latest.json"))).select(F.col("path").alias("results"), folder.alias("_folder"), F.when(F.endswith(folder, F.lit("/benchmark")), F.regexp_replace(folder, "/benchmark$", "")).otherwise(folder).alias("_run"))
+    told = below.filter(F.endswith("path", F.lit("/agent/benchmark_predictions.json"))).select(F.col("path").alias("predictions"), F.regexp_replace("path", "/agent/[^/]*$", "").alias("_run"))
+    out = views.join(told, "_run", "left")
+    return out.select(F.coalesce(F.nullif(F.substr("_folder", F.lit(len(root.rstrip("/")) + 2)), F.lit("")), F.lit(".")).alias("id"), F.regexp_extract("_folder", "([^/]*)$", 1).alias("title"), "results", "predictions")
 
 
 def loaded(papers: DataFrame) -> DataFrame:

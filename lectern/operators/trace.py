@@ -103,3 +103,10 @@ def paper_table(spans: DataFrame) -> DataFrame:
     rows = part(phases.withColumn("phase", F.col("name")), phases=one, ms=ms, failed=failed).unionByName(part(agents, agents=one, failed=failed))
     rows = rows.unionByName(part(tools, tools=one, agent_tools=F.col("agent_id").isNotNull().cast("long"), tool_ms=ms, tokens=F.coalesce("tokens", zero), failed=failed))
     return rows.groupBy("paper_id", "phase").agg(*[F.sum(c).alias(c) for c in ("phases", "ms", "failed", "agents", "tools", "agent_tools", "tool_ms", "tokens")])
+
+
+def progress(papers: DataFrame, by: list[str], status: str = "status") -> DataFrame:
+    """How far a batch is: papers, and how many of them are completed, failed, timed out and neither yet."""
+    n = lambda *kinds: F.sum(F.col(status).isin(*kinds).cast("long"))
+    done = n("completed", "error", "timeout")
+    return papers.groupBy(*by).agg(F.count("*").alias("total"), n("completed").alias("completed"), n("error").alias("errors"), n("timeout").alias("timeouts"), (F.count("*") - F.coalesce(done, F.lit(0))).alias("running"))

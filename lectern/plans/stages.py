@@ -195,9 +195,32 @@ def _(spark, sf_dir):
     return c.select("doc_id", "c.*", papers.focus_flags(F.col("c"), {"numbers": (1, "table-heavy"), "vowels": (200, "long"), "ends": (10, "prose")})["hard"].alias("hard"))
 
 
-@query("a31_a32_run_counts", "SELECT user_id, event_type, count(*) AS n, count(*) FILTER (value > 50) AS late FROM events GROUP BY ALL")
+_STATUS = chosen(3, "'completed'", "'error'", "'timeout'", "'extract'", "'completed'", "NULL", k="event_id")
+
+
+@query("a31_a32_run_counts", f"""SELECT user_id, count(*) AS total, count(*) FILTER (s = 'completed') AS completed, count(*) FILTER (s = 'error') AS errors, count(*) FILTER (s = 'timeout') AS timeouts, count(*) FILTER (s IS NULL OR s = 'extract') AS running
+  FROM (SELECT user_id, {_STATUS} AS s FROM events) GROUP BY 1""")
+def _(spark, sf_dir):
+    return trace.progress(_sql(spark, sf_dir, "events", f"SELECT user_id, {_STATUS} AS status FROM events"), ["user_id"])
+
+
+_RUN = "concat('/reports/', cast(k % 40 as string), '/run', cast(k as string))"
+#: Files of runs: results in the run's folder or in its benchmark folder, predictions of most of them, and other files.
+FILES_SQL = f"""SELECT concat({_RUN}, {chosen(3, "'/eval_result_latest.json'", "'/benchmark/eval_result_latest.json'", "'/eval_result_1.json'")}) AS path FROM (SELECT p_partkey AS k FROM part) AS keys
+  UNION ALL SELECT concat({_RUN}, '/agent/benchmark_predictions.json') AS path FROM (SELECT p_partkey AS k FROM part WHERE p_partkey % 4 > 0) AS keys
+  UNION ALL SELECT concat('/other', {_RUN}, '/eval_result_latest.json') AS path FROM (SELECT p_partkey AS k FROM part WHERE p_partkey % 9 = 0) AS keys"""
+
+
+@query("s14_result_views", f"""WITH f AS ({FILES_SQL}), v AS (SELECT path, regexp_replace(path, '^/reports/(.*)/[^/]*$', '\\1') AS id FROM f WHERE regexp_matches(path, '^/reports/.*/eval_result_latest.json$'))
+  SELECT id, string_split(id, '/')[-1] AS title, path AS results, CASE WHEN list_contains((SELECT list(path) FROM f), '/reports/' || replace(id, '/benchmark', '') || '/agent/benchmark_predictions.json') THEN '/reports/' || replace(id, '/benchmark', '') || '/agent/benchmark_predictions.json' END AS predictions FROM v""")
+def _(spark, sf_dir):
+    return papers.result_views(_sql(spark, sf_dir, "part", FILES_SQL), "/reports/")
+
+
+@query("n05_first_filled", "SELECT c_custkey, coalesce(nullif(trim(a), ''), nullif(trim(b), ''), nullif(trim(c), ''), '') AS v FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN ' ' WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS a, CASE WHEN c_custkey % 5 > 0 THEN '' ELSE ' ' || c_name || ' ' END AS b, CASE WHEN c_custkey % 7 > 2 THEN c_mktsegment END AS c FROM customer)")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum((F.col("value") > 50).cast("long")).alias("late"))
+    c = _sql(spark, sf_dir, "customer", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN ' ' WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS a, CASE WHEN c_custkey % 5 > 0 THEN '' ELSE concat(' ', c_name, ' ') END AS b, CASE WHEN c_custkey % 7 > 2 THEN c_mktsegment END AS c FROM customer")
+    return c.select("c_custkey", text.first_filled(F.col("a"), F.col("b"), F.col("c")).alias("v"))
 
 
 @query("w13_missing_names", "SELECT p_size AS image, 'AB' || p_partkey AS name FROM part WHERE p_partkey % 3 = 0")

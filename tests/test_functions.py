@@ -66,6 +66,13 @@ def test_character_diff_rebuilds_both_sides():
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(2))
         runs = similarity.character_diff(a, b)
         assert "".join(r for r, left, _ in runs if left) == a and "".join(r for r, _, right in runs if right) == b
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
+        assert sum(len(r) for r, left, right in runs if left and right) == table[0][0]
+    long = "".join(rng.choice("acgt") for _ in range(6000))
+    assert similarity.character_diff(long, long[:3000] + "X" + long[3001:]) in ([(long[:3000], True, True), (long[3000], True, False), ("X", False, True), (long[3001:], True, True)],)
     assert similarity.edit_preview("ACDE", "ACFE") == ["replace@3:D>F"]
 
 
