@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Whitespace of the operators' contracts: space, and tab to carriage return.
@@ -40,6 +40,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def materialise_told(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """materialise(), and aggregates of what was written, gathered by the same job."""
+    seen = Observation()
+    return materialise(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]), name), seen.get
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import discard, materialise
+from lectern.llm.common import discard, materialise, materialise_told
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,11 +35,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = materialise(edges.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v").distinct(), "edges")
     mark = None
     for _ in range(rounds):
-        after = materialise(_small_star(_large_star(now)), "stars")
-        seen = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        after, seen = materialise_told(_small_star(_large_star(now)), "stars", n=F.count(F.lit(1)), all=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
         discard(now.sparkSession, now)
         now = after
-        if seen == mark or not seen[0]:
+        if seen == mark or not seen["n"]:
             break
         mark = seen
     else:

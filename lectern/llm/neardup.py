@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import bounded_batches, dealt_join, materialise, narrow_side, salted_join
+from lectern.llm.common import bounded_batches, dealt_join, materialise, materialise_told, narrow_side, salted_join
 from lectern.llm.components import components
 from lectern.llm.words import give_back, shingle_sets
 
@@ -115,8 +115,8 @@ def _similar(a: Column, b: Column, percent: int) -> Column:
     return of(a, b)
 
 
-def _near(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets are at least so similar.
+def _near(pairs: DataFrame, count: int, sketches: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (u, v), `count` rows, whose sets are at least so similar.
 
     Sketches of 256 bytes meet first and leave the pairs that may be; only
     these pairs' texts are read again, and their sets compared.  A node can
@@ -125,17 +125,17 @@ def _near(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, pe
     at = percent / 100
     least = at - ERRORS * (at * (1 - at) / VALUES) ** 0.5
 
-    def both(rows: DataFrame, of: DataFrame, c: str) -> DataFrame:
-        total = rows.count()
+    def both(rows: DataFrame, total: int, of: DataFrame, c: str) -> DataFrame:
         for n in "uv":
-            rows = salted_join(rows, of.select(F.col("node").alias(n), F.col(c).alias(f"{c}_{n}")), n, rows.groupBy(n).agg(F.count("*").alias("n")), total)
+            rows = salted_join(rows, of.select(F.col("node").alias(n), F.col(c).alias(f"{c}_{n}")), n, pairs.groupBy(n).agg(F.count("*").alias("n")), total)
         return rows
 
-    met = both(pairs, sketches, "sketch")
-    able = materialise(met.filter(_estimate(F.col("sketch_u"), F.col("sketch_v")) >= least).select("u", "v"), "near-able")
+    met = both(pairs, count, sketches, "sketch")
+    able, told = materialise_told(met.filter(_estimate(F.col("sketch_u"), F.col("sketch_v")) >= least).select("u", "v"), "near-able", n=F.count(F.lit(1)))
+    pairs = able
     nodes = able.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = _sets_of(docs, sketches.select("node", "least").join(nodes, "node", "left_semi"), width)
-    return materialise(both(able, sets, "shingles").filter(_similar(F.col("shingles_u"), F.col("shingles_v"), percent)).select("u", "v"), "near-links")
+    return materialise(both(able, told["n"], sets, "shingles").filter(_similar(F.col("shingles_u"), F.col("shingles_v"), percent)).select("u", "v"), "near-links")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -214,7 +214,8 @@ def _delta_links(groups: DataFrame, sketches: DataFrame, docs: DataFrame, width:
     need = F.ceil(percent * (F.col("n") + F.col("n_")) / F.lit(float(whole)) - 1e-9) + F.col("np") - F.col("m") - F.col("m_")
     able = (F.col("c") != F.col("c_")) & (F.col("near") | (F.col("node") < F.col("node_"))) & (F.least("n", "n_") * 100 >= F.greatest("n", "n_") * percent) & (F.least("left", "left_") >= need)
     pairs = pairs.filter(able).select(F.least("node", "node_").alias("u"), F.greatest("node", "node_").alias("v")).distinct()
-    found = _near(materialise(pairs, "near-pairs"), sketches, docs, width, percent)
+    pairs, told = materialise_told(pairs, "near-pairs", n=F.count(F.lit(1)))
+    found = _near(pairs, told["n"], sketches, docs, width, percent)
     return found.unionByName(to_pivot)
 
 
@@ -232,13 +233,13 @@ def near_links(sketches: DataFrame, docs: DataFrame, width: int = WIDTH, percent
     """
     spark = sketches.sparkSession
     links = spark.createDataFrame([], "u long, v long")
-    named, left, done = None, [], None
-    label = lambda rows: rows.withColumn("c", F.col("node")) if named is None else rows.join(narrow_side(named, named.count()), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    named, n_named, left, done = None, 0, [], None
+    label = lambda rows: rows.withColumn("c", F.col("node")) if named is None else rows.join(narrow_side(named, n_named), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     for low, high in PASSES:
         members = label(sketches.select("node", "n", F.explode(F.slice("bands", low + 1, high - low)).alias("bucket")))
         mixed = members.groupBy("bucket").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("node").alias("head"))
-        mixed = materialise(mixed.filter("low <> high").select("bucket", "m", "head"), "near-mixed")
-        total = mixed.agg(F.sum("m")).first()[0]
+        mixed, told = materialise_told(mixed.filter("low <> high").select("bucket", "m", "head"), "near-mixed", total=F.sum("m"))
+        total = told["total"]
         if not total:
             continue
         sizes = mixed.select("bucket", F.col("m").alias("n"))
@@ -248,17 +249,18 @@ def near_links(sketches: DataFrame, docs: DataFrame, width: int = WIDTH, percent
         leaders = of_mixed.filter("leads").select("bucket", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu"))
         met = salted_join(of_mixed.select("bucket", "node", "n", "c", "leads"), leaders, "bucket", sizes, total).filter("c <> cu AND (NOT leads OR u < node)")
         pairs = met.filter(F.least("n", "nu") * 100 >= F.greatest("n", "nu") * percent).select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
-        pairs = materialise(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), "near-pairs")
-        links = links.unionByName(_near(pairs, sketches, docs, width, percent))
+        pairs, told = materialise_told(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), "near-pairs", n=F.count(F.lit(1)))
+        links = links.unionByName(_near(pairs, told["n"], sketches, docs, width, percent))
         done = pairs if done is None else done.unionByName(pairs)
-        named = materialise(components(links), "near-components")
+        named, told = materialise_told(components(links), "near-components", n=F.count(F.lit(1)))
+        n_named = told["n"]
         left.append(of_mixed.filter("m > 2 AND NOT leads").select("bucket", "node"))
     if not left:
         return links
     rows = label(reduce(DataFrame.unionByName, left))
     pivots = rows.groupBy("bucket").agg(F.min("c").alias("pivot"), F.max("c").alias("high"), F.count("*").alias("n")).filter("pivot <> high")
-    pivots = materialise(pivots, "near-pivots")
-    total = pivots.agg(F.sum("n")).first()[0]
+    pivots, told = materialise_told(pivots, "near-pivots", total=F.sum("n"))
+    total = told["total"]
     if not total:
         return links
     groups = materialise(dealt_join(rows, pivots.select("bucket", "pivot"), "bucket", pivots.select("bucket", "n"), total).select("pivot", "node", "c").distinct(), "near-groups")
