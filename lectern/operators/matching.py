@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,24 +50,80 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_pairs(sims: pd.DataFrame, optimal: bool = True) -> list[tuple[int, int, float]]:
-    """(gt_idx, pred_idx, sim) pairs of one paper, none under the floor."""
-    gt, pred = np.sort(sims["gt_idx"].unique()), np.sort(sims["pred_idx"].unique())
+def _evident(table: np.ndarray) -> np.ndarray | None:
+    """Column of each row where the best columns of all rows are single and differ, which makes them the one best assignment; else None."""
+    to = table.argmax(1)
+    if len(table) > table.shape[1] or len(np.unique(to)) < len(to):
+        return None
+    best = table[np.arange(len(to)), to]
+    return to if ((table == best[:, None]).sum(1) == 1).all() else None
+
+
+def _matched(g: np.ndarray, p: np.ndarray, sim: np.ndarray, optimal: bool) -> list[tuple[int, int, float]]:
+    """Pairs (record, prediction, similarity) of one paper, none under the floor."""
+    gt, rows = np.unique(g, return_inverse=True)
+    pred, columns = np.unique(p, return_inverse=True)
     if not optimal:
-        free_g, free_p, out = set(gt), set(pred), []
-        for r in sims[sims["sim"] >= FLOOR].sort_values(["sim", "gt_idx", "pred_idx"], ascending=[False, True, True]).itertuples():
-            if r.gt_idx in free_g and r.pred_idx in free_p:
-                out.append((r.gt_idx, r.pred_idx, r.sim))
-                free_g.discard(r.gt_idx)
-                free_p.discard(r.pred_idx)
+        free_g, free_p, out = np.ones(len(gt), bool), np.ones(len(pred), bool), []
+        for k in np.lexsort((p, g, -sim)):
+            if sim[k] < FLOOR:
+                break
+            if free_g[rows[k]] and free_p[columns[k]]:
+                out.append((g[k], p[k], sim[k]))
+                free_g[rows[k]] = free_p[columns[k]] = False
         return out
-    n = max(len(gt), len(pred))
-    cost = np.zeros((n, n))
     table = np.zeros((len(gt), len(pred)))
-    table[np.searchsorted(gt, sims["gt_idx"]), np.searchsorted(pred, sims["pred_idx"])] = sims["sim"]
-    cost[: len(gt), : len(pred)] = 1 - table
-    to = assignment(cost)
-    return [(gt[i], pred[j], table[i, j]) for i, j in enumerate(to[: len(gt)]) if j < len(pred) and table[i, j] >= FLOOR]
+    table[rows, columns] = sim
+    to = _evident(table)
+    if to is None and (back := _evident(table.T)) is not None:
+        to = np.full(len(gt), len(pred))
+        to[back] = np.arange(len(pred))
+    if to is None:
+        n = max(table.shape)
+        cost = np.zeros((n, n))
+        cost[: len(gt), : len(pred)] = 1 - table
+        to = assignment(cost)[: len(gt)]
+    return [(gt[i], pred[j], table[i, j]) for i, j in enumerate(to) if j < len(pred) and table[i, j] >= FLOOR]
+
+
+def best_pairs(sims: pd.DataFrame, optimal: bool = True) -> list[tuple[int, int, float]]:
+    """(gt_idx, pred_idx, sim) pairs of one paper, none under the floor."""
+    return _matched(*(sims[c].to_numpy() for c in ("gt_idx", "pred_idx", "sim")), optimal)
+
+
+def _by_paper(batches: Iterator[pa.RecordBatch], optimal: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of every paper from rows in the order of papers; a paper may lie in several batches."""
+    held: list[pa.RecordBatch] = []
+
+    def paired(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        codes = table["paper_id"].combine_chunks().dictionary_encode()
+        at = codes.indices.to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(at)) + 1
+        g, p, sim = (table[c].to_numpy() for c in ("gt_idx", "pred_idx", "sim"))
+        out: list[list] = [[], [], [], []]
+        for low, high in zip([0, *cuts], [*cuts, len(at)], strict=True):
+            for a, b, s in _matched(g[low:high], p[low:high], sim[low:high], optimal):
+                for column, value in zip(out, (at[low], a, b, s), strict=True):
+                    column.append(value)
+        names = codes.dictionary.take(pa.array(out[0], pa.int64()))
+        return pa.RecordBatch.from_arrays([names.cast(pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())], names=["paper_id", "gt_idx", "pred_idx", "sim"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = batch["paper_id"][batch.num_rows - 1]
+        start = batch.num_rows - 1
+        while start and batch["paper_id"][start - 1] == last:
+            start -= 1
+        if start or (held and held[-1]["paper_id"][held[-1].num_rows - 1] != batch["paper_id"][0]):
+            whole = pa.Table.from_batches([*held, batch.slice(0, start)])
+            if whole.num_rows:
+                yield paired(whole)
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield paired(pa.Table.from_batches(held))
 
 
 def match_records(gt: DataFrame, pred: DataFrame, context: tuple[str, ...] | None = None, optimal: bool = True) -> DataFrame:
@@ -82,10 +141,11 @@ def match_records(gt: DataFrame, pred: DataFrame, context: tuple[str, ...] | Non
     pairs = side(gt, "gt_idx", "g_").join(side(pred, "pred_idx", "p_"), "paper_id")
     sims = with_pair_similarity(pairs, "g_", "p_", context).select("paper_id", "gt_idx", "pred_idx", "sim")
 
-    def assigned(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *x) for x in best_pairs(rows, optimal)], columns=["paper_id", "gt_idx", "pred_idx", "sim"])
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _by_paper(batches, optimal)
 
-    return sims.groupBy("paper_id").applyInPandas(assigned, _PAIRS)
+    ordered = sims.select(F.col("paper_id").cast("string").alias("paper_id"), F.col("gt_idx").cast("long").alias("gt_idx"), F.col("pred_idx").cast("long").alias("pred_idx"), "sim")
+    return ordered.filter("paper_id IS NOT NULL").repartition("paper_id").sortWithinPartitions("paper_id").mapInArrow(assigned, _PAIRS)
 
 
 def long_pairs(gt: DataFrame, pred: DataFrame, pairs: DataFrame, fields: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -36,6 +37,26 @@ def test_pairs_keep_to_the_floor_and_greedy_takes_the_best():
     assert [(int(a), int(b)) for a, b, _ in matching.best_pairs(sims, optimal=False)] == [(0, 0)]
 
 
+def test_batches_of_papers_give_what_single_papers_give():
+    rng = np.random.default_rng(9)
+    frames = [pd.DataFrame([(f"P{k:03}", g, p, round(rng.random(), 1 if k % 2 else 6)) for g in range(rng.integers(1, 6)) for p in range(rng.integers(1, 6))], columns=["paper_id", "gt_idx", "pred_idx", "sim"]) for k in range(60)]
+    whole = pa.Table.from_pandas(pd.concat(frames), preserve_index=False)
+    for size in (1, 7, 64, 10_000):
+        for optimal in (True, False):
+            got = [tuple(r.values()) for b in matching._by_paper(iter(whole.to_batches(max_chunksize=size)), optimal) for r in b.to_pylist()]
+            assert got == [(f["paper_id"][0], *x) for f in frames for x in matching.best_pairs(f, optimal)]
+    for f in frames[:40]:  # the short way has the total of the long one
+        table = f.pivot(index="gt_idx", columns="pred_idx", values="sim").fillna(0).to_numpy()
+        n = max(table.shape)
+        cost = np.zeros((n, n))
+        cost[: table.shape[0], : table.shape[1]] = 1 - table
+        to = matching.assignment(cost)
+        best = sum(table[i, j] for i, j in enumerate(to[: len(table)]) if j < table.shape[1] and table[i, j] >= 0.5)
+        evident = matching._evident(table)
+        if evident is not None:
+            assert abs(sum(v for v in table[np.arange(len(table)), evident] if v >= 0.5) - best) < 1e-9
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab \n", max_size=80), st.integers(3, 20))
 def test_chunks_keep_order_and_limit(body, limit):
