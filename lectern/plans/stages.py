@@ -13,14 +13,21 @@ from lectern.plans.extraction import CHAINS_SQL, PAPERS_SQL, _j, _s, _S, _scored
 from lectern.plans.recipes import LABELS_SQL, SPANS_SQL, chosen, q, table
 from lectern.sources import files
 
-_HINT = chosen(2, f"concat('heavy chain GenBank MN', {_S('100000 + k')})", f"concat('Thermo catalog AB', {_S('100000 + k')})", f"concat('MN', {_S('200000 + k')})", f"concat('see MN', {_S('300000 + k')})", f"concat('accession AB', {_S('100000 + k')}, ' to AB', {_S('100005 + k')})")
+_HINT = chosen(2, f"concat('VH of MN', {_S('100000 + k')}, ' and MN', {_S('500000 + k')}, '; cds')", f"concat('MN', {_S('400000 + k')}, ' - MN', {_S('400009 + k')}, ', Sigma reagent')", f"concat('heavy chain GenBank MN', {_S('100000 + k')})", f"concat('Thermo catalog AB', {_S('100000 + k')})", f"concat('MN', {_S('200000 + k')})", f"concat('see MN', {_S('300000 + k')})", f"concat('accession AB', {_S('100000 + k')}, ' to AB', {_S('100005 + k')})")
 HINT_SQL = f"SELECT k, {_HINT} AS hint FROM (SELECT p_partkey AS k FROM part) AS keys"
 
 
-@query("p25_plausible_accessions", f"""SELECT k, CASE WHEN starts_with(hint, 'Thermo') OR starts_with(hint, 'see') THEN '' ELSE {_s("regexp_extract_all(hint, '[A-Z]{2}[0-9]{6,8}')")} END AS ids, starts_with(hint, 'accession AB') AS ranged FROM ({HINT_SQL})""")
+def _said(words: list[str], c: str) -> str:
+    """Whether a text has any of the words, case aside."""
+    return f"len(list_filter([{', '.join(map(q, words))}], lambda w: contains(lower({c}), w))) > 0"
+
+
+@query("p25_plausible_accessions", f"""WITH h AS (SELECT k, hint, regexp_extract_all(hint, '[A-Z]{{2}}[0-9]{{6,8}}') AS ids FROM ({HINT_SQL})),
+  o AS (SELECT k, hint, CASE WHEN {_said(papers.REJECT, 'hint')} THEN [] WHEN {_said(papers.SUPPORT, 'hint')} OR replace(hint, ' ', '') = ids[1] THEN list_distinct(ids) ELSE [] END AS ids FROM h)
+  SELECT k, array_to_string(list_sort(ids), ',') AS ids, len(ids) > 1 AND regexp_matches(hint, '\\b(to|through|thru)\\b|[-–—…]') AS ranged FROM o""")
 def _(spark, sf_dir):
     h = _sql(spark, sf_dir, "part", HINT_SQL).withColumn("f", papers.plausible_accessions(F.col("hint")))
-    return h.select("k", F.array_join(F.transform("f", lambda x: x["id"]), ",").alias("ids"), papers.accession_range(F.col("hint"), F.col("f")).alias("ranged"))
+    return h.select("k", F.array_join(F.array_sort(F.transform("f", lambda x: x["id"])), ",").alias("ids"), papers.accession_range(F.col("hint"), F.col("f")).alias("ranged"))
 
 
 @query("b13_best_features", """WITH f AS (SELECT o_custkey AS c, o_orderkey AS k, CASE o_orderkey % 2 WHEN 0 THEN 'heavy' ELSE 'light' END AS chain, o_orderkey % 3 = 0 AS named, o_orderkey % 60 + 80 AS n FROM orders)
@@ -78,13 +85,15 @@ def _(spark, sf_dir):
     return papers.combined_targets(t).select("paper_id", "name_key", _j("missing_fields").alias("missing"), "validation_only")
 
 
-@query("j17_known_images", "SELECT event_id, event_id % 3 = 0 OR (event_id + 1) % 3 = 0 AS known FROM events")
+#: Groups of two images that users have seen, and the images that are known of some users.
+SEEN_SQL = "SELECT event_id, user_id, concat('i', cast(event_id as string)) AS a, concat('i', cast(event_id + 1 + event_id % 5 as string)) AS b FROM events"
+KNOWN_SQL = "SELECT user_id, concat('i', cast(event_id + event_id % 4 as string)) AS image FROM events WHERE event_id % 3 = 0"
+
+
+@query("j17_known_images", f"WITH s AS ({SEEN_SQL}), w AS ({KNOWN_SQL}) SELECT event_id, EXISTS (SELECT 1 FROM w WHERE w.user_id = s.user_id AND w.image IN (s.a, s.b)) AS known FROM s")
 def _(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    name = lambda n: F.concat(F.lit("i"), (F.col("event_id") + n).cast("string"))
-    groups = e.select("event_id", "user_id", F.array(name(0), name(1)).alias("images"))
-    known = e.select("user_id", F.explode(F.filter(F.array(*[F.when((F.col("event_id") + n) % 3 == 0, name(n)) for n in (0, 1)]), lambda x: x.isNotNull())).alias("image"))
-    return images.known_images(groups, known, "user_id").select("event_id", "known")
+    groups = _sql(spark, sf_dir, "events", SEEN_SQL).select("event_id", "user_id", F.array("a", "b").alias("images"))
+    return images.known_images(groups, _sql(spark, sf_dir, "events", KNOWN_SQL), "user_id").select("event_id", "known")
 
 
 @query("j11_ocr_lines", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '![](images/' || doc_id || '.png)' || chr(10) || '<!-- OCR extracted from ' || doc_id || '.png -->' || chr(10) || 'read ' || doc_id || chr(10) || '<!-- end OCR -->' ELSE 'plain' END AS line FROM documents""")
@@ -96,11 +105,14 @@ def _(spark, sf_dir):
     return images.with_ocr(lines, ocr, "doc_id").select("doc_id", "line")
 
 
-@query("w10_ocr_owner", "SELECT doc_id, pos, CASE WHEN pos IN (2, 3) THEN doc_id || '.png' END AS owner FROM documents, range(6) t(pos)")
+#: Lines of documents: blocks of recognised text that open and close in places that differ, some twice, some never closed.
+LINES_SQL = f"SELECT doc_id, pos, {chosen(3, q('text'), 'concat(' + q('<!-- OCR extracted from ') + ', cast(doc_id + pos as string), ' + q('.png -->') + ')', q('more'), q('<!-- end OCR -->'), q('words'), q('text'), k='(doc_id * 5 + pos)')} AS line FROM (SELECT doc_id FROM documents) AS d CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8)) AS places(pos)"
+
+
+@query("w10_ocr_owner", f"""WITH l AS (SELECT *, CASE WHEN starts_with(line, '<!-- OCR') THEN regexp_extract(line, 'from (.*) -->', 1) WHEN starts_with(line, '<!-- end') THEN '' END AS mark FROM ({LINES_SQL})),
+  o AS (SELECT doc_id, pos, mark, last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS owner FROM l) SELECT doc_id, pos, CASE WHEN mark IS NULL THEN nullif(owner, '') END AS owner FROM o""")
 def _(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("pos"))
-    line = F.when(F.col("pos") == 1, F.concat(F.lit("<!-- OCR extracted from "), F.col("doc_id").cast("string"), F.lit(".png -->"))).when(F.col("pos") == 4, "<!-- end OCR -->").otherwise("text")
-    return images.ocr_owner(d.withColumn("line", line), "doc_id").select("doc_id", "pos", "owner")
+    return images.ocr_owner(_sql(spark, sf_dir, "documents", LINES_SQL), "doc_id").select("doc_id", "pos", "owner")
 
 
 _POS = "cast(pos as string)"
@@ -122,12 +134,21 @@ def _(spark, sf_dir):
     return _sql(spark, sf_dir, "part", PAPERS_SQL).select("k", _j(codes).alias("codes"))
 
 
-@query("p16_gap_categories", """SELECT k, CASE k % 8 WHEN 0 THEN 4 WHEN 7 THEN 4 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 2 WHEN 5 THEN 2 ELSE 3 END AS n FROM (SELECT p_partkey AS k FROM part)""")
+_MISSING = ["Epitope", *[f for fields, *_ in papers.GAPS for f in fields]]
+#: Fields that records miss, by number.
+MISSING_SQL = f"SELECT k, concat_ws(',', {', '.join(f'CASE WHEN (k * {3 + 2 * i} + cast(floor(k / {i + 2}) as bigint)) % {4 + i} = 0 THEN {q(f)} END' for i, f in enumerate(_MISSING))}) AS missing FROM (SELECT p_partkey AS k FROM part) AS keys"
+
+
+def _wants(group: int) -> str:
+    return f"list_has_any(string_split(missing, ','), [{', '.join(map(q, papers.GAPS[group][0]))}])"
+
+
+@query("p16_gap_categories", f"""WITH m AS (SELECT k, {_wants(0)} AS s, {_wants(1)} AS n, {_wants(2)} AS e FROM ({MISSING_SQL}))
+  SELECT k, array_to_string(list_sort(CASE WHEN s = n AND n = e THEN ['SEQUENCE_DATA', 'KINETICS_DATA', 'QUANTITATIVE_TABLE', 'EFFICACY_DATA'] WHEN s AND n THEN ['SEQUENCE_DATA', 'KINETICS_DATA', 'QUANTITATIVE_TABLE'] WHEN s AND e THEN ['SEQUENCE_DATA', 'EFFICACY_DATA']
+    WHEN n AND e THEN ['KINETICS_DATA', 'QUANTITATIVE_TABLE', 'EFFICACY_DATA'] WHEN s THEN ['SEQUENCE_DATA'] WHEN n THEN ['KINETICS_DATA', 'QUANTITATIVE_TABLE'] ELSE ['EFFICACY_DATA', 'QUANTITATIVE_TABLE'] END), ',') AS categories FROM m""")
 def _(spark, sf_dir):
-    k = F.col("p_partkey") % 8
-    bit = lambda b, f: F.when(F.floor(k / b) % 2 == 1, F.lit(f))
-    gaps = F.filter(F.array(bit(1, "vh_sequence_aa"), bit(2, "Binding_EC50"), bit(4, "In_Vivo_Efficacy")), lambda x: x.isNotNull())
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.size(papers.gap_categories(gaps)).alias("n"))
+    m = _sql(spark, sf_dir, "part", MISSING_SQL)
+    return m.select("k", _j(F.array_sort(papers.gap_categories(F.split("missing", ",")))).alias("categories"))
 
 
 @query("p17_known_records", "SELECT o_orderkey FROM orders WHERE o_custkey % 4 = 0 OR (o_orderkey % 3 < 2 AND (o_orderkey % 2 = 0 OR o_orderkey % 5 < 3))")
