@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import scan, sequences, text, validate
 from lectern.functions.binding import bound, let
+from lectern.operators.repair import HEADERS, header_label
 
 #: Words near an accession that rule it out as a sequence's, those that support it, and those of an antibody's record.
 REJECT = ["catalog", "cat.", "cat#", "cat no", "kit", "ge healthcare", "thermo", "invitrogen", "sigma", "abcam", "bio-rad", "biolegend", "reagent"]
@@ -354,17 +355,18 @@ def front_matter(body: Column) -> Column:
     return F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^:]+):", 1)).alias("key"), F.regexp_replace(F.trim(F.regexp_extract(x, r"^[^:]+:(.*)$", 1)), r"""^["']|["']$""", "").alias("value"))))
 
 
-def allowed_header(original: DataFrame, candidate: DataFrame, words: list[str], by: str) -> DataFrame:
+def allowed_header(original: DataFrame, candidate: DataFrame, by: str, words: list[str] = HEADERS) -> DataFrame:
     """by, ok: whether repaired tables (by, table_no, row_no, cells) differ from the originals in their headers alone.
 
-    The same tables, rows and widths, equal bodies, and every cell of a header
-    that changed among the words that headers may have.
+    The same tables, rows and widths, equal bodies (spaces and entities aside),
+    and the label of every cell of a header that changed among the words that
+    headers may have.
     """
-    norm = lambda c: F.transform(c, lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " "))))
+    norm = lambda c: F.transform(c, text.plain)
     o = original.select(by, "table_no", "row_no", norm("cells").alias("a"))
     c = candidate.select(by, "table_no", "row_no", norm("cells").alias("b"))
     both = o.join(c, [by, "table_no", "row_no"], "full")
-    listed = F.forall("b", lambda x: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(x, w)))
+    listed = F.forall("b", lambda x: header_label(x).isin(words))
     same = F.col("a").eqNullSafe(F.col("b"))
     ok = F.when(F.col("a").isNull() | F.col("b").isNull(), False).when(same, True).otherwise((F.col("row_no") == 0) & (F.size("a") == F.size("b")) & listed)
     return both.groupBy(by).agg(F.min(ok.cast("int")).cast("boolean").alias("ok"))

@@ -96,13 +96,17 @@ def _(spark, sf_dir):
     return images.known_images(groups, _sql(spark, sf_dir, "events", KNOWN_SQL), "user_id").select("event_id", "known")
 
 
-@query("j11_ocr_lines", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '![](images/' || doc_id || '.png)' || chr(10) || '<!-- OCR extracted from ' || doc_id || '.png -->' || chr(10) || 'read ' || doc_id || chr(10) || '<!-- end OCR -->' ELSE 'plain' END AS line FROM documents""")
+_SHOWN = chosen(3, "concat('![](images/', cast(doc_id as string), '.png)')", "concat('words ![a b](', cast(doc_id + 1 as string), '.png) more')", "'plain'", "concat('![](x/y/', cast(doc_id as string), '.jpg)')", k="doc_id")
+_READ = chosen(5, "concat('read ', cast(doc_id as string), chr(10), '![](self.png)')", "' '", "concat('two', chr(10), chr(10), 'lines ')", "'![](only.png)'", k="doc_id")
+#: A line of each document, and what was read in images, most of which no line shows.
+SHOWN_SQL = f"SELECT doc_id, {_SHOWN} AS line, concat(cast(doc_id + doc_id % 2 as string), '.png') AS image, {_READ} AS ocr FROM documents"
+
+
+@query("j11_ocr_lines", f"""WITH d AS ({SHOWN_SQL}), o AS (SELECT *, regexp_extract(line, '!\\[[^\\]]*\\]\\((?:[^)]*/)?([^/)]+)\\)', 1) AS shown, trim(array_to_string(list_filter(string_split(ocr, chr(10)), lambda x: NOT regexp_matches(x, '!\\[[^\\]]*\\]\\([^)]+\\)')), chr(10)), ' ') AS body FROM d)
+  SELECT doc_id, line || CASE WHEN shown = image AND body <> '' THEN chr(10) || '<!-- OCR extracted from ' || image || ' -->' || chr(10) || body || chr(10) || '<!-- end OCR -->' ELSE '' END AS line FROM o""")
 def _(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    file = F.concat(F.col("doc_id").cast("string"), F.lit(".png"))
-    lines = d.select("doc_id", F.lit(0).alias("pos"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("![](images/"), file, F.lit(")"))).otherwise("plain").alias("line"))
-    ocr = d.select("doc_id", file.alias("image"), F.concat(F.lit("read "), F.col("doc_id").cast("string"), F.lit("\n![](self.png)")).alias("ocr_text"))
-    return images.with_ocr(lines, ocr, "doc_id").select("doc_id", "line")
+    d = _sql(spark, sf_dir, "documents", SHOWN_SQL)
+    return images.with_ocr(d.select("doc_id", F.lit(0).alias("pos"), "line"), d.select("doc_id", "image", F.col("ocr").alias("ocr_text")), "doc_id").select("doc_id", "line")
 
 
 #: Lines of documents: blocks of recognised text that open and close in places that differ, some twice, some never closed.
@@ -283,11 +287,16 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", _j(papers.merged_names(a, b, 3)).alias("names"))
 
 
-@query("n11_sequence_rows", f"SELECT k FROM ({CHAINS_SQL}) WHERE k % 3 > 0 AND k % 4 > 0")
+_ANY = chosen(3, "heavy", "'--'", "concat(' ', lower(substr(heavy, 1, 30)), '-', substr(heavy, 31, 20))", "''", "'Ala-Cys Asp gly'")
+#: Records of sequences as models give them: names that are blank, sequences in both codes, with marks, or none.
+GIVEN_SQL = f"SELECT k, {chosen(2, chr(39) + ' ab ' + chr(39), chr(39) + ' ' + chr(39), 'NULL', chr(39) + 'N/A' + chr(39))} AS name, {_ANY} AS vh, {chosen(7, 'NULL', chr(39) + '12' + chr(39), 'light')} AS vl FROM ({CHAINS_SQL}) AS chains"
+
+
+@query("n11_sequence_rows", f"""WITH g AS (SELECT k, trim(name) AS name, CASE WHEN vh LIKE 'Ala-%' THEN 'ACDG' ELSE regexp_replace(upper(coalesce(vh, '')), '[^A-Z]', '', 'g') END AS vh, regexp_replace(upper(coalesce(vl, '')), '[^A-Z]', '', 'g') AS vl FROM ({GIVEN_SQL}))
+  SELECT * FROM g WHERE name <> '' AND vh || vl <> ''""")
 def _(spark, sf_dir):
-    c = _sql(spark, sf_dir, "part", CHAINS_SQL)
-    r = c.select("k", F.when(F.col("k") % 3 > 0, "ab").otherwise(" ").alias("name"), F.when(F.col("k") % 4 > 0, F.col("heavy")).otherwise("--").alias("vh_sequence_aa"), F.lit("").alias("CDRH3_Sequence"))
-    return papers.sequence_rows(r).select("k")
+    r = _sql(spark, sf_dir, "part", GIVEN_SQL)
+    return papers.sequence_rows(r.select("k", "name", F.col("vh").alias("vh_sequence_aa"), F.col("vl").alias("vl_sequence_aa"))).select("k", "name", F.col("vh_sequence_aa").alias("vh"), F.col("vl_sequence_aa").alias("vl"))
 
 
 @query("b14_b15_hydrated", f"SELECT k, heavy AS vh, CASE WHEN k % 2 = 0 THEN light ELSE '' END AS vl, k % 3 = 0 AS changed FROM ({CHAINS_SQL})")
@@ -320,14 +329,18 @@ def _(spark, sf_dir):
     return m.select("c_custkey", F.try_element_at("m", F.lit("prompt")).alias("prompt"), F.try_element_at("m", F.lit("name")).alias("name"))
 
 
-@query("f20_header_repairs", "SELECT l_orderkey, bool_and(l_linenumber % 4 <> 2) AND l_orderkey % 3 <> 0 AS ok FROM lineitem GROUP BY 1")
+_CELL = chosen(3, "'KD (nM)'", "'κ chain'", "'Variants'", "' low affinity  ka1'", "'Nonsense'", "'t½ β'", "'k0'", k="(o * 3 + n)")
+#: Rows of a table before and after repair: headers, and bodies that sometimes differ in spaces, in words or in a row that is gone.
+REPAIRED_SQL = f"""SELECT o, n, CASE WHEN n = 1 THEN 'k0' ELSE concat('cell ', cast(p as string)) END AS a, CASE WHEN n = 1 THEN {_CELL} WHEN (o + n) % 11 = 0 THEN concat('word ', cast(p as string)) WHEN n % 2 = 0 THEN concat(' cell&nbsp;&nbsp;', cast(p as string)) ELSE concat('cell ', cast(p as string)) END AS b, (o * 7 + n) % 37 = 0 AS gone
+  FROM (SELECT o, p, row_number() OVER (PARTITION BY o ORDER BY l, p) AS n FROM (SELECT l_orderkey AS o, l_linenumber AS l, l_partkey AS p FROM lineitem) AS x) AS y"""
+
+
+@query("f20_header_repairs", f"""WITH r AS ({REPAIRED_SQL}), w AS (SELECT *, trim(regexp_replace(replace(b, '&nbsp;', ' '), '\\s+', ' ', 'g')) AS plain FROM r)
+  SELECT o, bool_and(NOT gone AND (plain = a OR (n = 1 AND list_contains([{', '.join(map(q, papers.HEADERS))}], regexp_replace(replace(replace(replace(lower(plain), 'β', 'beta'), 'κ', 'kappa'), '½', '1/2'), '[^a-z0-9]+', '', 'g'))))) AS ok FROM w GROUP BY o""")
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p")).select("l_orderkey", "l_linenumber", F.col("p").cast("string").alias("p"))
-    body = rows.select("l_orderkey", F.lit(1).alias("table_no"), F.col("l_linenumber").cast("int").alias("row_no"), F.array("p").alias("cells"))
-    head = rows.select("l_orderkey").distinct().select("l_orderkey", F.lit(1).alias("table_no"), F.lit(0).alias("row_no"))
-    odd = F.when(F.col("row_no") % 4 == 2, F.array(F.lit("changed"))).otherwise(F.col("cells"))
-    title = F.when(F.col("l_orderkey") % 3 == 0, F.array(F.lit("Nonsense"))).otherwise(F.array(F.lit("KD (nM)")))
-    return papers.allowed_header(body.unionByName(head.withColumn("cells", F.array(F.lit("K0")))), body.withColumn("cells", odd).unionByName(head.withColumn("cells", title)), ["kd", "clone"], "l_orderkey")
+    r = _sql(spark, sf_dir, "lineitem", REPAIRED_SQL)
+    side = lambda c: [F.col("o"), F.lit(1).alias("table_no"), (F.col("n") - 1).alias("row_no"), F.array(c).alias("cells")]
+    return papers.allowed_header(r.select(*side("a")), r.filter("NOT gone").select(*side("b")), "o")
 
 
 @query("v15_record_checks", "SELECT c_custkey, 2 + (c_custkey % 2 = 0)::INT AS warned, 3 - (c_custkey % 3 = 0)::INT AS noted, c_custkey % 5 = 0 AS vague FROM customer")
