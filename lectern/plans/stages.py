@@ -299,12 +299,23 @@ def _(spark, sf_dir):
     return papers.sequence_rows(r.select("k", "name", F.col("vh").alias("vh_sequence_aa"), F.col("vl").alias("vl_sequence_aa"))).select("k", "name", F.col("vh_sequence_aa").alias("vh"), F.col("vl_sequence_aa").alias("vl"))
 
 
-@query("b14_b15_hydrated", f"SELECT k, heavy AS vh, CASE WHEN k % 2 = 0 THEN light ELSE '' END AS vl, k % 3 = 0 AS changed FROM ({CHAINS_SQL})")
+_HINTED = chosen(3, "lower(heavy)", "concat(' ', substr(heavy, 1, 60), '-', substr(heavy, 61, 100), ' ')", "'ACD'", "concat(heavy, heavy)", "concat(substr(heavy, 1, 90), 'XB')", "NULL")
+_ANSWER = chosen(5, "concat(heavy, 'A')", "'short'", "heavy", "concat('12 ', lower(heavy))", "concat(light, heavy)")
+#: Records with blank or filled regions, hints that hold a whole region or not, and what a second reading says.
+HYDRATED_SQL = f"SELECT k, heavy, {chosen(2, chr(39) + chr(39), 'heavy', chr(39) + ' ' + chr(39))} AS vh, {_HINTED} AS vh_hint, {chosen(7, chr(39) + chr(39), 'light')} AS vl, {chosen(11, 'light', chr(39) + 'see text' + chr(39))} AS vl_hint, {_ANSWER} AS answer FROM ({CHAINS_SQL}) AS chains"
+_LETTERS = "regexp_replace(upper(coalesce({0}, '')), '[^A-Z]', '', 'g')".format
+
+
+def _filled(field: str, hint: str) -> str:
+    return f"CASE WHEN trim(coalesce({field}, '')) <> '' THEN {field} WHEN regexp_matches({_LETTERS(hint)}, '^[ACDEFGHIKLMNPQRSTVWY]{{80,160}}$') THEN {_LETTERS(hint)} ELSE '' END"
+
+
+@query("b14_b15_hydrated", f"""WITH h AS (SELECT k, {_filled('vh', 'vh_hint')} AS vh, {_filled('vl', 'vl_hint')} AS vl, {_LETTERS('answer')} AS a FROM ({HYDRATED_SQL}))
+  SELECT k, vh, vl, CASE WHEN length(a) >= 80 AND a <> {_LETTERS('vh')} THEN a ELSE vh END AS told, length(a) >= 80 AND a <> {_LETTERS('vh')} AS changed FROM h""")
 def _(spark, sf_dir):
-    c = _sql(spark, sf_dir, "part", CHAINS_SQL)
-    r = c.select("k", F.lit("").alias("vh_sequence_aa"), F.lit("").alias("vl_sequence_aa"), F.lit("").alias("CDRH3_Sequence"), F.lower("heavy").alias("vh_hint"), F.when(F.col("k") % 2 == 0, F.col("light")).otherwise("ACD").alias("vl_hint"))
-    h = papers.hydrated(r)
-    return h.select("k", F.col("vh_sequence_aa").alias("vh"), F.col("vl_sequence_aa").alias("vl"), papers.verified(F.col("vh_sequence_aa"), F.when(F.col("k") % 3 == 0, F.concat("vh_sequence_aa", F.lit("A"))).otherwise("short"))["changed"].alias("changed"))
+    r = _sql(spark, sf_dir, "part", HYDRATED_SQL).withColumnsRenamed({"vh": "vh_sequence_aa", "vl": "vl_sequence_aa"}).withColumn("CDRH3_Sequence", F.lit(""))
+    h = papers.hydrated(r).withColumn("v", papers.verified(F.col("vh_sequence_aa"), F.col("answer")))
+    return h.select("k", F.col("vh_sequence_aa").alias("vh"), F.col("vl_sequence_aa").alias("vl"), F.col("v.value").alias("told"), "v.changed")
 
 
 @query("s21_merged_outputs", """SELECT o_custkey AS batch, coalesce(string_agg('# f' || o_orderkey || chr(10) || chr(10) || 'text', chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY 'dir/f' || o_orderkey || '.md') FILTER (o_orderkey % 4 > 0), '') AS merged,
@@ -449,10 +460,14 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", papers.gap_fill_runs(s % 3, s % 5, s % 2 == 0).alias("runs"))
 
 
-@query("p27_usable_fetches", "SELECT p_partkey, p_size % 3 = 0 OR p_partkey % 2 = 0 AS usable FROM part")
+_SAYS = chosen(3, "'Homo sapiens Immunoglobulin heavy chain'", "'spike protein of a virus'", "concat('Fab ', cast(k as string))", "NULL", "'kinase with a VHH domain'", "'a fabric'", "'Variable Region'")
+FETCHED_SQL = f"SELECT k, {_SAYS} AS description, k % 4 = 0 AS region FROM (SELECT p_partkey AS k FROM part) AS keys"
+
+
+@query("p27_usable_fetches", f"SELECT k, region OR {_said(papers.OF_ANTIBODY, "coalesce(description, '')")} AS usable FROM ({FETCHED_SQL})")
 def _(spark, sf_dir):
-    regions = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("heavy"))).otherwise(F.array().cast("array<string>"))
-    return table(spark, sf_dir, "part").select("p_partkey", papers.usable_fetch(regions, F.when(F.col("p_partkey") % 2 == 0, "Homo sapiens Immunoglobulin heavy chain").otherwise("spike protein")).alias("usable"))
+    f = _sql(spark, sf_dir, "part", FETCHED_SQL)
+    return f.select("k", papers.usable_fetch(F.when(F.col("region"), F.array(F.lit("heavy"))).otherwise(F.array().cast("array<string>")), F.col("description")).alias("usable"))
 
 
 @query("n06_notes", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'a,b' ELSE 'a' END AS notes FROM customer")
