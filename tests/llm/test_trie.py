@@ -4,9 +4,10 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 from pyspark.sql import functions as F
 
-from lectern.llm import trie
+from lectern.llm import queries, trie
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -88,3 +89,13 @@ def test_a_long_conversation_is_dealt_over_tasks(spark):
     long_one = [r for (d, c), r in got.items() if c == 100 and r.n_convs == 2 and d > 5]
     assert len(long_one) == 895 and got[900, 100].saved_tokens == 1 and got[899, 100].saved_tokens == 2 and got[6, 100].saved_tokens == 895
     assert got[900, 100].ends_sha256 == hashlib.sha256(b"100,200").hexdigest()
+
+
+def test_query_matches_its_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{sf}/conversations.parquet')")
+    df = queries.op11_conversation_trie(spark, sf)
+    columns = sorted(df.columns)
+    want = con.sql(queries.OP11_SQL)
+    assert sorted(want.columns) == columns
+    assert sorted(map(tuple, df.select(*columns).collect()), key=str) == sorted(want.select(*columns).fetchall(), key=str)
