@@ -335,23 +335,47 @@ def _(spark, sf_dir):
     return d.select("k", F.col("d.heavy").alias("h"), F.col("d.light").alias("l"))
 
 
-@query("b04_b05_loops", f"SELECT k, 'CAR' || substr({_RES}, 9, (5 + k % 9)::INT) || 'W' AS anchored, 'AR' || substr({_RES}, 9, (5 + k % 9)::INT) AS core FROM ({CHAINS_SQL})")
+_REGION = chosen(
+    3, "heavy", "replace(heavy, 'YYC', 'YHC')", "concat('MK', heavy)", "light", "lower(substr(heavy, 1, 75))", "replace(replace(heavy, 'YYC', 'YVC'), 'WGQG', 'WGRG')", "concat(substr(heavy, 1, 60), '-', substr(heavy, 61, 100), 'AS')", "replace(heavy, 'WGQG', 'FGQG')", "concat('QQQQ', light)", "replace(heavy, 'YYC', 'XXC')",
+)
+#: Regions whole, cut, marked and changed at their anchors, with loops as others give them, and what a chain is called.
+_LEAD, _TAIL = chosen(2, "''", "'C'", "'CC'"), chosen(5, "''", "'QQ'", "'QQSYSTPLT'", "'wgqg'")
+REGIONS_SQL = f"SELECT k, description, {_REGION} AS region, concat({_LEAD}, 'AR', substr({_RES}, 9, cast(5 + k % 9 as int)), {_TAIL}) AS given FROM ({CHAINS_SQL}) AS chains"
+_CORE = f"""letters AS (SELECT *, regexp_replace(upper(region), '[^A-Z]', '', 'g') AS s FROM ({REGIONS_SQL})), stops AS (SELECT *, length(s) - length(right(s, 15)) + length(regexp_extract(right(s, 15), '^(.*?)WG[A-Z]G', 1)) AS stop FROM letters),
+  starts AS (SELECT *, greatest(stop - 29, 80) AS low, coalesce({', '.join(f"nullif(length(regexp_extract(left(s, stop), '^(.*{m})', 1)), 0)" for m in sequences.BEFORE_LOOP)}) AS motif FROM stops),
+  bounds AS (SELECT *, coalesce(motif, low + nullif(length(regexp_extract(substr(left(s, stop), low + 1), '^(.*C)', 1)), 0)) AS start FROM starts),
+  cores AS (SELECT *, coalesce(CASE WHEN length(s) >= 80 AND regexp_matches(right(s, 15), 'WG[A-Z]G') AND stop - start >= 3 THEN substr(s, start + 1, stop - start) END, '') AS core FROM bounds)"""
+
+
+def _anchored(end: str) -> str:
+    """The last loop up to an end that begins in the second half of a region."""
+    loop = f"regexp_extract(m, '^(C[A-Z]{{3,30}}?{end})G[A-Z]{{1,4}}$', 1)"
+    good = f"list_filter(regexp_extract_all(s, '(C[A-Z]{{3,30}}?{end}G[A-Z]{{1,4}})', 1), lambda m: length(s) - instr(reverse(s), reverse(m)) - length(m) + 1 >= length(s) // 2 AND regexp_matches({loop}, '^[ACDEFGHIKLMNPQRSTVWY]{{5,30}}$'))"
+    return f"regexp_extract({good}[-1], '^(C[A-Z]{{3,30}}?{end})G[A-Z]{{1,4}}$', 1)"
+
+
+@query("b04_b05_loops", f"WITH {_CORE} SELECT k, coalesce(nullif({_anchored('W')}, ''), {_anchored('F')}, '') AS anchored, core FROM cores")
 def _(spark, sf_dir):
-    return _chains(spark, sf_dir).select("k", sequences.loop_of(F.col("heavy")).alias("anchored"), sequences.loop_core(F.col("heavy")).alias("core"))
+    r = _sql(spark, sf_dir, "part", REGIONS_SQL)
+    return r.select("k", sequences.loop_of(F.col("region")).alias("anchored"), sequences.loop_core(F.col("region")).alias("core"))
 
 
-@query("b06_untangled", f"SELECT k, CASE WHEN k % 3 = 0 THEN 'C' ELSE '' END || 'AR' || substr({_RES}, 9, (5 + k % 9)::INT) || CASE WHEN k % 4 = 1 THEN 'QQ' ELSE '' END AS loop FROM ({CHAINS_SQL})")
+@query("b06_untangled", f"""WITH {_CORE}, loops AS (SELECT k, core, regexp_replace(upper(given), '[^A-Z]', '', 'g') AS a FROM cores), bare AS (SELECT *, regexp_replace(a, '^C+', '') AS b FROM loops)
+  SELECT k, CASE WHEN core <> '' AND length(b) > length(core) + 3 AND starts_with(b, left(core, 10)) THEN CASE WHEN starts_with(a, 'C') AND NOT starts_with(core, 'C') THEN 'C' || core ELSE core END ELSE a END AS loop FROM bare""")
 def _(spark, sf_dir):
-    loop = F.concat(F.when(F.col("k") % 3 == 0, "C").otherwise(""), sequences.loop_core(F.col("heavy")))
-    given = F.concat(loop, F.when(F.col("k") % 4 == 1, "QQ").when(F.col("k") % 4 == 2, "QQSYSTPLT").otherwise(""))
-    return _chains(spark, sf_dir).select("k", sequences.untangled(given, F.col("heavy")).alias("loop"))
+    return _sql(spark, sf_dir, "part", REGIONS_SQL).select("k", sequences.untangled(F.col("given"), F.col("region")).alias("loop"))
+
+
+def _first_motif(chain: str) -> str:
+    return "least(" + ", ".join(f"CASE WHEN instr(s, '{m}') BETWEEN 1 AND 3 THEN instr(s, '{m}') ELSE 9 END" for m in sequences.STARTS[chain]) + ")"
 
 
-@query("b09_b10_chains", f"""SELECT k, CASE WHEN description IN ('Fab heavy chain', 'Nanobody Nb7', 'antibody_VH') THEN 'heavy' WHEN description = 'kappa light chain' THEN 'light' WHEN description = 'scFv 12' THEN 'scfv' ELSE 'other' END AS role,
-   CASE WHEN k % 3 < 2 THEN 'heavy' ELSE 'light' END AS chain, k % 3 < 2 AS fits FROM ({CHAINS_SQL})""")
+@query("b09_b10_chains", f"""WITH r AS (SELECT *, regexp_replace(upper(region), '[^A-Z]', '', 'g') AS s, regexp_replace(lower(description), '[_-]+', ' ', 'g') AS d FROM ({REGIONS_SQL})),
+  c AS (SELECT k, CASE {' '.join(f"WHEN regexp_matches(d, {q(p)}) THEN '{role}'" for role, p in sequences.ROLES)} ELSE 'other' END AS role, CASE WHEN NOT regexp_matches(s, '^[ACDEFGHIKLMNPQRSTVWY]{{80,160}}$') THEN 'unknown' WHEN {_first_motif('H')} < {_first_motif('L')} THEN 'heavy' WHEN {_first_motif('L')} < {_first_motif('H')} THEN 'light' ELSE 'unknown' END AS chain FROM r)
+  SELECT k, role, chain, chain <> 'light' AS fits FROM c""")
 def _(spark, sf_dir):
-    c = F.when(F.col("k") % 3 < 2, F.col("heavy")).otherwise(F.col("light"))
-    return _chains(spark, sf_dir).select("k", sequences.chain_role(F.col("description")).alias("role"), sequences.chain_of(c).alias("chain"), sequences.fits_chain(F.lit("vh_sequence_aa"), c).alias("fits"))
+    r = _sql(spark, sf_dir, "part", REGIONS_SQL)
+    return r.select("k", sequences.chain_role(F.col("description")).alias("role"), sequences.chain_of(F.col("region")).alias("chain"), sequences.fits_chain(F.lit("vh_sequence_aa"), F.col("region")).alias("fits"))
 
 
 # ---------------------------------------------------------------- tables, images, records
