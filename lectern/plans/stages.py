@@ -183,15 +183,17 @@ def _(spark, sf_dir):
     return d.select("doc_id", F.md5(images.without_supplements(F.col("body"), ["bad.xlsx"])).alias("t"))
 
 
-@query("p24_payloads", """SELECT o_orderkey, CASE WHEN s = 'reviewed' AND f = '' THEN 'final_label is required' WHEN f = 'exact' AND o_orderkey % 5 > 0 THEN 'error_types must be empty' END AS problem,
-  CASE WHEN s = 'ignored' AND f = '' THEN 'miss' ELSE f END AS final_label, CASE WHEN s = 'ignored' OR o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS types
-  FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'reviewed' WHEN 1 THEN 'ignored' ELSE 'pending' END AS s, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'exact' ELSE 'wrong' END AS f FROM orders)""")
+#: Payloads of annotations: status, label as written, and error types with commas between them.
+PAYLOAD_SQL = f"SELECT k, {chosen(2, q('reviewed'), q('ignored'), q('pending'), 'NULL')} AS status, {chosen(3, q('exact'), q(' '), q(''), q('wrong'), q('partial'))} AS label, {chosen(5, q(''), q('typo'), q('unit,typo,unit'), q('none'))} AS types FROM (SELECT o_orderkey AS k FROM orders) AS keys"
+
+
+@query("p24_payloads", f"""WITH p AS (SELECT *, list_filter(string_split(types, ','), lambda x: x <> '') AS t FROM ({PAYLOAD_SQL}))
+  SELECT k, CASE WHEN status = 'reviewed' AND trim(label) = '' THEN 'final_label is required' WHEN label = 'exact' AND len(t) > 0 THEN 'error_types must be empty' END AS problem, CASE WHEN status = 'ignored' AND trim(label) = '' THEN 'miss' ELSE label END AS final_label,
+    CASE WHEN status = 'ignored' THEN '' ELSE array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), ',') END AS types FROM p""")
 def _(spark, sf_dir):
-    k = F.col("o_orderkey")
-    s, f = F.when(k % 3 == 0, "reviewed").when(k % 3 == 1, "ignored").otherwise("pending"), F.when(k % 4 == 0, "").when(k % 4 == 1, "exact").otherwise("wrong")
-    types = F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"), F.lit("a")))
-    kept = validate.settled_payload(s, f, F.lit("miss"), types)
-    return table(spark, sf_dir, "orders").select("o_orderkey", validate.payload_problem(s, f, types).alias("problem"), kept["final_label"].alias("final_label"), F.size(kept["error_types"]).alias("types"))
+    types = F.filter(F.split("types", ","), lambda x: x != "")
+    kept = validate.settled_payload(F.col("status"), F.col("label"), F.lit("miss"), types)
+    return _sql(spark, sf_dir, "orders", PAYLOAD_SQL).select("k", validate.payload_problem(F.col("status"), F.col("label"), types).alias("problem"), kept["final_label"].alias("final_label"), _j(kept["error_types"]).alias("types"))
 
 
 @query("a23_reduced", """SELECT o_custkey AS paper_id, count(*) FILTER (o_orderkey % 3 > 0) AS kept, count(*) FILTER (o_orderkey % 3 = 0) AS dropped, count(*) FILTER (o_orderkey % 5 = 0) AS failed,
@@ -365,12 +367,15 @@ def _(spark, sf_dir):
     return c.select("c_custkey", (n("warn", "missing") + n("warn", "field_name")).alias("warned"), n("info", "").alias("noted"), (n("warn", "antibody_type") > 0).alias("vague"))
 
 
-@query("v07_v08_review", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS value, CASE WHEN o_orderkey % 4 > 0 THEN 'accept' WHEN o_orderkey % 5 < 2 THEN 'retry' ELSE 'give_up' END AS step FROM orders")
+#: Records as texts of keys and values, the statuses of their checks, and how often they were tried.
+CHECKED_SQL = f"SELECT k, {chosen(2, q('x=a;y=b'), q('y=b;z=c'), q('z=c'), q('z=c;x='), q('y=d;x=e'))} AS fields, {chosen(3, q('pass,fail'), q('warn'), q('pass,failure'), q('fail'))} AS statuses, k % 5 AS tries FROM (SELECT o_orderkey AS k FROM orders) AS keys"
+
+
+@query("v07_v08_review", f"""WITH c AS (SELECT *, list_filter(string_split(fields, ';'), lambda f: starts_with(f, 'x=')) AS x, list_filter(string_split(fields, ';'), lambda f: starts_with(f, 'y=')) AS y FROM ({CHECKED_SQL}))
+  SELECT k, substr(CASE WHEN len(x) > 0 THEN x[1] ELSE y[1] END, 3) AS value, CASE WHEN NOT list_contains(string_split(statuses, ','), 'fail') THEN 'accept' WHEN tries < 2 THEN 'retry' ELSE 'give_up' END AS step FROM c""")
 def _(spark, sf_dir):
-    k = F.col("o_orderkey")
-    m = F.when(k % 3 == 0, F.create_map(F.lit("x"), F.lit("a"), F.lit("y"), F.lit("b"))).when(k % 3 == 1, F.create_map(F.lit("y"), F.lit("b"))).otherwise(F.create_map(F.lit("z"), F.lit("c")))
-    statuses = F.when(k % 4 == 0, F.array(F.lit("pass"), F.lit("fail"))).otherwise(F.array(F.lit("warn")))
-    return table(spark, sf_dir, "orders").select("o_orderkey", validate.first_of(m, ["x", "y"]).alias("value"), validate.review(statuses, k % 5).alias("step"))
+    c = _sql(spark, sf_dir, "orders", CHECKED_SQL)
+    return c.select("k", validate.first_of(F.str_to_map("fields", F.lit(";"), F.lit("=")), ["x", "y"]).alias("value"), validate.review(F.split("statuses", ","), F.col("tries")).alias("step"))
 
 
 @query("f10_f25_differences", "SELECT c_custkey, 'replace@3:' || substr(c_name, 3, 1) || '>#' AS first, c_name AS left, substr(c_name, 1, 2) || '#' || substr(c_name, 4) AS right FROM customer")
