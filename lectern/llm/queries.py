@@ -215,6 +215,20 @@ SELECT node.conv_id, node.depth, over.conv_id AS parent_conv_id, node.n_convs, c
 FROM node JOIN below USING (k) LEFT JOIN kids USING (k) LEFT JOIN node AS over ON over.k = node.up
 """
 
+#: Every two documents of like sizes that share a shingle, counted; components by reaching out along links.
+OP12_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w
+), sizes AS (SELECT doc_id, len(s)::BIGINT AS n FROM s),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS nu, any_value(b.n) AS nv, count(*) AS c FROM each a JOIN each b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * b.n >= 80 * a.n AND 100 * a.n >= 80 * b.n GROUP BY ALL),
+links AS MATERIALIZED (SELECT u, v FROM common WHERE 100 * c >= 80 * (nu + nv - c)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, links.v FROM reach JOIN links ON links.u = reach.other)
+SELECT doc_id, any_value(n) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -235,4 +249,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op6_lm_scoring": OP6_SQL, "op7_license_scan": _op7_sql(), "op11_conversation_trie": OP11_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op6_lm_scoring": OP6_SQL, "op7_license_scan": _op7_sql(), "op11_conversation_trie": OP11_SQL, "op12_minhash": OP12_SQL}

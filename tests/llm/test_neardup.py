@@ -3,10 +3,11 @@
 import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import neardup, words
+from lectern.llm import neardup, queries, words
 
 SCHEMA = "doc_id long, text string"
 
@@ -129,3 +130,13 @@ def test_groups_around_the_limit_are_told_by_their_differences(spark, monkeypatc
             rows.append((1000 * g + i, " ".join(w)))
     got = neardup.minhash_components(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(str(tuple(r)) for r in got) == brute_minhash(rows) and 10 < len({r.component_id for r in got}) < 140
+
+
+def test_minhash_query_matches_its_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    df = queries.op12_minhash(spark, sf)
+    columns = sorted(df.columns)
+    want = con.sql(queries.OP12_SQL)
+    assert sorted(want.columns) == columns
+    assert sorted(map(tuple, df.select(*columns).collect())) == sorted(want.select(*columns).fetchall())
