@@ -115,7 +115,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classes(convs: DataFrame, turns: DataFrame) -> DataFrame:
-    """conv_id, n, weight, ends of each class of conversations with equal turns: its least id, turns, size and digest of its ids.
+    """conv_id, n, weight, ends of each class of conversations with equal turns: its least id, turns, size and digest of its ids (and the root's edge).
 
     A conversation's turns are known by four sums of 64 bits over the digests
     and places of its turns.  Ids meet in order by ranges, as pieces of texts;
@@ -127,7 +127,9 @@ def classes(convs: DataFrame, turns: DataFrame) -> DataFrame:
     longs = ", ".join(f"{c} long" for c in KEY)
     pieces = known.repartitionByRange(*KEY, "conv_id").sortWithinPartitions(*KEY, "conv_id").mapInArrow(_pieces, f"{longs}, first long, size long, ids string")
     met = pieces.repartition(*KEY).sortWithinPartitions(*KEY, "first")
-    return materialise(met.mapInArrow(_hashed, "conv_id long, n long, weight long, ends string"), "trie-classes")
+    found = met.mapInArrow(_hashed, "conv_id long, n long, weight long, ends string")
+    # the root's edge is written, since a join by a literal would be one without a key
+    return materialise(found.withColumn("edge", F.unhex(F.lit("00"))), "trie-classes")
 
 
 def _group_by_turn(live: DataFrame) -> DataFrame:
@@ -166,7 +168,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     levels, ended, rolled = (shared_folder(spark, f"trie-{x}") for x in ("levels", "ended", "rolled"))
 
     # down: the classes below each node meet by their next turn
-    live = found.select("conv_id", "n", "weight", "ends", F.unhex(F.lit("00")).alias("edge"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("chars"))
+    live = found.select("conv_id", "n", "weight", "ends", "edge", F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("chars"))
     depth, last = 0, -1
     while True:
         nodes = _group_by_turn(live)
