@@ -29,7 +29,7 @@ VALUES, BANDS, ROWS = 256, 64, 8
 #: Standard errors of the estimate from all values by which a pair may miss the similarity before its sets are not compared.
 ERRORS = 5.0
 #: Bands of each pass of leaders: most near copies are joined by the first few, and need no comparison in the others.
-PASSES = [(0, 4), (4, 16), (16, BANDS)]
+PASSES = [(0, 8), (8, BANDS)]
 _RNG = np.random.default_rng(42)
 _ODD = _RNG.integers(0, 1 << 63, VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, VALUES, np.uint64)
@@ -219,8 +219,8 @@ def _delta_links(groups: DataFrame, sketches: DataFrame, docs: DataFrame, width:
     return found.unionByName(to_pivot)
 
 
-def near_links(sketches: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Links (u, v), each verified, that join all nodes which share a band and are at least so similar.
+def near_components(sketches: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """node, component of all nodes that a verified link joins to another: those which share a band and are at least so similar.
 
     sketches (node, least, n, sketch, bands) has one row a distinct set, docs
     (doc_id, text) the rows they come from.  In each pass over some bands one
@@ -232,8 +232,9 @@ def near_links(sketches: DataFrame, docs: DataFrame, width: int = WIDTH, percent
     bucket stays unknown unless both are in one component already.
     """
     spark = sketches.sparkSession
-    links = spark.createDataFrame([], "u long, v long")
     named, n_named, left, done = None, 0, [], None
+    # what is joined already counts as links to the component's least node
+    of_links = lambda links: components(links if named is None else links.unionByName(named.select(F.col("component").alias("u"), F.col("node").alias("v"))))
     label = lambda rows: rows.withColumn("c", F.col("node")) if named is None else rows.join(narrow_side(named, n_named), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     for low, high in PASSES:
         members = label(sketches.select("node", "n", F.explode(F.slice("bands", low + 1, high - low)).alias("bucket")))
@@ -250,21 +251,21 @@ def near_links(sketches: DataFrame, docs: DataFrame, width: int = WIDTH, percent
         met = salted_join(of_mixed.select("bucket", "node", "n", "c", "leads"), leaders, "bucket", sizes, total).filter("c <> cu AND (NOT leads OR u < node)")
         pairs = met.filter(F.least("n", "nu") * 100 >= F.greatest("n", "nu") * percent).select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
         pairs, told = materialise_told(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), "near-pairs", n=F.count(F.lit(1)))
-        links = links.unionByName(_near(pairs, told["n"], sketches, docs, width, percent))
+        links = _near(pairs, told["n"], sketches, docs, width, percent)
         done = pairs if done is None else done.unionByName(pairs)
-        named, told = materialise_told(components(links), "near-components", n=F.count(F.lit(1)))
+        named, told = materialise_told(of_links(links), "near-components", n=F.count(F.lit(1)))
         n_named = told["n"]
         left.append(of_mixed.filter("m > 2 AND NOT leads").select("bucket", "node"))
     if not left:
-        return links
+        return spark.createDataFrame([], "node long, component long")
     rows = label(reduce(DataFrame.unionByName, left))
     pivots = rows.groupBy("bucket").agg(F.min("c").alias("pivot"), F.max("c").alias("high"), F.count("*").alias("n")).filter("pivot <> high")
     pivots, told = materialise_told(pivots, "near-pivots", total=F.sum("n"))
     total = told["total"]
     if not total:
-        return links
+        return named
     groups = materialise(dealt_join(rows, pivots.select("bucket", "pivot"), "bucket", pivots.select("bucket", "n"), total).select("pivot", "node", "c").distinct(), "near-groups")
-    return links.unionByName(_delta_links(groups, sketches, docs, width, percent))
+    return of_links(_delta_links(groups, sketches, docs, width, percent))
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -282,7 +283,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialise(read.withColumn("s", _sketched(F.col("text"), width)).select("doc_id", "s.*"), "near-sketches")
     nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.count("*").alias("rows")), "near-nodes")
-    joined = components(near_links(nodes, read, width, percent))
+    joined = near_components(nodes, read, width, percent)
     of_node = nodes.select("node", "least").join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     of_node = materialise(of_node, "near-named")
     least = of_node.groupBy("component").agg(F.min("least").alias("component_id"))
