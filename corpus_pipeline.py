@@ -33,7 +33,8 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 or more in five-word shingles the one with the least id stays.
 
-    Texts without words are alike; rows that share an id stay or go together;
+    Balls around SimHash fingerprints tell the first candidates, bands of MinHash
+    values those that differ by more bits; sets decide.  Texts without words are alike; rows that share an id stay or go together;
     a group in which no row has an id stays whole.
     """
     return jaccard_dedup(docs)

@@ -17,6 +17,16 @@ from lectern.llm.words import give_back
 BITS = 64
 
 
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of some 64-bit hashes have each bit set."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits that over half of n hashes have, as a signed long."""
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """The 64-bit SimHash of a text's word shingles, as a signed long.
 
@@ -37,8 +47,8 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     spans = list(zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True))
     for i in range(0, n, 1 << 16):  # a text of any length needs one block of bits at a time
         h = np.array([digest(line[a:b], seed) for a, b in spans[i : i + (1 << 16)]], np.uint64)
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view(np.int64)[0])
+        total += bit_counts(h)
+    return majority(total, n)
 
 
 def _fingerprints(width: int):
