@@ -1,7 +1,10 @@
 """The pipeline's near-dedup begins with fingerprints, and asks no query for a count that a write can tell."""
 
+import gc
+import weakref
+
 import corpus_pipeline
-from lectern.llm import neardup, words
+from lectern.llm import common, neardup, words
 from tests.llm.test_neardup import SCHEMA, brute_components, brute_set, copies
 
 
@@ -43,3 +46,19 @@ def test_tables_are_counted_as_they_are_written(spark, sf, monkeypatch):
     kept = corpus_pipeline.dedup_near(spark, docs, sf)
     monkeypatch.undo()
     assert kept.count() >= 1
+
+
+def test_driver_drops_what_steps_left_behind(spark):
+    class Node:
+        pass
+
+    gone = Node()
+    gone.itself, told = gone, weakref.ref(gone)
+    del gone
+    gc.disable()  # so that only the writes collect
+    try:
+        for _ in range(common.COLLECT):
+            common.materialise(spark.range(1), "few")
+    finally:
+        gc.enable()
+    assert told() is None
