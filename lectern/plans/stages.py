@@ -9,7 +9,7 @@ from lectern.functions.scan import STRUCTURE_ID
 from lectern.operators import annotations, images, papers, records, tables, trace
 from lectern.plans import recipes
 from lectern.plans.catalog import micro, query
-from lectern.plans.extraction import CHAINS_SQL, PAPERS_SQL, _j, _s, _S, _scored, _sql
+from lectern.plans.extraction import CHAINS_SQL, PAPERS_SQL, _j, _s, _dealt, _S, _scored, _sql
 from lectern.plans.recipes import LABELS_SQL, SPANS_SQL, chosen, q, table
 from lectern.sources import files
 
@@ -70,7 +70,7 @@ def _(spark, sf_dir):
 
 @query("j22_matched_sources", f"""SELECT k, CASE k % 4 WHEN 0 THEN 'api' WHEN 1 THEN 'table' WHEN 2 THEN 'api' END AS source FROM ({CHAINS_SQL})""")
 def _(spark, sf_dir):
-    c = _sql(spark, sf_dir, "part", CHAINS_SQL).withColumns({"paper_id": F.col("k").cast("string"), "name": F.lit("a")})
+    c = _dealt(spark, sf_dir, "part", "p_partkey", CHAINS_SQL).withColumns({"paper_id": F.col("k").cast("string"), "name": F.lit("a")})
     k, loop = F.col("k") % 4, F.regexp_extract("heavy", "YYC(AR.*)WGQG", 1)
     field = F.when(k == 1, "Structure").otherwise("CDRH3_Sequence")
     own = c.select("k", "paper_id", "name", field.alias("field"), F.when(k == 0, loop).when(k == 1, "7ABC").when(k == 2, F.concat(F.lit("c"), F.lower(loop))).otherwise("CXXXW").alias("value"))
