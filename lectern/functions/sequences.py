@@ -259,12 +259,18 @@ def record_chain(*texts: Column) -> Column:
 
 def from_alignment(reference: Column, line: Column) -> Column:
     """A diff line against its reference: a dot is the reference's residue, a hyphen a gap, the reference's tail fills up."""
-    r = F.split(gapped(reference), "")
     fixed = F.translate(F.upper(F.regexp_replace(line, r"\s+", "")), "0O1", "QQI")
-    d = F.split(fixed, "")
-    told = F.transform(d, lambda c, i: F.when(c == ".", F.coalesce(F.get(r, i), F.lit(""))).when(c == "-", "").otherwise(c))
-    rest = F.slice(r, F.size(d) + 1, F.greatest(F.size(r) - F.size(d), F.lit(0)))
-    return F.array_join(F.concat(told, rest), "")
+
+    def of(r: Column) -> Column:
+        # runs of dots, hyphens and letters, each taken whole
+        def told(done: Column, run: Column) -> Column:
+            here = F.when(F.startswith(run, F.lit(".")), F.substr(r, done["at"], F.length(run))).when(F.startswith(run, F.lit("-")), "").otherwise(run)
+            return F.struct((done["at"] + F.length(run)).alias("at"), F.concat(done["s"], here).alias("s"))
+
+        runs = F.regexp_extract_all(fixed, F.lit("([.]+|-+|[^.-]+)"), F.lit(1))
+        return F.aggregate(runs, F.struct(F.lit(1).alias("at"), F.lit("").alias("s")), told, lambda done: F.concat(done["s"], F.substr(r, done["at"], F.length(r))))
+
+    return let(gapped(reference), of)
 
 
 def loop_length(loop: Column, chain: str) -> Column:

@@ -1,7 +1,11 @@
 """Plans and costs that larger tables turn on."""
 
+import random
+import time
+
 from pyspark.sql import functions as F
 
+from lectern.functions import sequences
 from lectern.operators import papers
 
 
@@ -18,3 +22,20 @@ def test_evidence_is_joined_by_a_shuffle_however_small_its_files(spark, tmp_path
     found = papers.matched_sources(own, own.withColumns({"source": F.lit("api"), "seq": F.lit(1)}))
     assert "BroadcastHashJoin" not in plan(found) and "SortMergeJoin" in plan(found)
     assert found.filter("source = 'api'").count() == 100
+
+
+def test_a_line_of_an_alignment_costs_its_length(spark):
+    rng = random.Random(5)
+    lines = ["...WO-....", "", "-", ".", "a.b-c", "QQQQQQQQQQQQQQQQ", *["".join(rng.choice("..-AC0 ") for _ in range(rng.randrange(1, 30))) for _ in range(40)]]
+    ref = "acdEFGHI-KLMN.PQ"
+
+    def written_out(line):
+        line = "".join(line.split()).upper().translate(str.maketrans("0O1", "QQI"))
+        return "".join((ref.upper()[i : i + 1] if c == "." else "" if c == "-" else c) for i, c in enumerate(line)) + ref.upper()[len(line) :]
+
+    df = spark.createDataFrame([(x,) for x in lines], "x string").select("x", sequences.from_alignment(F.lit(ref), F.col("x")).alias("s"))
+    assert [r.s for r in df.collect()] == [written_out(x) for x in lines]
+    long = spark.createDataFrame([("ACDEFGHIKL" * 4000,)], "r string").select(sequences.from_alignment(F.col("r"), F.concat(F.repeat(F.lit("."), F.lit(39_999)), F.lit("W"))).alias("s"))
+    began = time.time()
+    assert long.first().s == ("ACDEFGHIKL" * 4000)[:-1] + "W"
+    assert time.time() - began < 10
