@@ -151,17 +151,18 @@ LIKELY = {"H": (95, 160), "L": (85, 140)}
 LINKER = "G{2,4}S(?:G{2,4}S){1,4}"
 
 
-def _first_filled(found: list[Column]) -> Column:
-    return F.coalesce(*[F.nullif(c, F.lit("")) for c in found])
+def _first_of(s: Column, patterns: list[str]) -> Column:
+    """Group 1 of the first of the patterns that matches; null if none does."""
+    if not patterns:
+        return F.lit(None).cast("string")
+    return let(F.regexp_extract(s, patterns[0], 1), lambda x: F.when(x != "", x).otherwise(_first_of(s, patterns[1:])))
 
 
 def _domain(s: Column, chain: str) -> Column:
-    head = F.substring(s, 1, 80)
-    at = F.array_min(F.filter(F.array(*[F.instr(head, m) for m in STARTS[chain]]), lambda p: p > 0))
-    tail = F.substr(s, at)
-    ended = _first_filled([F.regexp_extract(tail, f"^(.*?{p})", 1) for p in ENDS[chain]])
-    last = _first_filled([F.regexp_extract(s, f"^(.*{p})", 1) for p in ENDS[chain]])
-    return F.when(at.isNotNull(), F.coalesce(ended, F.substring(tail, 1, WINDOW[chain]))).otherwise(F.coalesce(F.regexp_extract(last, f"(.{{1,{WINDOW[chain]}}})$", 1), s))
+    at = F.array_min(F.filter(F.array(*[F.instr(F.substring(s, 1, 80), m) for m in STARTS[chain]]), lambda p: p > 0))
+    cut = lambda tail: F.coalesce(_first_of(tail, [f"^(.*?{p})" for p in ENDS[chain]]), F.substring(tail, 1, WINDOW[chain]))
+    last = lambda: let(_first_of(s, [f"^(.*{p})" for p in ENDS[chain]]), lambda x: F.coalesce(F.regexp_extract(x, f"(.{{1,{WINDOW[chain]}}})$", 1), s))
+    return let(F.substr(s, at), lambda tail: F.when(tail.isNotNull(), cut(tail)).otherwise(last()))
 
 
 def _likely(s: Column, chain: str) -> Column:
@@ -170,9 +171,16 @@ def _likely(s: Column, chain: str) -> Column:
 
 def _start_places(s: Column, chain: str, within: int | None = None) -> Column:
     """Places (from one) at which a chain's motifs begin, in order."""
-    upto = F.length(s) if within is None else F.least(F.length(s), F.lit(within))
-    places = F.sequence(F.lit(1), F.greatest(upto, F.lit(1)))
-    return F.filter(places, lambda i: F.exists(F.array(*map(F.lit, STARTS[chain])), lambda m: (F.substr(s, i, F.length(m)) == m) & (i + F.length(m) - 1 <= upto)))
+    motifs = "|".join(STARTS[chain])
+    searched = s if within is None else F.substring(s, 1, within)
+
+    def of(x: Column) -> Column:
+        # cut before every motif, those that overlap too: each piece but the first begins with one
+        lengths = F.transform(F.split(x, f"(?={motifs})"), F.length)
+        ends = F.aggregate(lengths, F.array(F.lit(1)), lambda done, n: F.array_append(done, F.element_at(done, -1) + n), lambda done: F.slice(done, F.lit(2), F.greatest(F.size(done) - 2, F.lit(0))))
+        return F.concat(F.when(x.rlike(f"^({motifs})"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")), ends)
+
+    return let(searched, of)
 
 
 def single_chain_domains(value: Column) -> Column:
@@ -188,15 +196,19 @@ def single_chain_domains(value: Column) -> Column:
         def split(first: str, second: str, gap: int) -> Column:
             starts, others = x[first], x[second]
             cuts = F.transform(starts, lambda a: F.struct(a.alias("a"), F.array_min(F.filter(others, lambda b: b >= a + gap)).alias("b")))
-            both = F.transform(F.filter(cuts, lambda c: c["b"].isNotNull()), lambda c: F.struct(_domain(F.substr(s, c["a"], c["b"] - c["a"]), first).alias(first), _domain(F.substr(s, c["b"]), second).alias(second)))
-            return F.get(F.filter(both, lambda d: _likely(d[first], first) & _likely(d[second], second)), F.lit(0))
+
+            def both(c: Column) -> Column:
+                parts = {first: _domain(F.substr(s, c["a"], c["b"] - c["a"]), first), second: _domain(F.substr(s, c["b"]), second)}
+                return F.struct(*[parts[k].alias(k) for k in "HL"])
+
+            found = F.transform(F.filter(cuts, lambda c: c["b"].isNotNull()), both)
+            return F.get(F.filter(found, lambda d: _likely(d["H"], "H") & _likely(d["L"], "L")), F.lit(0))
 
         whole = F.struct(_domain(s, "H").alias("H"), _domain(s, "L").alias("L"))
         linked = F.when(s.rlike(LINKER), let(whole, lambda d: F.when(_likely(d["H"], "H") & _likely(d["L"], "L"), d)))
-        one, two = split("H", "L", 70), split("L", "H", 60)
-        pick = lambda k: F.coalesce(one[k], two[k], linked[k], F.lit(""))
         usable = (F.length(s) >= 180) & (F.size(x["H"]) > 0) & (F.size(x["L"]) > 0)
-        return F.struct(F.when(usable, pick("H")).otherwise("").alias("heavy"), F.when(usable, pick("L")).otherwise("").alias("light"))
+        found = F.when(usable, F.coalesce(split("H", "L", 70), split("L", "H", 60), linked))
+        return let(found, lambda d: F.struct(F.coalesce(d["H"], F.lit("")).alias("heavy"), F.coalesce(d["L"], F.lit("")).alias("light")))
 
     return let(letters(value), lambda s: let(F.struct(s.alias("s"), _start_places(s, "H", 140).alias("H"), _start_places(s, "L").alias("L")), of))
 

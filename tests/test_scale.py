@@ -39,3 +39,20 @@ def test_a_line_of_an_alignment_costs_its_length(spark):
     began = time.time()
     assert long.first().s == ("ACDEFGHIKL" * 4000)[:-1] + "W"
     assert time.time() - began < 10
+
+
+def test_starts_of_a_long_chain_cost_its_length(spark):
+    rng = random.Random(7)
+    pieces = [*sequences.STARTS["H"], *sequences.STARTS["L"], "QL", "LQL", "A", "GGG", "VTQ"]
+    texts = ["", "A", "QLQLQLQ", *["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 40))) for _ in range(60)]]
+
+    def places(s, chain, within):
+        return [i + 1 for i in range(len(s)) if any(s[i : min(len(s), within)].startswith(m) for m in sequences.STARTS[chain])]
+
+    found = [sequences._start_places(F.col("s"), "H", 140).alias("h"), sequences._start_places(F.col("s"), "L").alias("l")]
+    got = spark.createDataFrame([(t,) for t in texts], "s string").select("s", *found).collect()
+    assert [(r.h, r.l) for r in got] == [(places(t, "H", 140), places(t, "L", len(t))) for t in texts]
+    one = spark.createDataFrame([("A" * 50_000 + "DIQMTQ",)], "s string").select(sequences._start_places(F.col("s"), "L").alias("l"))
+    began = time.time()
+    assert one.first().l == [50_001]
+    assert time.time() - began < 5
