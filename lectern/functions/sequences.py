@@ -224,9 +224,9 @@ def chain_of(region: Column) -> Column:
     """heavy, light or unknown, by the motif with which a whole region begins, two residues in at most; the earlier wins."""
 
     def of(s: Column) -> Column:
-        first = lambda chain: F.array_min(F.filter(F.array(*[F.instr(s, m) for m in STARTS[chain]]), lambda p: p.between(1, 3)))
-        h, l = F.coalesce(first("H"), F.lit(9)), F.coalesce(first("L"), F.lit(9))  # noqa: E741
-        return F.when(full_region(s, 160), F.when(h < l, "heavy").when(l < h, "light").otherwise("unknown")).otherwise("unknown")
+        first = lambda chain: F.coalesce(F.array_min(F.filter(F.array(*[F.instr(F.substring(s, 1, 2 + max(map(len, STARTS[chain]))), m) for m in STARTS[chain]]), lambda p: p.between(1, 3))), F.lit(9))
+        told = let(F.struct(first("H").alias("h"), first("L").alias("l")), lambda x: F.when(x["h"] < x["l"], "heavy").when(x["l"] < x["h"], "light").otherwise("unknown"))
+        return F.when(full_region(s, 160), told).otherwise("unknown")
 
     return let(letters(region), of)
 

@@ -7,7 +7,9 @@ another within an antibody, so they run over its evidence in order.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,34 +106,64 @@ def decide(field: str, now: str, now_source: str, value: str, r: dict, fill_only
     return ("replace_with_higher_priority_sequence", value) if r["priority"] > held else ("keep", now)
 
 
-def _merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One antibody: its own record (kind 0, if there is one), then its evidence in order."""
-    paper, name_key = key
-    rows = rows.sort_values(["kind", "seq"], kind="stable")
-    home = rows[rows["kind"] == 0]
-    state = {f: (home[f].iloc[0] or "") if len(home) else "" for f in FIELDS}
-    sources = {f: ("", "") for f in FIELDS}
-    if len(home):
-        sources |= {f: (s or "", "") for f, s in (home["sources"].iloc[0] or [])}
-    name, out, created, open_ = (home["name"].iloc[0] if len(home) else None), [], False, len(home) > 0
-    for r in rows[rows["kind"] == 1].to_dict("records"):
-        if not open_:
+class _Antibody:
+    """One antibody: its own record, if there is one, then its evidence in order."""
+
+    def __init__(self, key: tuple) -> None:
+        self.key, self.name, self.created, self.open = key, None, False, False
+        self.state, self.sources = dict.fromkeys(FIELDS, ""), dict.fromkeys(FIELDS, ("", ""))
+
+    def record(self, r: dict) -> None:
+        self.name, self.open = r["name"], True
+        self.state = {f: r[f] or "" for f in FIELDS}
+        self.sources |= {x["f"]: (x["s"] or "", "") for x in r["sources"] or []}
+
+    def evidence(self, r: dict) -> Iterator[tuple]:
+        """The decisions worth a note."""
+        if not self.open:
             if not r["may_create"]:
-                continue
-            open_, created, name = True, True, r["name"]
-        r["whole"], r["wrong_chain"] = set(r["whole"]), set(r["wrong_chain"])
+                return
+            self.open, self.created, self.name = True, True, r["name"]
+        state, sources = self.state, self.sources
         fill_only = any(state[f] for f in ("CDRH3_Sequence", "vh_sequence_aa", "vl_sequence_aa", "Binding_Kinetics_KD"))
         for f in FIELDS:
+            if not r[f] and not (f == "CDRH3_Sequence" and r["derived"]):
+                continue
             action, value = decide(f, state[f], sources[f][0], r[f] or "", r, fill_only)
-            if action in ("keep",):
+            if action == "keep":
                 continue
             if not action.startswith(("skip", "keep")):
                 sources[f] = (r["source"], r["pointer"] or "")
             if action not in ("write", "refresh"):
-                out.append((paper, name_key, name, f, value, sources[f][0], sources[f][1], action, created))
+                yield (*self.key, self.name, f, value, *sources[f], action, self.created)
             state[f] = value
-    out += [(paper, name_key, name, f, v, *sources[f], "value", created) for f, v in state.items() if v and open_]
-    return pd.DataFrame(out, columns=[c.split()[0] for c in MERGED.split(", ")])
+
+    def values(self) -> Iterator[tuple]:
+        return ((*self.key, self.name, f, v, *self.sources[f], "value", self.created) for f, v in self.state.items() if v and self.open)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order, those of an antibody one after another; a batch may end within one, so only its state is held."""
+    schema = pa.schema([(c.split()[0], pa.bool_() if c.endswith("boolean") else pa.string()) for c in MERGED.split(", ")])
+    to_batch = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+    one: _Antibody | None = None
+    for batch in batches:
+        names, out = batch.schema.names, []
+        for values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            r = dict(zip(names, values, strict=True))
+            key = (r["paper_id"], r["name_key"])
+            if one is None or one.key != key:
+                if one is not None:
+                    out += one.values()
+                one = _Antibody(key)
+            if r["kind"] == 0:
+                one.record(r)
+            else:
+                out += one.evidence(r)
+        if out:
+            yield to_batch(out)
+    if one is not None and (out := list(one.values())):
+        yield to_batch(out)
 
 
 def merge_evidence(records: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -142,8 +174,8 @@ def merge_evidence(records: DataFrame, evidence: DataFrame) -> DataFrame:
     pdb, isotype.  Result: a row a field with action `value`, and one for each
     replacement or refusal.  Evidence for a name without a record opens one
     (created) if it may: not about cited work, and a sequence together with a
-    sequence image, a quantity or an isotype.  An antibody's records and
-    evidence, not a paper's, bound a group.
+    sequence image, a quantity or an isotype.  An antibody's rows follow one
+    another in one task, which holds a batch of them and the state of one.
     """
     fields = lambda d: [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) if f in d.columns else F.lit("").alias(f) for f in FIELDS]
     key = text.folded(F.col("name"))
@@ -166,4 +198,5 @@ def merge_evidence(records: DataFrame, evidence: DataFrame) -> DataFrame:
     r = r.groupBy("paper_id", "name_key").agg(*[F.first(c).alias(c) for c in ("name", *FIELDS, "sources")])  # of several records of a name the first is written into
     blank = {c: F.lit(None).cast(dict(e.dtypes)[c]) for c in e.columns if c not in r.columns}
     r = r.withColumns(blank | {"kind": F.lit(0), "seq": F.lit(-1).cast(dict(e.dtypes)["seq"])})
-    return e.unionByName(r.select(*e.columns)).groupBy("paper_id", "name_key").applyInPandas(_merged, MERGED)
+    rows = e.unionByName(r.select(*e.columns)).repartition("paper_id", "name_key")
+    return rows.sortWithinPartitions("paper_id", "name_key", "kind", F.asc_nulls_last("seq")).mapInArrow(_merged, MERGED)

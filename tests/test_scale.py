@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from lectern.functions import sequences
-from lectern.operators import papers
+from lectern.operators import evidence, papers
 
 
 def plan(df):
@@ -56,3 +56,25 @@ def test_starts_of_a_long_chain_cost_its_length(spark):
     began = time.time()
     assert one.first().l == [50_001]
     assert time.time() - began < 5
+
+
+def test_an_antibody_of_many_batches_is_merged_as_one(spark):
+    """Evidence streams by in order: no table of its own for each antibody, and batches may end within one."""
+    heavy = "EVQLVESGGGLVQPGGSLRLSCAASGFTFSSYAMSWVRQAPGKGLEWVSAISGSGGSTYYADSVKGRFTISRDNSKNTLYLQMNSLRAEDTAVYYCAKDRGYYFDYWGQGTLVTVSS"
+    rng = random.Random(3)
+    rows = [(f"p{rng.randrange(3)}", rng.choice(["Ab1", "ab1 ", "Ab2", "Ab3"]), i, heavy[rng.randrange(9) :], rng.choice(sorted(evidence.PRIORITY)), f"{i} nM", f"at {i}", "", False, "IgG1") for i in range(120)]
+    schema = "paper_id string, name string, seq int, vh_sequence_aa string, source string, Binding_Kinetics_KD string, pointer string, context string, pdb boolean, isotype string"
+    own = spark.createDataFrame([("p0", "Ab1", "1 pM"), ("p9", "Ab9", "2 pM")], "paper_id string, name string, Binding_Kinetics_KD string")
+    merged = lambda: evidence.merge_evidence(own, spark.createDataFrame(rows, schema))
+    whole = sorted(map(tuple, merged().collect()), key=repr)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert sorted(map(tuple, merged().collect()), key=repr) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    value = {(r[0], r[1], r[3]): r[4] for r in whole if r[7] == "value"}
+    first = {}
+    for paper, name, seq, *_ in rows:
+        first.setdefault((paper, name.strip().lower()), f"{seq} nM")
+    assert {k[:2]: v for k, v in value.items() if k[2] == "Binding_Kinetics_KD"} == first | {("p0", "ab1"): "1 pM", ("p9", "ab9"): "2 pM"}
+    assert "FlatMapGroups" not in plan(merged()) and "MapInArrow" in plan(merged())
