@@ -98,11 +98,12 @@ def _books(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for n, columns in zip(batch["n"], batch["columns"], strict=True):
             sheets: dict[str, dict] = {}
+            filled: dict[str, int] = {}
             for c in columns:
                 cells = sheets.setdefault(c["sheet"], {(0, 0): "Field"} | {(i, 0): label for i, label in enumerate(_ROWS, 1)})
-                at = max(col for _, col in cells) + 1
+                at = filled[c["sheet"]] = filled.get(c["sheet"], 0) + 1
                 cells[0, at] = float(c["k"])
-                cells |= {(i, at): value for i, value in enumerate(c["values"], 1)}
+                cells.update({(i, at): value for i, value in enumerate(c["values"], 1)})
             out.append((f"book-{n}.xlsx", workbooks.workbook(sheets)))
         yield pd.DataFrame(out, columns=["path", "content"])
 

@@ -3,10 +3,13 @@
 import random
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lectern.functions import sequences
 from lectern.operators import evidence, papers
+from lectern.plans import repairs
+from lectern.sources import workbooks
 
 
 def plan(df):
@@ -78,3 +81,16 @@ def test_an_antibody_of_many_batches_is_merged_as_one(spark):
         first.setdefault((paper, name.strip().lower()), f"{seq} nM")
     assert {k[:2]: v for k, v in value.items() if k[2] == "Binding_Kinetics_KD"} == first | {("p0", "ab1"): "1 pM", ("p9", "ab9"): "2 pM"}
     assert "FlatMapGroups" not in plan(merged()) and "MapInArrow" in plan(merged())
+
+
+def test_a_sheet_of_many_columns_costs_their_number(spark):
+    many = 12_000
+    columns = [{"k": k, "sheet": f"s{k % 2}", "values": [f"Ab{k}" if k % 5 else " ", *["x"] * 6]} for k in range(many)]
+    began = time.time()
+    (book,) = repairs._books(iter([pd.DataFrame({"n": [1], "columns": [columns]})]))
+    took = time.time() - began
+    files = spark.createDataFrame([(book["path"][0], bytearray(book["content"][0]))], "path string, content binary")
+    found = workbooks.workbook_records(workbooks.workbook_cells(files), ("path", "sheet"))
+    got = sorted((r.sheet, r.ab_idx, r.record["Antibody_Name"]) for r in found.collect())
+    assert got == sorted((s, i, f"Ab{k}") for s, start in (("s0", 0), ("s1", 1)) for i, k in enumerate(k for k in range(start, many, 2) if k % 5))
+    assert took < 4 and "collect_list" not in plan(found)
